@@ -62,3 +62,48 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
         hi = min(n, max(hi, lo + 1))
         yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+
+
+def append_columns(df: DataFrame, text: str, make, added: str) -> DataFrame:
+    """``df`` with columns computed from its text column in one narrow Arrow stage.
+
+    ``make()`` runs once a task and returns a function from a string array (no nulls) to the new arrays. All columns
+    pass through by position, so names that clash with internal ones do no harm.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(added)
+    names = df.columns
+    at = names.index(text)
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *new.fields])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            if batch.num_rows:
+                cols = [*batch.columns, *work(text_array(batch.column(at)))]
+                yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
+
+    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema).toDF(*names, *new.names)
+
+
+def held_out(doc_id, folds: int, fold: int):
+    """Whether crc32 of the id's decimal text falls in the held-out fold."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(folds) == F.lit(fold), F.lit(False))
+
+
+def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, longest: int) -> DataFrame:
+    """Texts and labels of at most ``bound`` labelled rows outside the held-out fold, the same ones each run.
+
+    Only the bounded list of ids is broadcast. Texts over ``longest`` characters aren't learnt from.
+    """
+    from pyspark.sql import functions as F
+
+    ids = (
+        labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
+        .groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    )
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")

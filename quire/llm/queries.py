@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm.bpe import op10_bpe
+from quire.llm.mixing import op2_mixing
+from quire.llm.quality import op3_quality
+from quire.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_bpe": op10_bpe}
+    return {"op2_mixing": op2_mixing, "op3_quality": op3_quality, "op8_toxicity": op8_toxicity, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
