@@ -43,10 +43,10 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         ranked.withColumn("_full", F.col("source_size") * F.lit(cap))
         .withColumn("_total", F.sum("source_size").over(whole) * F.lit(share))
         .withColumn("_level", (F.col("_total") - F.coalesce(F.sum("_full").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-        .withColumn("_cut", F.col("_full") <= F.col("_level") * F.col("w"))
-        .withColumn("_t", F.min(F.when(~F.col("_cut"), F.col("_level"))).over(whole))
+        .withColumn("_open", F.when(F.col("_full") > F.col("_level") * F.col("w"), F.struct(F.row_number().over(fill).alias("p"), "_level")))
+        .withColumn("_t", F.min("_open").over(whole)["_level"])  # the level at the first source that doesn't fill up
     )
-    target = F.when(F.col("_cut") | F.col("_t").isNull(), F.col("_full")).otherwise(F.least(F.col("_full"), F.col("_t") * F.col("w")))
+    target = F.when(F.col("_t").isNull(), F.col("_full")).otherwise(F.least(F.col("_full"), F.col("_t") * F.col("w")))
     return leveled.select("source", "source_size", target.cast("double").alias("target"))
 
 
