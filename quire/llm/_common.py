@@ -45,8 +45,8 @@ def text_array(column: pa.Array) -> pa.Array:
     return column
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Views of consecutive rows: (first row, end row, bytes, offsets from 0), about ``limit`` bytes or one row each."""
+def text_chunks(column: pa.Array, limit: int = 1 << 20, rows: int = 4096) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Views of consecutive rows: (first row, end row, bytes, offsets from 0), about ``limit`` bytes, one row at least."""
     column = text_array(column)
     n = len(column)
     if n == 0:
@@ -59,7 +59,7 @@ def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, i
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1
-        hi = min(n, max(hi, lo + 1))
+        hi = min(n, lo + rows, max(hi, lo + 1))
         yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
