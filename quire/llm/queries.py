@@ -10,11 +10,12 @@ from quire.llm.bpe import op10_bpe
 from quire.llm.mixing import op2_mixing
 from quire.llm.neardup import op4_minhash
 from quire.llm.quality import op3_quality
+from quire.llm.repeats import op9_repeats
 from quire.llm.toxicity import op8_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op8_toxicity": op8_toxicity, "op10_bpe": op10_bpe}
+    return {"op2_mixing": op2_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op8_toxicity": op8_toxicity, "op9_repeats": op9_repeats, "op10_bpe": op10_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
