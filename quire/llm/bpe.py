@@ -165,8 +165,9 @@ class Transducer:
 class Encoder:
     """Text to ids: special tokens cut first, then the pattern, then merges (remembered for short pre-tokens)."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, special: bool = True):
         self.vocab, self.memo = vocab, {}
+        self.cut = vocab.cut if special else None
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8")
@@ -187,7 +188,7 @@ class Encoder:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         at = 0
-        for m in self.vocab.cut.finditer(text) if self.vocab.cut else ():
+        for m in self.cut.finditer(text) if self.cut else ():
             self._plain(text[at : m.start()], out)
             out.append(self.vocab.special[m[0]])
             at = m.end()
