@@ -8,7 +8,7 @@ Two steps keep the work distributed and exact:
    occur whole more than once are decided by their count alone, however hot they are.
 2. Run-length index. The distinct contexts of anchors that have several are indexed together, in bounded groups, by a
    run-compressed Burrows-Wheeler transform. Matching statistics (the longest match elsewhere of what starts at each
-   byte) are computed at the sampled run ends only and streamed over the rest: inside a run a match extends to
+   byte) are computed at the sampled run starts only and streamed over the rest: inside a run a match extends to
    the left, so a value is its left neighbour's less one. Starts with a match of at least ``length`` bytes are marked.
 
 Defined results: null texts are empty, texts shorter than ``length`` keep everything; repeated rows count as
@@ -88,73 +88,81 @@ def find_contexts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of several strings, with suffix positions sampled at the ends of runs."""
+    """Run-compressed BWT of several strings, with suffix positions sampled at the starts of runs.
+
+    Prefix doubling sorts the suffixes; the ranks of every depth are kept as a ladder that gives the common prefix of
+    two suffixes in a few steps.
+    """
 
     def __init__(self, strings: list[np.ndarray]):
         sizes = np.array([len(s) for s in strings])
         self.base = np.concatenate([[0], np.cumsum(sizes + 1)])
-        text = np.zeros(self.base[-1], np.int64)  # 0 ends every string, bytes are 1..256
+        text = np.zeros(self.base[-1], np.int16)  # 0 ends every string, bytes are 1..256
         for s, at in zip(strings, self.base):
             text[at : at + len(s)] = s
             text[at : at + len(s)] += 1
         self.text, n = text, len(text)
-        self.left = np.repeat(self.base[1:] - 1, sizes + 1) - np.arange(n)  # bytes up to the string's end
+        self.left = (np.repeat(self.base[1:] - 1, sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the string's end
         depth = 7
         packed = np.zeros(n, U)
         for j in range(depth):
             packed <<= U(9)
             packed[: n - j] |= text[j:].astype(U)
-        order, rank = self._ranked(packed)
+        self.order, rank = self._ranked(packed)
+        self.ladder = [(depth, rank)]
         reach = int(sizes.max(initial=0)) + 1
-        while depth < reach and rank[order[-1]] < n - 1:
+        while rank[self.order[-1]] < n - 1:  # to the last tie: run starts are only exact in a total order
             key = rank.astype(U) << U(32)
-            key[: n - depth] |= (rank[depth:] + 1).astype(U)
-            order, rank = self._ranked(key)
+            key[: n - min(depth, n)] |= (rank[depth:] + 1).astype(U)
+            self.order, rank = self._ranked(key)
             depth *= 2
-        before = text[order - 1]
-        edge = np.flatnonzero(before[1:] != before[:-1]) + 1
-        self.run_symbols = before[np.concatenate([[0], edge])]
-        ends = np.zeros(n, bool)
-        ends[0] = ends[-1] = True
-        ends[edge] = ends[edge - 1] = True
-        ends |= before == 0  # a string's first byte extends no match to the left
-        self.samples = np.flatnonzero(ends)  # ranks of sampled run ends
-        self.order = order
+            if depth < reach:
+                self.ladder.append((depth, rank))
+        before = text[self.order - 1]
+        new = np.ones(n, bool)
+        new[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # a string's first byte extends no match to the left
+        self.samples = np.flatnonzero(new)  # ranks of run starts
+        self.run_symbols = before[self.samples]
 
     @staticmethod
     def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys)
         sorted_ = keys[order]
-        new = np.concatenate([[0], np.cumsum(sorted_[1:] != sorted_[:-1])])
-        rank = np.empty(len(keys), np.int64)
+        new = np.zeros(len(keys), np.int32)
+        np.cumsum(sorted_[1:] != sorted_[:-1], out=new[1:], dtype=np.int32)
+        rank = np.empty(len(keys), np.int32)
         rank[order] = new
         return order, rank
 
     def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Common prefixes of suffix pairs inside their strings, compared 64 bytes at a time."""
+        """Common prefixes of suffix pairs inside their strings: down the ladder, then byte by byte below its first step."""
+        most, top = np.minimum(self.left[x], self.left[y]), len(self.text) - 1
         out = np.zeros(len(x), np.int64)
-        most = np.minimum(self.left[x], self.left[y])
-        live = np.flatnonzero(most > 0)
-        step, top = np.arange(64), len(self.text) - 1
-        while len(live):
-            at = out[live][:, None] + step
-            same = self.text[np.minimum(x[live][:, None] + at, top)] == self.text[np.minimum(y[live][:, None] + at, top)]
-            run = np.where(same.all(axis=1), 64, same.argmin(axis=1))
-            out[live] = np.minimum(out[live] + run, most[live])
-            live = live[(run == 64) & (out[live] < most[live])]
-        return out
+        for depth, rank in reversed(self.ladder):
+            out += depth * (rank[np.minimum(x + out, top)] == rank[np.minimum(y + out, top)])
+        live = np.flatnonzero(out < most)
+        for _ in range(self.ladder[0][0] - 1):
+            own = out[live]
+            live = live[self.text[np.minimum(x[live] + own, top)] == self.text[np.minimum(y[live] + own, top)]]
+            out[live] += 1
+        return np.minimum(out, most)
 
     def matching_statistics(self) -> np.ndarray:
-        """For each byte, the longest string starting there that also starts elsewhere."""
-        reach = np.zeros(len(self.text), np.int64)
-        for lo in range(0, len(self.samples), 1 << 16):
-            ranks = self.samples[lo : lo + (1 << 16)]
-            own = self.order[ranks]
-            above = np.where(ranks > 0, self._common(own, self.order[ranks - 1]), 0)
-            below = np.where(ranks < len(self.order) - 1, self._common(own, self.order[(ranks + 1) % len(self.order)]), 0)
-            reach[own] = np.maximum(above, below)
-        at = np.arange(len(reach))
-        return np.maximum(np.maximum.accumulate(reach + at) - at, 0)
+        """For each byte, the longest string starting there that also starts elsewhere.
+
+        A suffix shares most with a neighbour in order. What it shares with the one before is measured at run starts; for
+        any other suffix, both are preceded by the same byte, so the value is its left neighbour's less one. What it
+        shares with the one after is that one's value.
+        """
+        shared = np.zeros(len(self.text), np.int64)
+        ranks = self.samples[self.samples > 0]
+        own = self.order[ranks]
+        shared[own] = self._common(own, self.order[ranks - 1])
+        at = np.arange(len(shared))
+        shared = np.maximum(np.maximum.accumulate(shared + at) - at, 0)
+        out = shared.copy()
+        out[self.order[:-1]] = np.maximum(out[self.order[:-1]], shared[self.order[1:]])
+        return out
 
     def long_starts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """String number, first and last start of every run of starts with a match of at least ``length`` bytes."""
