@@ -8,7 +8,8 @@ candidates, and a candidate pair becomes a link only when the full sets say so.
 
 Texts with the same set are one class; only class representatives (least doc_id) are banded. Inside a bucket every
 member is first checked against one leading member, and what is then still in different components is checked pair by
-pair between components, so no bucket is expanded into all its pairs, yet no link between components is lost.
+pair between components, so no bucket is expanded into all its pairs, yet no link between components is lost. Before
+that, members leave the bucket whose shingles that any other text has are too few for a link with any of its sizes.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; ties go to the smaller doc_id;
 rows of a repeated doc_id share its component; a null doc_id has a null component and is kept; other columns are ignored.
@@ -149,6 +150,20 @@ def candidates(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", F.concat("ga", F.lit(b"")).alias("ga"), F.concat("gb", F.lit(b"")).alias("gb")).mapInArrow(_alike(percent), "a bigint, b bigint")
 
 
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """doc_id and alone, the number of its shingles that no other text of ``sets`` has (texts without any are left out)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                ids, lists = batch.column(0).slice(i, 512).to_numpy(), [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1).slice(i, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(v) for v in lists])), pa.array(np.concatenate(lists))], ["doc_id", "shingle"])
+
+    flat = sets.select("doc_id", "shingles").mapInArrow(run, "doc_id bigint, shingle bigint")
+    single = flat.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.min("doc_id").alias("doc_id")).where("times = 1")
+    return single.groupBy("doc_id").agg(F.count(F.lit(1)).alias("alone"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = materialize(sketch_documents(docs, k), "neardup-sketches")
@@ -166,16 +181,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = materialize(verified(candidates(first, reps, percent), sets, percent), "neardup-links")
     found = connected_components(links)
 
-    named = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-    mixed = named.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    split = materialize(named.join(mixed, "key", "left_semi"), "neardup-split")
+    # what no other text has can't be shared: a member whose shared part can't reach the threshold with any size in the bucket leaves it
+    facts = reps.select("doc_id", "n").join(shared_sizes(sets), "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")).where(f"100 * s >= {percent} * n")
+    named = (
+        members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        .join(facts, "doc_id")
+    )
+    named = materialize(named, "neardup-named")
+    least = named.groupBy("key").agg(F.min("n").alias("least"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "least")
+    able = named.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(least, s) - s)").select("key", "doc_id", "part", "n", "s")
+    mixed = able.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+    split = materialize(able.join(mixed, "key", "left_semi"), "neardup-split")
     parts = split.select("key", "part").distinct()
     crossing = parts.select("key", F.col("part").alias("p")).join(parts.select("key", F.col("part").alias("q")), "key").where("p < q")
-    pairs = (
-        crossing.join(split.select("key", F.col("part").alias("p"), F.col("doc_id").alias("x")), ["key", "p"])
-        .join(split.select("key", F.col("part").alias("q"), F.col("doc_id").alias("y")), ["key", "q"])
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    )
+    side = lambda part, x: split.select("key", F.col("part").alias(part), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    reach = f"100 * least(sx, sy, nx, ny) >= {percent} * (nx + ny - least(sx, sy, nx, ny))"
+    pairs = crossing.join(side("p", "x"), ["key", "p"]).join(side("q", "y"), ["key", "q"]).where(reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     across = verified(candidates(pairs, reps, percent), sets, percent)
     parted = connected_components(links.unionByName(across))
 
