@@ -110,22 +110,25 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, shingles binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold: 100 * intersection >= percent * union."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb (sizes of the full sets) and common (size of their intersection) of the pairs (a, b)."""
     with_a = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     with_both = with_a.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
+            out = np.zeros((3, batch.num_rows), np.int64)
             for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
                 x, y = (np.frombuffer(v.as_buffer(), U) for v in (x, y))
                 both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                out[:, i] = len(x), len(y), (both[1:] == both[:-1]).sum()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "na", "nb", "common"])
 
-    return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return with_both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint, na bigint, nb bigint, common bigint")
+
+
+def linked(percent: int) -> str:
+    return f"100 * common >= {percent} * (na + nb - common)"
 
 
 def _alike(percent: int):
@@ -178,26 +181,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = materialize(shingle_sets(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "neardup-sets")
 
     first = members.where("doc_id <> lead").groupBy("doc_id").agg(F.min("lead").alias("a")).select("a", F.col("doc_id").alias("b"))
-    links = materialize(verified(candidates(first, reps, percent), sets, percent), "neardup-links")
+    measured = materialize(overlaps(first, sets), "neardup-measured")
+    links = materialize(measured.where(linked(percent)).select("a", "b"), "neardup-links")
     found = connected_components(links)
 
-    # what no other text has can't be shared: a member whose shared part can't reach the threshold with any size in the bucket leaves it
-    facts = reps.select("doc_id", "n").join(shared_sizes(sets), "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("s")).where(f"100 * s >= {percent} * n")
-    named = (
-        members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
-        .join(facts, "doc_id")
+    # what a pair can share, exactly bounded: shingles that no other text has count for nothing (s is the rest), and two texts
+    # measured against the same lead share at most the smaller part in the lead and the smaller part outside of it
+    facts = (
+        reps.select("doc_id", "n").join(shared_sizes(sets), "doc_id", "left").withColumn("s", F.col("n") - F.coalesce("alone", F.lit(0))).where(f"100 * s >= {percent} * n")
+        .join(measured.select(F.col("b").alias("doc_id"), F.col("a").alias("lead"), "common"), "doc_id", "left")
+        .select("doc_id", "n", "s", F.coalesce("lead", "doc_id").alias("lead"), F.coalesce("common", "n").alias("c"))
     )
+    named = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")).join(facts, "doc_id")
     named = materialize(named, "neardup-named")
     least = named.groupBy("key").agg(F.min("n").alias("least"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "least")
-    able = named.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(least, s) - s)").select("key", "doc_id", "part", "n", "s")
-    mixed = able.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-    split = materialize(able.join(mixed, "key", "left_semi"), "neardup-split")
-    parts = split.select("key", "part").distinct()
-    crossing = parts.select("key", F.col("part").alias("p")).join(parts.select("key", F.col("part").alias("q")), "key").where("p < q")
-    side = lambda part, x: split.select("key", F.col("part").alias(part), F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
-    reach = f"100 * least(sx, sy, nx, ny) >= {percent} * (nx + ny - least(sx, sy, nx, ny))"
-    pairs = crossing.join(side("p", "x"), ["key", "p"]).join(side("q", "y"), ["key", "q"]).where(reach).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    across = verified(candidates(pairs, reps, percent), sets, percent)
+    able = materialize(named.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(least, s) - s)").drop("least"), "neardup-able")
+    # every pair between components has a side outside the bucket's largest component
+    most = able.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.part").alias("big"))
+    split = materialize(able.join(most, "key").join(reps.select("doc_id", "bands"), "doc_id"), "neardup-split")
+    side = lambda x: split.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "s", "lead", "c", "bands")], *["big"] * (x == "x"))
+    common = "case when lead_x = lead_y then least(c_x, c_y) + least(s_x - c_x, s_y - c_y) else least(s_x, s_y, n_x, n_y) end"
+    crossing = F.expr(f"part_x <> big and part_x <> part_y and (part_y = big or doc_id_x < doc_id_y) and doc_id_y <> lead_x and doc_id_x <> lead_y and 100 * ({common}) >= {percent} * (n_x + n_y - ({common}))")
+    crossing = crossing & F.expr("filter(zip_with(bands_x, bands_y, (p, q) -> if(p = q, p, null)), v -> v is not null)[0] = key")  # once, in the first bucket they share
+    x, y = side("x"), side("y").withColumnRenamed("key", "key_y")
+    pairs = x.join(y, (F.col("key") == F.col("key_y")) & crossing).select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+    across = overlaps(candidates(pairs, reps, percent), sets).where(linked(percent)).select("a", "b")
     parted = connected_components(links.unionByName(across))
 
     of_class = classes.join(parted.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
