@@ -5,7 +5,7 @@ regression weighs them, and the surviving rules become one Spark column expressi
 projection over whole texts.
 
 Defined results: null and empty texts have all statistics 0 and score by their rules; without usable labels every
-score is 0.5; with one class only, the score is that class's smoothed share; repeated rows score alike.
+score is 0.5; with one class or too few rows to split, the score is the smoothed share of good rows; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -145,11 +145,11 @@ def lasso(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 24, penalty: float = 0.002, seed: int = 7) -> Rules:
     if not len(y):
         return Rules()
-    if y.min() == y.max():
+    rng = np.random.default_rng(seed)
+    rules = sorted({r for _ in range(trees) for r in tree_paths(x, y, names, rng)}) if y.min() < y.max() else []
+    if not rules:
         share = (y.sum() + 1) / (len(y) + 2)
         return Rules([], float(np.log(share / (1 - share))))
-    rng = np.random.default_rng(seed)
-    rules = sorted({r for _ in range(trees) for r in tree_paths(x, y, names, rng)})
     m = np.array([holds(r, names, x) for r in rules], float).T
     _, first = np.unique(m, axis=1, return_index=True)  # rules that hold for the same rows
     first = np.sort(first)
