@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quire.functions import text as fx
 
@@ -61,7 +62,7 @@ def keep_table(markup: str) -> str:
     return f'<div class="table-wrap">{"".join(keeper.out)}</div>'
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_table(c: pd.Series) -> pd.Series:
     return c.map(lambda x: keep_table(x), na_action="ignore")
 

@@ -72,7 +72,7 @@ def read_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no (from 0, in file order), value."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return whole.select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), "\n")).alias("line_no", "value")).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -85,7 +85,7 @@ def read_glossary_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_glossary_csv(spark: SparkSession, path: str, library_id: int, strict: bool = False) -> DataFrame:
-    return from_csv(spark.read.option("wholetext", True).text(path).select(F.lit(library_id).cast("bigint").alias("library_id"), F.col("value").alias("csv")), strict)
+    return from_csv(spark.read.text(path, wholetext=True).select(F.lit(library_id).cast("bigint").alias("library_id"), F.col("value").alias("csv")), strict)
 
 
 def text_items(rows: DataFrame) -> DataFrame:
