@@ -140,25 +140,18 @@ def is_retryable(status: Column) -> Column:
 
 # FN-01
 def split_sentences(text: Column) -> Column:
-    """Sentences of a text: white-space tokens; one that ends in .?! closes the sentence unless it is an abbreviation (alone or
-    with the word before it) or holds a decimal number. Break flags first, then one cut of the joined text at a mark."""
-    tokens = F.split(js_trim(text), rf"[{WS}]+")
-    n = F.size(tokens)
-    before = F.slice(F.concat(F.array(F.lit("")), tokens), F.lit(1), n)
-    gaps = F.concat(F.filter(F.split(js_trim(text), rf"[^{WS}]+"), lambda g: g != ""), F.array(F.lit("")))
-    known = lambda w: w.isin(*ABBREVIATIONS)
-
-    def laid(x: Column) -> Column:
-        """A token, a mark if it closes a sentence, and the white space after it: all an element needs is in the element."""
-        t, prev = x["t"], F.lower(x["p"])
-        word = F.lower(F.regexp_replace(t, r"[.?!]\z", ""))
-        short = known(word) | known(F.regexp_replace(word, r"\.\z", "")) | known(F.concat(prev, F.lit(" "), word))
-        decimal = F.regexp_replace(t, r"[?!]\z", "").rlike(r"^[0-9]+\.[0-9]*\z") | t.rlike(r"[0-9]+\.[0-9]+")
-        closes = t.rlike(r"[.?!]\z") & ~short & ~decimal
-        return F.concat(t, F.when(closes, F.lit("\u0000")).otherwise(F.lit("")), F.coalesce(x["g"], F.lit("")))
-
-    zipped = F.zip_with(F.zip_with(tokens, before, lambda t, p: F.struct(t.alias("t"), p.alias("p"))), gaps, lambda x, g: F.struct(x["t"].alias("t"), x["p"].alias("p"), g.alias("g")))
-    parts = F.transform(F.split(F.array_join(F.transform(zipped, laid), ""), "\u0000"), js_trim)
+    """Sentences of a text: a white-space token that ends in .?! closes one, unless it is an abbreviation (alone or with the
+    word before it), or is or holds a decimal number. One pass marks the closing tokens, the text is cut at the marks."""
+    gap, solid = f"[{WS}]", f"[^{WS}]"
+    end = f"(?!{solid})"
+    quoted = [a.replace(".", r"\.") for a in ABBREVIATIONS]
+    single = "|".join(a for a in quoted if " " not in a)
+    double = "|".join(f"(?<=(?<!{solid}){a.split(' ')[0]}{gap}{{1,64}}){a.split(' ')[1]}" for a in quoted if " " in a)
+    closing = (
+        rf"(?iu)(?<!{solid})(?!(?:{single})\.?[.?!]{end})(?!(?:{double})[.?!]{end})"
+        rf"(?!{solid}*[0-9]\.[0-9])(?![0-9]+\.[0-9]*[?!]?{end})({solid}*[.?!]){end}"
+    )
+    parts = F.transform(F.split(F.regexp_replace(js_trim(text), closing, "$1\u0000"), "\u0000"), js_trim)
     return F.filter(parts, lambda p: p != "")
 
 
