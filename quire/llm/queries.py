@@ -12,6 +12,7 @@ from quire.llm.hnsw import op5_hnsw
 from quire.llm.licences import op1_licences
 from quire.llm.mixing import op2_mixing
 from quire.llm.neardup import op4_minhash
+from quire.llm.oracles import LICENCES, NEAR_DUPLICATES, REPEATS
 from quire.llm.quality import op3_quality
 from quire.llm.repeats import op9_repeats
 from quire.llm.tokencount import op7_tokens
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_licences": LICENCES, "op4_minhash": NEAR_DUPLICATES, "op9_repeats": REPEATS}
