@@ -10,6 +10,8 @@ Two steps keep the work distributed and exact:
    run-compressed Burrows-Wheeler transform. Matching statistics (the longest match elsewhere of what starts at each
    byte) are computed at the sampled run starts only and streamed over the rest: inside a run a match extends to
    the left, so a value is its left neighbour's less one. Starts with a match of at least ``length`` bytes are marked.
+   An anchor whose distinct contexts outgrow a group is never gathered: its windows are counted by hash, salted by
+   nothing but their own content, which gives the same marks.
 
 Defined results: null texts are empty, texts shorter than ``length`` keep everything; repeated rows count as
 occurrences of each other; strings are judged on the input; other columns are ignored. Context equality rests on two
@@ -33,6 +35,8 @@ LENGTH = 400
 GRAM = 100
 #: Bytes of a piece that very long texts are cut into (windows never are); context bytes of an index group.
 PIECE, GROUP_BYTES = 1 << 22, 2_000_000
+#: Context bytes of one anchor above which its windows are told apart one by one, by hash, instead of in one group.
+HOT_BYTES = 8_000_000
 _PLACE = (1 << 23) - 1
 
 
@@ -228,13 +232,39 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = found.join(copied, ["a", "c"], "left_semi").select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
     several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
     wanted = materialize(distinct.join(several, "a", "left_semi").select("a", "one.*"), "repeats-wanted")
+    heavy = wanted.groupBy("a").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("a")
+    hot = materialize(wanted.join(heavy, "a", "left_semi"), "repeats-hot")
+    cool = wanted.join(heavy, "a", "left_anti")
     size = wanted.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
     groups = int(size // GROUP_BYTES) + 1
-    lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("lo", "n", F.pmod(F.xxhash64("a"), F.lit(groups)).alias("bucket"))).alias("wanted"))
+    marked = _pieces(keyed, cool, F.pmod(F.xxhash64("a"), F.lit(groups)), length).groupBy("bucket").applyInArrow(_marks(length), "k bigint, k2 int, s int, e int")
+    found = whole.unionByName(marked)
+    return found.unionByName(_hot_starts(keyed, hot, length)) if hot.limit(1).count() else found
+
+
+def _pieces(keyed: DataFrame, wanted: DataFrame, bucket: Column, length: int) -> DataFrame:
+    """k, k2, lo, bucket, content of the wanted contexts, cut out of their texts."""
+    lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("lo", "n", bucket.alias("bucket"))).alias("wanted"))
     joined = keyed.join(lists, ["k", "k2"]).select("doc_id", "text", "k", "k2", "wanted")
-    pieces = joined.mapInArrow(_slices(length), "k bigint, k2 int, lo int, bucket bigint, content binary")
-    marked = pieces.groupBy("bucket").applyInArrow(_marks(length), "k bigint, k2 int, s int, e int")
-    return whole.unionByName(marked)
+    return joined.mapInArrow(_slices(length), "k bigint, k2 int, lo int, bucket bigint, content binary")
+
+
+def _hot_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """Marks of contexts whose anchor is too hot for one group: windows counted by (anchor, hash), one start a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8)
+                at = np.arange(len(data) - length + 1)
+                hashes = ranges(prefix(data), at, at + length).view(np.int64)
+                same = lambda v, t: pa.array(np.full(len(at), v), t)
+                k, k2, lo, bucket = (batch.column(j)[i].as_py() for j in range(4))
+                yield pa.RecordBatch.from_arrays([same(k, pa.int64()), same(k2, pa.int32()), pa.array((at + lo).astype(np.int32)), same(bucket, pa.int64()), pa.array(hashes)], ["k", "k2", "s", "a", "w"])
+
+    windows = materialize(_pieces(keyed, wanted, F.xxhash64("a"), length).mapInArrow(run, "k bigint, k2 int, s int, a bigint, w bigint"), "repeats-windows")
+    again = windows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "w")
+    return windows.join(again, ["a", "w"], "left_semi").select("k", "k2", "s", F.col("s").alias("e"))
 
 
 def _cut(length: int, texts_out: bool):

@@ -316,7 +316,9 @@ def cut_by_hand(texts, length):
     return out
 
 
-def test_repeats_match_brute_force(spark, docs):
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_repeats_match_brute_force(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT_BYTES", hot)
     rng = random.Random(4)
     text = lambda n, a="abcdefgh é": "".join(rng.choice(a) for _ in range(n))
     shared, other = text(700), text(450)
