@@ -31,11 +31,21 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at a durable table."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Deletes this application's scratch tables; call it once the results that read them are written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def text_array(column: pa.Array) -> pa.Array:
     """A string column with nulls as empty texts, at offset 0."""
     if isinstance(column, pa.ChunkedArray):

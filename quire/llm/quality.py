@@ -55,7 +55,8 @@ def ratios() -> dict[str, Column]:
 def with_features(docs: DataFrame) -> DataFrame:
     """doc_id and features (and any other column but the text), named f_*."""
     keep = [c for c in docs.columns if c != "text"]
-    counted = docs.select(*keep, *[v.alias(f"_{k}") for k, v in statistics(F.col("text")).items()])
+    # a generator's output isn't inlined into later projections or filters, so every count is made once a text
+    counted = docs.select(*keep, F.inline(F.array(F.struct(*[v.alias(f"_{k}") for k, v in statistics(F.col("text")).items()]))))
     return counted.select(*keep, *[v.alias(f"f_{k}") for k, v in ratios().items()])
 
 
