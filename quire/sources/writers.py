@@ -35,6 +35,22 @@ def save_html(bodies: DataFrame, path: str) -> None:
         spark.conf.set(key, before)
 
 
+def save_assets(assets: DataFrame, root: str) -> None:
+    """(relative_path, content) written as files under a root that every executor can reach (any pyarrow file system)."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root)
+        for r in rows:
+            name = f"{at}/{r.relative_path}"
+            store.create_dir(name.rsplit("/", 1)[0], recursive=True)
+            with store.open_output_stream(name) as f:
+                f.write(bytes(r.content))
+
+    assets.select("relative_path", "content").foreachPartition(write)
+
+
 def save_preferences(values: dict) -> dict:
     """Options with their limits: concurrency 1 to 4, batch characters from 4000, output tokens from 2048."""
     out = dict(values)
