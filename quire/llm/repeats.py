@@ -76,7 +76,11 @@ def contexts(buf: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
 
 
 def find_contexts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """k, k2 (of the text), lo, n, a (anchor), c (content) of every context."""
+    """k, k2 (of the text), lo, n, a (anchor), c (content), times.
+
+    What a chunk of texts can decide is decided there, so that a hot passage never travels as rows: a context that occurs
+    several times in the chunk is one row with its count, and its occurrences are ranges of starts that are settled (times 0).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +89,25 @@ def find_contexts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 for s in [0] if whole else range(0, len(buf) - length + 1, PIECE):
                     part = buf if whole else buf[s : s + PIECE + length - 1]
                     own, lo, n, a, c = contexts(part, offs if whole else np.array([0, len(part)]), length, gram)
-                    rows = pa.array(own + first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array((lo - offs[own] + s).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(a), pa.array(c)], ["k", "k2", "lo", "n", "a", "c"])
-
-    return keyed.select("k", "k2", "text").mapInArrow(run, "k bigint, k2 int, lo int, n int, a bigint, c bigint")
+                    order = np.lexsort((lo, c, a))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (a[order][1:] != a[order][:-1]) | (c[order][1:] != c[order][:-1])
+                    heads = np.flatnonzero(new)
+                    times = np.diff(np.append(heads, len(order)))
+                    one = order[heads]
+                    many = np.sort(order[np.repeat(times, times) > 1])  # in order of place
+                    join = np.ones(len(many), bool)
+                    join[1:] = (own[many][1:] != own[many][:-1]) | (lo[many][1:] != lo[many][:-1] + n[many][:-1])
+                    edge = np.flatnonzero(join)
+                    many_n = np.add.reduceat(n[many], edge) if len(edge) else n[many]
+                    at, none = many[edge], np.zeros(len(edge), np.int64)
+                    rows = np.concatenate([one, at])
+                    where = pa.array(own[rows] + first)
+                    values = ((lo - offs[own])[rows] + s, np.concatenate([n[one], many_n]), np.concatenate([a[one], none]), np.concatenate([c[one], none]), np.concatenate([times, none]))
+                    kinds = (np.int32, np.int32, np.int64, np.int64, np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), *(pa.array(v.astype(t)) for v, t in zip(values, kinds))], ["k", "k2", "lo", "n", "a", "c", "times"])
+
+    return keyed.select("k", "k2", "text").mapInArrow(run, "k bigint, k2 int, lo int, n int, a bigint, c bigint, times bigint")
 
 
 class RunLengthIndex:
@@ -227,9 +246,9 @@ def text_key() -> tuple[Column, Column]:
 def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """k, k2, s, e: runs of byte positions where a string of ``length`` bytes starts that also starts elsewhere."""
     found = materialize(find_contexts(keyed, length, gram), "repeats-contexts")
-    distinct = materialize(found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "k2", "lo", "n")).alias("one")), "repeats-distinct")
+    distinct = materialize(found.where("times > 0").groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("k", "k2", "lo", "n")).alias("one")), "repeats-distinct")
     copied = distinct.where("times > 1").select("a", "c")
-    whole = found.join(copied, ["a", "c"], "left_semi").select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
+    whole = found.where("times = 0").unionByName(found.where("times = 1").join(copied, ["a", "c"], "left_semi")).select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
     several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
     wanted = materialize(distinct.join(several, "a", "left_semi").select("a", "one.*"), "repeats-wanted")
     heavy = wanted.groupBy("a").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("a")
