@@ -24,10 +24,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (the least doc_id) stays; five-word shingles, similarity of 0.8 or more."""
-    # a null id and rows of a repeated id take part under their own row's number: only the row's group decides
-    kept = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    """One document of each near-duplicate group (the least doc_id) stays; five-word shingles, similarity of 0.8 or more.
+
+    Rows without a doc_id can't be told apart and stay; of rows that repeat a doc_id and its text one stays.
+    """
+    kept = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,9 @@ def test_run_on_hard_tables(spark, hard, tmp_path):
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     hard.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.mode("overwrite").parquet(f"{sf}/documents.parquet")
     assert pipeline.run(spark, sf).count() == 0
+
+
+def test_repeated_rows_leave_one(spark, hard):
+    kept = pipeline.minhash_dedup(spark, hard, "")
+    ids = sorted(str(r.doc_id) for r in kept.collect())
+    assert ids == sorted(["1", "2", "3", "4", "5", "7", "9", "None"]) and kept.columns == hard.columns
