@@ -31,6 +31,8 @@ TOKENIZER_DIR = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
 #: Distinct pre-tokens whose result a task remembers; forgotten all at once when full.
 MEMO = 1 << 19
 MEMO_BYTES = 64
+#: Ids handed on at once, characters of a text and of a pre-token above which they are encoded in pieces.
+BLOCK, LONG, WINDOW = 1 << 14, 1 << 16, 1 << 12
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -196,6 +198,39 @@ class Encoder:
         return out
 
 
+    def blocks(self, text: str) -> Iterator[list[int]]:
+        """The ids of :meth:`encode` in blocks; for a long text no more than a block and a window are held at a time."""
+        if len(text) <= LONG:
+            ids = self.encode(text)
+            if ids:
+                yield ids
+            return
+        out: list[int] = []
+        at = 0
+        marks = [(m.start(), m.end(), self.vocab.special[m[0]]) for m in self.cut.finditer(text)] if self.cut else []
+        for start, end, special in [*marks, (len(text), len(text), None)]:
+            for m in self.vocab.split.finditer(text if not marks else text[at:start]):
+                piece = m[0]
+                if len(piece) > WINDOW:
+                    run = Transducer(self.vocab)
+                    for i in range(0, len(piece), WINDOW):
+                        out += run.feed(piece[i : i + WINDOW].encode("utf-8"))
+                        if len(out) >= BLOCK:
+                            yield out
+                            out = []
+                    out += run.finish()
+                else:
+                    out += self.memo.get(piece) or self._piece(piece)
+                if len(out) >= BLOCK:
+                    yield out
+                    out = []
+            if special is not None:
+                out.append(special)
+            at = end
+        if out:
+            yield out
+
+
 class Decoder:
     """Ids to text, incrementally: a byte-to-text state machine holds at most one unfinished character."""
 
@@ -210,18 +245,15 @@ class Decoder:
         return self.machine.decode(b"", True)
 
 
-#: Ids decoded at once.
-BLOCK = 1 << 14
-
-
 def encode_text(text: str, encoder: Encoder, decoder_vocab: Vocabulary) -> tuple[int, str, str]:
     """Number of tokens, digest of the comma-joined ids, digest of the text decoded from those ids."""
-    ids = encoder.encode(text)
-    back, out = Decoder(decoder_vocab), hashlib.sha256()
-    for at in range(0, len(ids), BLOCK):
-        out.update(back.feed(ids[at : at + BLOCK]).encode("utf-8"))
+    back, named, out, n = Decoder(decoder_vocab), hashlib.sha256(), hashlib.sha256(), 0
+    for ids in encoder.blocks(text):
+        named.update((("," if n else "") + ",".join(map(decoder_vocab.text_of.__getitem__, ids))).encode())
+        out.update(back.feed(ids).encode("utf-8"))
+        n += len(ids)
     out.update(back.finish().encode("utf-8"))
-    return len(ids), hashlib.sha256(",".join(map(decoder_vocab.text_of.__getitem__, ids)).encode()).hexdigest(), out.hexdigest()
+    return n, named.hexdigest(), out.hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", key: str = "doc_id", ids: bool = False) -> DataFrame:

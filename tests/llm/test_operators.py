@@ -385,6 +385,18 @@ def test_encoding_matches_the_library(spark, hard):
         assert "".join(back.feed(ids[i : i + 7]) for i in range(0, len(ids), 7)) + back.finish() == library.decode(ids, skip_special_tokens=False)
 
 
+def test_long_texts_are_encoded_in_pieces(monkeypatch):
+    encoder = bpe.Encoder(bpe.vocabulary(TOKENIZER))
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlu é日'") for _ in range(rng.randint(1, 12))) for _ in range(12_000)]
+    text = " ".join(words) + "<|endoftext|>" + "x=y" * 9000 + "<|endoftext|> \n\n tail"
+    whole = encoder.encode(text)
+    monkeypatch.setattr(bpe, "BLOCK", 500)
+    parts = list(encoder.blocks(text))
+    assert [i for p in parts for i in p] == whole and max(map(len, parts)) < 5000 and len(text) > bpe.LONG
+    assert bpe.encode_text(text, encoder, encoder.vocab)[1:] == (hashlib.sha256(",".join(map(str, whole)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
 def test_transducer_emits_what_the_whole_merge_gives():
     vocab = bpe.vocabulary(TOKENIZER)
     rng = random.Random(6)
