@@ -16,28 +16,37 @@ BUCKET, SHARE, APART, GAP = 20, 0.15, 100, 1.5
 PAGE = ["doc_id", "page"]
 
 
+def _with_columns(items: DataFrame) -> DataFrame:
+    """Adds columns (of the page), all by windows over one partitioning by page."""
+    page = Window.partitionBy(*PAGE)
+    marked = (
+        items.withColumn("_b", (F.floor(js_round(F.col("x")) / BUCKET + F.lit(0.5)) * BUCKET).cast("bigint"))
+        .withColumn("_total", F.count(F.lit(1)).over(page)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*PAGE, "_b")))
+        .withColumn("_kept", F.when(F.col("_n") >= F.col("_total") * F.lit(SHARE), F.col("_b")))
+        .withColumn("_first", F.min("_kept").over(page)).withColumn("_second", F.min(F.when(F.col("_kept") > F.col("_first"), F.col("_kept"))).over(page))
+    )
+    two = (F.col("_total") >= 4) & F.coalesce(F.col("_second") - F.col("_first") > APART, F.lit(False))
+    return marked.withColumn("columns", F.when(two, 2).otherwise(1)).drop("_b", "_total", "_n", "_kept", "_first", "_second")
+
+
 def detect_columns(items: DataFrame) -> DataFrame:
     """doc_id, page, columns (1 or 2): the first two x buckets with at least 15 % of the items are over 100 apart."""
-    bucket = (F.floor(js_round(F.col("x")) / BUCKET + F.lit(0.5)) * BUCKET).cast("bigint")
-    counts = items.groupBy(*PAGE, bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    whole = counts.groupBy(*PAGE).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("bs"))
-    kept = F.transform(F.filter("bs", lambda x: x["n"] >= F.col("total") * F.lit(SHARE)), lambda x: x["b"])
-    two = (F.col("total") >= 4) & F.coalesce(F.get(kept, F.lit(1)) - F.get(kept, F.lit(0)) > APART, F.lit(False))
-    return whole.select(*PAGE, F.when(two, 2).otherwise(1).alias("columns"))
+    return _with_columns(items.select(*PAGE, "x")).groupBy(*PAGE).agg(F.max("columns").alias("columns"))
 
 
 def assign_columns(items: DataFrame) -> DataFrame:
     """Adds col_no: 0, or 0 and 1 left and right of the middle of a two-column page."""
-    middle = items.groupBy(*PAGE).agg(((F.min("x") + F.max("x")) / 2).alias("_mid"))
-    joined = items.join(detect_columns(items), PAGE).join(middle, PAGE)
-    return joined.withColumn("col_no", F.when((F.col("columns") == 2) & (F.col("x") >= F.col("_mid")), 1).otherwise(0)).drop("_mid", "columns")
+    page = Window.partitionBy(*PAGE)
+    middle = (F.min("x").over(page) + F.max("x").over(page)) / 2
+    wide = _with_columns(items).withColumn("_mid", middle)
+    return wide.withColumn("col_no", F.when((F.col("columns") == 2) & (F.col("x") >= F.col("_mid")), 1).otherwise(0)).drop("_mid", "columns")
 
 
 def group_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Adds line_no (from 0): from the top, an item joins the line whose first item's y is nearer than half its own height."""
+    """keys, line_no (from 0) and items (structs from the top, by x): an item joins the line whose first item's y is nearer than
+    half its own height. The list of a page holds the whole items, so nothing is joined back."""
     keys = keys or PAGE
-    order = F.struct((-F.col("y")).alias("ny"), "x", "ord", "height")
-    lists = items.groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("all"))
+    lists = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("ny"), "x", "ord", "height", "str"))).alias("all"))
     zero = F.struct(F.lit(None).cast("double").alias("y"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc, it):
@@ -48,17 +57,15 @@ def group_lines(items: DataFrame, keys: list[str] | None = None) -> DataFrame:
     starts = lists.select(*keys, "all", F.aggregate("all", zero, step)["starts"].alias("starts"))
     each = starts.select(*keys, "all", "starts", F.posexplode("starts").alias("line_no", "start"))
     end = F.coalesce(F.get("starts", F.col("line_no") + 1), F.size("all"))
-    rows = each.select(*keys, "line_no", F.explode(F.slice("all", F.col("start") + 1, end - F.col("start"))).alias("it")).select(*keys, "line_no", F.col("it.ord").alias("ord"))
-    return items.join(rows, [*keys, "ord"])
+    return each.select(*keys, "line_no", F.slice("all", F.col("start") + 1, end - F.col("start")).alias("items"))
 
 
 def lines(items: DataFrame) -> DataFrame:
     """doc_id, page, col_no, line_no, y (of the first item), height (largest), text (items by x, joined without separator)."""
     keys = [*PAGE, "col_no"]
-    grouped = group_lines(assign_columns(items), keys)
-    parts = F.array_sort(F.collect_list(F.struct("x", "ord", "str")))
-    first = F.min(F.struct((-F.col("y")).alias("ny"), "x", "ord"))
-    return grouped.groupBy(*keys, "line_no").agg((-first["ny"]).alias("y"), F.max("height").alias("height"), F.array_join(F.transform(parts, lambda p: p["str"]), "").alias("text"))
+    by_x = F.array_sort(F.transform("items", lambda i: F.struct(i["x"].alias("x"), i["ord"].alias("ord"), i["str"].alias("str"))))
+    text = F.array_join(F.transform(by_x, lambda i: i["str"]), "")
+    return group_lines(assign_columns(items), keys).select(*keys, "line_no", (-F.get("items", F.lit(0))["ny"]).alias("y"), F.array_max(F.transform("items", lambda i: i["height"])).alias("height"), text.alias("text"))
 
 
 def paragraphs(items: DataFrame) -> DataFrame:
@@ -66,10 +73,10 @@ def paragraphs(items: DataFrame) -> DataFrame:
     keys = [*PAGE, "col_no"]
     w = Window.partitionBy(*keys)
     by_line = w.orderBy("line_no")
-    gap = F.coalesce(F.abs(F.lag("y").over(by_line) - F.col("y")) > F.avg("height").over(w) * GAP, F.lit(False)).cast("int")
+    gap = F.coalesce(F.lag("y").over(by_line) - F.col("y") > F.avg("height").over(w) * GAP, F.lit(False)).cast("int")
     marked = lines(items).withColumn("_new", gap).withColumn("par_no", F.sum("_new").over(by_line))
-    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    return marked.groupBy(*keys, "par_no").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
+    parts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda p: p["text"]), lambda x: x != "")
+    return marked.groupBy(*keys, "par_no").agg(F.array_join(parts, " ").alias("text"))
 
 
 def page_text(items: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ _TERMS = r"""terms AS (SELECT term, row_number() OVER (ORDER BY first, term) - 1
 def _terms(spark, sf):
     words = t(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "term")).where(F.col("term").rlike(r"^[A-Za-z]+\z"))
     ranked = words.groupBy("term").agg(F.min(F.col("item_id") * 1000 + F.col("i")).alias("first")).withColumn("ord", F.row_number().over(Window.orderBy("first", "term")) - 1).where("ord < 120")
-    return ranked.select(F.lit(1).cast("bigint").alias("library_id"), long("ord").alias("ord"), "term", F.upper("term").alias("translation"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("note"))
+    return ranked.select(F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("library_id"), long("ord").alias("ord"), "term", F.upper("term").alias("translation"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("note"))
 
 
 @query("glossary_match_tiered", rf"""WITH {_TERMS}, c AS (SELECT conv_id, turn, lower(substring(text, 1, 40)) AS sel, lower(text) AS ctx FROM conversations),
@@ -169,7 +169,7 @@ m AS (SELECT conv_id, turn, term, ord, CASE WHEN strpos(sel, lower(term)) > 0 TH
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tier, ord) AS n FROM m WHERE tier IS NOT NULL)
 SELECT conv_id, turn, count(*)::BIGINT AS n_terms, string_agg(term, ',' ORDER BY n) AS terms FROM r WHERE n <= 53 GROUP BY conv_id, turn""")
 def glossary_match_tiered(spark, sf):
-    texts = t(spark, sf, "conversations").select("conv_id", "turn", F.lit(1).cast("bigint").alias("library_id"), F.substring("text", 1, 40).alias("selected"), F.col("text").alias("context"))
+    texts = t(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") % 3).alias("library_id"), F.substring("text", 1, 40).alias("selected"), F.col("text").alias("context"))
     found = lexicon.match_tiered(texts, _terms(spark, sf)).where(F.size("terms") > 0)
     return found.select("conv_id", "turn", long(F.size("terms")).alias("n_terms"), F.array_join(F.transform("terms", lambda e: e["term"]), ",").alias("terms"))
 
@@ -177,7 +177,7 @@ def glossary_match_tiered(spark, sf):
 @query("glossary_match_boundary", rf"""WITH {_TERMS}, m AS (SELECT d.doc_id, t.term, row_number() OVER (PARTITION BY d.doc_id ORDER BY t.ord) AS n FROM documents d, terms t WHERE regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9])' || t.term || '($|[^A-Za-z0-9])'))
 SELECT doc_id, string_agg(term, ',' ORDER BY n) AS terms FROM m WHERE n <= 40 GROUP BY doc_id""")
 def glossary_match_boundary(spark, sf):
-    texts = t(spark, sf, "documents").select("doc_id", F.lit(1).cast("bigint").alias("library_id"), "text")
+    texts = t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("library_id"), "text")
     return lexicon.match_bounded(texts, _terms(spark, sf)).where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
