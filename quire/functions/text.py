@@ -147,9 +147,9 @@ def split_sentences(text: Column) -> Column:
     quoted = [a.replace(".", r"\.") for a in ABBREVIATIONS]
     single = "|".join(a for a in quoted if " " not in a)
     double = "|".join(f"(?<=(?<!{solid}){a.split(' ')[0]}{gap}{{1,64}}){a.split(' ')[1]}" for a in quoted if " " in a)
-    closing = (
-        rf"(?iu)(?<!{solid})(?!(?:{single})\.?[.?!]{end})(?!(?:{double})[.?!]{end})"
-        rf"(?!{solid}*[0-9]\.[0-9])(?![0-9]+\.[0-9]*[?!]?{end})({solid}*[.?!]){end}"
+    closing = (  # the cheap test first: a whole token, taken without backtracking, that ends in a mark
+        rf"(?<!{solid})(?={solid}++(?<=[.?!]))(?!(?i:{single})\.?[.?!]{end})(?!(?i:{double})[.?!]{end})"
+        rf"(?!{solid}*[0-9]\.[0-9])(?![0-9]+\.[0-9]*[?!]?{end})({solid}++)"
     )
     parts = F.transform(F.split(F.regexp_replace(js_trim(text), closing, "$1\u0000"), "\u0000"), js_trim)
     return F.filter(parts, lambda p: p != "")
