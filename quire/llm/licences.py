@@ -137,11 +137,16 @@ def licence_scan(files: DataFrame, speaks: Column | None = None, templates=TEMPL
 
 
 def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files /source/lang/<hundreds of doc_id>/<doc_id>; one whose first line is a notice speaks for its directory."""
+    """Documents as files; one with a notice in any line speaks for its directory.
+
+    Most files are /source/lang/<hundreds of doc_id>/<doc_id>; the first 20 of every hundred sit in /source/lang, those of
+    every fifth hundred in /source, so that directories inherit from any of their ancestors.
+    """
     docs = table(spark, sf_dir, "documents")
-    part = lambda c: F.coalesce(c.cast("string"), F.lit("_"))
-    path = F.concat(F.lit("/"), part(F.col("source")), F.lit("/"), part(F.col("lang")), F.lit("/"), part(F.floor(F.col("doc_id") / 100)), F.lit("/"), part(F.col("doc_id")))
-    notice = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).rlike(r"(?i)licen[cs]e|all rights reserved")
-    files = docs.select("doc_id", path.alias("path"), "text")
-    out = licence_scan(files, notice)
+    part = lambda c: F.concat(F.lit("/"), F.coalesce(c.cast("string"), F.lit("_")))
+    i = F.col("doc_id")
+    lang = F.when(i % 500 < 20, "").otherwise(part(F.col("lang")))
+    hundreds = F.when(i % 100 < 20, "").otherwise(part(F.floor(i / 100)))
+    path = F.concat(part(F.col("source")), lang, hundreds, part(i))
+    out = licence_scan(docs.select("doc_id", path.alias("path"), "text"), F.lit(True))
     return out.select("doc_id", "path", "licence", "score", "how", "licence_dir")

@@ -60,6 +60,18 @@ def test_licence_scores_match_brute_force(spark):
     assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
 
 
+def test_licences_are_inherited_from_any_ancestor(spark, tmp_path):
+    notice = "Released under the MIT License"
+    rows = [(500, f"prose\n{notice}"), (521, "prose"), (522, "prose"), (610, "prose\nAll rights reserved\nprose"), (631, "prose"), (725, f"prose\n{notice}"), (726, "prose"), (None, "prose")]
+    langs = {521: "de", 610: "fr", 631: "fr"}
+    spark.createDataFrame([(i, t, langs.get(i, "en"), "s") for i, t in rows], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.path, r.licence, r.how, r.licence_dir) for r in licences.op1_licences(spark, str(tmp_path)).collect()}
+    assert got == {
+        500: ("/s/500", "MIT", "own", None), 521: ("/s/de/5/521", "MIT", "inherited", "/s"), 522: ("/s/en/5/522", "MIT", "inherited", "/s"), 610: ("/s/fr/610", "proprietary", "own", None),
+        631: ("/s/fr/6/631", "proprietary", "inherited", "/s/fr"), 725: ("/s/en/7/725", "MIT", "own", None), 726: ("/s/en/7/726", "MIT", "inherited", "/s/en/7"), None: ("/s/en/_/_", "MIT", "inherited", "/s"),
+    }
+
+
 def test_licence_scan_is_native(spark):
     plan = licences.op1_licences(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
