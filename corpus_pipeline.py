@@ -16,6 +16,9 @@ from quire.llm.neardup import near_duplicates
 from quire.llm.repeats import without_repeats
 from quire.llm.toxicity import score_documents, train
 
+#: Bytes of a repeat that leaves the texts: less than any passage of over 50 words has (51 words of 6.1 bytes are 311).
+REPEAT_BYTES, REPEAT_GRAM = 200, 50
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents at hand, finds toxic are dropped."""
@@ -34,8 +37,9 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 400-byte string that occurs elsewhere too leave the texts."""
-    return without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else without_repeats(docs)
+    """Bytes covered by a 200-byte string that occurs elsewhere too leave the texts."""
+    kept = without_repeats(docs, REPEAT_BYTES, REPEAT_GRAM)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

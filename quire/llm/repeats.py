@@ -319,9 +319,9 @@ def _cut(length: int, texts_out: bool):
     return run
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     keyed = docs.select(*[F.col(c) for c in docs.columns], *text_key())
-    starts = repeated_starts(keyed.select("doc_id", "text", "k", "k2"), length)
+    starts = repeated_starts(keyed.select("doc_id", "text", "k", "k2"), length, gram)
     lists = starts.groupBy("k", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     return keyed.join(lists, ["k", "k2"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")))
 
@@ -334,7 +334,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return cut.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` with the repeated bytes taken out of text (a character cut in part goes whole)."""
     names = docs.columns
     at = names.index("text")
@@ -342,7 +342,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wide = docs.toDF(*inner)
     slim = wide.select("*", F.col(inner[names.index("doc_id")]).alias("doc_id"), F.col(f"q{at}").alias("text")).drop(f"q{at}")
     rest = [c for c in inner if c != f"q{at}"]
-    rows = _with_spans(slim, length).select("doc_id", "text", "spans", *rest)
+    rows = _with_spans(slim, length, gram).select("doc_id", "text", "spans", *rest)
     kinds = [wide.schema[c].dataType.simpleString() for c in rest]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate([*kinds, "bigint", "bigint", "bigint", "string", "string"]))
     cut = rows.mapInArrow(_cut(length, True), schema)

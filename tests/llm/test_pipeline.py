@@ -51,3 +51,11 @@ def test_repeated_rows_leave_one(spark, hard):
     kept = pipeline.minhash_dedup(spark, hard, "")
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert ids == sorted(["1", "2", "3", "4", "5", "7", "9", "None"]) and kept.columns == hard.columns
+
+
+def test_repeated_passage_of_51_words_goes(spark, docs):
+    passage = " ".join(f"word{i % 10}" for i in range(51))
+    assert len(passage) == 305
+    own = [" ".join(f"{c}{i}" for i in range(200)) for c in "ab"]
+    kept = pipeline.suffix_dedup(spark, docs([f"{own[0]}\n{passage}\n{own[0]}", f"{own[1]}\t{passage}\t{own[1]}"]).drop("k"), "")
+    assert all("word" not in r.text and r.n_chars == len(r.text) for r in kept.collect())
