@@ -483,7 +483,7 @@ def usage_rollup(spark, sf):
 b AS (SELECT * FROM j WHERE stage <> 'cancelled' QUALIFY row_number() OVER (PARTITION BY attachment_id, fingerprint ORDER BY upd DESC, id) = 1), q AS (SELECT c_custkey AS request_id, c_custkey % 60 AS attachment_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS fingerprint FROM customer)
 SELECT q.request_id, b.id AS job_id, CASE WHEN b.id IS NULL THEN 'create' WHEN b.stage <> 'completed' THEN 'resume' WHEN b.out THEN 'return' ELSE 'requeue' END AS action FROM q LEFT JOIN b ON b.attachment_id = q.attachment_id AND b.fingerprint = q.fingerprint""")
 def job_reuse(spark, sf):
-    j = t(spark, sf, "orders").where("o_custkey % 3 = 0").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("attachment_id"), F.col("o_orderstatus").alias("fingerprint"), F.expr("case o_orderkey % 4 when 0 then 'cancelled' when 1 then 'completed' when 2 then 'paused' else 'translating' end").alias("stage"), (F.col("o_orderkey") % 3 == 0).alias("output_exists"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated_ms"))
+    j = t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("attachment_id"), F.col("o_orderstatus").alias("fingerprint"), F.expr("case o_orderkey % 4 when 0 then 'cancelled' when 1 then 'completed' when 2 then 'paused' else 'translating' end").alias("stage"), (F.col("o_orderkey") % 3 == 0).alias("output_exists"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("updated_ms"))
     q = t(spark, sf, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 60).alias("attachment_id"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("O").alias("fingerprint"))
     return jobs.reusable(q, j).select("request_id", "job_id", "action")
 
@@ -526,10 +526,10 @@ _ITEMS = """items AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, 'w' || l
 
 
 def _items(spark, sf):
-    r = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_extendedprice"))
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
     e = F.expr
-    return t(spark, sf, "lineitem").withColumn("_r", r).where("_r = 1").select(
-        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("ord"), e("'w' || l_partkey").alias("str"), e("double((l_partkey % 3) * 180 + l_suppkey % 10)").alias("x"),
+    return t(spark, sf, "lineitem").withColumn("_r", r).select(
+        F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("_r").alias("ord"), e("'w' || l_partkey").alias("str"), e("double((l_partkey % 3) * 180 + l_suppkey % 10)").alias("x"),
         e("double(700 - (l_linenumber div 2) * 14 - (l_partkey % 4))").alias("y"), F.lit(10.0).alias("width"), e("double(8 + l_suppkey % 5)").alias("height"),
     )
 

@@ -1,0 +1,25 @@
+"""Registered queries take every row of their tables: small tables whose formerly left-out rows decide the result."""
+
+import datetime
+
+from quire.plans.document_queries import QUERIES
+
+
+def run(spark, folder, name, **tables):
+    for table, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{folder}/{table}.parquet")
+    return sorted(tuple(r) for r in QUERIES[name](spark, str(folder)).collect())
+
+
+def test_every_order_is_a_job(spark, tmp_path):
+    day = lambda n: datetime.date(2020, 1, n)
+    orders = ([(5, 1, "O", day(2)), (6, 51, "O", day(1)), (9, 2, "F", day(3))], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate date")
+    got = run(spark, tmp_path, "job_reuse", orders=orders, customer=([(1,), (2,), (3,)], "c_custkey bigint"))
+    assert got == [(1, 5, "requeue"), (2, 9, "return"), (3, None, "create")]
+
+
+def test_every_line_item_is_an_item(spark, tmp_path):
+    rows = [(1, 1, 3, 10, 1.0), (1, 1, 3, 11, 2.0), (1, 1, 6, 12, 3.0), (1, 1, 6, 12, 3.0), (2, 1, 4, 10, 1.0)]
+    lineitem = (rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double")
+    got = run(spark, tmp_path, "line_group", lineitem=lineitem)
+    assert "".join(r[-1] for r in got if r[0] == 1).count("w") == 4 and "".join(r[-1] for r in got if r[0] == 2) == "w4"
