@@ -311,7 +311,7 @@ def sanitize_repair(spark, sf):
     return protocol.repair_translations(rows).select("doc_id", long("pos").alias("pos"), "translation", "changed")
 
 
-# blocks of the first lines of labelled documents: labels decide the translation state
+# blocks of all lines: labels decide the translation state, doc_id does where there is none
 _BLOCKS = """blocks AS (SELECT l.doc_id, l.pos, 'b' || (l.pos % 5) AS id, CASE WHEN l.pos % 4 = 3 THEN 'image' ELSE 'paragraph' END AS type, CASE WHEN l.pos % 6 = 5 THEN ' ' ELSE l.line END AS source,
 CASE WHEN b.quality = 1 AND l.pos % 3 = 0 THEN 'x ⟦CIT_3⟧ ' || l.line WHEN b.quality = 1 THEN l.line WHEN l.pos % 3 = 1 THEN '@@b7' END AS translation FROM lines l JOIN labels b ON b.doc_id = l.doc_id)"""
 _ISSUES = f"""{_BLOCKS}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS rn FROM blocks),
@@ -322,7 +322,8 @@ o AS (SELECT doc_id, id AS block_id, code, row_number() OVER (PARTITION BY doc_i
 
 
 def _state_blocks(spark, sf):
-    rows = doc_lines(spark, sf).join(t(spark, sf, "labels"), "doc_id")
+    labels = t(spark, sf, "labels").select("doc_id", "quality", F.lit(True).alias("labelled"))
+    rows = doc_lines(spark, sf).join(labels, "doc_id", "left").withColumn("quality", F.when(F.col("labelled"), F.col("quality")).otherwise(F.col("doc_id") % 2))
     e = F.expr
     return rows.select(
         "doc_id", "pos", e("'b' || (pos % 5)").alias("id"), e("case when pos % 4 = 3 then 'image' else 'paragraph' end").alias("type"), e("case when pos % 6 = 5 then ' ' else line end").alias("source"),

@@ -23,3 +23,14 @@ def test_every_line_item_is_an_item(spark, tmp_path):
     lineitem = (rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_extendedprice double")
     got = run(spark, tmp_path, "line_group", lineitem=lineitem)
     assert "".join(r[-1] for r in got if r[0] == 1).count("w") == 4 and "".join(r[-1] for r in got if r[0] == 2) == "w4"
+
+
+def test_documents_without_label_are_validated(spark, tmp_path):
+    documents = ([(1, "one\ntwo"), (2, "one\ntwo"), (3, "one\ntwo"), (4, "one\ntwo")], "doc_id bigint, text string")
+    labels = ([(1, 0), (4, 1)], "doc_id bigint, quality int")
+    tables = {"documents": documents, "labels": labels}
+    bad, good = ["missing-translation", "protocol-leak"], ["unresolved-placeholder"]
+    assert run(spark, tmp_path, "validate_issues", **tables) == [(i, n + 1, f"b{n if codes is bad else 0}", c) for i, codes in ((1, bad), (2, bad), (3, good), (4, good)) for n, c in enumerate(codes)]
+    assert run(spark, tmp_path, "validate_rollup", **tables) == [(1, False, 2), (2, False, 2), (3, False, 1), (4, False, 1)]
+    assert run(spark, tmp_path, "missing_report", **tables) == [(1, 1, "b0"), (2, 1, "b0")]
+    assert run(spark, tmp_path, "progress_counts", **tables) == [(1, 2, 1, 1), (2, 2, 1, 1), (3, 2, 2, 0), (4, 2, 2, 0)]
