@@ -353,7 +353,7 @@ def html_escape(spark, sf):
 @query("inline_markdown", rf"""WITH {LINES}, m AS (SELECT doc_id, pos, regexp_replace(line, '[*$_`]', '', 'g') AS e FROM lines)
 SELECT doc_id, pos::BIGINT AS pos, '<strong>' || substring(e, 1, 3) || 'x</strong> <code>c</code> <sup>2</sup><strong>u</strong> <em>v</em> ' || e AS html FROM m WHERE NOT regexp_matches(e, '[&<>"'']')""")
 def inline_markdown(spark, sf):
-    rows = doc_lines(spark, sf).withColumn("l", F.regexp_replace("line", r"[*$_`]", "")).where(~F.col("l").rlike("[&<>\"']"))
+    rows = doc_lines(spark, sf).withColumn("l", F.regexp_replace("line", r"[*$_`]", ""))
     marked = F.concat(F.lit("**"), F.substring("l", 1, 3), F.lit("x** `c` $^{2}$__u__ *v* "), "l")
     return rows.select("doc_id", long("pos").alias("pos"), fx.inline_markdown(marked).alias("html"))
 

@@ -34,3 +34,9 @@ def test_documents_without_label_are_validated(spark, tmp_path):
     assert run(spark, tmp_path, "validate_rollup", **tables) == [(1, False, 2), (2, False, 2), (3, False, 1), (4, False, 1)]
     assert run(spark, tmp_path, "missing_report", **tables) == [(1, 1, "b0"), (2, 1, "b0")]
     assert run(spark, tmp_path, "progress_counts", **tables) == [(1, 2, 1, 1), (2, 2, 1, 1), (3, 2, 2, 0), (4, 2, 2, 0)]
+
+
+def test_lines_that_need_escaping_are_rendered(spark, tmp_path):
+    got = run(spark, tmp_path, "inline_markdown", documents=([(1, "a<b & 'c' > \"d\"")], "doc_id bigint, text string"))
+    line = "a&lt;b &amp; &#39;c&#39; &gt; &quot;d&quot;"
+    assert got == [(1, 0, f"<strong>a&lt;bx</strong> <code>c</code> <sup>2</sup><strong>u</strong> <em>v</em> {line}")]
