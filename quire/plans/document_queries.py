@@ -1,7 +1,7 @@
 """The document operators wired to the driver's tables, each with the SQL that states the same result.
 
-Where the raw texts never make a rule fire, both sides build the same rows from them first (a prefix, an altered
-ending, a planted token).
+Where the raw texts never make a rule fire, both sides build the same rows from them first (an altered ending, a
+planted token).
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ _CUT = "substring(text, 1, 1 + (conv_id * 37 + turn * 11) % 160)"
 @query("context_level", rf"""WITH s AS (SELECT conv_id, turn, {TRIM.format(_CUT)} AS t FROM conversations), c AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS words, len(regexp_extract_all(t, '[.?!]\s')) + CASE WHEN regexp_matches(t, '[.?!]$') THEN 1 ELSE 0 END AS ends FROM s)
 SELECT conv_id, turn, CASE WHEN t = '' OR words <= 3 THEN 1 WHEN ends >= 2 THEN 3 ELSE 2 END AS level FROM c""")
 def context_level(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", fx.context_level(F.expr(f"substring(text, 1, cast(1 + (conv_id * 37 + turn * 11) % 160 as int))")).alias("level"))
+    return t(spark, sf, "conversations").select("conv_id", "turn", fx.context_level(F.col("text")).alias("level"))
 
 
 _ABBR = ", ".join(f"'{a}'" for a in fx.ABBREVIATIONS)
@@ -608,7 +608,7 @@ def glossary_sample(spark, sf):
 
 @query("response_split", f"WITH {LINES} SELECT doc_id, {TRIM.format('substring(text, 1, 200)')} AS translation, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'note ' || doc_id END AS analysis FROM documents")
 def response_split(spark, sf):
-    answer = F.expr("substring(text, 1, 200) || case when doc_id % 3 = 0 then '' else '\\n---\\n note ' || doc_id || ' ---more' end")
+    answer = F.expr("text || case when doc_id % 3 = 0 then '' else '\\n---\\n note ' || doc_id || ' ---more' end")
     return t(spark, sf, "documents").select("doc_id", fx.split_response(answer, F.lit(2)).alias("r")).select("doc_id", "r.translation", "r.analysis")
 
 

@@ -40,3 +40,16 @@ def test_lines_that_need_escaping_are_rendered(spark, tmp_path):
     got = run(spark, tmp_path, "inline_markdown", documents=([(1, "a<b & 'c' > \"d\"")], "doc_id bigint, text string"))
     line = "a&lt;b &amp; &#39;c&#39; &gt; &quot;d&quot;"
     assert got == [(1, 0, f"<strong>a&lt;bx</strong> <code>c</code> <sup>2</sup><strong>u</strong> <em>v</em> {line}")]
+
+
+def test_whole_conversation_texts_are_classified(spark, tmp_path):
+    late = "word " * 60 + "end. Then more. Last."
+    rows = [(0, 0, late), (0, 1, "one two three"), (0, 2, "one two three four."), (1, 0, "one two three four five")]
+    got = run(spark, tmp_path, "context_level", conversations=(rows, "conv_id bigint, turn bigint, text string"))
+    assert got == [(0, 0, 3), (0, 1, 1), (0, 2, 2), (1, 0, 2)]
+
+
+def test_whole_documents_are_split(spark, tmp_path):
+    long = "x" * 300
+    got = run(spark, tmp_path, "response_split", documents=([(1, f"{long} end"), (3, f"{long}---late")], "doc_id bigint, text string"))
+    assert got == [(1, f"{long} end", "note 1"), (3, long, "late")]
