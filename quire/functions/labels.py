@@ -91,3 +91,8 @@ def job_path(root: Column, job_id: Column, name: str) -> Column:
 
 def history_path(root: Column, library_id: Column) -> Column:
     return F.concat(root, F.lit("/library_id="), library_id.cast("string"))
+
+
+def dictionary_path(profile: Column) -> Column:
+    """Where a profile keeps its dictionary."""
+    return F.concat(profile, F.lit("/dictionary.json"))

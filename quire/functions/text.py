@@ -113,7 +113,7 @@ def is_float_label(block_type: Column, c: Column) -> Column:
     return block_type.isin("heading", "subheading") & js_trim(c).rlike(rf"(?i)^(?:table|fig(?:ure)?)[ .:]?[{WS}]*[0-9]+")
 
 
-# FLT-16 … FLT-19
+# FLT-16 … FLT-19. The markers and placeholders these patterns spell out.
 _EMPHASIS = rf"(?:(?:\*\*|__|`)[{WS}]*)?"
 _TYPES = "|".join(BLOCK_TYPES)
 
@@ -141,18 +141,21 @@ def is_retryable(status: Column) -> Column:
 # FN-01
 def split_sentences(text: Column) -> Column:
     """Sentences of a text: a white-space token that ends in .?! closes one, unless it is an abbreviation (alone or with the
-    word before it), or is or holds a decimal number. One pass marks the closing tokens, the text is cut at the marks."""
+    word before it), or is or holds a decimal number. The text is cut after every token that ends so, whatever the gap
+    to the next, and pieces that don't close are joined to the next ones again."""
     gap, solid = f"[{WS}]", f"[^{WS}]"
-    end = f"(?!{solid})"
-    quoted = [a.replace(".", r"\.") for a in ABBREVIATIONS]
-    single = "|".join(a for a in quoted if " " not in a)
-    double = "|".join(f"(?<=(?<!{solid}){a.split(' ')[0]}{gap}{{1,64}}){a.split(' ')[1]}" for a in quoted if " " in a)
-    closing = (  # the cheap test first: a whole token, taken without backtracking, that ends in a mark
-        rf"(?<!{solid})(?={solid}++(?<=[.?!]))(?!(?i:{single})\.?[.?!]{end})(?!(?i:{double})[.?!]{end})"
-        rf"(?!{solid}*[0-9]\.[0-9])(?![0-9]+\.[0-9]*[?!]?{end})({solid}++)"
-    )
-    parts = F.transform(F.split(F.regexp_replace(js_trim(text), closing, "$1\u0000"), "\u0000"), js_trim)
-    return F.filter(parts, lambda p: p != "")
+    quoted = "|".join(a.replace(".", r"\.").replace(" ", f"{gap}++") for a in ABBREVIATIONS)
+    ending = rf"(?<!{solid})(?i:{quoted})\.?[.?!]\z"  # one or two words, taken from the start of a token
+    decimal = rf"(?<!{solid})(?:{solid}*?[0-9]\.[0-9]{solid}*+|[0-9]++\.[0-9]*+[?!]?)\z"
+    closes = lambda p: p.rlike(r"[.?!]\z") & ~p.rlike(ending) & ~p.rlike(decimal)
+
+    def joined(pieces: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(pieces)), lambda i: (i == F.size(pieces)) | closes(F.get(pieces, i - 1)))
+        first = lambda e, k: F.when(k == 0, 1).otherwise(F.get(e, k - 1) + 1)
+        return F.transform(F.array(ends), lambda e: F.transform(e, lambda at, k: js_trim(F.array_join(F.slice(pieces, first(e, k), at - first(e, k) + 1), ""))))[0]
+
+    cut = F.split(text, rf"(?<=[.?!])(?={gap})")
+    return F.filter(F.transform(F.array(cut), joined)[0], lambda p: p != "")
 
 
 # FN-02, FN-03, FN-04, FN-05
@@ -211,7 +214,7 @@ KEY_MASK, TOKEN_MASK = "<redacted-api-key>", "<redacted-token>"
 OUTPUT_SUFFIX, OUTPUT_NAME = "（双语）.html", "paper"
 
 
-# FN-21, SNK-09
+# FN-21, SNK-09. The shapes of keys and tokens, and the characters a file name can't hold.
 def redact(c: Column) -> Column:
     c = F.regexp_replace(c, rf"{LEFT}sk-[A-Za-z0-9_-]{{8,}}(?:(?<=[A-Za-z0-9_]){RIGHT}|(?<=-)(?=[A-Za-z0-9_]))", KEY_MASK)
     part = r"[A-Za-z0-9_-]{20,}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import blank_to_null, js_trim
+from quire.functions.text import blank_to_null, fingerprint, first_filled, js_trim
 
 # Records kept for a library; milliseconds an output may be older than its job.
 MOST, SLACK_MS = 1000, 60_000
@@ -34,6 +34,13 @@ def newest(history: DataFrame, most: int = MOST) -> DataFrame:
     return history.withColumn("rank", r).where(F.col("rank") <= most)
 
 
+def append(history: DataFrame, records: DataFrame, most: int = MOST) -> DataFrame:
+    """New records go to the front (their ord follows the library's last), and what is over the cap goes."""
+    last = history.groupBy("library_id").agg(F.max("ord").alias("_last"))
+    moved = records.join(last, "library_id", "left").withColumn("ord", F.col("ord") + F.coalesce("_last", F.lit(-1)) + 1).select(*history.columns)
+    return newest(history.unionByName(moved), most)
+
+
 def delete(history: DataFrame, gone: DataFrame) -> DataFrame:
     return history.join(gone.select("library_id", "id"), ["library_id", "id"], "left_anti")
 
@@ -63,6 +70,17 @@ def cache_latest(writes: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, "w.*").where("ts_ms > 0")
 
 
+def cache_without(cache: DataFrame, item_ids: DataFrame | None = None) -> DataFrame:
+    """The cache without all entries of some items (item_id), or with none at all."""
+    return cache.limit(0) if item_ids is None else cache.join(item_ids.select("item_id"), "item_id", "left_anti")
+
+
+def page_memo(texts: DataFrame, requests: DataFrame) -> DataFrame:
+    """Texts of the pages (doc_id, page) asked for, read once however often they are; a page that isn't there is null."""
+    once = texts.join(requests.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_semi").dropDuplicates(["doc_id", "page"])
+    return requests.join(once, ["doc_id", "page"], "left")
+
+
 def probe(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
     return requests.join(cache, keys, "left")
 
@@ -83,6 +101,16 @@ def resolve_sources(items: DataFrame, attachments: DataFrame) -> DataFrame:
     return both.withColumn("_r", r).where("_r = 1").select("item_id", "attachment_id")
 
 
+def project_sources(items: DataFrame, attachments: DataFrame, libraries: DataFrame) -> DataFrame:
+    """item_id, attachment_id, title, creators, fingerprint, error of items (item_id, library_id, title, creators, is_pdf, key, size, mtime):
+    what a job starts from; the error says that there is no PDF or that the library can't be written to."""
+    chosen = resolve_sources(items.select("item_id", "is_pdf"), attachments)
+    facts = attachments.select("attachment_id", "key", "size", "mtime").unionByName(items.where("is_pdf").select(F.col("item_id").alias("attachment_id"), "key", "size", "mtime"))
+    joined = items.drop("key", "size", "mtime").join(chosen, "item_id", "left").join(facts, "attachment_id", "left").join(libraries.select("library_id", "editable"), "library_id", "left")
+    error = F.when(F.col("attachment_id").isNull(), "no PDF").when(~F.coalesce("editable", F.lit(False)), "read-only library")
+    return joined.select("item_id", "attachment_id", first_filled(F.col("title")).alias("title"), F.coalesce("creators", F.lit("")).alias("creators"), F.when(F.col("attachment_id").isNotNull(), fingerprint(F.col("key"), F.col("size"), F.col("mtime"))).alias("fingerprint"), error.alias("error"))
+
+
 def match_assets(images: DataFrame, assets: DataFrame) -> DataFrame:
     """images (doc_id, src) with relative_path of the first asset that equals the source or ends with its file name.
 

@@ -53,22 +53,48 @@ def entry_lists(glossary: DataFrame, columns: tuple[str, ...] = ("term", "transl
 def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS) -> DataFrame:
     """texts (library_id, selected, context, ...) with terms: those in the selection first, then those in the context only.
 
-    A library's entries travel as one array by an equi-join, so no text meets another library's terms and no pairs are made.
+    A library's entries travel as one array by an equi-join, so no text meets another library's terms and no pairs are
+    made; texts and terms are lower-cased once.
     """
-    holds = lambda where: (lambda e: F.instr(F.lower(F.coalesce(F.col(where), F.lit(""))), F.lower(e["term"])) > 0)
-    joined = texts.join(entry_lists(glossary), "library_id", "left").withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<ord:bigint,term:string,translation:string,field:string,note:string>>")))
-    inside = F.filter("entries", holds("selected"))
-    around = F.filter("entries", lambda e: ~holds("selected")(e) & holds("context")(e))
-    return joined.withColumn("terms", F.slice(F.concat(inside, around), 1, most)).drop("entries")
+    entry = "struct<ord:bigint,term:string,translation:string,field:string,note:string,low:string>"
+    lists = entry_lists(glossary.withColumn("low", F.lower("term")), ("term", "translation", "field", "note", "low"))
+    low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    joined = texts.join(lists, "library_id", "left").withColumn("_s", low("selected")).withColumn("_c", low("context"))
+    own = F.coalesce("entries", F.array().cast(f"array<{entry}>"))
+    inside = F.filter(own, lambda e: F.instr(F.col("_s"), e["low"]) > 0)
+    around = F.filter(own, lambda e: (F.instr(F.col("_s"), e["low"]) == 0) & (F.instr(F.col("_c"), e["low"]) > 0))
+    shown = F.transform(F.slice(F.concat(inside, around), 1, most), lambda e: e.dropFields("low"))
+    return joined.withColumn("terms", shown).drop("entries", "_s", "_c")
 
 
-def match_bounded(texts: DataFrame, glossary: DataFrame, most: int = PAPER_TERMS) -> DataFrame:
-    """texts (library_id, text, ...) with terms: entries whose term stands in the text between non-alphanumeric characters."""
+_RUN = "[A-Za-z0-9]+"
+
+
+def _runs(c: Column) -> Column:
+    """Lower-cased runs of ASCII letters and digits; the two other characters that equal ASCII letters in the other case count as these."""
+    return F.transform(F.regexp_extract_all(F.translate(c, "\u017f\u212a", "sk"), F.lit(_RUN), F.lit(0)), lambda w: F.lower(w))
+
+
+def match_bounded(texts: DataFrame, glossary: DataFrame, most: int = PAPER_TERMS, keys: tuple[str, ...] = ("library_id", "text")) -> DataFrame:
+    """texts (library_id, text, ...) with terms: entries whose term stands in the text between non-alphanumeric characters.
+
+    Every alphanumeric run of a term is a whole run of a text it stands in, so runs meet terms by an equi-join on the
+    term's first run. A term that is one run is thereby found; others are then looked for in the text, as are terms
+    without any run. ``keys`` name columns that tell texts apart (with library_id); an id is cheaper than the text itself.
+    """
     quoted = lambda t: F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     pattern = lambda p: F.concat(F.lit("(?iu)(?:^|[^A-Za-z0-9])"), p, F.lit(r"(?:\z|[^A-Za-z0-9])"))
-    entries = entry_lists(glossary.where(js_trim(F.col("term")) != "").withColumn("pattern", quoted(F.col("term"))), ("term", "translation", "note", "pattern"))
-    found = F.filter("entries", lambda e: F.regexp_like("text", pattern(e["pattern"])))
-    return texts.join(entries, "library_id", "left").withColumn("terms", F.slice(F.coalesce(F.transform(found, lambda e: e["term"]), F.array().cast("array<string>")), 1, most)).drop("entries")
+    by = list(dict.fromkeys([*keys, "library_id"]))
+    runs = _runs(F.col("term"))
+    entries = glossary.where(js_trim(F.col("term")) != "").select("library_id", "ord", "term", F.get(runs, F.lit(0)).alias("_run"), F.when(~F.col("term").rlike(rf"^{_RUN}\z"), pattern(quoted(F.col("term")))).alias("pattern"))
+    loose = entries.where("_run is null").groupBy("library_id").agg(F.collect_list(F.struct("ord", "term", "pattern")).alias("_loose"))
+    words = texts.select(*by, F.explode(F.array_distinct(_runs(F.coalesce("text", F.lit(""))))).alias("_run"))
+    met = words.join(entries.where("_run is not null"), ["library_id", "_run"]).groupBy(*by).agg(F.collect_set(F.struct("ord", "term", "pattern")).alias("_met"))
+    none = F.array().cast("array<struct<ord:bigint,term:string,pattern:string>>")
+    joined = texts.join(met, by, "left").join(loose, "library_id", "left")
+    both = F.array_sort(F.concat(F.coalesce("_met", none), F.coalesce("_loose", none)))
+    found = F.filter(both, lambda e: e["pattern"].isNull() | F.coalesce(F.regexp_like("text", e["pattern"]), F.lit(False)))
+    return joined.withColumn("terms", F.transform(F.slice(found, 1, most), lambda e: e["term"])).drop("_met", "_loose")
 
 
 def merge_glossary(entries: DataFrame, fold_case: bool = True) -> DataFrame:
@@ -90,6 +116,18 @@ def merge_first(entries: DataFrame, most: int = PAPER_TERMS) -> DataFrame:
     return once.withColumn("_r", rank).where(F.col("_r") <= most).select("library_id", "ord", "e.*")
 
 
+def append_entries(entries: DataFrame, imported: DataFrame) -> DataFrame:
+    """An import goes behind what a library has, in its own order, without any merging."""
+    names = [c for c in entries.columns if c not in ("library_id", "ord")]
+    last = entries.groupBy("library_id").agg(F.max("ord").alias("_last"))
+    moved = imported.join(last, "library_id", "left").select("library_id", (F.col("ord") + F.coalesce("_last", F.lit(-1)) + 1).alias("ord"), *[F.col(c) if c in imported.columns else F.lit(None).cast("string").alias(c) for c in names])
+    return entries.select("library_id", "ord", *names).unionByName(moved)
+
+
+def glossary_counts(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("library_id").agg(F.count(F.lit(1)).alias("entries"))
+
+
 def remove_terms(entries: DataFrame, terms: DataFrame) -> DataFrame:
     return entries.join(terms, ["library_id", "term"], "left_anti")
 

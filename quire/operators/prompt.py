@@ -1,4 +1,5 @@
-"""Prompts: glossary sections, selection prompts and batch payloads. The wording of instructions is this library's own."""
+"""Prompts: glossary sections, selection prompts and batch payloads. The wording of instructions is this library's own, but for the user text of a
+selection, which is a fixed value."""
 
 from __future__ import annotations
 
@@ -38,6 +39,7 @@ def selection_prompt(rows: DataFrame) -> DataFrame:
     what, where = (_by_level(level, {k: v[i] for k, v in LEVELS.items()}) for i in (0, 1))
     system = F.concat(_by_level(level, SYSTEM), F.when((level == 1) & F.col("has_dict"), F.lit(f" {WITH_ENTRY}")).otherwise(F.lit("")))
     section = F.when(F.coalesce(F.size("terms"), F.lit(0)) > 0, F.concat(F.lit("\n\n【术语参考】\n"), glossary_lines(F.col("terms")))).otherwise(F.lit(""))
+    # Fixed value: the user text of a selection.
     user = F.concat(F.lit("请将以下"), what, F.lit("翻译成 "), "target_language", F.lit("。\n\n【待翻译"), what, F.lit("】\n"), "selected", F.lit("\n\n【"), where, F.lit("】\n"), "context", section)
     message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     return rows.withColumn("messages", F.array(message("system", system), message("user", user)))

@@ -2,84 +2,88 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as fx
 
-# Span kinds with their patterns, in the order of their passes.
+# Span kinds with their patterns, in the order of their passes (true: either case).
 SPANS = (
-    ("CODE", r"```[\s\S]*?```|`[^`\n]+`", 0),
-    ("CODE", r"</?[A-Za-z][^>]*>", 0),
-    ("MATH", r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]", 0),
-    ("URL", r"https?://[^\s)>\]]+", 0),
-    ("DOI", r"\b10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+\b", re.I),
-    ("CIT", rf"\b{fx.AUTHOR}(?:\s+et al\.|\s+(?:and|&)\s+{fx.AUTHOR}|(?:,\s+{fx.AUTHOR}){{1,3}}(?:,?\s+(?:and|&)\s+{fx.AUTHOR})?)?\s*\({fx.YEAR}(?:,\s*(?:pp?\.\s*)?[0-9–—-]+)?\)", 0),
-    ("CIT", r"\([^()\n]{0,160}\b(?:18|19|20)[0-9]{2}[a-z]?(?:[^()\n]{0,160})\)", re.I),
+    ("CODE", r"```[\s\S]*?```|`[^`\n]+`", False),
+    ("CODE", r"</?[A-Za-z][^>]*>", False),
+    ("MATH", r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]", False),
+    ("URL", r"https?://[^\s)>\]]+", False),
+    ("DOI", r"\b10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+\b", True),
+    ("CIT", rf"\b{fx.AUTHOR}(?:\s+et al\.|\s+(?:and|&)\s+{fx.AUTHOR}|(?:,\s+{fx.AUTHOR}){{1,3}}(?:,?\s+(?:and|&)\s+{fx.AUTHOR})?)?\s*\({fx.YEAR}(?:,\s*(?:pp?\.\s*)?[0-9–—-]+)?\)", False),
+    ("CIT", r"\([^()\n]{0,160}\b(?:18|19|20)[0-9]{2}[a-z]?(?:[^()\n]{0,160})\)", True),
 )
-_BORDER = lambda p: p.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
-_PASSES = [(k, re.compile(_BORDER(p), f)) for k, p, f in SPANS]
-
+TOKEN = r"⟦(?:CODE|MATH|URL|DOI|CIT)_[0-9]+⟧"
 
-def protect(source: str) -> tuple[str, list[tuple[str, str]]]:
-    """Text with a numbered token for each span, and (token, value) in order of creation."""
-    spans: list[tuple[str, str]] = []
 
-    def swap(kind: str):
-        def one(m: re.Match) -> str:
-            spans.append((f"⟦{kind}_{len(spans)}⟧", m[0]))
-            return spans[-1][0]
+def _spelt(pattern: str, either_case: bool) -> str:
+    """The pattern with ASCII word borders and the web's white space."""
+    border = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+    pattern = pattern.replace(r"[\s\S]", r"(?s:.)").replace(r"[^\s)", f"[^{fx.WS})").replace(r"\s", f"[{fx.WS}]").replace(r"\b", border)
+    return ("(?i)" if either_case else "") + pattern
 
-        return one
 
-    for kind, pattern in _PASSES:
-        source = pattern.sub(swap(kind), source)
-    return source, spans
+_PASSES = tuple((kind, _spelt(p, either)) for kind, p, either in SPANS)
 
 
 def protect_texts(rows: DataFrame, text: str = "source") -> DataFrame:
-    """Adds protected and spans (array of token, value)."""
-    from pyspark.sql import types as T
+    """Adds protected and spans (array of token, value in order of creation; null texts are empty).
 
-    at = rows.columns.index(text)
-    out = T.StructType([*rows.schema.fields, *T._parse_datatype_string("protected string, spans array<struct<token:string,value:string>>").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("token", pa.string()), ("value", pa.string())]))
-        for batch in batches:
-            done = [protect(t or "") for t in batch.column(at).to_pylist()]
-            spans = pa.array([[{"token": a, "value": b} for a, b in s] for _, s in done], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in done], pa.string()), spans], out.names)
-
-    return rows.mapInArrow(run, out)
+    Each pass takes out its matches and numbers their tokens on from the passes before, all by array functions.
+    """
+    done = rows.withColumn("protected", F.coalesce(F.col(text), F.lit(""))).withColumn("spans", F.array().cast("array<struct<token:string,value:string>>"))
+    for kind, pattern in _PASSES:
+        token = lambda i, k=kind: F.concat(F.lit(f"⟦{k}_"), (F.size("spans") + i).cast("string"), F.lit("⟧"))
+        found = done.withColumn("_m", F.regexp_extract_all("protected", F.lit(pattern), F.lit(0))).withColumn("_p", F.split("protected", pattern))
+        text_ = F.array_join(F.transform("_p", lambda x, i: F.when(i < F.size("_m"), F.concat(x, token(i))).otherwise(x)), "")
+        spans = F.concat("spans", F.transform("_m", lambda v, i: F.struct(token(i).alias("token"), v.alias("value"))))
+        done = found.withColumn("protected", F.when(F.size("_m") > 0, text_).otherwise(F.col("protected"))).withColumn("spans", spans).drop("_m", "_p")
+    return done
 
 
 def span_counts(text: Column) -> dict[str, Column]:
     """Spans by kind, natively: each pass counts what the passes before it left."""
     counts: dict[str, Column] = {}
-    for kind, pattern, flags in SPANS:
-        p = ("(?i)" if flags else "") + _BORDER(pattern)
+    for kind, p in _PASSES:
         counts[kind] = counts.get(kind, F.lit(0)) + F.regexp_count(text, F.lit(p))
         text = F.regexp_replace(text, p, f"⟦{kind}⟧")
     return counts
 
 
 def restore(translated: Column, spans: Column, nested: bool = False) -> Column:
-    """struct(text, lost): spans put back in order of creation, lost is the first token that isn't there (text is then null).
-    ``nested`` goes from the last to the first, which also restores spans inside spans."""
+    """struct(text, lost): spans put back, lost is the first token that isn't there (text is then null).
+
+    The text is cut at its tokens once, and a token's number finds its value. ``nested`` looks for tokens from the last
+    to the first, which also restores spans inside spans; only texts that have such spans are gone through one by one.
+    """
+    parts, tokens = F.split(translated, TOKEN), F.regexp_extract_all(translated, F.lit(TOKEN), F.lit(0))
+    number = lambda token: F.regexp_extract(token, r"_([0-9]+)", 1).try_cast("int")
+
+    def value(token: Column) -> Column:
+        span = F.when(number(token) < F.size(spans), F.get(spans, number(token)))
+        return F.when(F.coalesce(span["token"] == token, F.lit(False)), span["value"]).otherwise(token)
+
+    filled = F.array_join(F.transform(parts, lambda x, i: F.when(i < F.size(tokens), F.concat(x, value(F.get(tokens, i)))).otherwise(x)), "")
+    there = F.array_distinct(tokens)
+    missing = F.array_except(F.transform(F.reverse(spans) if nested else spans, lambda s: s["token"]), there)
+    lost = F.get(missing, F.lit(0))
+    plain = F.struct(F.when(lost.isNull(), fx.js_trim(filled)).alias("text"), lost.alias("lost"))
+    if not nested:
+        return plain
     zero = F.struct(translated.alias("text"), F.lit(None).cast("string").alias("lost"))
 
     def step(acc: Column, s: Column) -> Column:
         here = F.instr(acc["text"], s["token"]) > 0
-        lost = F.coalesce(acc["lost"], F.when(~here, s["token"]))
-        return F.struct(F.when(lost.isNull(), F.replace(acc["text"], s["token"], s["value"])).otherwise(acc["text"]).alias("text"), lost.alias("lost"))
+        gone = F.coalesce(acc["lost"], F.when(~here, s["token"]))
+        return F.struct(F.when(gone.isNull(), F.replace(acc["text"], s["token"], s["value"])).otherwise(acc["text"]).alias("text"), gone.alias("lost"))
 
-    done = F.aggregate(F.reverse(spans) if nested else spans, zero, step)
-    return F.struct(F.when(done["lost"].isNull(), fx.js_trim(done["text"])).alias("text"), done["lost"].alias("lost"))
+    done = F.aggregate(F.reverse(spans), zero, step)
+    folded = F.struct(F.when(done["lost"].isNull(), fx.js_trim(done["text"])).alias("text"), done["lost"].alias("lost"))
+    return F.when(F.exists(spans, lambda s: s["value"].rlike(TOKEN)), folded).otherwise(plain)
 
 
 def parse_ids(outputs: DataFrame) -> DataFrame:

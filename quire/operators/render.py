@@ -75,7 +75,7 @@ def render_image(source: Column, asset_path: Column, shown_path: Column, block_i
     named = fx.escape_html(F.coalesce(F.nullif(shown_path, F.lit("")), block_id))
     missing = lambda why: F.concat(F.lit(f'<figure class="missing-asset"><div>{why}'), named, F.lit("</div></figure>"))
     caption = F.when(F.coalesce(source, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit('<figcaption><span class="en">'), fx.inline_markdown(source), F.lit("</span></figcaption>")))
-    data = F.concat(F.lit("data:"), fx.media_type(asset_path), F.lit(";base64,"), F.base64(content))
+    data = F.concat(F.lit("data:"), fx.media_type(asset_path), F.lit(";base64,"), F.regexp_replace(F.base64(content), "[\\r\\n]", ""))  # one line, however the session chunks it
     figure = F.concat(F.lit('<figure><img src="'), data, F.lit('" alt="'), fx.escape_html(F.coalesce(source, F.lit(""))), F.lit('" loading="lazy">'), caption, F.lit("</figure>"))
     return F.when(F.coalesce(asset_path, F.lit("")) == "", missing(NO_IMAGE)).when(content.isNull(), missing(BAD_IMAGE)).otherwise(figure)
 

@@ -83,6 +83,7 @@ def _is_author(text: str) -> bool:
     return bool(re.search(rf"\b(?:{'|'.join(fx.INSTITUTIONS)})\b", text, re.I | re.A)) or 2 <= len(words) <= 20 and capital >= math.ceil(len(words) / 2)
 
 
+# What headings, images, captions and openings of lines without content look like.
 _HEADING = re.compile(r"(#{1,6})\s+(.+)", re.S)
 _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)\s*(.*)", re.S)
 _DROPPED = re.compile("|".join(map(re.escape, fx.DROP_STARTS)), re.I)
@@ -121,6 +122,7 @@ def classify(parts: Iterator[Segment], assets: list[dict] = ()) -> list[dict]:
         elif _DROPPED.match(text):
             add("drop", text, SETTLED)
         elif listing:
+            # fixed value: a reference begins with a name and a comma
             for one in re.split(r"\n(?=[A-Z][\w'’.-]+,)", text, flags=re.A):
                 add("reference", one.strip(), SETTLED)
         elif part.open_fence or _is_formula(text):
@@ -141,6 +143,7 @@ def classify(parts: Iterator[Segment], assets: list[dict] = ()) -> list[dict]:
     return out
 
 
+# How a continuation begins, a sentence ends, a float is labelled.
 _LOWER = re.compile("[\"“‘'(\\[]*[a-zà-öø-ÿ]")
 _ENDED = re.compile("[.!?][\"”’')\\]]*\\Z")
 _LABEL = re.compile(r"(?:table|fig(?:ure)?)[ .:]?\s*\d+", re.I | re.A)
@@ -197,14 +200,17 @@ def repair(blocks: list[dict], reset: bool = False, reindex: bool = True) -> tup
     return rest, into, gone
 
 
-def structure_documents(parsed: DataFrame) -> DataFrame:
-    """doc_id, pos and block columns from (doc_id, markdown, assets array<struct<original_path,relative_path>>)."""
+def structure_documents(parsed: DataFrame, repaired: bool = True) -> DataFrame:
+    """doc_id, pos and block columns from (doc_id, markdown, assets array<struct<original_path,relative_path>>); ``repaired``
+    joins broken sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([(n, pa.string()) for n in ("id", "type", "source", "asset_path", "source_asset_path", "status")]))
         for batch in batches:
             texts, assets = batch.column(1), batch.column(2)
-            made = [repair(classify(segments(t.as_py() or ""), a.as_py() or []))[0] for t, a in zip(texts, assets)]
+            made = [classify(segments(t.as_py() or ""), a.as_py() or []) for t, a in zip(texts, assets)]
+            if repaired:
+                made = [repair(m)[0] for m in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["doc_id", "blocks"])
 
     done = parsed.select("doc_id", "markdown", "assets").mapInArrow(run, f"doc_id bigint, blocks array<{BLOCK}>")
@@ -230,6 +236,10 @@ def repair_documents(blocks: DataFrame, reset: bool = False) -> DataFrame:
 
 def continuation_pairs(blocks: DataFrame) -> DataFrame:
     """doc_id, id, next_id, adjacent: for every incomplete paragraph its continuation, from windows over (doc_id, pos, id, type, source)."""
+    return _continued(blocks).select("doc_id", "id", "next_id", "adjacent")
+
+
+def _continued(blocks: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("pos")
     facts = blocks.withColumn(
         "f",
@@ -243,7 +253,7 @@ def continuation_pairs(blocks: DataFrame) -> DataFrame:
     before = F.slice("ahead", F.lit(1), F.greatest(F.col("i"), F.lit(0)))
     fine = (F.col("i") == 0) | (F.exists(before, lambda x: x["float"]) & F.forall(before, lambda x: x["ok"]))
     rows = ahead.where((F.col("type") == "paragraph") & fx.is_incomplete(F.col("source"))).withColumn("i", first).where((F.col("i") >= 0) & fine)
-    return rows.select("doc_id", "id", F.get("ahead", F.col("i"))["id"].alias("next_id"), (F.col("i") == 0).alias("adjacent"))
+    return rows.select("doc_id", "pos", "id", F.get("ahead", F.col("i"))["id"].alias("next_id"), (F.col("i") == 0).alias("adjacent"))
 
 
 def merge_chains(blocks: DataFrame) -> DataFrame:
@@ -260,6 +270,6 @@ def reindex(blocks: DataFrame) -> DataFrame:
 
 
 def anomalies(blocks: DataFrame) -> DataFrame:
-    """doc_id, block_id, code, message of unrepaired boundaries."""
+    """doc_id, pos, block_id, code, message of unrepaired boundaries."""
     message = F.concat(F.lit("Block "), F.col("id"), F.lit(" is continued by block "), F.col("next_id"))
-    return continuation_pairs(blocks).select("doc_id", F.col("id").alias("block_id"), F.lit("structure-boundary").alias("code"), message.alias("message"))
+    return _continued(blocks).select("doc_id", "pos", F.col("id").alias("block_id"), F.lit("structure-boundary").alias("code"), message.alias("message"))

@@ -30,8 +30,7 @@ def issues(blocks: DataFrame, language: Column | None = None, boundaries: bool =
     found = F.array_compact(F.array(*[F.when(cond, F.struct(F.lit(i).alias("rule"), F.lit(code).alias("code"), F.concat(F.lit(a), F.col("id"), F.lit(b)).alias("message"))) for i, (code, cond, (a, b)) in enumerate(rules)]))
     own = blocks.withColumn("_again", again).select("doc_id", "pos", F.col("id").alias("block_id"), F.explode(found).alias("f")).select("doc_id", F.lit(0).alias("part"), "pos", F.col("f.rule").alias("rule"), "block_id", "f.code", "f.message")
     if boundaries:
-        places = blocks.select("doc_id", F.col("id").alias("block_id"), "pos")
-        late = anomalies(blocks).join(places, ["doc_id", "block_id"]).select("doc_id", F.lit(1).alias("part"), "pos", F.lit(0).alias("rule"), "block_id", "code", "message")
+        late = anomalies(blocks).select("doc_id", F.lit(1).alias("part"), "pos", F.lit(0).alias("rule"), "block_id", "code", "message")
         own = own.unionByName(late)
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "pos", "rule"))
     return own.withColumn("ord", order).select("doc_id", "ord", "block_id", "code", "message")

@@ -74,10 +74,7 @@ def batch_plan_docs(spark, sf):
     return plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("batches"), F.sum(long(F.size("block_ids"))).alias("blocks"), F.max("char_count").alias("largest"))
 
 
-_CUT = "substring(text, 1, 1 + (conv_id * 37 + turn * 11) % 160)"
-
-
-@query("context_level", rf"""WITH s AS (SELECT conv_id, turn, {TRIM.format(_CUT)} AS t FROM conversations), c AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS words, len(regexp_extract_all(t, '[.?!]\s')) + CASE WHEN regexp_matches(t, '[.?!]$') THEN 1 ELSE 0 END AS ends FROM s)
+@query("context_level", rf"""WITH s AS (SELECT conv_id, turn, {TRIM.format('text')} AS t FROM conversations), c AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS words, len(regexp_extract_all(t, '[.?!]\s')) + CASE WHEN regexp_matches(t, '[.?!]$') THEN 1 ELSE 0 END AS ends FROM s)
 SELECT conv_id, turn, CASE WHEN t = '' OR words <= 3 THEN 1 WHEN ends >= 2 THEN 3 ELSE 2 END AS level FROM c""")
 def context_level(spark, sf):
     return t(spark, sf, "conversations").select("conv_id", "turn", fx.context_level(F.col("text")).alias("level"))
@@ -86,16 +83,19 @@ def context_level(spark, sf):
 _ABBR = ", ".join(f"'{a}'" for a in fx.ABBREVIATIONS)
 
 
-@query("sentence_split", rf"""WITH d AS (SELECT doc_id, regexp_split_to_array({TRIM.format('text')}, '\s+') AS ts FROM documents WHERE {TRIM.format('text')} <> ''),
-w AS (SELECT doc_id, unnest(ts) AS tok, unnest(range(len(ts))) AS i FROM d),
-f AS (SELECT *, lower(regexp_replace(tok, '[.?!]$', '')) AS word, lower(coalesce(lag(tok) OVER (PARTITION BY doc_id ORDER BY i), '')) AS prev FROM w),
+# sentences of (id, t): white space stays as it is inside a sentence
+SENTENCES = rf"""w AS (SELECT id, unnest(regexp_extract_all(t, '\s*\S+')) AS raw, unnest(range(len(regexp_extract_all(t, '\s*\S+')))) AS i FROM d),
+u AS (SELECT *, regexp_replace(raw, '^\s+', '') AS tok FROM w),
+f AS (SELECT *, lower(regexp_replace(tok, '[.?!]$', '')) AS word, lower(coalesce(lag(tok) OVER (PARTITION BY id ORDER BY i), '')) AS prev FROM u),
 g AS (SELECT *, CASE WHEN regexp_matches(tok, '[.?!]$') AND NOT (word IN ({_ABBR}) OR regexp_replace(word, '\.$', '') IN ({_ABBR}) OR (i >= 1 AND prev || ' ' || word IN ({_ABBR})))
   AND NOT (regexp_matches(regexp_replace(tok, '[?!]$', ''), '^[0-9]+\.[0-9]*$') OR regexp_matches(tok, '[0-9]+\.[0-9]+')) THEN 1 ELSE 0 END AS closes FROM f),
-h AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM g)
-SELECT doc_id, no::BIGINT AS no, string_agg(tok, ' ' ORDER BY i) AS sentence FROM h GROUP BY doc_id, no""")
+h AS (SELECT *, coalesce(sum(closes) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM g),
+s AS (SELECT id, no::BIGINT AS no, {TRIM.format("string_agg(raw, '' ORDER BY i)")} AS sentence FROM h GROUP BY id, no)"""
+
+
+@query("sentence_split", f"WITH d AS (SELECT doc_id AS id, text AS t FROM documents), {SENTENCES} SELECT id AS doc_id, no, sentence FROM s")
 def sentence_split(spark, sf):
-    flat = F.regexp_replace("text", rf"[{fx.WS}]+", " ")
-    return t(spark, sf, "documents").select("doc_id", F.posexplode(fx.split_sentences(flat)).alias("no", "sentence")).select("doc_id", long("no").alias("no"), "sentence")
+    return t(spark, sf, "documents").select("doc_id", F.posexplode(fx.split_sentences(F.col("text"))).alias("no", "sentence")).select("doc_id", long("no").alias("no"), "sentence")
 
 
 @query("neighbor_context", f"""WITH {LINES}, n AS (SELECT doc_id, pos, line, lag(line) OVER w AS p, lead(line) OVER w AS q FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
@@ -154,13 +154,13 @@ def dict_ingest(spark, sf):
     return lexicon.ingest_dictionary(lines.withColumn("line_no", F.col("line_no") + 1), "light").select("word", "phonetic", "translation")
 
 
-# a glossary of the first 120 distinct words of the benchmark texts, in order
-_TERMS = r"""terms AS (SELECT term, row_number() OVER (ORDER BY first, term) - 1 AS ord FROM (SELECT w AS term, min(item_id * 1000 + i) AS first FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark) WHERE regexp_matches(w, '^[A-Za-z]+$') GROUP BY w) QUALIFY row_number() OVER (ORDER BY first, term) <= 120)"""
+# a glossary of all distinct words of the benchmark texts, in order
+_TERMS = r"""terms AS (SELECT term, row_number() OVER (ORDER BY first, term) - 1 AS ord FROM (SELECT w AS term, min(item_id * 1000 + i) AS first FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS i FROM benchmark) WHERE regexp_matches(w, '^[A-Za-z]+$') GROUP BY w))"""
 
 
 def _terms(spark, sf):
     words = t(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", " ")).alias("i", "term")).where(F.col("term").rlike(r"^[A-Za-z]+\z"))
-    ranked = words.groupBy("term").agg(F.min(F.col("item_id") * 1000 + F.col("i")).alias("first")).withColumn("ord", F.row_number().over(Window.orderBy("first", "term")) - 1).where("ord < 120")
+    ranked = words.groupBy("term").agg(F.min(F.col("item_id") * 1000 + F.col("i")).alias("first")).withColumn("ord", F.row_number().over(Window.orderBy("first", "term")) - 1)
     return ranked.select(F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("library_id"), long("ord").alias("ord"), "term", F.upper("term").alias("translation"), F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("note"))
 
 
@@ -174,11 +174,11 @@ def glossary_match_tiered(spark, sf):
     return found.select("conv_id", "turn", long(F.size("terms")).alias("n_terms"), F.array_join(F.transform("terms", lambda e: e["term"]), ",").alias("terms"))
 
 
-@query("glossary_match_boundary", rf"""WITH {_TERMS}, m AS (SELECT d.doc_id, t.term, row_number() OVER (PARTITION BY d.doc_id ORDER BY t.ord) AS n FROM documents d, terms t WHERE regexp_matches(d.text, '(?i)(^|[^A-Za-z0-9])' || t.term || '($|[^A-Za-z0-9])'))
+@query("glossary_match_boundary", rf"""WITH {_TERMS}, w AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS w FROM documents), m AS (SELECT w.doc_id, t.term, row_number() OVER (PARTITION BY w.doc_id ORDER BY t.ord) AS n FROM w JOIN terms t ON lower(t.term) = w.w)
 SELECT doc_id, string_agg(term, ',' ORDER BY n) AS terms FROM m WHERE n <= 40 GROUP BY doc_id""")
 def glossary_match_boundary(spark, sf):
     texts = t(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 3).alias("library_id"), "text")
-    return lexicon.match_bounded(texts, _terms(spark, sf)).where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
+    return lexicon.match_bounded(texts, _terms(spark, sf), keys=("doc_id",)).where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
 _ENTRIES = "SELECT p_size % 4 AS library_id, p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS term, p_type AS translation, p_brand AS note FROM part"
@@ -270,25 +270,60 @@ def merge_chains(spark, sf):
     return structure.merge_chains(_broken(spark, sf)).select("doc_id", long("first_pos").alias("first_pos"), "n", F.md5("source").alias("source_md5"))
 
 
-@query("reindex_blocks", f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, printf('b%04d', row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS id FROM lines WHERE length(line) > 20")
+@query("reindex_blocks", f"WITH {LINES} SELECT doc_id, pos::BIGINT AS pos, printf('b%04d', row_number() OVER (PARTITION BY doc_id ORDER BY pos)) AS id FROM lines WHERE {TRIM.format('line')} <> ''")
 def reindex_blocks(spark, sf):
-    return structure.reindex(doc_lines(spark, sf).where(F.length("line") > 20)).select("doc_id", long("pos").alias("pos"), "id")
+    return structure.reindex(doc_lines(spark, sf).where(fx.js_trim(F.col("line")) != "")).select("doc_id", long("pos").alias("pos"), "id")
+
+
+# every kind of span, some of them nested, around the page
+_SPANNED = """html || ' see https://a.example/x?y=1 and $x^2$ or `code` (Smith, 2019) doi 10.1000/xyz' || page_id || ' by Jones (2020) ' || chr(36) || chr(36) || 'a' || chr(36) || chr(36) || ' end'"""
+
+
+def _pass_sql(kind: str, pattern: str, at: int, flags: str = "") -> str:
+    """One pass in SQL: what matches becomes its token, numbered on; ``v`` lists (token, value) in order of creation."""
+    found = f"regexp_extract_all(x, '{pattern}', 0{flags})"
+    parts = f"string_split(regexp_replace(x, '{pattern}', chr(1), 'g{flags[3:4]}'), chr(1))"
+    return f"""p{at} AS (SELECT page_id, v, len(v) AS n, {found} AS m, {parts} AS ps FROM p{at - 1}x), p{at}x AS (SELECT page_id, list_concat(v, list_transform(m, lambda y, i: ['⟦{kind}_' || (n + i - 1) || '⟧', y])) AS v,
+    array_to_string(list_transform(ps, lambda y, i: y || CASE WHEN i < len(ps) THEN '⟦{kind}_' || (n + i - 1) || '⟧' ELSE '' END), '') AS x FROM p{at})"""
 
 
-@query("protect_counts", r"""WITH a AS (SELECT page_id, html || ' see https://a.example/x?y=1 and $x^2$ or `code` (Smith, 2019) doi 10.1000/xyz1' AS s FROM pages),
-b AS (SELECT page_id, s, regexp_replace(s, '`[^`\n]+`', '@', 'g') AS s1 FROM a), c AS (SELECT *, regexp_replace(s1, '</?[A-Za-z][^>]*>', '@', 'g') AS s2 FROM b), d AS (SELECT *, regexp_replace(s2, '\$[^$\n]+\$', '@', 'g') AS s3 FROM c), e AS (SELECT *, regexp_replace(s3, 'https?://[^\s)>\]]+', '@', 'g') AS s4 FROM d)
-SELECT page_id, (len(regexp_extract_all(s, '`[^`\n]+`')) + len(regexp_extract_all(s1, '</?[A-Za-z][^>]*>')))::BIGINT AS code, len(regexp_extract_all(s2, '\$[^$\n]+\$'))::BIGINT AS math, len(regexp_extract_all(s3, 'https?://[^\s)>\]]+'))::BIGINT AS url FROM e""")
+_AUTHOR_SQL = fx.AUTHOR.replace("'", "''")
+_CITED = rf"\b{_AUTHOR_SQL}(?:\s+et al\.|\s+(?:and|&)\s+{_AUTHOR_SQL}|(?:,\s+{_AUTHOR_SQL}){{1,3}}(?:,?\s+(?:and|&)\s+{_AUTHOR_SQL})?)?\s*\({fx.YEAR}(?:,\s*(?:pp?\.\s*)?[0-9–—-]+)?\)"
+_SPAN_PASSES = (
+    ("CODE", r"```[\s\S]*?```|`[^`\n]+`", ""), ("CODE", r"</?[A-Za-z][^>]*>", ""), ("MATH", r"\$\$[\s\S]*?\$\$|\$[^$\n]+\$|\\\[[\s\S]*?\\\]", ""), ("URL", r"https?://[^\s)>\]]+", ""),
+    ("DOI", r"\b10\.[0-9]{4,9}/[-._;()/:A-Z0-9]+\b", ", 'i'"), ("CIT", _CITED, ""), ("CIT", r"\([^()\n]{0,160}\b(?:18|19|20)[0-9]{2}[a-z]?(?:[^()\n]{0,160})\)", ", 'i'"),
+)
+_PROTECTED = f"WITH p0x AS (SELECT page_id, []::VARCHAR[][] AS v, {_SPANNED} AS x FROM pages), " + ", ".join(_pass_sql(k, p, i, f) for i, (k, p, f) in enumerate(_SPAN_PASSES, 1))
+
+
+def _spanned(spark, sf):
+    return t(spark, sf, "pages").select("page_id", F.expr(_SPANNED.replace("chr(", "char(")).alias("source"))
+
+
+_COUNTED = ", ".join(f"len(list_filter(v, lambda y: starts_with(y[1], '⟦{k}_')))::BIGINT AS {k.lower()}" for k in ("CODE", "MATH", "URL", "DOI", "CIT"))
+
+
+@query("protect_counts", f"{_PROTECTED} SELECT page_id, {_COUNTED} FROM p7x")
 def protect_counts(spark, sf):
-    source = F.concat("html", F.lit(" see https://a.example/x?y=1 and $x^2$ or `code` (Smith, 2019) doi 10.1000/xyz1"))
-    n = protocol.span_counts(source)
-    return t(spark, sf, "pages").select("page_id", long(n["CODE"]).alias("code"), long(n["MATH"]).alias("math"), long(n["URL"]).alias("url"))
+    n = protocol.span_counts(F.col("source"))
+    return _spanned(spark, sf).select("page_id", *[long(c).alias(k.lower()) for k, c in n.items()])
+
+
+@query("protect_spans", f"{_PROTECTED} SELECT page_id, x AS protected, array_to_string(list_transform(v, lambda y: y[1] || '=' || y[2]), chr(10)) AS spans FROM p7x")
+def protect_spans(spark, sf):
+    rows = protocol.protect_texts(_spanned(spark, sf))
+    return rows.select("page_id", "protected", F.array_join(F.transform("spans", lambda x: F.concat(x["token"], F.lit("="), x["value"])), "\n").alias("spans"))
 
 
-@query("protect_restore", f"SELECT page_id, {TRIM.format('html')} AS restored, true AS fine FROM pages")
+@query("protect_restore", f"""{_PROTECTED}, n AS (SELECT q.page_id, list_filter(v, lambda y: NOT contains(CASE WHEN q.page_id % 3 = 0 THEN replace(x, '⟦URL_', '⟦GONE_') ELSE x END, y[1])) AS missing FROM p7x q), w AS (SELECT page_id AS no, {TRIM.format(_SPANNED)} AS whole FROM pages)
+SELECT n.page_id, CASE WHEN n.page_id % 2 = 0 OR len(missing) = 0 THEN w.whole END AS restored, CASE WHEN n.page_id % 2 = 1 THEN missing[1][1] END AS lost FROM n JOIN w ON w.no = n.page_id WHERE n.page_id % 2 = 1 OR n.page_id % 3 <> 0""")
 def protect_restore(spark, sf):
-    rows = protocol.protect_texts(t(spark, sf, "pages").select("page_id", F.col("html").alias("source")))
-    back = protocol.restore(F.col("protected"), F.col("spans"), nested=True)
-    return rows.withColumn("r", back).select("page_id", F.col("r.text").alias("restored"), F.col("r.lost").isNull().alias("fine"))
+    """Even pages restore nested spans too; odd ones, of which every third lost its links, name the first lost token."""
+    rows = protocol.protect_texts(_spanned(spark, sf)).where("page_id % 2 = 1 or page_id % 3 <> 0")
+    back = F.when(F.col("page_id") % 3 == 0, F.replace("protected", F.lit("⟦URL_"), F.lit("⟦GONE_"))).otherwise(F.col("protected"))
+    rows = rows.withColumn("answer", back)
+    done = F.when(F.col("page_id") % 2 == 0, protocol.restore(F.col("answer"), F.col("spans"), nested=True)).otherwise(protocol.restore(F.col("answer"), F.col("spans")))
+    return rows.withColumn("r", done).select("page_id", F.col("r.text").alias("restored"), F.col("r.lost").alias("lost"))
 
 
 @query("id_protocol_parse", f"""WITH {LINES} SELECT doc_id, printf('b%04d', pos + 1) AS id, {TRIM.format('line')} AS translation FROM lines WHERE {TRIM.format('line')} <> ''""")
@@ -313,7 +348,8 @@ def sanitize_repair(spark, sf):
 
 # blocks of all lines: labels decide the translation state, doc_id does where there is none
 _BLOCKS = """blocks AS (SELECT l.doc_id, l.pos, 'b' || (l.pos % 5) AS id, CASE WHEN l.pos % 4 = 3 THEN 'image' ELSE 'paragraph' END AS type, CASE WHEN l.pos % 6 = 5 THEN ' ' ELSE l.line END AS source,
-CASE WHEN b.quality = 1 AND l.pos % 3 = 0 THEN 'x ⟦CIT_3⟧ ' || l.line WHEN b.quality = 1 THEN l.line WHEN l.pos % 3 = 1 THEN '@@b7' END AS translation FROM lines l JOIN labels b ON b.doc_id = l.doc_id)"""
+CASE WHEN l.q = 1 AND l.pos % 3 = 0 THEN 'x ⟦CIT_3⟧ ' || l.line WHEN l.q = 1 THEN l.line WHEN l.pos % 3 = 1 THEN '@@b7' END AS translation
+FROM (SELECT n.doc_id, n.pos, n.line, CASE WHEN b.doc_id IS NULL THEN n.doc_id % 2 ELSE b.quality END AS q FROM lines n LEFT JOIN labels b ON b.doc_id = n.doc_id) l)"""
 _ISSUES = f"""{_BLOCKS}, d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, id ORDER BY pos) AS rn FROM blocks),
 i AS (SELECT doc_id, pos, 0 AS rule, id, 'duplicate-id' AS code FROM d WHERE rn > 1 UNION ALL SELECT doc_id, pos, 1, id, 'missing-source' FROM d WHERE type <> 'image' AND trim(source) = ''
 UNION ALL SELECT doc_id, pos, 2, id, 'missing-translation' FROM d WHERE type = 'paragraph' AND trim(coalesce(translation, '')) = '' UNION ALL SELECT doc_id, pos, 3, id, 'unresolved-placeholder' FROM d WHERE contains(translation, '⟦CIT_3⟧')
@@ -351,7 +387,7 @@ def html_escape(spark, sf):
 
 
 @query("inline_markdown", rf"""WITH {LINES}, m AS (SELECT doc_id, pos, regexp_replace(line, '[*$_`]', '', 'g') AS e FROM lines)
-SELECT doc_id, pos::BIGINT AS pos, '<strong>' || substring(e, 1, 3) || 'x</strong> <code>c</code> <sup>2</sup><strong>u</strong> <em>v</em> ' || e AS html FROM m WHERE NOT regexp_matches(e, '[&<>"'']')""")
+SELECT doc_id, pos::BIGINT AS pos, '<strong>' || {_ESC.format('substring(e, 1, 3)')} || 'x</strong> <code>c</code> <sup>2</sup><strong>u</strong> <em>v</em> ' || {_ESC.format('e')} AS html FROM m""")
 def inline_markdown(spark, sf):
     rows = doc_lines(spark, sf).withColumn("l", F.regexp_replace("line", r"[*$_`]", ""))
     marked = F.concat(F.lit("**"), F.substring("l", 1, 3), F.lit("x** `c` $^{2}$__u__ *v* "), "l")
@@ -480,7 +516,7 @@ def usage_rollup(spark, sf):
     return jobs.usage(rows)
 
 
-@query("job_reuse", """WITH j AS (SELECT o_orderkey AS id, o_custkey % 50 AS attachment_id, o_orderstatus AS fingerprint, CASE o_orderkey % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'completed' WHEN 2 THEN 'paused' ELSE 'translating' END AS stage, o_orderkey % 3 = 0 AS out, epoch_ms(o_orderdate) AS upd FROM orders WHERE o_custkey % 3 = 0),
+@query("job_reuse", """WITH j AS (SELECT o_orderkey AS id, o_custkey % 50 AS attachment_id, o_orderstatus AS fingerprint, CASE o_orderkey % 4 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'completed' WHEN 2 THEN 'paused' ELSE 'translating' END AS stage, o_orderkey % 3 = 0 AS out, epoch_ms(o_orderdate) AS upd FROM orders),
 b AS (SELECT * FROM j WHERE stage <> 'cancelled' QUALIFY row_number() OVER (PARTITION BY attachment_id, fingerprint ORDER BY upd DESC, id) = 1), q AS (SELECT c_custkey AS request_id, c_custkey % 60 AS attachment_id, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS fingerprint FROM customer)
 SELECT q.request_id, b.id AS job_id, CASE WHEN b.id IS NULL THEN 'create' WHEN b.stage <> 'completed' THEN 'resume' WHEN b.out THEN 'return' ELSE 'requeue' END AS action FROM q LEFT JOIN b ON b.attachment_id = q.attachment_id AND b.fingerprint = q.fingerprint""")
 def job_reuse(spark, sf):
@@ -523,7 +559,7 @@ def source_resolve(spark, sf):
 
 
 # positioned items from line items: an order is a page
-_ITEMS = """items AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, 'w' || l_partkey AS str, ((l_partkey % 3) * 180 + l_suppkey % 10)::DOUBLE AS x, (700 - (l_linenumber // 2) * 14 - (l_partkey % 4))::DOUBLE AS y, (8 + l_suppkey % 5)::DOUBLE AS height FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) = 1)"""
+_ITEMS = """items AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord, 'w' || l_partkey AS str, ((l_partkey % 3) * 180 + l_suppkey % 10)::DOUBLE AS x, (700 - (l_linenumber // 2) * 14 - (l_partkey % 4))::DOUBLE AS y, (8 + l_suppkey % 5)::DOUBLE AS height FROM lineitem)"""
 
 
 def _items(spark, sf):
@@ -606,7 +642,8 @@ def glossary_sample(spark, sf):
     return prompt.glossary_sample(rows).select("doc_id", F.md5("sample").alias("sample_md5"))
 
 
-@query("response_split", f"WITH {LINES} SELECT doc_id, {TRIM.format('substring(text, 1, 200)')} AS translation, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'note ' || doc_id END AS analysis FROM documents")
+@query("response_split", f"""WITH a AS (SELECT doc_id, string_split(text || CASE WHEN doc_id % 3 = 0 THEN '' ELSE chr(10) || '---' || chr(10) || ' note ' || doc_id || ' ---more' END, '---') AS p FROM documents)
+SELECT doc_id, {TRIM.format('p[1]')} AS translation, nullif({TRIM.format('p[2]')}, '') AS analysis FROM a""")
 def response_split(spark, sf):
     answer = F.expr("text || case when doc_id % 3 = 0 then '' else '\\n---\\n note ' || doc_id || ' ---more' end")
     return t(spark, sf, "documents").select("doc_id", fx.split_response(answer, F.lit(2)).alias("r")).select("doc_id", "r.translation", "r.analysis")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import document_queries
+from quire.plans import document_queries, function_queries  # noqa: F401  both register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

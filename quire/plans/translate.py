@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from quire.functions import text as fx
 from quire.operators import batching, protocol, render, structure, validate
 from quire.operators.jobs import with_retry
+from quire.sources.readers import first_existing
+from quire.sources.scratch import keep
 
 JSON_TASK = 'Translate each source into {}. Keep ⟦…⟧ tokens. Answer as {{"translations": {{id: text}}}}.'
 TEXT_TASK = "Translate each part into {}. Keep ⟦…⟧ tokens. Answer each part under its own @@id line."
@@ -72,9 +74,10 @@ def _round(blocks: DataFrame, client, language: str, max_chars: int, max_blocks:
 def translate_blocks(blocks: DataFrame, client, language: str = "zh-CN", max_chars: int = batching.MAX_CHARS, max_blocks: int = batching.MAX_BLOCKS, parallel: int = 2, store=None) -> DataFrame:
     """Blocks with the pending ones translated: a round of batches, then a round of single blocks for what failed.
 
-    ``store`` (DataFrame -> DataFrame) keeps a round's rows, so that a client is asked once; a persisted frame by default.
+    ``store`` (DataFrame -> DataFrame) keeps a round's rows, so that a client is asked once even if executors are lost; by
+    default a table in the shared folder. What is left after both rounds stays failed (see :func:`leftover`).
     """
-    store = store or (lambda df: df.persist())
+    store = store or keep
     pending = fx.is_pending(F.col("type"), F.col("translation"), F.col("status"))
     first = store(_round(blocks.where(pending), client, language, max_chars, max_blocks, parallel))
     second = store(_round(first.where("status = 'failed'"), client, language, 1, 1, min(2, parallel)))
@@ -83,6 +86,12 @@ def translate_blocks(blocks: DataFrame, client, language: str = "zh-CN", max_cha
     return kept.select(*[F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]).unionByName(done)
 
 
+def leftover(blocks: DataFrame) -> DataFrame:
+    """doc_id, error: documents whose blocks are still without a translation, with how many and the first ids."""
+    report = validate.missing_report(blocks)
+    return report.select("doc_id", F.concat(F.col("n_missing").cast("string"), F.lit(" blocks without a translation: "), F.array_join("first_ids", ", ")).alias("error"))
+
+
 def unfinished(sources: DataFrame, finished: DataFrame) -> DataFrame:
     """Sources whose (doc_id, fingerprint) has no finished row: what a rerun has left to do."""
     return sources.join(finished.select("doc_id", "fingerprint"), ["doc_id", "fingerprint"], "left_anti")
@@ -91,17 +100,30 @@ def unfinished(sources: DataFrame, finished: DataFrame) -> DataFrame:
 def run_documents(parsed: DataFrame, client, language: str = "zh-CN", store=None, **limits) -> tuple[DataFrame, DataFrame]:
     """Blocks and outcome (doc_id, valid, n_issues, error, body) of parsed documents: structure, translate, sanitize, validate, render.
     Only valid documents have a body."""
-    store = store or (lambda df: df.persist())
+    store = store or keep
     blocks = store(structure.structure_documents(parsed))
     todo = blocks.withColumn("translation", F.lit(None).cast("string"))
     done = protocol.repair_translations(translate_blocks(todo, client, language, store=store, **limits)).drop("changed")
     full = store(done.join(blocks.select("doc_id", "id", "asset_path", "source_asset_path"), ["doc_id", "id"]))
     issues = validate.issues(full, F.lit(language))
-    outcome = validate.rollup(parsed.select("doc_id"), issues)
+    outcome = validate.rollup(parsed.select("doc_id"), issues).join(leftover(full).withColumnRenamed("error", "_left"), "doc_id", "left")
+    outcome = outcome.withColumn("error", F.coalesce("_left", "error")).drop("_left")
     bodies = render.render_bodies(full)
     return full, outcome.join(bodies, "doc_id", "left").withColumn("body", F.when(F.col("valid"), F.col("body")))
 
 
+def resume_documents(parsed: DataFrame, client, root: str, language: str = "zh-CN", **limits) -> DataFrame:
+    """Outcomes (with fingerprint) of all runs kept under ``root``, after those of ``parsed`` (doc_id, fingerprint, markdown,
+    assets) without a valid one of the same fingerprint were run and added; a changed source is thus run again."""
+    spark, kept = parsed.sparkSession, f"{root}/outcomes"
+    schema = "doc_id bigint, valid boolean, n_issues bigint, error string, body string, fingerprint string"
+    before = spark.read.schema(schema).parquet(kept) if first_existing(spark, [kept]) else spark.createDataFrame([], schema)
+    todo = unfinished(parsed, before.where("valid"))
+    outcome = run_documents(todo, client, language, **limits)[1].join(todo.select("doc_id", "fingerprint"), "doc_id")
+    outcome.select(*[c.split()[0] for c in schema.split(", ")]).write.mode("append").parquet(kept)
+    return spark.read.schema(schema).parquet(kept)
+
+
 def repair_run(blocks: DataFrame, client, language: str = "zh-CN", **limits) -> DataFrame:
     """Boundaries merged with their translations reset, defective connectors cleared, the rest sanitized, and only what is
     then without a translation asked for again."""

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as fx
+from quire.operators.jobs import Truncated, with_retry
 from quire.operators.lexicon import from_csv, from_tsv, ingest_dictionary
+from quire.sources.writers import restore
 
 GLOSSARY = "library_id bigint, entries array<struct<term:string,translation:string,field:string,note:string>>"
 RECORD = "id:string,selected:string,context:string,level:int,result:string,item_id:string,page:int,ts_ms:bigint,operation:string,dictionary:struct<phonetic:string,translation:string,pos:string>,dictionary_only:boolean"
@@ -22,31 +24,40 @@ JOB = (
     "id string, attachment_id bigint, fingerprint string, stage string, last_active_stage string, completed bigint, total bigint, "
     "usage struct<prompt:bigint,completion:bigint,total:bigint,requests:bigint>, updated_ms bigint"
 )
+NO_TEXT, NO_MARKDOWN = "the document has no text", "the archive has no markdown"
 ITEMS = "doc_id bigint, page int, ord int, str string, x double, y double, width double, height double"
 
 
-def _json(spark: SparkSession, path: str, schema: str, mode: str = "DROPMALFORMED") -> DataFrame:
-    """A JSON scan; a missing path is an empty relation, broken files are skipped."""
+def _json(spark: SparkSession, path: str, schema: str, mode: str = "DROPMALFORMED", lines: bool = False) -> DataFrame:
+    """A JSON scan of whole files (or ``lines`` of them); a missing path is an empty relation, broken rows are skipped, a
+    cut-off replacement is undone."""
+    restore(spark, path)
     try:
-        return spark.read.schema(schema).option("mode", mode).option("ignoreMissingFiles", True).json(path, multiLine=True)
+        return spark.read.schema(schema).option("mode", mode).option("ignoreMissingFiles", True).json(path, multiLine=not lines)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_glossary(spark: SparkSession, path: str) -> DataFrame:
+def read_glossary(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """library_id, ord, term, translation, field, note."""
-    return _json(spark, path, GLOSSARY).select("library_id", F.posexplode("entries").alias("ord", "e")).select("library_id", F.col("ord").cast("bigint").alias("ord"), "e.*")
+    return _json(spark, path, GLOSSARY, lines=lines).select("library_id", F.posexplode("entries").alias("ord", "e")).select("library_id", F.col("ord").cast("bigint").alias("ord"), "e.*")
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, HISTORY).select("library_id", F.posexplode("records").alias("ord", "r")).select("library_id", F.col("ord").cast("bigint").alias("ord"), "r.*")
+def read_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, HISTORY, lines=lines).select("library_id", F.posexplode("records").alias("ord", "r")).select("library_id", F.col("ord").cast("bigint").alias("ord"), "r.*")
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+def read_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """All job files under a folder, broken ones skipped, the latest first."""
-    return _json(spark, path, JOB).where("id is not null").orderBy(F.col("updated_ms").desc(), "id")
+    return _json(spark, path, JOB, lines=lines).where("id is not null").orderBy(F.col("updated_ms").desc(), "id")
+
+
+def read_document(spark: SparkSession, path: str, job_id: str, lines: bool = False) -> DataFrame:
+    """The blocks a job has saved (:func:`quire.sources.writers.put_json` partitioned by job_id); none if there are none."""
+    blocks = "pos int, id string, type string, source string, translation string, status string, error string"
+    return _json(spark, f"{path}/job_id={job_id}", blocks, lines=lines)
 
 
 def read_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:
@@ -63,11 +74,19 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
-def read_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """word, phonetic, translation, pos of the first existing JSON-lines dictionary; none is an empty dictionary."""
+def read_dictionary(spark: SparkSession, paths: list[str], as_object: bool = False) -> DataFrame:
+    """word, phonetic, translation, pos of the first existing dictionary (user files before bundled ones); none is an empty dictionary.
+
+    A dictionary is JSON lines, or one object {word: {p, t, s}} with ``as_object``.
+    """
     schema = "word string, phonetic string, translation string, pos string"
     at = first_existing(spark, paths)
-    return spark.read.schema(schema).json(at) if at else spark.createDataFrame([], schema)
+    if not at:
+        return spark.createDataFrame([], schema)
+    if not as_object:
+        return spark.read.schema(schema).json(at)
+    whole = spark.read.text(at, wholetext=True).select(F.explode(F.from_json("value", "map<string,struct<p:string,t:string,s:string>>")).alias("word", "e"))
+    return whole.select("word", F.col("e.p").alias("phonetic"), F.col("e.t").alias("translation"), F.col("e.s").alias("pos"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -100,51 +119,74 @@ def selected_text(ranges):
     return fx.blank_to_null(F.array_join(good, " "))
 
 
-def parse_fulltext(rows: DataFrame) -> DataFrame:
-    """(doc_id, text, title) to (doc_id, markdown, assets); blank texts are an error."""
-    body = F.when(fx.js_trim(F.coalesce("text", F.lit(""))) == "", F.raise_error(F.lit("the document has no text"))).otherwise(fx.with_title(F.col("text"), F.col("title")))
-    return rows.select("doc_id", body.alias("markdown"), F.array().cast("array<struct<original_path:string,relative_path:string>>").alias("assets"))
+def parse_fulltext(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """(doc_id, text, title) to (doc_id, markdown, assets); a blank text is an error, or with ``strict=False`` a row whose error says so."""
+    blank = fx.js_trim(F.coalesce("text", F.lit(""))) == ""
+    shown = fx.with_title(F.col("text"), F.col("title"))
+    assets = F.array().cast("array<struct<original_path:string,relative_path:string>>").alias("assets")
+    if strict:
+        return rows.select("doc_id", F.when(blank, F.raise_error(F.lit(NO_TEXT))).otherwise(shown).alias("markdown"), assets)
+    return rows.select("doc_id", F.when(~blank, shown).alias("markdown"), assets, F.when(blank, NO_TEXT).alias("error"))
 
 
 def unpack_archives(archives: DataFrame) -> DataFrame:
-    """(doc_id, content) ZIP bytes to doc_id, markdown and assets: the longest .md wins (the first of equals), images are renamed
-    NNNN-name in member order; an archive without markdown is an error."""
+    """(doc_id, content) ZIP bytes to doc_id, markdown, assets and error: the longest .md wins (the first of equals), images are
+    renamed NNNN-name in member order with their media type; an archive without markdown, or a broken one, says so in error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        kind = pa.list_(pa.struct([("original_path", pa.string()), ("relative_path", pa.string())]))
+        kind = pa.list_(pa.struct([("original_path", pa.string()), ("relative_path", pa.string()), ("content_type", pa.string())]))
         for batch in batches:
-            marks, assets = [], []
+            marks, assets, errors = [], [], []
             for v in batch.column(1):
-                with zipfile.ZipFile(io.BytesIO(v.as_py())) as z:
-                    names = [n for n in z.namelist() if not n.endswith("/")]
-                    texts = [z.read(n).decode("utf-8", "replace") for n in names if n.lower().endswith(".md")]
-                    if not texts:
-                        raise ValueError("the archive has no markdown")
-                    marks.append(max(texts, key=len))
-                    images = [n for n in names if re.search(r"\.(png|jpe?g|gif|svg|webp|bmp)\Z", n, re.I)]
-                    assets.append([{"original_path": n, "relative_path": f"assets/{i:04d}-{re.sub('[^A-Za-z0-9._-]', '_', n.rsplit('/', 1)[-1])}"} for i, n in enumerate(images, 1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks), pa.array(assets, kind)], ["doc_id", "markdown", "assets"])
-
-    return archives.select("doc_id", "content").mapInArrow(run, "doc_id bigint, markdown string, assets array<struct<original_path:string,relative_path:string>>")
-
-
-def complete(prompts: DataFrame, client: Callable[[list[dict]], dict]) -> DataFrame:
-    """request_id, content, prompt, completion, total from (request_id, messages) by an injected client; empty answers are errors."""
+                mark, found, error = None, [], None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(v.as_py() or b"")) as z:
+                        names = [n for n in z.namelist() if not n.endswith("/")]
+                        texts = [z.read(n).decode("utf-8", "replace") for n in names if n.lower().endswith(".md")]
+                        mark, error = (max(texts, key=len), None) if texts else (None, NO_MARKDOWN)
+                        images = [n for n in names if n.rsplit(".", 1)[-1].lower() in fx.MEDIA and "." in n] if texts else []
+                        found = [{"original_path": n, "relative_path": f"assets/{i:04d}-{re.sub('[^A-Za-z0-9._-]', '_', n.rsplit('/', 1)[-1])}", "content_type": fx.MEDIA[n.rsplit(".", 1)[-1].lower()]} for i, n in enumerate(images, 1)]
+                except (zipfile.BadZipFile, OSError, RuntimeError) as e:
+                    error = str(e)
+                marks.append(mark)
+                assets.append(found)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), pa.array(assets, kind), pa.array(errors, pa.string())], ["doc_id", "markdown", "assets", "error"])
+
+    return archives.select("doc_id", "content").mapInArrow(run, "doc_id bigint, markdown string, assets array<struct<original_path:string,relative_path:string,content_type:string>>, error string")
+
+
+def complete(prompts: DataFrame, client: Callable[[list[dict]], dict], sleep: Callable[[float], None] | None = None) -> DataFrame:
+    """request_id, content, prompt, completion, total, error from (request_id, messages) by an injected client.
+
+    A request is tried again after errors that may pass and after truncated answers; what then fails, or answers nothing,
+    is a row with its error.
+    """
+    import time
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             out = []
             for r in rows.itertuples():
-                got = client([dict(m.asDict() if hasattr(m, "asDict") else m) for m in r.messages])
-                if not (got.get("content") or "").strip():
-                    raise ValueError(f"empty answer to {r.request_id}")
+
+                def once(r=r) -> dict:
+                    got = client([dict(m.asDict() if hasattr(m, "asDict") else m) for m in r.messages])
+                    if got.get("finish") == "length":
+                        raise Truncated("the answer was cut off")
+                    return got
+
+                try:
+                    got, error = with_retry(once, sleep or time.sleep), None
+                    error = None if (got.get("content") or "").strip() else "empty answer"
+                except Exception as e:  # noqa: BLE001  a failed request is a row
+                    got, error = {}, str(e)
                 used = got.get("usage") or {}
-                out.append((r.request_id, got["content"], *(int(used.get(k) or 0) for k in ("prompt", "completion", "total"))))
-            yield pd.DataFrame(out, columns=["request_id", "content", "prompt", "completion", "total"])
+                out.append((r.request_id, got.get("content"), *(int(used.get(k) or 0) for k in ("prompt", "completion", "total")), error))
+            yield pd.DataFrame(out, columns=["request_id", "content", "prompt", "completion", "total", "error"])
 
-    return prompts.select("request_id", "messages").mapInPandas(run, "request_id string, content string, prompt bigint, completion bigint, total bigint")
+    return prompts.select("request_id", "messages").mapInPandas(run, "request_id string, content string, prompt bigint, completion bigint, total bigint, error string")
 
 
 def string_pref(c, default: str):

@@ -1,15 +1,46 @@
-"""Sinks: whole-table replacement through the output committer, one file a key where a reader expects it."""
+"""Sinks: whole tables replaced by a rename, one file a key where a reader expects it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import threading
+from collections import defaultdict
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Writes of one path wait for each other.
+_QUEUES: dict[str, threading.Lock] = defaultdict(threading.Lock)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
 
 def put_json(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replaces a JSON table; the committer's rename makes the new files visible together."""
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).json(path)
+    """Replaces a JSON table: written beside, the old one is moved aside, the new one takes its place by a rename.
+
+    At every moment the path or ``<path>.old`` holds a whole table; :func:`restore` brings an old one back after a crash.
+    """
+    spark = df.sparkSession
+    with _QUEUES[path]:
+        restore(spark, path)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(*partition_by) if partition_by else writer).json(f"{path}.new")
+        (here, store), (new, _), (old, _) = (_files(spark, path + end) for end in ("", ".new", ".old"))
+        store.delete(old, True)
+        if store.exists(here):
+            store.rename(here, old)
+        if not store.rename(new, here):
+            raise OSError(f"{path} can't be replaced")
+        store.delete(old, True)
+
+
+def restore(spark: SparkSession, path: str) -> None:
+    """Undoes a replacement that was cut off between its two renames."""
+    (here, store), (old, _) = (_files(spark, path + end) for end in ("", ".old"))
+    if not store.exists(here) and store.exists(old):
+        store.rename(old, here)
 
 
 def save_stamped(df: DataFrame, path: str, now_ms: int | None = None) -> None:
@@ -23,16 +54,28 @@ def save_dictionary(dictionary: DataFrame, path: str) -> DataFrame:
     return dictionary.sparkSession.read.schema(dictionary.schema).json(path)
 
 
+def save_glossary(entries: DataFrame, path: str) -> None:
+    """(library_id, ord, term, translation, field, note): one JSON object a library, entries in order."""
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "translation", "field", "note"))), lambda e: e.dropFields("ord"))
+    put_json(entries.groupBy("library_id").agg(lists.alias("entries")), path)
+
+
+def save_history(records: DataFrame, path: str) -> None:
+    """(library_id, ord, ...): one JSON object a library, the newest record first."""
+    rest = [c for c in records.columns if c not in ("library_id", "ord")]
+    lists = F.transform(F.sort_array(F.collect_list(F.struct("ord", *rest)), asc=False), lambda r: r.dropFields("ord"))
+    put_json(records.groupBy("library_id").agg(lists.alias("records")), path)
+
+
 def save_html(bodies: DataFrame, path: str) -> None:
     """(name, html): a folder for each name with one text file, older ones of the same names replaced."""
-    spark = bodies.sparkSession
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "dynamic")
-    try:
-        bodies.select("name", F.col("html").alias("value")).write.mode("overwrite").option("lineSep", "\u0000").partitionBy("name").text(path)
-    finally:
-        spark.conf.set(key, before)
+    out = bodies.select("name", F.col("html").alias("value"))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+
+
+def save_markdown(parsed: DataFrame, path: str) -> None:
+    """(doc_id, markdown): the raw text of each document beside its blocks."""
+    parsed.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(path)
 
 
 def save_assets(assets: DataFrame, root: str) -> None:

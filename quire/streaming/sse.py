@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 END = "[DONE]"
+# Seconds of quiet before a refresh, milliseconds before a selection is acted on.
+QUIET, DEFER_MS = 0.12, 50
 PATH = "$.choices[0].delta.content"
 
 
@@ -86,6 +89,56 @@ def latest_progress(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id").agg(F.max_by(F.struct("stage", "message", "at_ms"), F.struct("at_ms", "ord")).alias("e")).select("job_id", "e.*")
 
 
+class Debouncer:
+    """Calls ``refresh`` once a burst of events has been quiet for a while (the last event's arguments count)."""
+
+    def __init__(self, refresh, quiet: float = QUIET):
+        self.refresh, self.quiet, self.timer, self.lock = refresh, quiet, None, threading.Lock()
+
+    def __call__(self, *args) -> None:
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.quiet, self.refresh, args)
+            self.timer.daemon = True
+            self.timer.start()
+
+
+class Throttle(StatefulProcessor):
+    """Per job: a progress row passes if the last one that passed is at least ``gap`` milliseconds older."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("throttle", "last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.state.get()[0] if self.state.exists() else None
+        kept = []
+        for at, ord_ in sorted((int(a), int(o)) for batch in rows for a, o in zip(batch["at_ms"], batch["ord"])):
+            if last is None or at - last >= self.gap:
+                last = at
+                kept.append((key[0], ord_, at))
+        if kept:
+            self.state.update((last,))
+            yield pd.DataFrame(kept, columns=["job_id", "ord", "at_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def throttle_stream(events: DataFrame, gap: int = 1000) -> DataFrame:
+    """Streaming form of :func:`quire.operators.jobs.throttled` over (job_id bigint, ord, at_ms); the state store must be RocksDB."""
+    return events.groupBy("job_id").transformWithStateInPandas(Throttle(gap), "job_id bigint, ord bigint, at_ms bigint", "Append", "None")
+
+
+def last_selection(selections: DataFrame, quiet_ms: int = DEFER_MS) -> DataFrame:
+    """Of the selections (reader, at_ms, ...) of a reader that follow each other within ``quiet_ms`` only the last is acted on."""
+    w = Window.partitionBy("reader").orderBy("at_ms")
+    return selections.withColumn("_n", F.lead("at_ms").over(w)).where(F.col("_n").isNull() | (F.col("_n") - F.col("at_ms") > quiet_ms)).drop("_n")
+
+
 def fan_out(*sinks):
     """A foreachBatch function that hands each micro-batch to every sink; one sink's error doesn't keep the others from theirs."""
 

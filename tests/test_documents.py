@@ -2,6 +2,8 @@
 
 import io
 import json
+import threading
+import time
 import zipfile
 
 import pytest
@@ -228,8 +230,8 @@ def test_repair_over_floats_and_native_finder(spark):
 # protocol
 def test_protect_and_restore(spark):
     source = "See `x` and <b>y</b>, $a$ at https://e.org/q) or 10.1000/ab.1; as Smith et al. (2019) say (Jones, 2001, p. 3)."
-    text, spans = protocol.protect(source)
-    assert [t.strip("⟦⟧").split("_")[0] for t, _ in spans] == ["CODE", "CODE", "CODE", "MATH", "URL", "DOI", "CIT", "CIT"]
+    first = protocol.protect_texts(spark.createDataFrame([(source,)], "source string")).first()
+    assert [s.token.strip("⟦⟧").split("_")[0] for s in first.spans] == ["CODE", "CODE", "CODE", "MATH", "URL", "DOI", "CIT", "CIT"]
     rows = protocol.protect_texts(spark.createDataFrame([(1, f" {source} "), (2, "see (https://x.org 2019)"), (3, None)], "id int, source string"))
     got = {r.id: (r.r.text, r.r.lost) for r in rows.withColumn("r", protocol.restore(F.col("protected"), F.col("spans"))).collect()}
     assert got[1] == (source, None) and got[2] == (None, "⟦URL_0⟧") and got[3] == ("", None)  # a span in a span is lost unless asked for
@@ -313,6 +315,97 @@ def test_job_manager():
     assert m.resume("k")["stage"] == "paused"
 
 
+def test_jobs_outlive_their_manager(tmp_path):
+    stages = {s: (lambda state, s=s: state | {s: state.get(s, 0) + 1}) for s in jobs.STAGES[:-1]}
+    make = lambda **more: jobs.JobManager(stages, consented=True, store=jobs.JobStore(f"file://{tmp_path}"), **more)
+    m = make()
+    assert m.start("a", "f", "att")["stage"] == "completed"
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "job.json").write_text("{no")
+    again = make()
+    assert again.start("b", "f", "att")["id"] == "a" and list(again.jobs) == ["a"]  # the output exists: the same job
+    gone = make(output_exists=lambda job: False)
+    assert gone.start("b", "f", "att")["state"] == {s: 1 + (s in ("validating", "rendering", "attaching")) for s in jobs.STAGES[:-1]}
+    assert gone.start("b", "other", "att")["id"] == "b" and len(gone.jobs) == 2
+    gone.cancel("b")
+    assert make().start("c", "other", "att")["id"] == "c"  # a cancelled job isn't reused
+    refused = make(refusal=lambda job: "no key")
+    with pytest.raises(PermissionError, match="no key"):
+        refused.resume("a")
+    held = make()
+    held._move(held.jobs["a"], "translating")
+    assert make().jobs["a"]["stage"] == "paused" and make().jobs["a"]["last_active_stage"] == "translating"
+    held.store.save = lambda job: (_ for _ in ()).throw(OSError("disk full eyJ" + "a" * 20 + "." + "b" * 20 + "." + "c" * 20))
+    assert held.resume("a")["stage"] == "completed" and ("save", "disk full <redacted-token>") in held.jobs["a"]["events"]
+
+
+def test_pause_ends_the_running_stage(spark):
+    def slow(state):
+        began.set()
+        return {"n": spark.range(0, 1 << 40, 1, 4).selectExpr("sum(id % 7)").collect()}
+
+    began = threading.Event()
+    m = jobs.JobManager({"translating": slow, "rendering": lambda s: s}, consented=True, spark=spark)
+    run = threading.Thread(target=m.start, args=("j", "f"))
+    run.start()
+    assert began.wait(30)
+    time.sleep(1)
+    assert m.start("j", "f")["attempt"] == 1  # a job runs once at a time
+    m.pause("j")
+    run.join(30)
+    assert not run.is_alive() and m.jobs["j"]["stage"] == "paused" and m.jobs["j"]["last_active_stage"] == "translating"
+
+
+def test_aborted_waits_and_truncated_answers(spark):
+    stop = threading.Event()
+    stop.set()
+    with pytest.raises(jobs.Aborted):
+        jobs.with_retry(lambda: 1 / 0, jobs.abortable_sleep(stop))
+    answers = iter([{"content": "half", "finish": "length"}, {"content": "whole"}])
+    assert jobs.with_retry(lambda: readers_once(next(answers)), lambda s: None)["content"] == "whole"
+    rows = spark.createDataFrame([("r1", [("user", "hi")]), ("r2", [("user", "cut")])], "request_id string, messages array<struct<role:string,content:string>>")
+    got = {r.request_id: (r.content, r.error) for r in readers.complete(rows, lambda m: {"content": "ok", "finish": "length" if m[0]["content"] == "cut" else "stop"}, sleep=lambda s: None).collect()}
+    assert got == {"r1": ("ok", None), "r2": (None, "the answer was cut off")}
+
+
+def readers_once(answer):
+    if answer.get("finish") == "length":
+        raise jobs.Truncated
+    return answer
+
+
+def test_replacement_is_whole_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda v: spark.createDataFrame([(v,)], "id string")
+    writers.put_json(frame("one"), path)
+    writers.put_json(spark.read.json(path).selectExpr("concat(id, ' two') as id"), path)  # what is replaced may be what is read
+    assert spark.read.json(path).first().id == "one two"
+    (tmp_path / "t").rename(tmp_path / "t.old")  # a crash between the two renames
+    assert readers.read_jobs(spark, path, lines=True).first().id == "one two"
+
+
+def test_debounced_refresh():
+    seen = []
+    refresh = sse.Debouncer(seen.append, 0.05)
+    for i in range(5):
+        refresh(i)
+    time.sleep(0.3)
+    assert seen == [4]
+
+
+def test_throttle_stream_equals_its_batch_twin(spark, tmp_path):
+    rows = [(j, o, at) for j in (1, 2) for o, at in enumerate((0, 400, 1000, 1999, 2000, 5000, 5100))]
+    batch = sorted((r.job_id, r.ord) for r in jobs.throttled(spark.createDataFrame(rows, "job_id bigint, ord bigint, at_ms bigint")).collect())
+    assert batch == [(j, o) for j in (1, 2) for o in (0, 2, 4, 5)]
+    for part in ([r for r in rows if r[1] < 4], [r for r in rows if r[1] >= 4]):
+        spark.createDataFrame(part, "job_id bigint, ord bigint, at_ms bigint").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age
+    stream = spark.readStream.schema("job_id bigint, ord bigint, at_ms bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = sse.throttle_stream(stream).writeStream.format("memory").queryName("throttled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.job_id, r.ord) for r in spark.table("throttled").collect()) == batch
+
+
 def test_retry():
     calls, waits = [], []
 
@@ -356,7 +449,7 @@ def test_json_scans(spark, tmp_path):
     writers.save_stamped(spark.createDataFrame([("z",)], "id string"), str(tmp_path / "out"), 7)
     assert readers.read_job(spark, str(tmp_path / "out"), "z").first().updated_ms == 7
     writers.save_html(spark.createDataFrame([("n", "<p>\nx")], "name string, html string"), str(tmp_path / "html"))
-    assert spark.read.text(str(tmp_path / "html"), wholetext=True).first().value.rstrip("\0") == "<p>\nx"
+    assert spark.read.text(str(tmp_path / "html"), wholetext=True).first().value == "<p>\nx\n"
     assert writers.save_preferences({"concurrency": 9, "batch_chars": 1, "output_tokens": 5000}) == {"concurrency": 4, "batch_chars": 4000, "output_tokens": 5000}
 
 
@@ -369,8 +462,16 @@ def test_archives_and_fulltext(spark):
     assert got.markdown == "longer text" and [(a.original_path, a.relative_path) for a in got.assets] == [("img/p 1.PNG", "assets/0001-p_1.PNG")]
     full = readers.parse_fulltext(spark.createDataFrame([(1, "the Title here. x", "The title"), (2, "body", "Other")], "doc_id bigint, text string, title string"))
     assert [r.markdown for r in full.orderBy("doc_id").collect()] == ["the Title here. x", "# Other\n\nbody"]
+    blank = spark.createDataFrame([(1, " ", "t")], "doc_id bigint, text string, title string")
     with pytest.raises(Exception, match="no text"):
-        readers.parse_fulltext(spark.createDataFrame([(1, " ", "t")], "doc_id bigint, text string, title string")).collect()
+        readers.parse_fulltext(blank).collect()
+    assert tuple(readers.parse_fulltext(blank, strict=False).select("markdown", "error").first()) == (None, "the document has no text")
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("n.txt", "n")
+    rows = spark.createDataFrame([(1, bytearray(bare.getvalue())), (2, bytearray(b"no zip")), (3, None)], "doc_id bigint, content binary")
+    got = {r.doc_id: (r.markdown, r.error) for r in readers.unpack_archives(rows).collect()}
+    assert got[1] == (None, "the archive has no markdown") and all(got[i][0] is None and got[i][1] for i in (2, 3))  # a row each, not a failed job
 
 
 def test_completion_client(spark):

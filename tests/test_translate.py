@@ -48,6 +48,16 @@ def test_documents_end_to_end(spark):
     assert translate.unfinished(sources, finished).count() == 2
 
 
+def test_runs_go_on_from_what_is_kept(spark, tmp_path):
+    spec = "doc_id bigint, markdown string, assets array<struct<original_path:string,relative_path:string>>, fingerprint string"
+    frame = lambda *rows: spark.createDataFrame([(i, m, [], f) for i, m, f in rows], spec)
+    first = frame((1, "# T\n\nOne ends.", "f"), (2, "# T\n\na leak", "f"))
+    got = {r.doc_id: (r.valid, r.error) for r in translate.resume_documents(first, client, str(tmp_path)).collect()}
+    assert got == {1: (True, None), 2: (False, "1 blocks without a translation: b0002")}
+    again = translate.resume_documents(frame((1, "# T\n\nOne ends.", "f"), (2, "# T\n\nTwo ends.", "g")), client, str(tmp_path))
+    assert sorted((r.doc_id, r.fingerprint, r.valid) for r in again.collect()) == [(1, "f", True), (2, "f", False), (2, "g", True)]
+
+
 def test_labels(spark):
     entry = "struct<phonetic:string,translation:string,pos:string>"
     rows = spark.createDataFrame([("w", "ctx", ("f", "译", "n."), " res ", "lookup", 2), ("w", None, None, " ", None, 3)], f"s string, c string, e {entry}, r string, o string, l int")
