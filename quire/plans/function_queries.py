@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from quire.functions import labels
 from quire.functions import text as fx
 from quire.operators import context, history, jobs, lexicon, prompt, protocol, render, structure, validate
+from quire.plans import translate
 from quire.plans.document_queries import _ESC, LINES, SENTENCES, TRIM, doc_lines, long, query, t
 from quire.sources import readers, scratch, writers
 from quire.streaming import sse
@@ -567,3 +570,53 @@ def archive_unpack(spark, sf):
     made = t(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), zipped("html", F.col("page_id") % 3 == 0).alias("content"))
     shown = F.array_join(F.transform("assets", lambda a: F.concat_ws(">", a["original_path"], a["relative_path"], a["content_type"])), ",")
     return readers.unpack_archives(made).select("doc_id", F.md5("markdown").alias("markdown_md5"), shown.alias("assets"), "error")
+
+
+# runs ------------------------------------------------------------------------------------------------------------------------------
+def _answering(messages: list[dict], as_json: bool) -> str:
+    """A client that puts a Z before each text, leaves out every seventh block in company and answers every eleventh with a marker."""
+    blocks = json.loads(messages[1]["content"]) if as_json else []
+    place = {b["id"]: int(b["id"][1:]) - 1 for b in blocks}
+    return json.dumps({"translations": {b["id"]: "@@x" if place[b["id"]] % 11 == 0 else f"Z{b['source']}" for b in blocks if place[b["id"]] % 7 or len(blocks) == 1}})
+
+
+@query("translation_rounds", f"""WITH {LINES}, b AS (SELECT doc_id, pos, line, CASE WHEN pos % 4 = 3 THEN 'image' ELSE 'paragraph' END AS type, CASE WHEN pos % 5 = 4 THEN 'done' END AS old FROM lines WHERE {TRIM.format('line')} <> ''),
+s AS (SELECT *, type = 'image' OR old IS NOT NULL AS kept FROM b)
+SELECT doc_id, pos::INTEGER AS pos, printf('b%04d', pos + 1) AS id, CASE WHEN kept THEN old WHEN pos % 11 = 0 THEN NULL ELSE {TRIM.format("'Z' || line")} END AS translation, CASE WHEN kept THEN 'as it was' WHEN pos % 11 = 0 THEN 'failed' ELSE 'translated' END AS status, CASE WHEN NOT kept AND pos % 11 = 0 THEN 'protocol marker' END AS error FROM s""")
+def translation_rounds(spark, sf):
+    """All lines through batches and the repair round; images and what has a translation stay."""
+    rows = doc_lines(spark, sf).where(fx.js_trim(F.col("line")) != "").select("doc_id", "pos", F.format_string("b%04d", F.col("pos") + 1).alias("id"), F.when(F.col("pos") % 4 == 3, "image").otherwise("paragraph").alias("type"), F.col("line").alias("source"), F.when(F.col("pos") % 5 == 4, "done").alias("translation"), F.lit("as it was").alias("status"), F.lit(None).cast("string").alias("error"))
+    return translate.translate_blocks(rows, _answering, "zh-CN", parallel=4).select("doc_id", "pos", "id", "translation", "status", "error")
+
+
+@query("document_runs", f"""WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS bad FROM documents) SELECT doc_id, 'f' || doc_id % 2 AS fingerprint, NOT bad AS valid, CASE WHEN bad THEN '1 blocks without a translation: b0012' END AS error, NOT bad AS has_body FROM d""")
+def document_runs(spark, sf):
+    """Every document as a paper of a few lines, run in two goes of which the second finds the valid ones of the first done."""
+    lines = F.transform(F.sequence(F.lit(1), F.when(F.col("doc_id") % 3 == 0, 11).otherwise(5)), lambda i: F.concat(F.lit("Line "), i.cast("string"), F.lit(" of "), F.substring(F.regexp_replace("text", r"[^A-Za-z ]", ""), 1, 20), F.lit(".")))
+    parsed = t(spark, sf, "documents").select("doc_id", F.concat(F.lit("# T\n\n"), F.array_join(lines, "\n\n")).alias("markdown"), F.expr("cast(array() as array<struct<original_path:string,relative_path:string>>)").alias("assets"), F.concat(F.lit("f"), (F.col("doc_id") % 2).cast("string")).alias("fingerprint"))
+    client = lambda messages, as_json: _answering(messages, as_json).replace('"b0001": "@@x"', '"b0001": "Z T"')
+    root = scratch.fresh_path(spark, "runs")
+    translate.resume_documents(parsed.where("doc_id % 2 = 0"), client, root, parallel=4)
+    done = translate.resume_documents(parsed, client, root, parallel=4)
+    return done.select("doc_id", "fingerprint", "valid", "error", F.col("body").isNotNull().alias("has_body")).distinct()
+
+
+@query("job_runs", """SELECT 'j' || n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN 'failed' ELSE 'completed' END AS stage, CASE WHEN n_nationkey % 5 = 0 THEN 'translating' ELSE 'attaching' END AS last_active_stage,
+CASE WHEN n_nationkey % 5 = 0 THEN 'key <redacted-api-key> of ' || n_nationkey END AS error, CASE n_nationkey WHEN 0 THEN 2 ELSE 1 END::BIGINT AS attempt FROM nation WHERE n_nationkey < 20""")
+def job_runs(spark, sf):
+    """A job for each nation, the last five asking for the attachments of the first five: a finished one is returned, a failed one run again."""
+
+    def translating(state: dict) -> dict:
+        if state["n"] % 5 == 0:
+            raise ValueError(f"key sk-abcdefgh{state['n']:04d} of {state['n']}")
+        return state
+
+    root = scratch.fresh_path(spark, "job-runs")
+    stages = {s: (lambda state: state) for s in jobs.STAGES[:-1]} | {"translating": translating}
+    manager = jobs.JobManager(stages, consented=True, store=jobs.JobStore(root if "://" in root else f"file://{root}"))
+    for r in t(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").toLocalIterator():
+        n = r.n_nationkey
+        manager.stages["extracting"] = lambda state, n=n: {"n": n}
+        manager.start(f"j{n}", "f", f"a{n % 20}")
+    schema = "id string, stage string, last_active_stage string, error string, attempt bigint"
+    return spark.read.schema(schema).json(f"{root}/*/job.json", multiLine=True)
