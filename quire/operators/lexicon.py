@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.text import is_lookup_candidate, js_trim
+from quire.functions.text import WS, is_lookup_candidate, js_trim
 
 # Terms in a prompt, terms of a paper, terms taken from a model, from how many entries a dictionary is the full one.
 PROMPT_TERMS, PAPER_TERMS, GENERATED_TERMS, FULL_DICTIONARY = 53, 40, 30, 200_000
@@ -50,21 +50,38 @@ def entry_lists(glossary: DataFrame, columns: tuple[str, ...] = ("term", "transl
     return glossary.groupBy("library_id").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("entries"))
 
 
-def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS) -> DataFrame:
+def _keyed(texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """With the keys as one value, in which nulls are equal."""
+    return texts.withColumn("_by", F.struct(*keys))
+
+
+def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS, keys: tuple[str, ...] = ("library_id", "selected", "context")) -> DataFrame:
     """texts (library_id, selected, context, ...) with terms: those in the selection first, then those in the context only.
 
-    A library's entries travel as one array by an equi-join, so no text meets another library's terms and no pairs are
-    made; texts and terms are lower-cased once.
+    A term without white space stands in one word of a text, so each different word of a library's texts is compared with
+    the library's terms once, and texts get their terms by an equi-join on words; other terms (and the empty one, which
+    stands in every text) are looked for in the texts. ``keys`` name columns that tell texts apart (with library_id); an
+    id is cheaper than the texts themselves.
     """
-    entry = "struct<ord:bigint,term:string,translation:string,field:string,note:string,low:string>"
-    lists = entry_lists(glossary.withColumn("low", F.lower("term")), ("term", "translation", "field", "note", "low"))
+    texts, by, gap = _keyed(texts, keys), ["_by", "library_id"], rf"[{WS}]+"
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
-    joined = texts.join(lists, "library_id", "left").withColumn("_s", low("selected")).withColumn("_c", low("context"))
-    own = F.coalesce("entries", F.array().cast(f"array<{entry}>"))
-    inside = F.filter(own, lambda e: F.instr(F.col("_s"), e["low"]) > 0)
-    around = F.filter(own, lambda e: (F.instr(F.col("_s"), e["low"]) == 0) & (F.instr(F.col("_c"), e["low"]) > 0))
-    shown = F.transform(F.slice(F.concat(inside, around), 1, most), lambda e: e.dropFields("low"))
-    return joined.withColumn("terms", shown).drop("entries", "_s", "_c")
+    lists = entry_lists(glossary.withColumn("_low", F.lower("term")), ("term", "translation", "field", "note", "_low"))
+    numbered = F.transform("entries", lambda e, i: F.struct(i.alias("i"), e["_low"].alias("low"), e["_low"].rlike(rf"^\z|[{WS}]").alias("loose")))
+    terms = lists.select("library_id", "entries", F.filter(numbered, lambda e: ~e["loose"]).alias("_solid"), F.filter(numbered, lambda e: e["loose"]).alias("_loose"))
+    both = F.array(*[F.struct(F.lit(k).alias("tier"), F.array_distinct(F.split(low(c), gap)).alias("words")) for k, c in enumerate(("selected", "context"))])
+    words = texts.select(*by, F.explode(both).alias("b")).select(*by, "b.tier", F.explode("b.words").alias("_word")).where("_word <> ''")
+    met = words.select("library_id", "_word").distinct().join(terms.select("library_id", "_solid"), "library_id")
+    met = met.select("library_id", "_word", F.transform(F.filter("_solid", lambda e: F.instr(F.col("_word"), e["low"]) > 0), lambda e: e["i"]).alias("_hits")).where(F.size("_hits") > 0)
+    hit = words.join(met, ["library_id", "_word"]).select(*by, "tier", F.explode("_hits").alias("_i")).groupBy(*by, "_i").agg(F.min("tier").alias("tier"))
+    found = hit.groupBy(*by).agg(F.collect_list(F.struct("tier", F.col("_i").alias("i"))).alias("_found"))
+    joined = texts.join(found, by, "left").join(terms.select("library_id", "entries", "_loose"), "library_id", "left")
+    tier = lambda e: F.when(F.instr(low("selected"), e["low"]) > 0, 0).when(F.instr(low("context"), e["low"]) > 0, 1)
+    places = "array<struct<tier:int,i:int>>"
+    others = F.filter(F.transform("_loose", lambda e: F.struct(tier(e).alias("tier"), e["i"].alias("i"))), lambda x: x["tier"].isNotNull())
+    none = F.array().cast(places)
+    chosen = F.slice(F.array_sort(F.concat(F.coalesce("_found", none), F.coalesce(others.cast(places), none))), 1, most)
+    shown = F.transform(chosen, lambda x: F.get("entries", x["i"]).dropFields("_low"))
+    return joined.withColumn("terms", F.coalesce(shown, F.array().cast("array<struct<ord:bigint,term:string,translation:string,field:string,note:string>>"))).drop("entries", "_loose", "_found", "_by")
 
 
 _RUN = "[A-Za-z0-9]+"
@@ -84,7 +101,7 @@ def match_bounded(texts: DataFrame, glossary: DataFrame, most: int = PAPER_TERMS
     """
     quoted = lambda t: F.regexp_replace(t, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     pattern = lambda p: F.concat(F.lit("(?iu)(?:^|[^A-Za-z0-9])"), p, F.lit(r"(?:\z|[^A-Za-z0-9])"))
-    by = list(dict.fromkeys([*keys, "library_id"]))
+    texts, by = _keyed(texts, keys), ["_by", "library_id"]
     runs = _runs(F.col("term"))
     entries = glossary.where(js_trim(F.col("term")) != "").select("library_id", "ord", "term", F.get(runs, F.lit(0)).alias("_run"), F.when(~F.col("term").rlike(rf"^{_RUN}\z"), pattern(quoted(F.col("term")))).alias("pattern"))
     loose = entries.where("_run is null").groupBy("library_id").agg(F.collect_list(F.struct("ord", "term", "pattern")).alias("_loose"))
@@ -94,7 +111,7 @@ def match_bounded(texts: DataFrame, glossary: DataFrame, most: int = PAPER_TERMS
     joined = texts.join(met, by, "left").join(loose, "library_id", "left")
     both = F.array_sort(F.concat(F.coalesce("_met", none), F.coalesce("_loose", none)))
     found = F.filter(both, lambda e: e["pattern"].isNull() | F.coalesce(F.regexp_like("text", e["pattern"]), F.lit(False)))
-    return joined.withColumn("terms", F.transform(F.slice(found, 1, most), lambda e: e["term"])).drop("_met", "_loose")
+    return joined.withColumn("terms", F.transform(F.slice(found, 1, most), lambda e: e["term"])).drop("_met", "_loose", "_by")
 
 
 def merge_glossary(entries: DataFrame, fold_case: bool = True) -> DataFrame:

@@ -170,7 +170,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY tier, ord
 SELECT conv_id, turn, count(*)::BIGINT AS n_terms, string_agg(term, ',' ORDER BY n) AS terms FROM r WHERE n <= 53 GROUP BY conv_id, turn""")
 def glossary_match_tiered(spark, sf):
     texts = t(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") % 3).alias("library_id"), F.substring("text", 1, 40).alias("selected"), F.col("text").alias("context"))
-    found = lexicon.match_tiered(texts, _terms(spark, sf)).where(F.size("terms") > 0)
+    found = lexicon.match_tiered(texts, _terms(spark, sf), keys=("conv_id", "turn")).where(F.size("terms") > 0)
     return found.select("conv_id", "turn", long(F.size("terms")).alias("n_terms"), F.array_join(F.transform("terms", lambda e: e["term"]), ",").alias("terms"))
 
 

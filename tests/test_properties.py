@@ -97,6 +97,20 @@ def test_terms_between_borders_equal_the_pattern(spark):
         assert r.terms == [w for w in own if found(texts[r.i], w)], (r.i, r.library_id)
 
 
+def test_tiered_terms_equal_the_rule(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice(["a", "B", "b", "é", " ", "\n", ".", "语"]) for _ in range(rng.randint(0, n)))
+    terms = sorted({word(3) for _ in range(60)})
+    glossary = spark.createDataFrame([(d, 2 * i, w, w, None, None) for d in (1, 2) for i, w in enumerate(terms) if d == 1 or i % 3], "library_id bigint, ord bigint, term string, translation string, field string, note string")
+    rows = [(i, 1 + i % 3, word(5) if i % 9 else None, word(12) if i % 7 else None) for i in range(120)]
+    frame = spark.createDataFrame(rows, "i bigint, library_id bigint, selected string, context string")
+    for keys in (("i",), ("library_id", "selected", "context")):
+        for r in lexicon.match_tiered(frame, glossary, 20, keys).collect():
+            own = [w for i, w in enumerate(terms) if r.library_id == 1 or r.library_id == 2 and i % 3]
+            s, c = (r.selected or "").lower(), (r.context or "").lower()
+            assert [e.term for e in r.terms] == ([w for w in own if w.lower() in s] + [w for w in own if w.lower() not in s and w.lower() in c])[:20]
+
+
 def test_sanitizing_and_stitching(spark):
     rng = random.Random(2)
     parts = ["[TYPE=title] ", "TYPE: quote\n", "text ", "**", "\n", "TYPE"]
