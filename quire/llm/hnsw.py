@@ -2,8 +2,14 @@
 
 Largest inner product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2) with M the shard's longest
 norm, so the graphs are metric for vectors of any length. Equal vectors are one node that keeps the smallest ids, as
-many as a result can use. Every query visits every shard; shard results are scored again in double precision on the
-original vectors and merged. Query rows are a stated set (ids divisible by ``every``) and go out in blocks.
+many as a result can use. Shard results are scored again in double precision on the original vectors and merged. Query
+rows are a stated set (ids divisible by ``every``) and go out in blocks.
+
+Shards grow with the table, so that a query visits ``EVERYWHERE`` of them at most: its work then grows like a graph's
+depth. Where shards reach ``BYTES`` of vectors and there would be more of them, rows are dealt to cells by their nearest
+centre (k-means over a bounded sample; every row is indexed, cells are split into shards of that size) and a query
+visits the cells nearest to it, as many as hold ``REACH`` of the neighbours inside the sample. Vectors without any
+structure then need most of the cells.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
 vectors of another length than the query's are no candidates; ties go to the smaller id; fewer candidates than ``k`` are all returned; rows of a repeated id count once, by their nearest vector (as a query: by the least); an empty table gives an empty result; other columns are ignored.
@@ -21,10 +27,15 @@ from pyspark.sql import functions as F
 
 from quire.llm._common import materialize, table
 
-#: Nodes of a shard on average; links of a node (twice as many on the ground layer); beam widths of building and searching.
-SHARD, LINKS, BUILD, SEARCH = 4096, 16, 80, 120
+#: Nodes of a shard at least; links of a node (twice as many on the ground layer); beam widths of building and searching.
+SHARD, LINKS, BUILD, SEARCH = 4096, 16, 80, 160
 #: Queries of a block.
-BLOCK = 1024
+BLOCK = 4096
+#: Shards that a query visits at most without routing; bytes of the vectors of a shard at most (one node at least).
+EVERYWHERE, BYTES = 8, 1 << 26
+#: Routing: rows of the sample that centres are fitted on (about, twice as many at most), centres at most, rounds of fitting,
+#: sample rows that measure the reach of cells, and the share of their neighbours that the visited cells hold.
+SAMPLE, CENTRES, ROUNDS, PROBES, REACH = 32_768, 1024, 12, 256, 0.97
 
 
 class Graph:
@@ -164,9 +175,48 @@ class Graph:
         return out
 
 
-def _lifted(vectors: np.ndarray) -> np.ndarray:
+def _lifted(vectors: np.ndarray, longest: float | None = None) -> np.ndarray:
     norms = np.einsum("ij,ij->i", vectors, vectors)
-    return np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
+    top = norms.max() if longest is None else longest
+    return np.hstack([vectors, np.sqrt(np.maximum(top - norms, 0))[:, None]]).astype(np.float32)
+
+
+def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances less the points' own squares."""
+    return np.einsum("ij,ij->i", centres, centres)[None, :] - 2.0 * (points @ centres.T)
+
+
+class Router:
+    """Cells of one dimension: rows go to the nearest centre, queries to the ``visits`` nearest centres."""
+
+    def __init__(self, sample: np.ndarray, longest: float, cells: int, k: int):
+        self.longest = longest
+        points = _lifted(sample, longest)
+        self.centres = points[:: max(1, len(points) // cells)][:cells].copy()
+        for _ in range(ROUNDS):
+            own = self.cells(sample)
+            counts = np.bincount(own, minlength=len(self.centres))
+            sums = np.zeros_like(self.centres, dtype=np.float64)
+            np.add.at(sums, own, points)
+            self.centres[counts > 0] = (sums[counts > 0] / counts[counts > 0, None]).astype(np.float32)
+        own, probes = self.cells(sample), sample[:PROBES]
+        nearness = probes @ sample.T
+        nearness[np.arange(len(probes)), np.arange(len(probes))] = -np.inf
+        best = np.argsort(-nearness, axis=1)[:, : min(k, len(sample) - 1)]
+        place = np.argsort(self._order(probes), axis=1)
+        ranks = np.take_along_axis(place, own[best], axis=1).ravel()
+        held = np.cumsum(np.bincount(ranks, minlength=len(self.centres))) / max(1, len(ranks))
+        self.visits = int(np.searchsorted(held, REACH)) + 1
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        points = _lifted(vectors, self.longest)
+        return np.concatenate([_distances(points[i : i + 4096], self.centres).argmin(axis=1) for i in range(0, len(points), 4096)]).astype(np.int32)
+
+    def _order(self, queries: np.ndarray) -> np.ndarray:
+        return np.argsort(_distances(np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32), self.centres), axis=1, kind="stable")
+
+    def visited(self, queries: np.ndarray) -> np.ndarray:
+        return self._order(queries)[:, : self.visits].astype(np.int32)
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -190,16 +240,66 @@ def _merge_equal(keep: int):
             for i, own in enumerate(ids.tolist()):
                 groups.setdefault((flat[ends[i] : ends[i + 1]] + 0.0).tobytes(), []).append(own)
             kept = [sorted(set(g))[:keep] for g in groups.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["v", "ids"])
+            norms = [float(np.square(np.frombuffer(v)).sum()) for v in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), pa.array(kept, pa.list_(pa.int64())), pa.array(norms, pa.float64())], ["v", "ids", "norm"])
 
     return run
 
 
-def build_index(vectors: DataFrame, keep: int = 21, shard: int = SHARD) -> DataFrame:
-    """One row a shard and dimension: shard, dim, ids (offsets and values), vectors, and the graph's flat arrays."""
-    merged = materialize(usable(vectors).mapInArrow(_merge_equal(keep), "v binary, ids array<bigint>"), "hnsw-vectors")
-    shards = max(1, -(-merged.count() // shard))
-    dealt = merged.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.octet_length("v").alias("dim"), "v", "ids")
+def merge_equal(vectors: DataFrame, keep: int) -> DataFrame:
+    """v (bytes), ids, dim: equal vectors of a task as one row; a written table."""
+    merged = usable(vectors).mapInArrow(_merge_equal(keep), "v binary, ids array<bigint>, norm double")
+    return materialize(merged.withColumn("dim", (F.octet_length("v") / 8).cast("int")), "hnsw-vectors")
+
+
+def plan_shards(merged: DataFrame, shard: int = SHARD, everywhere: int = EVERYWHERE, most: int = BYTES) -> DataFrame:
+    """dim, n, longest (squared), nodes (of a shard), shards: one row a dimension."""
+    per = merged.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("longest"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(most) / (F.col("dim") * 8)))
+    nodes = F.least(room, F.greatest(F.lit(shard), F.ceil(F.col("n") / everywhere)))
+    return per.withColumn("nodes", nodes.cast("bigint")).withColumn("shards", F.ceil(F.col("n") / F.col("nodes")))
+
+
+def fit_routers(merged: DataFrame, plan: DataFrame, k: int, everywhere: int = EVERYWHERE) -> dict[int, Router]:
+    """A router for each dimension with more shards than ``everywhere`` (each of them fills that many shards)."""
+    out = {}
+    for r in plan.where(F.col("shards") > everywhere).collect():
+        part = F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, SAMPLE / r["n"])))
+        rows = merged.where((F.col("dim") == r["dim"]) & part).select("v").limit(2 * SAMPLE).toPandas()["v"]
+        if len(rows) > 1:
+            out[r["dim"]] = Router(np.array([np.frombuffer(v) for v in sorted(map(bytes, rows))]), r["longest"], min(CENTRES, r["shards"], len(rows)), k)
+    return out
+
+
+def _celled(merged: DataFrame, routers: dict[int, Router]) -> DataFrame:
+    """With each row's cell; dimensions without a router are one cell."""
+    if not routers:
+        return merged.withColumn("cell", F.lit(0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = np.zeros(batch.num_rows, np.int32)
+            dims = batch.column("dim").to_numpy()
+            for dim, router in routers.items():
+                at = np.flatnonzero(dims == dim)
+                if len(at):
+                    cells[at] = router.cells(np.array([np.frombuffer(batch.column("v")[int(i)].as_buffer()) for i in at]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "ids", "dim")), pa.array(cells)], ["v", "ids", "dim", "cell"])
+
+    return materialize(merged.select("v", "ids", "dim").mapInArrow(run, "v binary, ids array<bigint>, dim int, cell int"), "hnsw-cells")
+
+
+def _tasks(units: int | None) -> int:
+    """Partitions for so many units of work, few of which shall meet in one."""
+    return min(20_000, 3 * (units or 0) + 1)
+
+
+def index_shards(merged: DataFrame, plan: DataFrame, routers: dict[int, Router], keep: int) -> DataFrame:
+    """One row a shard: dim, cell, shard, ids (offsets and values), vectors, and the graph's flat arrays."""
+    celled = _celled(merged, routers)
+    parts = celled.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("c")).join(plan.select("dim", "nodes"), "dim").select("dim", "cell", F.ceil(F.col("c") / F.col("nodes")).alias("parts"))
+    dealt = celled.join(parts, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("shard"), "v", "ids")
+    dealt = dealt.repartition(_tasks(plan.agg(F.sum("shards")).first()[0]), "dim", "cell", "shard")  # small, but long to build: never gathered in few tasks
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         groups: dict[bytes, set] = {}
@@ -209,26 +309,46 @@ def build_index(vectors: DataFrame, keep: int = 21, shard: int = SHARD) -> DataF
         points = np.array([np.frombuffer(v) for _, v, _ in nodes])
         graph = Graph(_lifted(points))
         ends = np.cumsum([0, *(len(i) for _, _, i in nodes)])
-        return pd.DataFrame([{"shard": int(key[0]), "dim": int(key[1]) // 8, "ends": ends.astype(np.int64).tobytes(), "ids": np.concatenate([i for _, _, i in nodes]).astype(np.int64).tobytes(), "vectors": points.tobytes(), **graph.to_arrays()}])
+        return pd.DataFrame([{"dim": int(key[0]), "cell": int(key[1]), "shard": int(key[2]), "ends": ends.astype(np.int64).tobytes(), "ids": np.concatenate([i for _, _, i in nodes]).astype(np.int64).tobytes(), "vectors": points.tobytes(), **graph.to_arrays()}])
+
+    return dealt.groupBy("dim", "cell", "shard").applyInPandas(run, "dim int, cell int, shard int, ends binary, ids binary, vectors binary, neighbours binary, shape binary")
+
+
+def build_index(vectors: DataFrame, keep: int = 21, shard: int = SHARD) -> DataFrame:
+    """The shards of all vectors, without routing (:func:`nearest` routes where the table needs it)."""
+    merged = merge_equal(vectors, keep)
+    return index_shards(merged, plan_shards(merged, shard), {}, keep)
+
 
-    return dealt.groupBy("shard", "dim").applyInPandas(run, "shard int, dim int, ends binary, ids binary, vectors binary, neighbours binary, shape binary")
+def query_blocks(queries: DataFrame, block: int = BLOCK, routers: dict[int, Router] | None = None) -> DataFrame:
+    """Queries packed: dim, cell, block, ids and vectors as bytes; a block of about ``block`` queries of one cell."""
+    routers = routers or {}
+    dealt = queries.select("id", F.size("v").alias("dim"), "v")
+    if routers:
 
+        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                rows["cell"] = [routers[d].visited(np.array(v, float)[None])[0] if d in routers else np.zeros(1, np.int32) for d, v in zip(rows["dim"], rows["v"])]
+                yield rows
 
-def query_blocks(queries: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Queries packed: block, dim, ids and vectors as bytes; a block of about ``block`` queries."""
-    n = max(1, -(-queries.count() // block))
-    dealt = queries.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), F.size("v").alias("dim"), "id", "v")
+        dealt = dealt.mapInPandas(visit, "id bigint, dim int, v array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
+    else:
+        dealt = dealt.withColumn("cell", F.lit(0))
+    counts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = dealt.join(counts, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
-        return pd.DataFrame([{"block": int(key[0]), "dim": int(key[1]), "qids": rows["id"].to_numpy(np.int64).tobytes(), "qs": np.array(list(rows["v"]), float).tobytes()}])
+        return pd.DataFrame([{"dim": int(key[0]), "cell": int(key[1]), "block": int(key[2]), "qids": rows["id"].to_numpy(np.int64).tobytes(), "qs": np.array(list(rows["v"]), float).tobytes()}])
 
-    return dealt.groupBy("block", "dim").applyInPandas(run, "block int, dim int, qids binary, qs binary")
+    return dealt.groupBy("dim", "cell", "block").applyInPandas(run, "dim int, cell int, block int, qids binary, qs binary")
 
 
 def search_index(index: DataFrame, blocks: DataFrame, k: int, width: int = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query over all shards."""
-    pairs = blocks.join(index, "dim").select("block", "shard", "dim", "qids", "qs", "ends", "ids", "vectors", "neighbours", "shape").repartition("block", "shard")
+    """query_id, rank, vec_id, score: the k nearest of each query over the shards of its cells."""
+    blocks = materialize(blocks, "hnsw-blocks")
+    units = blocks.select("dim", "cell").join(index.select("dim", "cell"), ["dim", "cell"]).count()
+    pairs = blocks.join(index, ["dim", "cell"]).select("block", "cell", "shard", "dim", "qids", "qs", "ends", "ids", "vectors", "neighbours", "shape").repartition(_tasks(units), "block", "cell", "shard")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -250,10 +370,13 @@ def search_index(index: DataFrame, blocks: DataFrame, k: int, width: int = SEARC
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int, k: int) -> DataFrame:
-    index = materialize(build_index(vectors, k + 1), "hnsw-index")
+def nearest(vectors: DataFrame, every: int, k: int, shard: int = SHARD, everywhere: int = EVERYWHERE, most: int = BYTES) -> DataFrame:
+    merged = merge_equal(vectors, k + 1)
+    plan = materialize(plan_shards(merged, shard, everywhere, most), "hnsw-plan")
+    routers = fit_routers(merged, plan, k, everywhere)
+    index = materialize(index_shards(merged, plan, routers, k + 1), "hnsw-index")
     queries = materialize(usable(vectors).where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")), "hnsw-queries")
-    return search_index(index, query_blocks(queries), k)
+    return search_index(index, query_blocks(queries, routers=routers), k)
 
 
 def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
