@@ -7,15 +7,17 @@ Two steps keep the work distributed and exact:
    same anchor form one context, a short byte string; only a few numbers of each context are shuffled. Contexts that
    occur whole more than once are decided by their count alone, however hot they are.
 2. Run-length index. The distinct contexts of anchors that have several are indexed together, in bounded groups, by a
-   run-compressed Burrows-Wheeler transform. Matching statistics (the longest match elsewhere of what starts at each
-   byte) are computed at the sampled run starts only and streamed over the rest: inside a run a match extends to
-   the left, so a value is its left neighbour's less one. Starts with a match of at least ``length`` bytes are marked.
+   run-compressed Burrows-Wheeler transform: symbol and length of every run, and the text positions sampled at its two
+   ends. Matching statistics (the longest match elsewhere of what starts at each byte) are measured between the ends of
+   neighbouring runs only and streamed over the text: inside a run a match extends to the left, so a value is its
+   left neighbour's less one. Starts with a match of at least ``length`` bytes are marked.
    An anchor whose distinct contexts outgrow a group is never gathered: its windows are counted by hash, salted by
    nothing but their own content, which gives the same marks.
 
 Defined results: null texts are empty, texts shorter than ``length`` keep everything; repeated rows count as
-occurrences of each other; strings are judged on the input; other columns are ignored. Context equality rests on two
-64-bit hashes.
+occurrences of each other; strings are judged on the input; an empty table gives an empty result; other columns are
+ignored or pass through by position, whatever their names. Context equality rests on two 64-bit hashes: with a million
+million distinct contexts, the odds that any two of them are taken for equal are below 2e-15.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import materialize, table, text_array, text_chunks
-from quire.llm.hashing import U, mix, prefix, ranges
+from quire.llm.hashing import NOT_SPACE, U, mix, prefix, ranges
 
 LENGTH = 400
 GRAM = 100
@@ -37,6 +39,8 @@ GRAM = 100
 PIECE, GROUP_BYTES = 1 << 22, 2_000_000
 #: Context bytes of one anchor above which its windows are told apart one by one, by hash, instead of in one group.
 HOT_BYTES = 8_000_000
+#: Partitions of index groups at most.
+TASKS = 20_000
 _PLACE = (1 << 23) - 1
 
 
@@ -111,10 +115,11 @@ def find_contexts(keyed: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 class RunLengthIndex:
-    """Run-compressed BWT of several strings, with suffix positions sampled at the starts of runs.
+    """Run-compressed BWT of several strings: symbols and lengths of the runs, text positions sampled at their first and
+    last ranks, and the common prefix across every border of two runs.
 
-    Prefix doubling sorts the suffixes; the ranks of every depth are kept as a ladder that gives the common prefix of
-    two suffixes in a few steps.
+    Prefix doubling sorts the suffixes; the ranks of every depth are a ladder that gives the common prefix of two
+    suffixes in a few steps. Order and ladder are only needed to build the index and are not kept.
     """
 
     def __init__(self, strings: list[np.ndarray]):
@@ -124,28 +129,31 @@ class RunLengthIndex:
         for s, at in zip(strings, self.base):
             text[at : at + len(s)] = s
             text[at : at + len(s)] += 1
-        self.text, n = text, len(text)
-        self.left = (np.repeat(self.base[1:] - 1, sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the string's end
+        n = self.n = len(text)
+        left = (np.repeat(self.base[1:] - 1, sizes + 1) - np.arange(n)).astype(np.int32)  # bytes up to the string's end
         depth = 7
         packed = np.zeros(n, U)
         for j in range(depth):
             packed <<= U(9)
             packed[: n - j] |= text[j:].astype(U)
-        self.order, rank = self._ranked(packed)
-        self.ladder = [(depth, rank)]
+        order, rank = self._ranked(packed)
+        ladder = [(depth, rank)]
         reach = int(sizes.max(initial=0)) + 1
-        while rank[self.order[-1]] < n - 1:  # to the last tie: run starts are only exact in a total order
+        while rank[order[-1]] < n - 1:  # to the last tie: run borders are only exact in a total order
             key = rank.astype(U) << U(32)
             key[: n - min(depth, n)] |= (rank[depth:] + 1).astype(U)
-            self.order, rank = self._ranked(key)
+            order, rank = self._ranked(key)
             depth *= 2
             if depth < reach:
-                self.ladder.append((depth, rank))
-        before = text[self.order - 1]
+                ladder.append((depth, rank))
+        before = text[order - 1]
         new = np.ones(n, bool)
         new[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # a string's first byte extends no match to the left
-        self.samples = np.flatnonzero(new)  # ranks of run starts
-        self.run_symbols = before[self.samples]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], n) - 1
+        self.run_symbols, self.run_lengths = before[first], last - first + 1
+        self.heads, self.tails = order[first], order[last]
+        self.borders = self._common(text, left, ladder, self.heads[1:], self.tails[:-1])
 
     @staticmethod
     def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,34 +165,33 @@ class RunLengthIndex:
         rank[order] = new
         return order, rank
 
-    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _common(text: np.ndarray, left: np.ndarray, ladder: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Common prefixes of suffix pairs inside their strings: down the ladder, then byte by byte below its first step."""
-        most, top = np.minimum(self.left[x], self.left[y]), len(self.text) - 1
+        most, top = np.minimum(left[x], left[y]), len(text) - 1
         out = np.zeros(len(x), np.int64)
-        for depth, rank in reversed(self.ladder):
+        for depth, rank in reversed(ladder):
             out += depth * (rank[np.minimum(x + out, top)] == rank[np.minimum(y + out, top)])
         live = np.flatnonzero(out < most)
-        for _ in range(self.ladder[0][0] - 1):
+        for _ in range(ladder[0][0] - 1):
             own = out[live]
-            live = live[self.text[np.minimum(x[live] + own, top)] == self.text[np.minimum(y[live] + own, top)]]
+            live = live[text[np.minimum(x[live] + own, top)] == text[np.minimum(y[live] + own, top)]]
             out[live] += 1
         return np.minimum(out, most)
 
     def matching_statistics(self) -> np.ndarray:
         """For each byte, the longest string starting there that also starts elsewhere.
 
-        A suffix shares most with a neighbour in order. What it shares with the one before is measured at run starts; for
-        any other suffix, both are preceded by the same byte, so the value is its left neighbour's less one. What it
-        shares with the one after is that one's value.
+        A suffix shares most with a neighbour in order. What the first of a run shares with the suffix before it, and the
+        last with the one after, stands at the run's border; any other suffix and that neighbour are preceded by the same
+        byte, and so are neighbours one byte to the left: the value is the left one's less one.
         """
-        shared = np.zeros(len(self.text), np.int64)
-        ranks = self.samples[self.samples > 0]
-        own = self.order[ranks]
-        shared[own] = self._common(own, self.order[ranks - 1])
-        at = np.arange(len(shared))
-        shared = np.maximum(np.maximum.accumulate(shared + at) - at, 0)
-        out = shared.copy()
-        out[self.order[:-1]] = np.maximum(out[self.order[:-1]], shared[self.order[1:]])
+        at = np.arange(self.n)
+        out = np.zeros(self.n, np.int64)
+        for sampled in (self.heads[1:], self.tails[:-1]):
+            shared = np.zeros(self.n, np.int64)
+            shared[sampled] = self.borders
+            np.maximum(out, np.maximum.accumulate(shared + at) - at, out=out)
         return out
 
     def long_starts(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,17 +253,21 @@ def text_key() -> tuple[Column, Column]:
 def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """k, k2, s, e: runs of byte positions where a string of ``length`` bytes starts that also starts elsewhere."""
     found = materialize(find_contexts(keyed, length, gram), "repeats-contexts")
-    distinct = materialize(found.where("times > 0").groupBy("a", "c").agg(F.sum("times").alias("times"), F.min(F.struct("k", "k2", "lo", "n")).alias("one")), "repeats-distinct")
-    copied = distinct.where("times > 1").select("a", "c")
-    whole = found.where("times = 0").unionByName(found.where("times = 1").join(copied, ["a", "c"], "left_semi")).select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
-    several = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("a")
-    wanted = materialize(distinct.join(several, "a", "left_semi").select("a", "one.*"), "repeats-wanted")
+    # one shuffle, by anchor: how often each context occurs, whether its anchor has others, and one occurrence of each
+    context, anchor = Window.partitionBy("a", "c"), Window.partitionBy("a")
+    dealt = found.where("times > 0").repartition("a").withColumn("total", F.sum("times").over(context)).withColumn("first", F.row_number().over(context.orderBy("k", "k2", "lo")) == 1)
+    dealt = dealt.withColumn("several", F.min("c").over(anchor) < F.max("c").over(anchor))
+    kept = materialize(dealt.where("total > 1 and times = 1 or several and first"), "repeats-kept")
+    whole = found.where("times = 0").select("k", "k2", "lo", "n").unionByName(kept.where("total > 1 and times = 1").select("k", "k2", "lo", "n"))
+    whole = whole.select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
+    wanted = kept.where("several and first").select("a", "k", "k2", "lo", "n")
     heavy = wanted.groupBy("a").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("a")
     hot = materialize(wanted.join(heavy, "a", "left_semi"), "repeats-hot")
     cool = wanted.join(heavy, "a", "left_anti")
     size = wanted.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
     groups = int(size // GROUP_BYTES) + 1
-    marked = _pieces(keyed, cool, F.pmod(F.xxhash64("a"), F.lit(groups)), length).groupBy("bucket").applyInArrow(_marks(length), "k bigint, k2 int, s int, e int")
+    pieces = _pieces(keyed, cool, F.pmod(F.xxhash64("a"), F.lit(groups)), length).repartition(min(TASKS, 2 * groups), "bucket")  # few bytes, long to index
+    marked = pieces.groupBy("bucket").applyInArrow(_marks(length), "k bigint, k2 int, s int, e int")
     found = whole.unionByName(marked)
     return found.unionByName(_hot_starts(keyed, hot, length)) if hot.limit(1).count() else found
 
@@ -286,7 +297,13 @@ def _hot_starts(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return windows.join(again, ["a", "w"], "left_semi").select("k", "k2", "s", F.col("s").alias("e"))
 
 
-def _cut(length: int, texts_out: bool):
+def _words_in(data: memoryview, x: int, y: int) -> int:
+    """Words that begin between two places of a text (what is left of a word at the first place counts)."""
+    solid = NOT_SPACE[np.frombuffer(data[x:y], np.uint8)]
+    return int(solid[:1].sum() + (solid[1:] & ~solid[:-1]).sum())
+
+
+def _cut(length: int, texts_out: bool, words: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -303,6 +320,9 @@ def _cut(length: int, texts_out: bool):
                 lo, hi = lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
                 new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.zeros(0, np.int64)
                 starts, ends = lo[new], hi[np.append(new[1:], len(lo)) - 1] if len(lo) else hi
+                if words and len(starts):
+                    long = np.array([_words_in(data, x, y) >= words for x, y in zip(starts.tolist(), ends.tolist())])
+                    starts, ends = starts[long], ends[long]
                 kept, digest, at = [], hashlib.sha256(), 0
                 for x, y in zip(starts.tolist(), ends.tolist()):
                     digest.update(data[at:x])
@@ -334,8 +354,11 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return cut.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with the repeated bytes taken out of text (a character cut in part goes whole)."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """``docs`` with the repeated bytes taken out of text (a character cut in part goes whole).
+
+    With ``words``, a maximal run of repeated bytes stays if fewer words than that begin in it.
+    """
     names = docs.columns
     at = names.index("text")
     inner = [f"q{i}" for i in range(len(names))]
@@ -345,7 +368,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     rows = _with_spans(slim, length, gram).select("doc_id", "text", "spans", *rest)
     kinds = [wide.schema[c].dataType.simpleString() for c in rest]
     schema = ", ".join(f"c{i} {t}" for i, t in enumerate([*kinds, "bigint", "bigint", "bigint", "string", "string"]))
-    cut = rows.mapInArrow(_cut(length, True), schema)
+    cut = rows.mapInArrow(_cut(length, True, words), schema)
     placed = dict(zip(rest, (f"c{i}" for i in range(len(rest))))) | {f"q{at}": f"c{len(rest) + 4}"}
     return cut.select(*[F.col(placed[c]).alias(n) for c, n in zip(inner, names)])
 
