@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = filled.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"])
     reps = materialize(reps.withColumn("cid", F.col("doc_id")), "neardup-representatives")
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
-    leads = banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead")
+    # what is grouped by bucket is written before it is joined, so that the rows of a hot bucket can be split in the join
+    leads = materialize(banded.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("key", "lead"), "neardup-leads")
     members = materialize(banded.join(leads, "key"), "neardup-members")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     sets = materialize(shingle_sets(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "neardup-sets")
@@ -194,10 +195,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     named = members.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part")).join(facts, "doc_id")
     named = materialize(named, "neardup-named")
-    least = named.groupBy("key").agg(F.min("n").alias("least"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "least")
+    least = materialize(named.groupBy("key").agg(F.min("n").alias("least"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "least"), "neardup-least")
     able = materialize(named.join(least, "key").where(f"100 * s >= {percent} * (n + greatest(least, s) - s)").drop("least"), "neardup-able")
     # every pair between components has a side outside the bucket's largest component
     most = able.groupBy("key", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "part")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("top.part").alias("big"))
+    most = materialize(most, "neardup-most")
     split = materialize(able.join(most, "key").join(reps.select("doc_id", "bands"), "doc_id"), "neardup-split")
     side = lambda x: split.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "part", "n", "s", "lead", "c", "bands")], *["big"] * (x == "x"))
     common = "case when lead_x = lead_y then least(c_x, c_y) + least(s_x - c_x, s_y - c_y) else least(s_x, s_y, n_x, n_y) end"
