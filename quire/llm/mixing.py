@@ -3,25 +3,31 @@
 The mix takes every document at a rate that stays as close as possible (in relative entropy, weighed by words) to one
 while the words taken from each margin value meet its target and no rate exceeds the cap. The dual is convex and has
 one multiplier for each margin value: rates are exp(sum of the document's multipliers), clipped at the cap. Newton steps
-on the multipliers run over a table of margin cells, distributed: no multiplier, cell or document goes to the driver.
-Rates are then rounded into whole copies, evenly over sizes, and single documents are flipped to close what is left.
+on the joint dual run over a table of margin cells, distributed: gradient and Hessian products are grouped sums, and no
+multiplier, cell or document goes to the driver. Rates are then rounded into whole copies, evenly over sizes, and
+single documents are flipped to close what is left.
 
 Defined results: a null source is a source of its own, last in order; null, empty and wordless texts have size 0 and
-are taken 0 words; repeated rows are mixed as rows of their own; an empty table gives an empty result; other columns
-pass through the mix and never clash, since the work is done on doc_id, source and size alone.
+are taken 0 words; very long texts count whole; rows that are equal in all columns are mixed together and share their
+copies evenly, rows that differ in any are mixed as rows of their own, so reruns over rows in any order agree; an
+empty table gives an empty result; other columns pass through the mix and never clash, since the work is done on
+row hashes, sources and sizes alone.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.llm._common import materialize, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
-#: Newton steps at most; groups that a size class of a source is dealt to when copies are rounded; closing flips.
-STEPS, SALTS, FLIPS = 40, 64, 4
+#: Newton steps at most; conjugate gradient steps of a Newton step at most; closing flips.
+STEPS, INNER, FLIPS = 40, 12, 4
+#: Groups that a size class of a source is dealt to when copies are rounded: SALTS, or as many as leave SALTED rows of the source each.
+SALTS, SALTED = 64, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -29,12 +35,12 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, source_size, target): weights repeat along the sources by code point, null last; capped by water-filling.
+    """(source, source_size, rows, target) of rows (source, size, m): weights repeat along the sources by code point, null last; capped by water-filling.
 
     Works on one row a source. The level t solves sum(min(cap * size, t * weight)) = share * total: sources in order of
     cap * size / weight fill up one after the other, so running sums find it without iterating.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("m").alias("rows"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     ranked = per.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
     fill = Window.orderBy(F.col("_full") / F.col("w"), F.col("source").asc_nulls_last())
@@ -47,51 +53,82 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
         .withColumn("_t", F.min("_open").over(whole)["_level"])  # the level at the first source that doesn't fill up
     )
     target = F.when(F.col("_t").isNull(), F.col("_full")).otherwise(F.least(F.col("_full"), F.col("_t") * F.col("w")))
-    return leveled.select("source", "source_size", target.cast("double").alias("target"))
+    return leveled.select("source", "source_size", "rows", target.cast("double").alias("target"))
 
 
-def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = CAP, sweeps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
+def _key(name: str) -> Column:
+    """A margin value as text, null included; other margins' values never equal it."""
+    return F.to_json(F.struct(F.col(name)))
+
+
+def _clipped(cap: float) -> tuple[Column, Column]:
+    """Words that a cell (n, eta) gives, and those that still move with eta."""
+    tilt = F.exp("eta")
+    return F.col("n") * F.least(tilt, F.lit(cap)), F.when(tilt < cap, F.col("n") * tilt).otherwise(0.0)
+
+
+def _solve(state: DataFrame, links: DataFrame, rated: DataFrame) -> DataFrame:
+    """key and step: the Hessian of the joint dual against the gradient, by conjugate gradients scaled with its diagonal.
+
+    A product with the Hessian is two joins and two grouped sums over the cells; a few totals come to the driver.
+    """
+    vector = state.select("key", F.lit(0.0).alias("step"), F.col("miss").alias("r"), "diag").withColumn("z", F.col("r") / F.col("diag")).withColumn("p", F.col("z"))
+    vector = materialize(vector, "mix-direction")
+    rz = first = vector.agg(F.sum(F.col("r") * F.col("z"))).first()[0] or 0.0
+    free = rated.select("_cell", "free")
+    for _ in range(INNER):
+        if rz <= 1e-16 * first:
+            break
+        along = links.join(vector.select("key", "p"), "key").groupBy("_cell").agg(F.sum("p").alias("q")).join(free, "_cell")
+        product = links.join(along, "_cell").groupBy("key").agg(F.sum(F.col("free") * F.col("q")).alias("hp"))
+        vector = materialize(vector.join(product, "key"), "mix-direction")
+        curve = vector.agg(F.sum(F.col("p") * F.col("hp"))).first()[0] or 0.0
+        if curve <= 0:
+            vector = vector.drop("hp")
+            break
+        vector = vector.withColumn("step", F.col("step") + F.lit(rz / curve) * F.col("p")).withColumn("r", F.col("r") - F.lit(rz / curve) * F.col("hp")).withColumn("z", F.col("r") / F.col("diag")).drop("hp")
+        now = vector.agg(F.sum(F.col("r") * F.col("z"))).first()[0] or 0.0
+        vector = vector.withColumn("p", F.col("z") + F.lit(now / rz) * F.col("p"))
+        rz = now
+    return vector.select("key", "step")
+
+
+def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = CAP, steps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
     """Rates of the cells: ``cells`` has one row for each combination of margin values with its words ``n``.
 
-    ``margins`` gives for each margin column a table (column, target). One margin's block of the Hessian is diagonal, so
-    a Newton step on a block is one grouped sum and one join; blocks take turns until the largest relative miss is below
-    the tolerance. With a single margin the cells are the margin values themselves and no shuffle is needed in a step.
+    ``margins`` gives for each margin column a table (column, target); a value without a target is taken 0 words. Each
+    Newton step sums words (gradient) and movable words (diagonal of the Hessian) by margin value over all cells. With
+    one margin the Hessian is diagonal and the step is their ratio; with several, its products are summed the same
+    way. Steps are scaled to 1 at most, until the largest relative miss is below the tolerance.
     """
-    eta = lambda: F.least(F.exp("eta"), F.lit(cap))
-    if len(margins) == 1:
-        (name, targets), = margins.items()
-        t = targets.select(F.col(name).alias("_key"), F.col("target").alias("_goal"))
-        joined = cells.join(t, cells[name].eqNullSafe(F.col("_key")), "left").drop("_key")
-        goal = F.coalesce(F.col("_goal"), F.lit(0.0))
-
-        def newton(x: Column, _: Column) -> Column:
-            mass = F.col("n") * F.exp(x)
-            step = (mass - goal) / mass
-            return x - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), step))
-
-        solved = F.aggregate(F.sequence(F.lit(1), F.lit(sweeps)), F.lit(0.0), newton)
-        reach = F.when((F.col("n") <= 0) | (goal <= 0), F.lit(float("-inf"))).when(goal >= F.col("n") * F.lit(cap), F.lit(float(cap)).cast("double")).otherwise(solved)
-        return joined.withColumn("eta", reach).withColumn("rate", eta()).drop("_goal", "eta")
-    state = materialize(cells.withColumn("eta", F.lit(0.0)), "mix-cells")
-    for turn in range(sweeps):
-        for name, targets in margins.items():
-            t = targets.select(F.col(name).alias("_key"), F.col("target").alias("_goal"))
-            mass = F.col("n") * eta()
-            free = F.when(F.exp("eta") < cap, mass).otherwise(0.0)
-            sums = state.groupBy(F.col(name).alias("_own")).agg(F.sum(mass).alias("_mass"), F.sum(free).alias("_free"))
-            step = (F.col("_goal") - F.col("_mass")) / F.greatest(F.when(F.col("_free") > 0, F.col("_free")).otherwise(F.col("_mass")), F.lit(1e-12))
-            steps = sums.join(t, sums["_own"].eqNullSafe(F.col("_key")), "left").select("_own", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(step, F.lit(0.0)))).alias("_step"))
-            state = state.join(steps, state[name].eqNullSafe(F.col("_own"))).withColumn("eta", F.col("eta") + F.col("_step")).drop("_own", "_step")
-        state = materialize(state, "mix-cells")  # ends the lineage of this sweep
-        worst = 0.0
-        for name, targets in margins.items():
-            t = targets.select(F.col(name).alias("_key"), F.col("target").alias("_goal"))
-            sums = state.groupBy(F.col(name).alias("_own")).agg(F.sum(F.col("n") * eta()).alias("_mass"))
-            miss = sums.join(t, sums["_own"].eqNullSafe(F.col("_key"))).agg(F.max(F.abs(F.col("_mass") - F.col("_goal")) / F.greatest(F.abs("_goal"), F.lit(1.0)))).first()[0]
-            worst = max(worst, miss or 0.0)
-        if worst < tolerance:
+    names = list(margins)
+    held = cells.withColumn("_cell", F.to_json(F.struct(*names))).withColumn("n", F.col("n").cast("double"))
+    links = materialize(held.select("_cell", "n", F.explode(F.array(*map(_key, names))).alias("key")), "mix-links")
+    goals = [t.select(_key(name).alias("key"), F.col("target").cast("double").alias("goal")) for name, t in margins.items()]
+    goal = goals[0]
+    for more in goals[1:]:
+        goal = goal.unionByName(more)
+    x = links.select("key").distinct().join(goal, "key", "left").select("key", F.coalesce("goal", F.lit(0.0)).alias("goal"))
+    x = x.withColumn("x", F.when(F.col("goal") > 0, 0.0).otherwise(float("-inf")))
+    x = materialize(x, "mix-multipliers")
+    mass, free = _clipped(cap)
+    for _ in range(steps):
+        rated = links.join(x.select("key", "x"), "key").groupBy("_cell").agg(F.max("n").alias("n"), F.sum("x").alias("eta")).select("_cell", mass.alias("mass"), free.alias("free"))
+        if len(names) > 1:
+            rated = materialize(rated, "mix-rated")
+        sums = links.select("_cell", "key").join(rated, "_cell").groupBy("key").agg(F.sum("mass").alias("mass"), F.sum("free").alias("free"))
+        state = x.join(sums, "key").withColumn("miss", F.when(F.col("x") > float("-inf"), F.col("goal") - F.col("mass")).otherwise(0.0))
+        state = state.withColumn("diag", F.greatest(F.when(F.col("free") > 0, F.col("free")).otherwise(F.col("mass")), F.lit(1e-12)))
+        state = materialize(state, "mix-state")
+        if (state.agg(F.max(F.abs("miss") / F.greatest("goal", F.lit(1.0)))).first()[0] or 0.0) < tolerance:
             break
-    return state.withColumn("rate", eta()).drop("eta")
+        step = state.select("key", (F.col("miss") / F.col("diag")).alias("step")) if len(names) == 1 else _solve(state, links, rated)
+        if len(names) > 1:  # one scale for the whole direction
+            scale = 1.0 / max(1.0, step.agg(F.max(F.abs("step"))).first()[0] or 0.0)
+            step = step.withColumn("step", F.col("step") * F.lit(scale))
+        x = state.join(step, "key").select("key", "goal", (F.col("x") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("step")))).alias("x"))
+    eta = links.join(x.select("key", "x"), "key").groupBy("_cell").agg(F.sum("x").alias("eta"))
+    return held.join(eta, "_cell").withColumn("rate", F.least(F.exp("eta"), F.lit(cap))).drop("_cell", "eta")
 
 
 def _spread(part: str) -> Column:
@@ -99,60 +136,84 @@ def _spread(part: str) -> Column:
 
 
 def copies(sized: DataFrame, cap: float = CAP) -> DataFrame:
-    """Whole copies of rows (id, doc_id, source, size, rate, goal): floor of the rate, and one more for an even part of the rows.
+    """Whole copies of rows (id, source, size, m, rows, rate, goal), together for the ``m`` equal documents of a row.
 
     Rows of a source are ranked inside (size class, salt) groups, so a hot source is spread over many tasks, and take a
     further copy whenever the running rate passes a whole number. What a source then lacks or has too much is closed by
-    up to FLIPS flips of one document each, whose size comes nearest.
+    up to FLIPS flips of one document each, whose size comes nearest; flips are a small table beside the rows.
     """
     whole, part = F.floor("rate"), F.col("rate") - F.floor("rate")
-    band = F.struct(F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int").alias("b"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).alias("s"))
-    rank = F.row_number().over(Window.partitionBy("source", "band").orderBy("size", "doc_id", "id"))
-    more = F.floor(rank * part + _spread("phase")) - F.floor((rank - 1) * part + _spread("phase"))
-    out = sized.withColumn("band", band).withColumn("copies", (whole + more).cast("int")).drop("band")
-    out = materialize(out, "mix-copies")
+    salts = F.greatest(F.lit(SALTS), F.ceil(F.col("rows") / SALTED)).cast("bigint")
+    band = F.struct(F.floor(F.log2(F.col("size") + F.lit(1.0)) * 4).cast("int").alias("b"), F.pmod(F.xxhash64("id", "size"), salts).alias("s"))
+    rank = F.sum("m").over(Window.partitionBy("source", "band").orderBy("size", "id").rowsBetween(Window.unboundedPreceding, 0))
+    more = F.floor(rank * part + _spread("phase")) - F.floor((rank - F.col("m")) * part + _spread("phase"))
+    out = materialize(sized.withColumn("band", band).withColumn("copies", (whole * F.col("m") + more).cast("bigint")).drop("band"), "mix-copies")
+    lack = out.groupBy("source").agg((F.max("goal") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
+    lack = materialize(lack.withColumnRenamed("source", "_s"), "mix-lack")
+    flips = None
     for turn in range(FLIPS):
-        lack = out.groupBy("source").agg((F.max("goal") - F.sum(F.col("copies") * F.col("size"))).alias("lack"))
-        able = F.when(F.col("lack") > 0, F.col("copies") + 1 <= cap).otherwise(F.col("copies") >= 1)
+        able = F.when(F.col("lack") > 0, F.col("copies") + 1 <= F.col("m") * cap).otherwise(F.col("copies") >= 1)
         gap = F.abs(F.col("size") - F.abs("lack"))
-        best = (
-            out.where("size > 0").join(lack.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-            .where(able & (gap < F.abs("lack"))).groupBy("_s", F.signum("lack").cast("int").alias("_sign")).agg(F.min(F.struct(gap, "id")).alias("m"))
-            .select(F.col("m.id").alias("_id"), "_sign")
-        )
-        out = out.join(best, out["id"] == best["_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("_sign", F.lit(0))).drop("_id", "_sign")
-        out = materialize(out, "mix-copies")
-    return out
+        open_ = out.where("size > 0").join(lack, F.col("source").eqNullSafe(F.col("_s"))).where(able & (gap < F.abs("lack")))
+        if flips is not None:
+            open_ = open_.join(flips.select("id"), "id", "left_anti")
+        best = open_.groupBy("_s").agg(F.min(F.struct(gap.alias("gap"), "id", "size", F.signum("lack").cast("int").alias("sign"))).alias("f"))
+        best = materialize(best.select("_s", "f.id", "f.size", "f.sign"), "mix-flips")
+        if not best.limit(1).count():
+            break
+        taken = best.select(F.col("_s").alias("_t"), (F.col("size") * F.col("sign")).alias("took"))
+        lack = materialize(lack.join(taken, F.col("_s").eqNullSafe(F.col("_t")), "left").select("_s", (F.col("lack") - F.coalesce("took", F.lit(0))).alias("lack")), "mix-lack")
+        flips = best if flips is None else flips.unionByName(best)
+    if flips is None:
+        return out
+    return out.join(flips.select("id", "sign"), "id", "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0))).drop("sign")
+
+
+def row_id(docs: DataFrame) -> tuple[Column, Column]:
+    """A 96-bit key of a row's content, nulls told from values."""
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    gaps = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in docs.columns])
+    return F.xxhash64(gaps, *plain), F.hash(gaps, *plain)
+
+
+def plan_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, ids: tuple[Column, Column] | None = None) -> DataFrame:
+    """One row for each different row of ``docs`` (doc_id, source, text, ...): k and id2 (its key, ``ids``), m (times it occurs), doc_id, source, size, source_size, target, rate, copies."""
+    id_, id2 = ids or row_id(docs)
+    slim = docs.select(id_.alias("k"), id2.alias("id2"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    grouped = slim.groupBy("k", "id2").agg(F.first("doc_id").alias("doc_id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count(F.lit(1)).alias("m"))
+    sized = materialize(grouped.withColumn("id", F.xxhash64("k", "id2")), "mix-sizes")
+    targets = materialize(source_targets(sized.select("source", (F.col("size") * F.col("m")).alias("size"), "m"), weights, share, cap), "mix-targets")
+    cells = targets.select("source", F.col("source_size").cast("double").alias("n"))
+    rates = balance(cells, {"source": targets.select("source", "target")}, cap)
+    per = rates.select(F.col("source").alias("_s"), "rate").join(targets.withColumnRenamed("source", "_r"), F.col("_s").eqNullSafe(F.col("_r")))
+    joined = sized.join(per.drop("_r"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("target", "goal")
+    done = copies(joined, cap)
+    return done.select("k", "id2", "m", "doc_id", "source", "size", "source_size", F.col("goal").alias("target"), "rate", "copies")
 
 
-def with_ids(docs: DataFrame, name: str) -> DataFrame:
-    """doc_id, source, size and a row id that stays the same when the table is read again."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    held = materialize(slim, name)
-    tie = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))
-    return materialize(held.withColumn("id", F.xxhash64("doc_id", "source", "size", F.row_number().over(tie))), name)
+def _share(i: Column) -> Column:
+    """Copies of the i-th of the m equal documents that share ``copies``."""
+    return F.floor(i * F.col("copies") / F.col("m")) - F.floor((i - 1) * F.col("copies") / F.col("m"))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, rate, copies, taken."""
-    sized = with_ids(docs, "mix-sizes")
-    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
-    cells = targets.select("source", F.col("source_size").cast("double").alias("n"))
-    rates = balance(cells, {"source": targets}, cap)
-    per = rates.select(F.col("source").alias("_s"), "rate").join(targets.withColumnRenamed("source", "_r"), F.col("_s").eqNullSafe(F.col("_r")))
-    joined = sized.join(per.drop("_r"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumnRenamed("target", "goal")
-    done = copies(joined, cap)
-    return done.select("doc_id", "source", "size", "source_size", F.col("goal").alias("target"), "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    plan = plan_mix(docs, weights, share, cap).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    plan = plan.withColumn("copies", _share(F.col("_i")).cast("int"))
+    return plan.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it (rows of the same doc_id, source and size share their copies evenly)."""
-    plan = mix(docs, **how).groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n")).agg(F.sum("copies").alias("_c"), F.count(F.lit(1)).alias("_k"))
+    """The documents themselves, each as often as the mix takes it."""
     names = docs.columns
-    tie = Window.partitionBy("_d", "_s", "_n").orderBy(F.lit(0))
-    joined = docs.withColumn("_w", word_count(F.col("text"))).join(plan, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_w") == F.col("_n")))
-    own = F.when(F.col("_k") == 1, F.col("_c")).otherwise(F.floor(F.col("_r") * F.col("_c") / F.col("_k")) - F.floor((F.col("_r") - 1) * F.col("_c") / F.col("_k")))
-    return joined.withColumn("_r", F.row_number().over(tie)).withColumn("_c", own).where("_c >= 1").withColumn("_x", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c").cast("bigint")))).select(*names)
+    inner = docs.toDF(*[f"q{i}" for i in range(len(names))])
+    place = {n: f"q{i}" for i, n in enumerate(names)}
+    keyed = inner.select("*", F.col(place["doc_id"]).alias("doc_id"), F.col(place["source"]).alias("source"), F.col(place["text"]).alias("text"))
+    id_, id2 = row_id(inner)
+    plan = plan_mix(keyed, **how, ids=(id_, id2)).where("copies >= 1").select("k", "id2", "m", "copies")
+    joined = keyed.select(*inner.columns, id_.alias("k"), id2.alias("id2")).join(plan, ["k", "id2"])
+    equal = joined.where("m > 1").dropDuplicates(["k", "id2"])
+    return joined.where("m = 1").unionByName(equal).withColumn("_x", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*inner.columns).toDF(*names)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
