@@ -26,16 +26,22 @@ q AS (SELECT d.doc_id, string_agg(substring(d.hx, 2 * o.x + 1, 2 * (coalesce(o.y
 SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(t.removed, 0)::BIGINT AS n_removed, coalesce(t.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(q.kept, d.hx))) AS kept_sha256 FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN q ON q.doc_id = d.doc_id"""
 
 _VALUES = ", ".join(f"('{name}', '{text}', {i})" for i, (name, text) in enumerate(TEMPLATES))
-_PATH = "'/' || coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce((doc_id // 100)::VARCHAR, '_') || '/' || coalesce(doc_id::VARCHAR, '_')"
-LICENCES = rf"""WITH tpl(licence, body, no) AS (VALUES {_VALUES}), tt AS (SELECT licence, no, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS term FROM tpl), tf AS (SELECT licence, no, term, count(*) AS tf FROM tt WHERE term <> '' GROUP BY ALL),
-total AS (SELECT count(*) AS n FROM documents), dw AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+')) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM dw WHERE term IN (SELECT term FROM tf) GROUP BY term),
+_PART = "'/' || coalesce({}::VARCHAR, '_')"
+_PATH = f"""{_PART.format('source')} || CASE WHEN doc_id % 500 < 20 THEN '' ELSE {_PART.format('lang')} END || CASE WHEN doc_id % 100 < 20 THEN '' ELSE {_PART.format('(doc_id // 100)')} END
+ || CASE WHEN doc_id % 10 = 4 THEN '/LICENSE.' || doc_id ELSE {_PART.format('doc_id')} END"""
+_TERMS = "regexp_split_to_array(lower({}), '[^a-z0-9]+')"
+_JOINED = "CASE WHEN len(ls) >= {0} THEN list_transform(range(1, len(ls) - {0} + 2), lambda i: array_to_string(ls[i:i + {0} - 1], ' ')) ELSE [] END"
+LICENCES = rf"""WITH tpl(licence, body, no) AS (VALUES {_VALUES}), tt AS (SELECT licence, no, unnest({_TERMS.format('body')}) AS term FROM tpl), tf AS (SELECT licence, no, term, count(*) AS tf FROM tt WHERE term <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS n FROM documents), dw AS (SELECT DISTINCT doc_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM documents), df AS (SELECT term, count(*) AS df FROM dw WHERE term IN (SELECT term FROM tf) GROUP BY term),
 idf AS (SELECT DISTINCT tf.term, ln((1 + n) / (1 + coalesce(df, 0))) + 1 AS idf FROM tf CROSS JOIN total LEFT JOIN df ON df.term = tf.term), tn AS (SELECT tf.no, sqrt(sum((tf * idf) ** 2)) AS norm FROM tf JOIN idf ON idf.term = tf.term GROUP BY tf.no),
 tv AS (SELECT tf.licence, tf.no, tf.term, tf * idf / norm AS w FROM tf JOIN idf ON idf.term = tf.term JOIN tn ON tn.no = tf.no),
-files AS (SELECT doc_id, {_PATH} AS path, coalesce(text, '') AS text FROM documents), ls AS (SELECT DISTINCT unnest(string_split_regex(text, '\r\n|\n|\r')) AS unit FROM files),
-lw AS (SELECT unit, unnest(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS term FROM ls), lf AS (SELECT unit, term, count(*) AS tf FROM lw WHERE term <> '' GROUP BY ALL), lx AS (SELECT lf.unit, lf.term, lf.tf * coalesce(idf.idf, ln(1 + n) + 1) AS x FROM lf CROSS JOIN total LEFT JOIN idf ON idf.term = lf.term),
-ln_ AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM lx GROUP BY unit), dot AS (SELECT lx.unit, tv.licence, tv.no, sum(lx.x * tv.w) AS dot FROM lx JOIN tv ON tv.term = lx.term GROUP BY ALL),
+files AS (SELECT doc_id, {_PATH} AS path, coalesce(text, '') AS text FROM documents), sl AS (SELECT path, text, string_split_regex(text, '\r\n|\n|\r') AS ls FROM files),
+fl AS (SELECT DISTINCT path, unnest(list_concat(ls, {_JOINED.format(2)}, {_JOINED.format(3)}, string_split_regex(text, '(\r\n|\n|\r)[ \t]*(\r\n|\n|\r)'), CASE WHEN contains(path, '/LICENSE.') THEN [text] ELSE [] END)) AS unit FROM sl), us AS (SELECT DISTINCT unit FROM fl),
+lw AS (SELECT unit, unnest({_TERMS.format('unit')}) AS term FROM us), lf AS (SELECT unit, term, count(*) AS tf FROM lw WHERE term <> '' GROUP BY ALL), lx AS (SELECT lf.unit, lf.term, lf.tf * coalesce(idf.idf, ln(1 + n) + 1) AS x FROM lf CROSS JOIN total LEFT JOIN idf ON idf.term = lf.term),
+ln_ AS (SELECT unit, sqrt(sum(x * x)) AS norm FROM lx GROUP BY unit), dot AS (SELECT lx.unit, tv.licence, tv.no, sum(lx.x * tv.w) AS dot FROM lx JOIN tv ON tv.term = lx.term GROUP BY ALL HAVING count(*) > 1),
 sc AS (SELECT dot.unit, dot.licence, round(dot.dot / ln_.norm, 6) AS score FROM dot JOIN ln_ ON ln_.unit = dot.unit), ub AS (SELECT unit, licence, score FROM sc WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, licence) = 1),
-fl AS (SELECT DISTINCT path, unnest(string_split_regex(text, '\r\n|\n|\r')) AS unit FROM files), own AS (SELECT fl.path, ub.licence, ub.score FROM fl JOIN ub ON ub.unit = fl.unit QUALIFY row_number() OVER (PARTITION BY fl.path ORDER BY ub.score DESC, ub.licence) = 1),
-sp AS (SELECT regexp_replace(f.path, '/[^/]*$', '') AS dir, own.licence FROM files f JOIN own ON own.path = f.path WHERE regexp_matches(split_part(f.text, chr(10), 1), '(?i)licen[cs]e|all rights reserved') QUALIFY row_number() OVER (PARTITION BY regexp_replace(f.path, '/[^/]*$', '') ORDER BY own.score DESC, f.path) = 1)
-SELECT f.doc_id, f.path, coalesce(own.licence, sp.licence) AS licence, own.score, CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN sp.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own.licence IS NULL THEN sp.dir END AS licence_dir
-FROM files f LEFT JOIN own ON own.path = f.path LEFT JOIN sp ON sp.dir = regexp_replace(f.path, '/[^/]*$', '')"""
+own AS (SELECT fl.path, ub.licence, ub.score FROM fl JOIN ub ON ub.unit = fl.unit QUALIFY row_number() OVER (PARTITION BY fl.path ORDER BY ub.score DESC, ub.licence) = 1),
+sp AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence FROM own QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/[^/]*$', '') ORDER BY score DESC, path) = 1),
+ds AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files), nearest AS (SELECT ds.dir, sp.dir AS licence_dir, sp.licence FROM ds JOIN sp ON sp.dir = ds.dir OR starts_with(ds.dir, sp.dir || '/') QUALIFY row_number() OVER (PARTITION BY ds.dir ORDER BY length(sp.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(own.licence, a.licence) AS licence, own.score, CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN a.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own.licence IS NULL THEN a.licence_dir END AS licence_dir
+FROM files f LEFT JOIN own ON own.path = f.path LEFT JOIN nearest a ON a.dir = regexp_replace(f.path, '/[^/]*$', '')"""
