@@ -5,45 +5,83 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+#: Bytes of an Arrow batch at most (one row at least): whole texts go to Python in these, however long they are.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch; a count of rows alone would let long texts fill gigabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(key).removesuffix("b")
+    if not own.isdigit() or int(own) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; unset (tests, one machine) a fresh one is set."""
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset and all runs on one machine, a fresh one is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = held.get() if held.isDefined() else None
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quire-scratch-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
+def materialize(df: DataFrame, name: str, compression: str = "snappy", scoped: bool = True) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends at a durable table."""
     spark = df.sparkSession
-    path = f"{_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    bound_batches(spark)
+    path = f"{_scratch(spark)}/{_scope.get() * scoped}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession, name: str):
+    """Tables that are materialized inside are deleted at the end; what shall stay is written with ``scoped=False``."""
+    held = _scope.set(f"{_scope.get()}{name}-{uuid.uuid4().hex}/")
+    try:
+        yield
+    finally:
+        _delete(spark, f"{_scratch(spark)}/{_scope.get()}")
+        _scope.reset(held)
+
+
 def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; call it once the results that read them are written."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _delete(spark, _scratch(spark))
 
 
 def text_array(column: pa.Array) -> pa.Array:
@@ -78,10 +116,9 @@ def append_columns(df: DataFrame, text: str, make, added: str) -> DataFrame:
     """``df`` with columns computed from its text column in one narrow Arrow stage.
 
     ``make()`` runs once a task and returns a function from a string array (no nulls) to the new arrays. All columns
-    pass through by position, so names that clash with internal ones do no harm.
+    pass through by position, so names that clash with internal ones do no harm; one that equals an added name (in any
+    case) gives way to the added column.
     """
-    from pyspark.sql import types as T
-
     new = T._parse_datatype_string(added)
     names = df.columns
     at = names.index(text)
@@ -94,26 +131,26 @@ def append_columns(df: DataFrame, text: str, make, added: str) -> DataFrame:
                 cols = [*batch.columns, *work(text_array(batch.column(at)))]
                 yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(cols))])
 
-    return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema).toDF(*names, *new.names)
+    made = df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(run, schema)
+    taken = {n.lower() for n in new.names}
+    return made.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate([*names, *new.names]) if i >= len(names) or n.lower() not in taken])
 
 
 def held_out(doc_id, folds: int, fold: int):
     """Whether crc32 of the id's decimal text falls in the held-out fold."""
-    from pyspark.sql import functions as F
-
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(folds) == F.lit(fold), F.lit(False))
 
 
 def label_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, bound: int, longest: int) -> DataFrame:
-    """Texts and labels of at most ``bound`` labelled rows outside the held-out fold, the same ones each run.
+    """doc_id, text and label of at most ``bound`` labelled documents outside the held-out fold, the same ones each run.
 
-    Only the bounded list of ids is broadcast. Texts over ``longest`` characters aren't learnt from.
+    Only the bounded list of ids is broadcast. Texts over ``longest`` characters aren't learnt from. Of several rows of
+    an id the least text counts, of several labels the largest.
     """
-    from pyspark.sql import functions as F
-
     ids = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds, fold))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest).join(F.broadcast(ids), "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= longest)
+    return texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("_y").alias("_y"))

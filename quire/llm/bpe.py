@@ -27,7 +27,8 @@ from quire.llm._common import table, text_array
 
 #: The byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-TOKENIZER_DIR = os.environ.get("QUIRE_TOKENIZERS", "/opt/tokenizers")
+#: Name of the vocabulary file; names without a folder are looked up where they are read (driver or executor).
+TOKENIZER = "byte_bpe_50k.json"
 #: Distinct pre-tokens whose result a task remembers; forgotten all at once when full.
 MEMO = 1 << 19
 MEMO_BYTES = 64
@@ -35,6 +36,21 @@ MEMO_BYTES = 64
 BLOCK, LONG, WINDOW = 1 << 14, 1 << 16, 1 << 12
 
 
+def tokenizer_path(name: str) -> str:
+    """A path as it is; a bare name in the folder QUIRE_TOKENIZERS, or where the installed package has it."""
+    if "/" in name:
+        return name
+    if folder := os.environ.get("QUIRE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+#: The folder on this machine.
+TOKENIZER_DIR = os.path.dirname(tokenizer_path(TOKENIZER))
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, others follow from U+0100."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -68,8 +84,8 @@ class Vocabulary:
 
 
 @functools.lru_cache(4)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary(path: str = TOKENIZER) -> Vocabulary:
+    return Vocabulary(tokenizer_path(path))
 
 
 def sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -261,7 +277,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
     One narrow stage; the vocabulary file is read once by each Python worker.
     """
-    path = path or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json")
+    path = path or TOKENIZER
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,7 +300,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text
 
 def decode_ids(encoded: DataFrame, path: str | None = None, ids: str = "ids", key: str = "doc_id") -> DataFrame:
     """Text of every id list (null or empty: the empty text)."""
-    path = path or os.path.join(TOKENIZER_DIR, "byte_bpe_50k.json")
+    path = path or TOKENIZER
     kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ regression weighs them, and the surviving rules become one Spark column expressi
 projection over whole texts.
 
 Defined results: null and empty texts have all statistics 0 and score by their rules; without usable labels every
-score is 0.5; with one class or too few rows to split, the score is the smoothed share of good rows; repeated rows score alike.
+score is 0.5; with one class or too few rows to split, the score is the smoothed share of good rows; a score at the
+threshold is predicted 1; repeated rows score alike, and as a labelled document they are learnt from once, by their least
+text; very long texts are scored whole but not learnt from; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

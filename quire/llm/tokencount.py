@@ -7,7 +7,8 @@ then over the runs), so even one huge file is scanned by many tasks.
 
 Defined results: empty documents count 0 tokens; tokens after a file's last separator are a document marked incomplete;
 a file of an odd number of bytes is read to its last whole token; null and empty texts are written as a lone separator;
-repeated rows are documents of their own.
+very long texts run over as many blocks as they need; repeated rows are documents of their own; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm._common import materialize, table, text_array
-from quire.llm.bpe import TOKENIZER_DIR, Encoder, vocabulary
+from quire.llm.bpe import TOKENIZER, Encoder, vocabulary
 
 #: Bytes of a block (a multiple of the token width); blocks of a run of the prefix scan.
 BLOCK, RUN = 1 << 20, 1024
@@ -36,15 +37,14 @@ def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
             for v in batch.column(2):
                 data = v.as_buffer()
                 ids = np.frombuffer(data, kind, len(data) // width)
-                at = np.flatnonzero(ids == eod)
-                head = int(at[0]) if len(at) else len(ids)
-                out.append((len(ids), len(at), head, len(ids) - int(at[-1]) - 1 if len(at) else len(ids), (np.diff(at) - 1).astype(np.int64)))
-            n, ends, head, tail, inner = zip(*out) if out else ([], [], [], [], [])
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip((n, ends, head, tail, inner), kinds))], ["file", "block", "n", "ends", "head", "tail", "inner"])
+                at = np.flatnonzero(ids == eod).astype(np.int64)
+                out.append((len(ids), len(at), len(ids) - int(at[-1]) - 1 if len(at) else len(ids), at))
+            n, ends, tail, marks = zip(*out) if out else ([], [], [], [])
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip((n, ends, tail, marks), kinds))], ["file", "block", "n", "ends", "tail", "marks"])
 
     file_type = blocks.schema["file"].dataType.simpleString()
-    found = blocks.select("file", F.col("block").cast("bigint").alias("block"), "data").mapInArrow(run, f"file {file_type}, block bigint, n bigint, ends bigint, head bigint, tail bigint, inner array<bigint>")
+    found = blocks.select("file", F.col("block").cast("bigint").alias("block"), "data").mapInArrow(run, f"file {file_type}, block bigint, n bigint, ends bigint, tail bigint, marks array<bigint>")
     found = materialize(found.withColumn("run", F.floor(F.col("block") / RUN)), "tokencount-blocks")
     # inside a run: tokens and separators before the block, and the place after the last separator so far
     inside = Window.partitionBy("file", "run").orderBy("block")
@@ -63,22 +63,24 @@ def scan_blocks(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
         .select("file", "run", "r_at", "r_seen", "r_last", "final")
     )
     stitched = local.join(runs, ["file", "run"]).select(
-        "file", "ends", "head", "tail", "n", "inner", (F.col("r_seen") + F.col("seen")).alias("base"), (F.col("r_at") + F.col("at")).alias("at"),
+        "file", "ends", "tail", "n", "marks", (F.col("r_seen") + F.col("seen")).alias("base"), (F.col("r_at") + F.col("at")).alias("at"),
         F.coalesce(F.col("r_at") + F.col("last"), F.col("r_last")).alias("open"), (F.col("block") == F.col("final")).alias("final"),
     )
-    carried = F.col("at") - F.col("open")
-    closed = F.when(F.col("ends") > 0, F.concat(F.array(carried + F.col("head")), F.col("inner"))).otherwise(F.array().cast("array<bigint>"))
-    rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(carried + F.col("tail"))
-    lengths = F.when(F.col("final") & (rest > 0), F.concat(closed, F.array(rest))).otherwise(closed)
-    laid = stitched.withColumn("lengths", lengths)
-    rows = laid.select("file", "base", "ends", "open", "lengths", F.posexplode("lengths").alias("pos", "n_tokens"))
-    start = F.col("open") + F.aggregate(F.slice("lengths", F.lit(1), F.col("pos")), F.lit(0).cast("bigint"), lambda a, x: a + x + 1)
-    return rows.select("file", (F.col("base") + F.col("pos")).alias("ordinal"), start.alias("start"), "n_tokens", (F.col("pos") < F.col("ends")).alias("complete"))
-
-
-def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, ranged: bool = False) -> DataFrame:
-    """(file, block, data) of raw token files. ``ranged`` reads byte ranges by pyarrow's file systems, for files of any size;
-    otherwise Spark's own reader takes each file whole (any store, under 2 GB a file)."""
+    rest = F.when(F.col("ends") > 0, F.col("tail")).otherwise(F.col("at") + F.col("n") - F.col("open"))
+    stops = F.when(F.col("final") & (rest > 0), F.concat("marks", F.array("n"))).otherwise(F.col("marks"))  # where documents end
+    rows = stitched.withColumn("stops", stops).select("base", "at", "open", "ends", "stops", "file", F.posexplode("stops").alias("pos", "stop"))
+    start = F.when(F.col("pos") == 0, F.col("open")).otherwise(F.col("at") + F.get("stops", F.col("pos") - 1) + 1)
+    return rows.select("file", (F.col("base") + F.col("pos")).alias("ordinal"), start.alias("start"), (F.col("at") + F.col("stop") - start).alias("n_tokens"), (F.col("pos") < F.col("ends")).alias("complete"))
+
+
+#: Stores whose files are read by byte ranges (pyarrow's file systems).
+RANGED = ("", "file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
+
+
+def read_token_files(spark: SparkSession, path: str, block: int = BLOCK, ranged: bool | None = None) -> DataFrame:
+    """(file, block, data) of raw token files. ``ranged`` reads byte ranges by pyarrow's file systems, for files of any size (the
+    default for the stores it knows); otherwise Spark's own reader takes each file whole (any store, under 2 GB a file)."""
+    ranged = path.partition(":")[0].lower() in RANGED or "://" not in path if ranged is None else ranged
     files = spark.read.format("binaryFile").load(path)
     blocks = F.posexplode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(F.col("length") / block) - 1, F.lit(0)))).alias("i", "block")
     if not ranged:
@@ -133,9 +135,8 @@ def token_blocks(docs: DataFrame, path: str, block: int = BLOCK) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "file int, block bigint, data binary, first bigint, doc_ids array<bigint>")
 
 
-def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, n_tokens by writing token files and scanning them."""
-    path = path or f"{TOKENIZER_DIR}/byte_bpe_50k.json"
     files = materialize(token_blocks(docs, path), "tokencount-files", "zstd")
     counted = scan_blocks(files.select("file", "block", "data"), next(iter(vocabulary(path).special.values())))
     manifest = files.select("file", "first", F.posexplode("doc_ids").alias("pos", "doc_id")).select("file", (F.col("first") + F.col("pos")).alias("ordinal"), "doc_id")

@@ -4,8 +4,11 @@ Words are lower-cased runs of ASCII letters, digits and non-ASCII bytes. Feature
 (first bytes), neighbouring pairs and pairs with one word between, hashed to 2**24 places; a text has a feature or not. Per-coordinate learning rates and
 L1 sparsity leave a short list of non-zero weights, which travels with the scoring stage.
 
-Defined results: null, empty and wordless texts score by the bias alone; without usable labels the score is 0.5;
-repeated rows score alike; very long texts are scored whole (in one piece, memory in proportion to the text).
+Defined results: null, empty and wordless texts score by the bias alone; without usable labels the score is 0.5; a
+score at the threshold is predicted 1; repeated rows score alike, and as a labelled document they are learnt from once,
+by their least text; very long texts are scored whole (in one piece, memory in proportion to the text) but not learnt
+from; an empty table gives an empty result; other columns pass through, and those named score or predicted give way to
+the new ones (:func:`without_toxic` keeps all).
 """
 
 from __future__ import annotations
@@ -140,6 +143,13 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return append_columns(docs, "text", make, "score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not find toxic, with all their columns."""
+    names = docs.columns
+    inner = [f"q{i}" if n != "text" else "text" for i, n in enumerate(names)]
+    return score_documents(docs.toDF(*inner), model).where("predicted = 0").select(*inner).toDF(*names)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
