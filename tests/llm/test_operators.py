@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import bpe, fingerprint, hnsw, licences, mixing, neardup, quality, repeats, tokencount, toxicity
 from quire.llm.hashing import shingles, text_words
@@ -34,30 +35,56 @@ def test_licence_scan_and_inheritance(spark):
     }
 
 
-def test_licence_scores_match_brute_force(spark):
-    docs = table(spark, "documents")
-    texts = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    df = Counter(w for _, x in texts for w in set(licences.terms(x)))
-    idf, vectors = licences.weigh(len(texts), df)
+def licence_units(path, text):
+    lines = re.split(r"\r\n|\n|\r", text)
+    return [*lines, *(" ".join(lines[i : i + k]) for k in (2, 3) for i in range(len(lines) - k + 1)), *re.split(r"(?:\r\n|\n|\r)[ \t]*(?:\r\n|\n|\r)", text), *[text] * bool(re.search(licences.FILE_NAME.replace(r"\z", r"\Z"), path))]
+
+
+def licence_by_hand(files):
+    """Best template of each path whose best unit reaches the threshold, unit by unit."""
+    df = Counter(w for _, x in files for w in set(licences.terms(x)))
+    idf, vectors = licences.weigh(len(files), df)
     templates = defaultdict(dict)
-    for name, term, w in vectors:
-        templates[name][term] = w
-    unknown = np.log(1 + len(texts)) + 1
-    want = {}
-    for i, x in texts:
+    for no, term, w in vectors:
+        templates[no][term] = w
+    unknown, want = np.log(1 + len(files)) + 1, {}
+    for path, x in files:
         best = None
-        for line in re.split(r"\r\n|\n|\r", x):
-            tf = Counter(licences.terms(line))
+        for unit in licence_units(path, x):
+            tf = Counter(licences.terms(unit))
             norm = np.sqrt(sum((n * idf.get(w, unknown)) ** 2 for w, n in tf.items()))
-            for name, v in templates.items():
+            for no, v in templates.items():
+                name = licences.TEMPLATES[no][0]
                 score = round(sum(n * idf.get(w, unknown) * v.get(w, 0) for w, n in tf.items()) / norm, 6) if norm else 0
-                if score >= licences.THRESHOLD and (best is None or (-score, name) < best):
+                if len(tf.keys() & v.keys()) > 1 and score >= licences.THRESHOLD and (best is None or (-score, name) < best):
                     best = (-score, name)
         if best:
-            want[i] = (best[1], -best[0])
-    got = {r.doc_id: (r.licence, r.score) for r in licences.op1_licences(spark, SF).where("how = 'own'").collect()}
-    assert want and got.keys() == want.keys()
-    assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-5 for i in want)
+            want[path] = (best[1], -best[0])
+    return want
+
+
+def test_licence_scores_match_brute_force(spark):
+    rows = licences.op1_licences(spark, SF).collect()
+    texts = {r.doc_id: r.text for r in table(spark, "documents").collect()}
+    want = licence_by_hand([(r.path, texts[r.doc_id]) for r in rows])
+    got = {r.path: (r.licence, r.score) for r in rows if r.how == "own"}
+    assert want and got.keys() == want.keys() and any("/LICENSE." in r.path for r in rows)
+    assert all(got[p][0] == want[p][0] and abs(got[p][1] - want[p][1]) < 1e-5 for p in want)
+
+
+def test_licence_files_and_wrapped_headers(spark):
+    body = {name: text for name, text in licences.TEMPLATES}  # the longest of each licence comes last
+    wrap = lambda text, mark="": "\n".join(mark + text[i : i + 70] for i in range(0, len(text), 70))
+    files = [
+        ("/m/LICENSE", f"MIT License\n\nCopyright (c) 2020 Some One\n\n{body['MIT']}"), ("/m/src/deep/a.py", "x = 1"), ("/b/COPYING", f"Copyright 2021, The Authors\n\n{body['BSD-3-Clause']}"), ("/b/c/x.c", "int x;"),
+        ("/g/COPYING", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble of many other words that follow here"), ("/g/x.c", "int y;"), ("/h/x.py", f"{wrap(body['Apache-2.0'].replace(' ', '  '), '# ')}\n\nimport os"),
+        ("/h/y.py", "# Released under the\n# MIT License\n\nimport re"), ("/p/readme", "the licence of this software is not told in the text of this file"), ("/i/LICENSE.txt", body["ISC"]),
+    ]
+    got = {r.path: (r.licence, r.how) for r in licences.licence_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        "/m/LICENSE": ("MIT", "own"), "/m/src/deep/a.py": ("MIT", "inherited"), "/b/COPYING": ("BSD-3-Clause", "own"), "/b/c/x.c": ("BSD-3-Clause", "inherited"), "/g/COPYING": ("GPL-3.0", "own"), "/g/x.c": ("GPL-3.0", "inherited"),
+        "/h/x.py": ("Apache-2.0", "own"), "/h/y.py": ("MIT", "own"), "/p/readme": (None, "none"), "/i/LICENSE.txt": ("ISC", "own"),
+    }
 
 
 def test_licences_are_inherited_from_any_ancestor(spark, tmp_path):
@@ -114,11 +141,52 @@ def test_mix_of_hard_rows(spark, hard, empty):
     assert copies.count() == sum(r.copies for r in rows if r.copies)
 
 
+def test_mix_of_repeated_ids_agrees_on_reruns(spark):
+    rows = [(i % 100, f"w{i} " * (5 + i % 4), "s" if i % 3 else None, i % 4, "x") for i in range(400)] + [(7, "same words", "s", 0, "x")] * 30
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, k int, copies string")
+    runs = [Counter(tuple(r) for r in mixing.mixed_documents(d).collect()) for d in (frame, frame.repartition(7), frame.orderBy(F.desc("text")).repartition(3, "k"))]
+    assert runs[0] == runs[1] == runs[2] and runs[0][rows[-1]] in range(30, 61)
+    assert all(n <= 2 * rows.count(r) for r, n in runs[0].items())
+
+
+def tilts_by_hand(cells, targets, cap):
+    """Damped Newton on the whole dual, in numpy: rates of cells (values of the margins, words)."""
+    keys = list(targets)
+    a = np.array([[float(k in values) for k in keys] for values, _ in cells])
+    n, t, x = np.array([w for _, w in cells]), np.array([targets[k] for k in keys]), np.zeros(len(keys))
+    for _ in range(400):
+        tilt = np.exp(a @ x)
+        g = t - a.T @ (n * np.minimum(tilt, cap))
+        h = a.T @ ((n * tilt * (tilt < cap))[:, None] * a)
+        step = np.linalg.lstsq(h, g, rcond=None)[0]
+        x += step / max(1, np.abs(step).max())
+    return np.minimum(np.exp(a @ x), cap)
+
+
+def test_joint_dual_matches_brute_force(spark):
+    rng = np.random.default_rng(2)
+    cells = [((f"s{i}", f"l{j}"), float(rng.integers(50, 400))) for i in range(4) for j in range(3)]
+    rates = np.minimum(np.exp(np.add.outer([0.3, -0.4, 0.9, 0.0], [0.1, -0.2, 0.25]).ravel()), 2.0)
+    targets = {k: float(sum(n * r for (v, n), r in zip(cells, rates) if k in v)) for k in [f"s{i}" for i in range(4)] + [f"l{j}" for j in range(3)]}
+    want = tilts_by_hand(cells, targets, 2.0)
+    frame = spark.createDataFrame([(s, l, n) for (s, l), n in cells], "s string, l string, n double")
+    margin = lambda c: spark.createDataFrame([(k, v) for k, v in targets.items() if k[0] == c], f"{c} string, target double")
+    got = {(r.s, r.l): r.rate for r in mixing.balance(frame, {"s": margin("s"), "l": margin("l")}, 2.0, tolerance=1e-7).collect()}
+    assert all(abs(got[v] - r) < 1e-4 for (v, _), r in zip(cells, want)) and max(got.values()) == 2.0
+
+
+def test_balance_of_one_margin_is_the_ratio(spark):
+    cells = spark.createDataFrame([("a", 10.0), ("b", 20.0), (None, 5.0), ("full", 7.0), ("none", 9.0), ("zero", 0.0)], "s string, n double")
+    goals = spark.createDataFrame([("a", 4.0), ("b", 33.0), (None, 6.0), ("full", 14.0), ("zero", 0.0)], "s string, target double")
+    got = {r.s: r.rate for r in mixing.balance(cells, {"s": goals}).collect()}
+    assert all(abs(got[k] - v) < 1e-8 for k, v in {"a": 0.4, "b": 1.65, None: 1.2, "full": 2.0, "none": 0.0, "zero": 0.0}.items())
+
+
 def test_balance_with_two_margins(spark):
     cells = spark.createDataFrame([("a", "x", 10.0), ("a", "y", 20.0), ("b", "x", 30.0), ("b", "y", 40.0)], "s string, l string, n double")
     s = spark.createDataFrame([("a", 36.0), ("b", 64.0)], "s string, target double")
     lang = spark.createDataFrame([("x", 45.0), ("y", 55.0)], "l string, target double")
-    got = mixing.balance(cells, {"s": s, "l": lang}, sweeps=12, tolerance=1e-6).collect()
+    got = mixing.balance(cells, {"s": s, "l": lang}, tolerance=1e-6).collect()
     mass = Counter()
     for r in got:
         mass[r.s] += r.n * r.rate
@@ -252,6 +320,28 @@ def test_search_with_a_hot_vector_and_many_shards(spark):
     assert got == sorted(x, key=lambda i: (-x[i], i))[:5]
 
 
+@pytest.mark.parametrize(("everywhere", "most", "shards"), [(12, 1 << 26, 12), (8, 64 * 64, 40)])
+def test_search_over_many_shards_and_routed_cells(spark, everywhere, most, shards):
+    rng = np.random.default_rng(3)
+    x = (3 * rng.normal(size=(30, 8)))[rng.integers(0, 30, 2400)] + rng.normal(size=(2400, 8))
+    x[:800] = x[0] + rng.normal(size=(800, 8)) * 1e-3  # a third of all rows in one cell
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    merged = hnsw.merge_equal(vectors, 21)
+    plan = hnsw.plan_shards(merged, 64, everywhere, most)
+    routers = hnsw.fit_routers(merged, plan, 20, everywhere)
+    assert bool(routers) == (everywhere == 8) and hnsw.index_shards(merged, plan, routers, 21).count() >= shards
+    hits, got = 0, defaultdict(list)
+    for r in hnsw.nearest(vectors, 20, 20, 64, everywhere, most).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert len(got) == 120
+    for q, found in got.items():
+        own = x @ x[q]
+        assert all(abs(s - own[i]) < 1e-12 * max(1, abs(s)) for i, s in found) and q not in dict(found)
+        best = sorted((-s, i) for i, s in enumerate(own) if i != q)[:20]
+        hits += len({i for _, i in best} & {i for i, _ in found})
+    assert hits / (20 * len(got)) >= 0.9
+
+
 # 6 fingerprints -----------------------------------------------------------------------------------------------------
 def test_edit_probe_matches_brute_force(spark):
     got = {r.doc_id: r for r in fingerprint.op6_fingerprints(spark, SF).collect()}
@@ -315,7 +405,7 @@ def test_token_counts_match_the_encoder(spark, hard, empty):
 
 
 # 9 repeats ----------------------------------------------------------------------------------------------------------
-def cut_by_hand(texts, length):
+def cut_by_hand(texts, length, words=0):
     seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
     out = []
     for t in texts:
@@ -323,6 +413,9 @@ def cut_by_hand(texts, length):
         for p in range(len(t) - length + 1):
             if seen[t[p : p + length]] > 1:
                 mark[p : p + length] = b"\1" * length
+        for m in re.finditer(b"\1+", bytes(mark)):
+            if len(re.findall(rb"[^\x20\x09-\x0D]+", t[m.start() : m.end()])) < words:
+                mark[m.start() : m.end()] = bytes(m.end() - m.start())
         spans = len(re.findall(b"\1+", bytes(mark)))
         out.append((len(t), sum(mark), spans, hashlib.sha256(bytes(b for b, m in zip(t, mark) if not m)).hexdigest()))
     return out
@@ -438,6 +531,27 @@ def test_shingles_by_hand():
     assert np.diff(at).tolist() == [5, 1, 1]  # a b c d repeats in the first text
 
 
+def test_results_replace_columns_of_their_name(spark, hard):
+    wide = hard.drop("score").withColumns({c: F.lit("own") for c in ("Score", "predicted", "licence", "how", "licence_dir", "dir", "a", "speaks", "rest")})
+    scored = toxicity.score_documents(wide, toxicity.Model(np.zeros(0, np.int64), np.zeros(0), 0.0))
+    assert scored.columns[-2:] == ["score", "predicted"] and {r.predicted for r in scored.collect()} == {0}
+    files = wide.withColumn("path", F.concat(F.lit("/a/"), F.coalesce("doc_id", F.lit(0)).cast("string")))
+    got = licences.licence_scan(files)
+    assert got.columns[-5:] == ["path", "licence", "score", "how", "licence_dir"] and {(r.how, r.dir, r.a, r.speaks, r.rest) for r in got.collect()} == {("none", "own", "own", "own", "own")}
+
+
+def test_a_repeated_label_is_learnt_once(spark, docs):
+    from quire.llm._common import label_sample
+
+    rows = docs(["b", "a", "c"]).unionByName(docs(["b"] * 50)).withColumn("doc_id", F.lit(1).cast("bigint"))
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None)], "doc_id bigint, toxic int")
+    assert [tuple(r) for r in label_sample(rows, labels, "toxic", 3, 9, 10, 100).collect()] == [(1, "a", 1)]
+
+
+def test_quality_on_an_empty_table(spark, empty, no_labels):
+    assert quality.score_documents(empty, quality.train(empty, no_labels)).count() == 0
+
+
 def test_licences_on_hard_rows(spark, hard, empty):
     files = lambda d: d.select("doc_id", licences.F.concat(licences.F.lit("/"), licences.F.coalesce("source", licences.F.lit("_")), licences.F.lit("/f")).alias("path"), "text", "score")
     got = licences.licence_scan(files(hard.drop("score").withColumn("score", licences.F.lit("clash"))).drop("score"))
