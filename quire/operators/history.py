@@ -92,6 +92,15 @@ def output_candidates(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
     return fit.withColumn("_r", r).where("_r = 1").select("job_id", "attachment_id")
 
 
+def output_targets(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
+    """job_id, attachment_id, action: the output a job wrote before is updated if its file exists, else a candidate is adopted, else one is created."""
+    there = attachments.where("file_exists").select(F.col("attachment_id").alias("output_id"), F.lit(True).alias("_own"))
+    own = jobs.join(there, "output_id", "left")
+    found = output_candidates(jobs, attachments).withColumnRenamed("attachment_id", "_found")
+    action = F.when(F.col("_own"), "update").when(F.col("_found").isNotNull(), "adopt").otherwise("create")
+    return own.join(found, "job_id", "left").select("job_id", F.when(F.col("_own"), F.col("output_id")).otherwise(F.col("_found")).alias("attachment_id"), action.alias("action"))
+
+
 def resolve_sources(items: DataFrame, attachments: DataFrame) -> DataFrame:
     """item_id, attachment_id: the item itself if it is a PDF, else its first PDF child whose file exists."""
     own = items.where("is_pdf").select("item_id", F.col("item_id").alias("attachment_id"), F.lit(-1).cast("bigint").alias("ord"))

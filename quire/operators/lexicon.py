@@ -58,8 +58,8 @@ def _keyed(texts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS, keys: tuple[str, ...] = ("library_id", "selected", "context")) -> DataFrame:
     """texts (library_id, selected, context, ...) with terms: those in the selection first, then those in the context only.
 
-    A term without white space stands in one word of a text, so each different word of a library's texts is compared with
-    the library's terms once, and texts get their terms by an equi-join on words; other terms (and the empty one, which
+    A term without white space stands in one word of a text: the parts of each different word of a library's texts (no longer
+    than its longest term) meet the terms by an equi-join once, and texts get their terms by one on words; other terms (and the empty one, which
     stands in every text) are looked for in the texts. ``keys`` name columns that tell texts apart (with library_id); an
     id is cheaper than the texts themselves.
     """
@@ -67,11 +67,15 @@ def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     lists = entry_lists(glossary.withColumn("_low", F.lower("term")), ("term", "translation", "field", "note", "_low"))
     numbered = F.transform("entries", lambda e, i: F.struct(i.alias("i"), e["_low"].alias("low"), e["_low"].rlike(rf"^\z|[{WS}]").alias("loose")))
-    terms = lists.select("library_id", "entries", F.filter(numbered, lambda e: ~e["loose"]).alias("_solid"), F.filter(numbered, lambda e: e["loose"]).alias("_loose"))
+    terms = lists.select("library_id", "entries", F.filter(numbered, lambda e: e["loose"]).alias("_loose"))
+    solid = lists.select("library_id", F.explode(F.filter(numbered, lambda e: ~e["loose"])).alias("e")).select("library_id", F.col("e.low").alias("_part"), F.col("e.i").alias("_i"))
+    longest = solid.groupBy("library_id").agg(F.max(F.length("_part")).alias("_longest"))
     both = F.array(*[F.struct(F.lit(k).alias("tier"), F.array_distinct(F.split(low(c), gap)).alias("words")) for k, c in enumerate(("selected", "context"))])
     words = texts.select(*by, F.explode(both).alias("b")).select(*by, "b.tier", F.explode("b.words").alias("_word")).where("_word <> ''")
-    met = words.select("library_id", "_word").distinct().join(terms.select("library_id", "_solid"), "library_id")
-    met = met.select("library_id", "_word", F.transform(F.filter("_solid", lambda e: F.instr(F.col("_word"), e["low"]) > 0), lambda e: e["i"]).alias("_hits")).where(F.size("_hits") > 0)
+    n = F.length("_word")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda at: F.transform(F.sequence(F.lit(1), F.least("_longest", n - at + 1)), lambda size: F.substring("_word", at, size))))
+    met = words.select("library_id", "_word").distinct().join(longest, "library_id").select("library_id", "_word", F.explode(F.array_distinct(parts)).alias("_part"))
+    met = met.join(solid, ["library_id", "_part"]).groupBy("library_id", "_word").agg(F.collect_set("_i").alias("_hits"))
     hit = words.join(met, ["library_id", "_word"]).select(*by, "tier", F.explode("_hits").alias("_i")).groupBy(*by, "_i").agg(F.min("tier").alias("tier"))
     found = hit.groupBy(*by).agg(F.collect_list(F.struct("tier", F.col("_i").alias("i"))).alias("_found"))
     joined = texts.join(found, by, "left").join(terms.select("library_id", "entries", "_loose"), "library_id", "left")

@@ -129,6 +129,14 @@ def clear_connectors(blocks: DataFrame, language: Column) -> DataFrame:
     return blocks.withColumn("cleared", bad).withColumn("translation", F.when(~F.col("cleared"), F.col("translation"))).withColumn("status", F.when(F.col("cleared"), "pending").otherwise(F.col("status")))
 
 
+def planned_blocks(plan: DataFrame, blocks: DataFrame) -> DataFrame:
+    """doc_id, batch_no, ord, id, source, error of the batches (doc_id, batch_no, block_ids): an id that no block has is an error."""
+    places = plan.select("doc_id", "batch_no", F.posexplode("block_ids").alias("ord", "id"))
+    known = blocks.select("doc_id", "id", "source", F.lit(True).alias("_known"))
+    error = F.when(F.col("_known").isNull(), F.concat(F.lit("unknown block "), F.col("id")))
+    return places.join(known, ["doc_id", "id"], "left").select("doc_id", "batch_no", "ord", "id", "source", error.alias("error"))
+
+
 def accept(blocks: DataFrame, answers: DataFrame, language: Column | None = None) -> DataFrame:
     """Blocks with the answer of their id: sanitized and restored, or failed with a reason (missing, marker, lost token, connector)."""
     language = F.lit("en") if language is None else language

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import functions as F
 
@@ -268,6 +269,16 @@ def accept_answers(spark, sf):
     return protocol.accept(blocks, answers, F.lit("zh-CN")).select("doc_id", "id", "translation", "status", "error")
 
 
+@query("planned_blocks", f"""WITH {LINES}, b AS (SELECT doc_id, pos, line FROM lines WHERE {TRIM.format('line')} <> '')
+SELECT doc_id, (pos // 4)::BIGINT AS batch_no, (row_number() OVER (PARTITION BY doc_id, pos // 4 ORDER BY pos) - 1)::INTEGER AS ord, 'b' || pos AS id, CASE WHEN pos % 9 > 0 THEN line END AS source, CASE WHEN pos % 9 = 0 THEN 'unknown block b' || pos END AS error FROM b""")
+def planned_blocks(spark, sf):
+    """Batches of four lines, of which every ninth is missing from the blocks."""
+    rows = doc_lines(spark, sf).where(fx.js_trim(F.col("line")) != "").withColumn("id", F.expr("'b' || pos"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+    plan = rows.groupBy("doc_id", long(F.floor(F.col("pos") / 4)).alias("batch_no")).agg(ids.alias("block_ids"))
+    return protocol.planned_blocks(plan, rows.where("pos % 9 > 0").select("doc_id", "id", F.col("line").alias("source")))
+
+
 _OPEN_BY = f"regexp_replace(line, '[.!?]+$', '')"
 _CHECKED = f"""c AS (SELECT doc_id, pos, 'b' || (pos % 40) AS id, CASE WHEN pos % 9 = 8 THEN 'image' ELSE 'paragraph' END AS type, CASE pos % 9 WHEN 5 THEN ' ' WHEN 2 THEN {_OPEN_BY} || ',' WHEN 3 THEN 'then ' || {_OPEN_BY} || '.' ELSE {_OPEN_BY} || '.' END AS source,
 CASE pos % 9 WHEN 0 THEN 'x ⟦DOI_2⟧' WHEN 1 THEN '[TYPE=quote]' WHEN 4 THEN 'Though Smith (2001) x' WHEN 6 THEN NULL ELSE 't' END AS translation, CASE WHEN pos % 2 = 0 THEN 'a.png' END AS asset_path FROM lines)"""
@@ -478,6 +489,33 @@ def completions(spark, sf):
     return readers.complete(rows, client, sleep=lambda s: None).select(long("request_id").alias("item_id"), "content", "prompt", "error")
 
 
+@query("output_targets", """WITH j AS (SELECT o_orderkey AS job_id, o_custkey AS parent_id, o_orderpriority AS title, epoch_ms(o_orderdate) AS created_ms, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 1 END AS output_id FROM orders), a AS (SELECT o_orderkey AS attachment_id, o_custkey AS parent_id, o_orderpriority AS title, epoch_ms(o_orderdate) AS added_ms FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 4 = 0),
+c AS (SELECT j.job_id, min(a.attachment_id) AS found FROM j JOIN a ON a.parent_id = j.parent_id AND a.title = j.title AND a.added_ms >= j.created_ms - 60000 GROUP BY j.job_id), t AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 0)
+SELECT j.job_id, coalesce(t.id, c.found) AS attachment_id, CASE WHEN t.id IS NOT NULL THEN 'update' WHEN c.found IS NOT NULL THEN 'adopt' ELSE 'create' END AS action FROM j LEFT JOIN t ON t.id = j.output_id LEFT JOIN c ON c.job_id = j.job_id""")
+def output_targets(spark, sf):
+    o = t(spark, sf, "orders")
+    ms = F.unix_millis(F.col("o_orderdate").cast("timestamp"))
+    j = o.select(F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("title"), ms.alias("created_ms"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey") + 1).alias("output_id"))
+    a = o.select(F.col("o_orderkey").alias("attachment_id"), F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("parent_id"), F.col("o_orderpriority").alias("title"), ms.alias("added_ms"), F.when(F.col("o_orderkey") % 4 == 0, "text/html").otherwise("application/pdf").alias("content_type"), (F.col("o_orderkey") % 7 != 0).alias("file_exists"))
+    return history.output_targets(j, a)
+
+
+@query("streamed_answers", "SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE text END AS text, item_id % 5 > 0 AS done FROM benchmark")
+def streamed_answers(spark, sf):
+    """A client that streams the text word by word in chunks of 23 characters; every fifth stream breaks off in its first event."""
+
+    def client(messages: list[dict]):
+        events = "".join("data: " + json.dumps({"choices": [{"delta": {"content": w}}]}) + "\n\n" for w in re.split(r"(?<= )", messages[1]["content"])) + "data: [DONE]\n"
+        for at in range(0, len(events), 23):
+            yield events[at : at + 23]
+            if int(messages[0]["content"]) % 5 == 0:
+                raise ConnectionError
+
+    message = lambda c: F.struct(F.lit("user").alias("role"), c.alias("content"))
+    rows = t(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.array(message(F.col("item_id").cast("string")), message(F.col("text"))).alias("messages"))
+    return sse.reassemble(readers.stream_chunks(rows, client)).select(long("request_id").alias("item_id"), "text", "done")
+
+
 # written and read back ----------------------------------------------------------------------------------------------------------
 @query("glossary_files", "SELECT (p_size % 4)::BIGINT AS library_id, row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) - 1 AS ord, p_name AS term, p_type AS translation, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS field, NULL::VARCHAR AS note FROM part")
 def glossary_files(spark, sf):

@@ -189,6 +189,24 @@ def complete(prompts: DataFrame, client: Callable[[list[dict]], dict], sleep: Ca
     return prompts.select("request_id", "messages").mapInPandas(run, "request_id string, content string, prompt bigint, completion bigint, total bigint, error string")
 
 
+def stream_chunks(prompts: DataFrame, client: Callable[[list[dict]], Iterator[str]]) -> DataFrame:
+    """request_id, seq, chunk of streamed answers by an injected client, in the order they come; :func:`quire.streaming.sse.reassemble`
+    makes texts of them. A stream that breaks off ends without its end mark."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for r in rows.itertuples():
+                chunks: list[str] = []
+                try:
+                    for chunk in client([dict(m.asDict() if hasattr(m, "asDict") else m) for m in r.messages]):
+                        chunks.append(chunk)
+                except Exception:  # noqa: BLE001, S110  what came is kept
+                    pass
+                yield pd.DataFrame({"request_id": [r.request_id] * len(chunks), "seq": range(len(chunks)), "chunk": chunks}).astype({"request_id": "object", "seq": "int64", "chunk": "object"})
+
+    return prompts.select("request_id", "messages").mapInPandas(run, "request_id string, seq bigint, chunk string")
+
+
 def string_pref(c, default: str):
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
