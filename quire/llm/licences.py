@@ -2,8 +2,8 @@
 
 Units are the lines of every text, two and three neighbouring lines joined (a wrapped notice), its paragraphs (a header
 block, or a licence's text below its title) and the whole text of licence files. A unit can reach the
-threshold for a template only if it holds one of the template's heaviest terms: by Cauchy-Schwarz the terms it shares
-must carry threshold**2 of the template's mass. That prefix filter drops nearly all texts before any unit is made, and
+threshold for a template only if it holds one of the template's rare terms: by Cauchy-Schwarz the terms it shares must
+carry threshold**2 of the template's mass, which its most frequent terms alone don't. That prefix filter drops nearly all texts before any unit is made, and
 nearly all units before any term is exploded, and loses none. Term frequencies over all documents give the weights; a term outside the templates weighs as one that
 no document has. Only DataFrame functions are used, and only the templates (a parameter) ever travel as literals.
 
@@ -109,16 +109,16 @@ def weigh(total: int, df: dict[str, int], templates=TEMPLATES) -> tuple[dict[str
     return idf, vectors
 
 
-def needed_terms(vectors: list[tuple[int, str, float]], threshold: float) -> list[str]:
-    """Terms of which a unit must hold one: each template's heaviest, until the rest carries under threshold**2 of its mass."""
+def needed_terms(vectors: list[tuple[int, str, float]], threshold: float, df: dict[str, int]) -> list[str]:
+    """Terms of which a unit must hold one: all of a template but its most frequent ones, as many as carry under threshold**2 of its mass."""
     out: set[str] = set()
     for no in {n for n, _, _ in vectors}:
-        rest = 1.0
-        for w, t in sorted(((w, t) for n, t, w in vectors if n == no), reverse=True):
-            if rest < threshold**2 - 1e-9:
-                break
-            out.add(t)
-            rest -= w * w
+        left = 0.0
+        for _, w, t in sorted((-df.get(t, 0), w, t) for n, t, w in vectors if n == no):
+            if left + w * w < threshold**2 - 1e-9:
+                left += w * w
+            else:
+                out.add(t)
     return sorted(out)
 
 
@@ -136,21 +136,21 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     spark = files.sparkSession
     total, df = document_frequencies(files, sorted({t for _, text in templates for t in terms(text)}))
     idf, vectors = weigh(total, df, templates)
-    needed = F.array(*map(F.lit, needed_terms(vectors, threshold)))
+    needed = F.array(*map(F.lit, needed_terms(vectors, threshold, df)))
     texts = files.select("path", F.coalesce("text", F.lit("")).alias("text")).where(F.arrays_overlap(words_of(F.col("text")), needed))
     units = texts.select("path", F.explode(units_of(F.coalesce("path", F.lit("")), F.col("text"))).alias("unit")).where(F.arrays_overlap(words_of(F.col("unit")), needed))
-    # equal units are scored once, however many texts have them
-    units = materialize(units.groupBy("path", "unit").agg(F.count(F.lit(1)).alias("n")), "licence-units")
-    tf = units.select("unit").distinct().select("unit", F.explode(words_of(F.col("unit"))).alias("term")).where("term <> ''").groupBy("unit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # equal units are scored once, however many texts have them; from here on a unit is 96 bits of hash, not its text
+    units = materialize(units.select("path", F.xxhash64("unit").alias("u"), F.hash("unit").alias("u2"), "unit"), "licence-units")
+    tf = units.groupBy("u", "u2").agg(F.min("unit").alias("unit")).select("u", "u2", F.explode(words_of(F.col("unit"))).alias("term")).where("term <> ''").groupBy("u", "u2", "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = spark.createDataFrame([(t, float(idf[t]), no, templates[no][0], float(w)) for no, t, w in vectors], "t string, idf double, no int, licence string, w double")
     per_term = weights.groupBy("t").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("no", "licence", "w")).alias("in"))
     unknown = math.log(1 + total) + 1
-    joined = tf.join(F.broadcast(per_term), F.col("term") == F.col("t"), "left").select("unit", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x"), "in")
-    norms = joined.groupBy("unit").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = joined.select("unit", "x", F.explode("in").alias("i")).groupBy("unit", F.col("i.no").alias("no"), F.col("i.licence").alias("licence")).agg(F.sum(F.col("x") * F.col("i.w")).alias("dot"), F.count(F.lit(1)).alias("shared")).where("shared > 1")
-    scored = dots.join(norms, "unit").select("unit", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    best = scored.groupBy("unit").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
-    of_path = units.join(best, "unit").groupBy("path").agg(F.min("b").alias("b"))
+    joined = tf.join(F.broadcast(per_term), F.col("term") == F.col("t"), "left").select("u", "u2", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("x"), "in")
+    norms = joined.groupBy("u", "u2").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = joined.select("u", "u2", "x", F.explode("in").alias("i")).groupBy("u", "u2", F.col("i.no").alias("no"), F.col("i.licence").alias("licence")).agg(F.sum(F.col("x") * F.col("i.w")).alias("dot"), F.count(F.lit(1)).alias("shared")).where("shared > 1")
+    scored = dots.join(norms, ["u", "u2"]).select("u", "u2", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    best = scored.groupBy("u", "u2").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    of_path = units.select("path", "u", "u2").join(best, ["u", "u2"]).groupBy("path").agg(F.min("b").alias("b"))
     return of_path.select("path", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("score"))
 
 
