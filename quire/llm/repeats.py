@@ -262,14 +262,16 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     whole = whole.select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
     wanted = kept.where("several and first").select("a", "k", "k2", "lo", "n")
     heavy = wanted.groupBy("a").agg(F.sum(F.col("n") + F.lit(length - 1)).alias("bytes")).where(F.col("bytes") > HOT_BYTES).select("a")
-    hot = materialize(wanted.join(heavy, "a", "left_semi"), "repeats-hot")
-    cool = wanted.join(heavy, "a", "left_anti")
+    heavy = materialize(heavy, "repeats-heavy")
+    hot, cool = None, wanted
+    if heavy.limit(1).count():
+        hot, cool = materialize(wanted.join(heavy, "a", "left_semi"), "repeats-hot"), wanted.join(heavy, "a", "left_anti")
     size = wanted.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
     groups = int(size // GROUP_BYTES) + 1
     pieces = _pieces(keyed, cool, F.pmod(F.xxhash64("a"), F.lit(groups)), length).repartition(min(TASKS, 2 * groups), "bucket")  # few bytes, long to index
     marked = pieces.groupBy("bucket").applyInArrow(_marks(length), "k bigint, k2 int, s int, e int")
     found = whole.unionByName(marked)
-    return found.unionByName(_hot_starts(keyed, hot, length)) if hot.limit(1).count() else found
+    return found if hot is None else found.unionByName(_hot_starts(keyed, hot, length))
 
 
 def _pieces(keyed: DataFrame, wanted: DataFrame, bucket: Column, length: int) -> DataFrame:
