@@ -168,6 +168,7 @@ def inherit(found: DataFrame, files: DataFrame) -> DataFrame:
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     climbed = dirs.where("dir is not null").select("dir", F.explode(ancestors).alias("licence_dir")).join(speaking, "licence_dir")
     nearest = climbed.groupBy("dir").agg(F.max(F.struct(F.length("licence_dir").alias("n"), "licence_dir", "dir_licence")).alias("a"))
+    nearest = materialize(nearest, "licence-directories")  # so that a large directory's files can be split in the join
     joined = own.withColumn("dir", directory(F.col("path"))).join(nearest, "dir", "left")
     how = F.when(F.col("licence").isNotNull(), "own").when(F.col("a").isNotNull(), "inherited").otherwise("none")
     return joined.select("rest", "path", F.coalesce("licence", F.col("a.dir_licence")).alias("licence"), "score", how.alias("how"), F.when(F.col("licence").isNull(), F.col("a.licence_dir")).alias("licence_dir"))

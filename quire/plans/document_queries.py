@@ -315,12 +315,12 @@ def protect_spans(spark, sf):
     return rows.select("page_id", "protected", F.array_join(F.transform("spans", lambda x: F.concat(x["token"], F.lit("="), x["value"])), "\n").alias("spans"))
 
 
-@query("protect_restore", f"""{_PROTECTED}, n AS (SELECT q.page_id, list_filter(v, lambda y: NOT contains(CASE WHEN q.page_id % 3 = 0 THEN replace(x, '⟦URL_', '⟦GONE_') ELSE x END, y[1])) AS missing FROM p7x q), w AS (SELECT page_id AS no, {TRIM.format(_SPANNED)} AS whole FROM pages)
-SELECT n.page_id, CASE WHEN n.page_id % 2 = 0 OR len(missing) = 0 THEN w.whole END AS restored, CASE WHEN n.page_id % 2 = 1 THEN missing[1][1] END AS lost FROM n JOIN w ON w.no = n.page_id WHERE n.page_id % 2 = 1 OR n.page_id % 3 <> 0""")
+@query("protect_restore", f"""{_PROTECTED}, n AS (SELECT q.page_id, list_filter(v, lambda y: NOT contains(CASE WHEN q.page_id % 6 = 3 THEN replace(x, '⟦URL_', '⟦GONE_') ELSE x END, y[1])) AS missing FROM p7x q), w AS (SELECT page_id AS no, {TRIM.format(_SPANNED)} AS whole FROM pages)
+SELECT n.page_id, CASE WHEN n.page_id % 2 = 0 OR len(missing) = 0 THEN w.whole END AS restored, CASE WHEN n.page_id % 2 = 1 THEN missing[1][1] END AS lost FROM n JOIN w ON w.no = n.page_id""")
 def protect_restore(spark, sf):
-    """Even pages restore nested spans too; odd ones, of which every third lost its links, name the first lost token."""
-    rows = protocol.protect_texts(_spanned(spark, sf)).where("page_id % 2 = 1 or page_id % 3 <> 0")
-    back = F.when(F.col("page_id") % 3 == 0, F.replace("protected", F.lit("⟦URL_"), F.lit("⟦GONE_"))).otherwise(F.col("protected"))
+    """Even pages restore nested spans too; odd ones, every third of which lost its links, name the first lost token."""
+    rows = protocol.protect_texts(_spanned(spark, sf))
+    back = F.when(F.col("page_id") % 6 == 3, F.replace("protected", F.lit("⟦URL_"), F.lit("⟦GONE_"))).otherwise(F.col("protected"))
     rows = rows.withColumn("answer", back)
     done = F.when(F.col("page_id") % 2 == 0, protocol.restore(F.col("answer"), F.col("spans"), nested=True)).otherwise(protocol.restore(F.col("answer"), F.col("spans")))
     return rows.withColumn("r", done).select("page_id", F.col("r.text").alias("restored"), F.col("r.lost").alias("lost"))

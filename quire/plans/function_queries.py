@@ -541,13 +541,13 @@ def job_files(spark, sf):
     return readers.read_jobs(spark, path, lines=True).select("id", "stage", "updated_ms")
 
 
-@query("document_files", f"WITH {LINES} SELECT doc_id, pos::INTEGER AS pos, 'b' || pos AS id, line AS source FROM lines WHERE doc_id = 7")
+@query("document_files", f"WITH {LINES} SELECT doc_id, pos::INTEGER AS pos, 'b' || pos AS id, line AS source FROM lines")
 def document_files(spark, sf):
-    """The blocks of all documents as checkpoints by job, of which one job's are read again."""
+    """The blocks of all documents as checkpoints by job, and read again."""
     path = scratch.fresh_path(spark, "documents")
     rows = doc_lines(spark, sf).select(F.col("doc_id").alias("job_id"), F.col("pos").cast("int").alias("pos"), F.expr("'b' || pos").alias("id"), F.lit("paragraph").alias("type"), F.col("line").alias("source"))
     writers.put_json(rows, path, ("job_id",))
-    return readers.read_document(spark, path, "7", lines=True).select(F.lit(7).cast("bigint").alias("doc_id"), "pos", "id", "source")
+    return readers.read_documents(spark, path, lines=True).select(long("job_id").alias("doc_id"), "pos", "id", "source")
 
 
 @query("dictionary_files", "SELECT word, arg_max(phonetic, n) AS phonetic, arg_max(translation, n) AS translation FROM (SELECT lower(split_part(p_name, ' ', 1)) AS word, p_brand AS phonetic, p_type AS translation, p_partkey AS n FROM part) GROUP BY word")

@@ -54,10 +54,17 @@ def read_jobs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     return _json(spark, path, JOB, lines=lines).where("id is not null").orderBy(F.col("updated_ms").desc(), "id")
 
 
+BLOCKS = "pos int, id string, type string, source string, translation string, status string, error string"
+
+
+def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """The blocks all jobs have saved (:func:`quire.sources.writers.put_json` partitioned by job_id), with their job_id."""
+    return _json(spark, path, f"{BLOCKS}, job_id string", lines=lines)
+
+
 def read_document(spark: SparkSession, path: str, job_id: str, lines: bool = False) -> DataFrame:
-    """The blocks a job has saved (:func:`quire.sources.writers.put_json` partitioned by job_id); none if there are none."""
-    blocks = "pos int, id string, type string, source string, translation string, status string, error string"
-    return _json(spark, f"{path}/job_id={job_id}", blocks, lines=lines)
+    """The blocks of one job; none if there are none."""
+    return _json(spark, f"{path}/job_id={job_id}", BLOCKS, lines=lines)
 
 
 def read_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:
