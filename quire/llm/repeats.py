@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm._common import materialize, table, text_array, text_chunks
@@ -253,10 +253,14 @@ def text_key() -> tuple[Column, Column]:
 def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """k, k2, s, e: runs of byte positions where a string of ``length`` bytes starts that also starts elsewhere."""
     found = materialize(find_contexts(keyed, length, gram), "repeats-contexts")
-    # one shuffle, by anchor: how often each context occurs, whether its anchor has others, and one occurrence of each
-    context, anchor = Window.partitionBy("a", "c"), Window.partitionBy("a")
-    dealt = found.where("times > 0").repartition("a").withColumn("total", F.sum("times").over(context)).withColumn("first", F.row_number().over(context.orderBy("k", "k2", "lo")) == 1)
-    dealt = dealt.withColumn("several", F.min("c").over(anchor) < F.max("c").over(anchor))
+    # anchors are counted with partial sums, and those of a single row end here; what is joined by anchor or context is read
+    # from written tables, so that the rows of a hot one can be split over tasks
+    rows = found.where("times > 0")
+    anchors = rows.groupBy("a").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("p"), F.max("c").alias("q")).where("rows > 1")
+    anchors = materialize(anchors.select("a", (F.col("p") < F.col("q")).alias("several")), "repeats-anchors")
+    live = materialize(rows.join(anchors, "a"), "repeats-live")
+    counts = live.groupBy("a", "c").agg(F.sum("times").alias("total"), F.min(F.struct("k", "k2", "lo")).alias("one"))
+    dealt = live.join(materialize(counts, "repeats-counts"), ["a", "c"]).withColumn("first", F.struct("k", "k2", "lo") == F.col("one")).drop("one")
     kept = materialize(dealt.where("total > 1 and times = 1 or several and first"), "repeats-kept")
     whole = found.where("times = 0").select("k", "k2", "lo", "n").unionByName(kept.where("total > 1 and times = 1").select("k", "k2", "lo", "n"))
     whole = whole.select("k", "k2", F.col("lo").alias("s"), (F.col("lo") + F.col("n") - 1).alias("e"))
@@ -276,7 +280,7 @@ def repeated_starts(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
 def _pieces(keyed: DataFrame, wanted: DataFrame, bucket: Column, length: int) -> DataFrame:
     """k, k2, lo, bucket, content of the wanted contexts, cut out of their texts."""
-    lists = wanted.groupBy("k", "k2").agg(F.collect_list(F.struct("lo", "n", bucket.alias("bucket"))).alias("wanted"))
+    lists = wanted.groupBy("k", "k2").agg(F.collect_set(F.struct("lo", "n", bucket.alias("bucket"))).alias("wanted"))
     joined = keyed.join(lists, ["k", "k2"]).select("doc_id", "text", "k", "k2", "wanted")
     return joined.mapInArrow(_slices(length), "k bigint, k2 int, lo int, bucket bigint, content binary")
 
@@ -344,7 +348,7 @@ def _cut(length: int, texts_out: bool, words: int = 0):
 def _with_spans(docs: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
     keyed = docs.select(*[F.col(c) for c in docs.columns], *text_key())
     starts = repeated_starts(keyed.select("doc_id", "text", "k", "k2"), length, gram)
-    lists = starts.groupBy("k", "k2").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    lists = starts.groupBy("k", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return keyed.join(lists, ["k", "k2"], "left").withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<s:int,e:int>>")))
 
 
