@@ -45,3 +45,10 @@ sp AS (SELECT regexp_replace(path, '/[^/]*$', '') AS dir, licence FROM own QUALI
 ds AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dir FROM files), nearest AS (SELECT ds.dir, sp.dir AS licence_dir, sp.licence FROM ds JOIN sp ON sp.dir = ds.dir OR starts_with(ds.dir, sp.dir || '/') QUALIFY row_number() OVER (PARTITION BY ds.dir ORDER BY length(sp.dir) DESC) = 1)
 SELECT f.doc_id, f.path, coalesce(own.licence, a.licence) AS licence, own.score, CASE WHEN own.licence IS NOT NULL THEN 'own' WHEN a.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own.licence IS NULL THEN a.licence_dir END AS licence_dir
 FROM files f LEFT JOIN own ON own.path = f.path LEFT JOIN nearest a ON a.dir = regexp_replace(f.path, '/[^/]*$', '')"""
+
+_BARE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+LINES = f"""WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FROM t), k AS (SELECT doc_id, pos, line, translate(trim(line, {_BARE}), '{_UPPER}', '{_LOWER}') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) + CAST(count(*) > count(doc_id) AS INTEGER) >= 5)
+SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(c.key) FILTER (WHERE k.doc_id IS DISTINCT FROM c.keeper)::BIGINT AS n_dropped,
+ sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL OR k.doc_id IS NOT DISTINCT FROM c.keeper), '')) AS kept_sha256 FROM k LEFT JOIN c ON c.key = k.key GROUP BY k.doc_id"""
