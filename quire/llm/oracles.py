@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quire.llm.licences import TEMPLATES, THRESHOLD
+from quire.llm.vectorcodes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,3 +53,25 @@ l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS pos, unnest(ls) AS line FR
 c AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) + CAST(count(*) > count(doc_id) AS INTEGER) >= 5)
 SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(c.key) FILTER (WHERE k.doc_id IS DISTINCT FROM c.keeper)::BIGINT AS n_dropped,
  sha256(coalesce(string_agg(k.line, chr(10) ORDER BY pos) FILTER (WHERE c.key IS NULL OR k.doc_id IS NOT DISTINCT FROM c.keeper), '')) AS kept_sha256 FROM k LEFT JOIN c ON c.key = k.key GROUP BY k.doc_id"""
+
+
+def _codes() -> str:
+    """Every round of the codebooks as two steps: assignments by exact distance, then floors of means; equal parts all through."""
+    steps = []
+    for k in range(ROUNDS + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (SELECT x.vec_id, x.part, b.entry, sum((x.v - b.v) * (x.v - b.v)) AS far FROM x JOIN b{k} b ON b.part = x.part AND b.place = x.place GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT vec_id, part, entry, far FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY far, entry) = 1)""")
+        if k < ROUNDS:
+            steps.append(f"""m{k} AS (SELECT x.part, a.entry, x.place, sum(x.v)::BIGINT AS s, count(*) AS n FROM x JOIN a{k} a ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.place, coalesce((s - (s % n + n) % n) // n, b.v) AS v FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry AND m.place = b.place)""")
+    return f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda y: floor({SCALE} * y::DOUBLE)::BIGINT) AS v, len(embedding) // {PARTS} AS w FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+x AS MATERIALIZED (SELECT vec_id, (i - 1) // w AS part, (i - 1) % w AS place, v[i] AS v FROM (SELECT vec_id, w, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+f AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {ENTRIES}), b0 AS MATERIALIZED (SELECT x.part, f.entry, x.place, x.v FROM x JOIN f ON f.vec_id = x.vec_id),
+{", ".join(steps)},
+c AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM a{ROUNDS} GROUP BY vec_id), s AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) AS h FROM b{ROUNDS}),
+t AS (SELECT k.vec_id, k.label, c.code, c.error FROM kept k JOIN c ON c.vec_id = k.vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s.h AS codebooks_sha256 FROM t CROSS JOIN s"""
+
+
+CODES = _codes()
