@@ -75,3 +75,16 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 CODES = _codes()
+
+
+_BITS = "list_concat([4294967295], flatten(list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: [ascii(substring(conv_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0])))"
+_CRC = f"xor(list_reduce({_BITS}, lambda a, e: CASE WHEN xor(a, e) & 1 = 1 THEN xor(xor(a, e) >> 1, 3988292384) ELSE xor(a, e) >> 1 END), 4294967295)"
+PREFIXES = f"""WITH t AS (SELECT conv_id, turn, octet_length(encode(coalesce(text, '')))::BIGINT AS bytes, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS m FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list(m ORDER BY turn NULLS FIRST, m) AS ms, list(bytes ORDER BY turn NULLS FIRST, m) AS bs FROM t GROUP BY conv_id), h AS (SELECT *, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM s),
+r AS (SELECT h.conv_id, list_concat(coalesce(b.ms[1:h.h], []), h.ms[h.h + 1:]) AS ms, list_concat(coalesce(b.bs[1:h.h], []), h.bs[h.h + 1:]) AS bs FROM h LEFT JOIN s b ON b.conv_id = h.base),
+p AS (SELECT conv_id, d, md5(array_to_string(ms[1:d], ',')) AS k, md5(array_to_string(ms[1:d - 1], ',')) AS q, coalesce(bs[d], 0) AS bytes, d = len(ms) AS stop FROM (SELECT *, unnest(range(0, len(ms) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(q) AS q, min(conv_id) AS conv_id, count(*) AS n, min(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE stop), '')) AS ends FROM p GROUP BY k, d),
+c AS (SELECT n.*, (SELECT count(*) FROM n x WHERE x.q = n.k AND x.d = n.d + 1) AS kids FROM n),
+a AS (SELECT p.k, p.d, sum(CASE WHEN c.kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((c.n - 1) * c.bytes) AS saved FROM c JOIN p ON p.conv_id = c.conv_id AND p.d <= c.d GROUP BY p.k, p.d)
+SELECT c.conv_id, c.d::BIGINT AS depth, u.conv_id AS parent_conv_id, c.n::BIGINT AS n_convs, c.kids::BIGINT AS n_children, a.leaves::BIGINT AS n_leaves, a.saved::BIGINT AS saved_tokens, c.ends AS ends_sha256
+FROM c JOIN a ON a.k = c.k AND a.d = c.d LEFT JOIN n u ON u.k = c.q AND u.d = c.d - 1"""
