@@ -54,36 +54,69 @@ def span_counts(text: Column) -> dict[str, Column]:
     return counts
 
 
+def _bound(value: Column, make) -> Column:
+    """``make`` of the value, which is computed once: inside, lambda variables are values, other expressions are repeated for each element."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _cut(text: Column, spans: Column | None = None) -> Column:
+    """struct(parts, tokens, spans) of a text cut at its tokens."""
+    pieces = [F.split(text, TOKEN).alias("parts"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("tokens")]
+    return F.struct(*pieces, *([] if spans is None else [spans.alias("spans")]))
+
+
+def _span_of(token: Column, spans: Column, before: Column | None = None) -> Column:
+    """The span of a token, found by the token's number (``before`` a place, if given); null for tokens of other texts."""
+    number = F.regexp_extract(token, r"_([0-9]+)", 1).try_cast("int")
+    span = F.when(number < (F.size(spans) if before is None else before), F.get(spans, number))
+    return F.when(F.coalesce(span["token"] == token, F.lit(False)), span)
+
+
+def _filled(cut: Column, spans: Column, before: Column | None = None) -> Column:
+    """The cut text with the spans' values for its tokens, joined from one list of pieces."""
+    value = lambda token: F.coalesce(_span_of(token, spans, before)["value"], token, F.lit(""))
+    return F.array_join(F.zip_with(cut["parts"], cut["tokens"], lambda part, token: F.concat(F.coalesce(part, F.lit("")), value(token))), "")
+
+
+def _forest(spans: Column) -> Column:
+    """Spans (token, value, inner) with the spans inside their values put back, inner being the tokens of these.
+
+    Every round fills all values from those of the round before, until none changes. A value holds tokens of earlier passes only,
+    so there are fewer rounds than passes; a token that isn't older than its span is text.
+    """
+    cut = F.transform(spans, lambda s: F.struct(s["token"].alias("token"), s["value"].alias("value"), _cut(s["value"]).alias("cut")))
+    leaf = lambda p: F.struct(p["token"].alias("token"), p["value"].alias("value"), p["cut"]["tokens"].alias("inner"))
+
+    def grown(p: Column, i: Column, trees: Column) -> Column:
+        below = F.flatten(F.transform(p["cut"]["tokens"], lambda t: F.coalesce(_span_of(t, trees, i)["inner"], F.array().cast("array<string>"))))
+        return F.when(F.size(p["cut"]["tokens"]) == 0, leaf(p)).otherwise(F.struct(p["token"].alias("token"), _filled(p["cut"], trees, i).alias("value"), F.array_distinct(F.concat(p["cut"]["tokens"], below)).alias("inner")))
+
+    def trees(cuts: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            new = lambda now: F.struct(now.alias("trees"), (now == acc["trees"]).alias("done"))
+            return F.when(acc["done"], acc).otherwise(_bound(F.transform(cuts, lambda p, i: grown(p, i, acc["trees"])), new))
+
+        flat = F.forall(cuts, lambda p: F.size(p["cut"]["tokens"]) == 0)
+        rounds = F.sequence(F.lit(1), F.lit(len(SPANS) - 1))
+        return F.aggregate(rounds, F.struct(F.transform(cuts, leaf).alias("trees"), flat.alias("done")), step)["trees"]
+
+    return _bound(cut, trees)
+
+
 def restore(translated: Column, spans: Column, nested: bool = False) -> Column:
     """struct(text, lost): spans put back, lost is the first token that isn't there (text is then null).
 
-    The text is cut at its tokens once, and a token's number finds its value. ``nested`` looks for tokens from the last
-    to the first, which also restores spans inside spans; only texts that have such spans are gone through one by one.
+    The text is cut at its tokens once, and a token's number finds its value. ``nested`` also restores spans inside spans, from a
+    forest in which each span's value is filled from those it holds; tokens are then missed from the last to the first.
     """
-    parts, tokens = F.split(translated, TOKEN), F.regexp_extract_all(translated, F.lit(TOKEN), F.lit(0))
-    number = lambda token: F.regexp_extract(token, r"_([0-9]+)", 1).try_cast("int")
-
-    def value(token: Column) -> Column:
-        span = F.when(number(token) < F.size(spans), F.get(spans, number(token)))
-        return F.when(F.coalesce(span["token"] == token, F.lit(False)), span["value"]).otherwise(token)
-
-    filled = F.array_join(F.transform(parts, lambda x, i: F.when(i < F.size(tokens), F.concat(x, value(F.get(tokens, i)))).otherwise(x)), "")
-    there = F.array_distinct(tokens)
-    missing = F.array_except(F.transform(F.reverse(spans) if nested else spans, lambda s: s["token"]), there)
-    lost = F.get(missing, F.lit(0))
-    plain = F.struct(F.when(lost.isNull(), fx.js_trim(filled)).alias("text"), lost.alias("lost"))
-    if not nested:
-        return plain
-    zero = F.struct(translated.alias("text"), F.lit(None).cast("string").alias("lost"))
-
-    def step(acc: Column, s: Column) -> Column:
-        here = F.instr(acc["text"], s["token"]) > 0
-        gone = F.coalesce(acc["lost"], F.when(~here, s["token"]))
-        return F.struct(F.when(gone.isNull(), F.replace(acc["text"], s["token"], s["value"])).otherwise(acc["text"]).alias("text"), gone.alias("lost"))
-
-    done = F.aggregate(F.reverse(spans), zero, step)
-    folded = F.struct(F.when(done["lost"].isNull(), fx.js_trim(done["text"])).alias("text"), done["lost"].alias("lost"))
-    return F.when(F.exists(spans, lambda s: s["value"].rlike(TOKEN)), folded).otherwise(plain)
+
+    def answer(c: Column) -> Column:
+        there = F.flatten(F.transform(c["tokens"], lambda t: F.concat(F.array(t), F.coalesce(_span_of(t, c["spans"])["inner"], F.array().cast("array<string>"))))) if nested else c["tokens"]
+        missing = F.array_except(F.transform(F.reverse(c["spans"]) if nested else c["spans"], lambda s: s["token"]), there)
+        lost = lambda gone: F.struct(F.when(gone.isNull(), fx.js_trim(_filled(c, c["spans"]))).alias("text"), gone.alias("lost"))
+        return _bound(F.get(missing, F.lit(0)), lost)
+
+    return F.when(translated.isNull() | spans.isNull(), F.lit(None)).otherwise(_bound(_cut(translated, _forest(spans) if nested else spans), answer))
 
 
 def parse_ids(outputs: DataFrame) -> DataFrame:

@@ -181,6 +181,61 @@ def glossary_match_boundary(spark, sf):
     return lexicon.match_bounded(texts, _terms(spark, sf), keys=("doc_id",)).where(F.size("terms") > 0).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
+# phrases of two and three words of the benchmark texts (every third line of them with a comma or a hyphen), and single words broken by other characters
+_PHRASES = r"""bw AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), ph AS (SELECT item_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM bw),
+phrases AS (SELECT row_number() OVER (ORDER BY term) - 1 AS ord, term FROM (SELECT DISTINCT CASE (item_id + i) % 4 WHEN 0 THEN ws[i] || ' ' || ws[i + 1] WHEN 1 THEN ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] WHEN 2 THEN ws[i] || ', ' || ws[i + 1] ELSE '(' || ws[i] || ')-' || ws[i + 1] END AS term FROM ph WHERE (item_id * 7 + i) % 5 = 0))"""
+_PLANTED = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR ts IS NULL THEN text ELSE text || chr(10) || CASE doc_id % 3 WHEN 1 THEN array_to_string(ts, '; ') ELSE array_to_string(ts, 'x ') END END AS t FROM documents LEFT JOIN k ON k.k = doc_id % 97"
+
+
+def _phrase_terms(spark, sf):
+    words = t(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("ws"))
+    at = words.select("item_id", "ws", F.explode(F.expr("case when size(ws) > 2 then sequence(1, size(ws) - 2) end")).alias("i"))
+    w = lambda k: F.get("ws", F.col("i") - 1 + k)
+    kind = (F.col("item_id") + F.col("i")) % 4
+    term = F.when(kind == 0, F.concat(w(0), F.lit(" "), w(1))).when(kind == 1, F.concat(w(0), F.lit(" "), w(1), F.lit(" "), w(2))).when(kind == 2, F.concat(w(0), F.lit(", "), w(1))).otherwise(F.concat(F.lit("("), w(0), F.lit(")-"), w(1)))
+    terms = at.where((F.col("item_id") * 7 + F.col("i")) % 5 == 0).select(term.alias("term")).distinct()
+    return terms.withColumn("ord", long(F.row_number().over(Window.orderBy("term")) - 1))
+
+
+def _planted(spark, sf, terms):
+    """Every text, two thirds of them with phrases behind, which in half of these run into a letter."""
+    dealt = terms.groupBy((F.col("ord") % 97).alias("_k")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"]).alias("_terms"))
+    docs = t(spark, sf, "documents").withColumn("_k", F.col("doc_id") % 97).join(F.broadcast(dealt), "_k", "left")
+    glue = F.when(F.col("doc_id") % 3 == 1, F.array_join("_terms", "; ")).otherwise(F.array_join("_terms", "x "))
+    return docs.select("doc_id", F.lit(0).cast("bigint").alias("library_id"), F.when((F.col("doc_id") % 3 == 0) | F.col("_terms").isNull(), F.col("text")).otherwise(F.concat("text", F.lit("\n"), glue)).alias("text"))
+
+
+@query("glossary_phrases", rf"""WITH {_PHRASES}, k AS (SELECT ord % 97 AS k, list(term ORDER BY ord) AS ts FROM phrases GROUP BY ALL), d AS (SELECT doc_id, lower(t) AS t FROM ({_PLANTED})), h AS (SELECT d.doc_id, p.ord, p.term FROM d JOIN phrases p ON contains(d.t, lower(p.term))
+ WHERE regexp_matches(d.t, '(^|[^a-z0-9])' || regexp_escape(lower(p.term)) || '($|[^a-z0-9])')), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM h)
+SELECT doc_id, count(*)::BIGINT AS n_terms, string_agg(term, '|' ORDER BY n) AS terms FROM r WHERE n <= 40 GROUP BY doc_id""")
+def glossary_phrases(spark, sf):
+    terms = _phrase_terms(spark, sf)
+    glossary = terms.select(F.lit(0).cast("bigint").alias("library_id"), "ord", "term")
+    found = lexicon.match_bounded(_planted(spark, sf, terms), glossary, keys=("doc_id",)).where(F.size("terms") > 0)
+    return found.select("doc_id", long(F.size("terms")).alias("n_terms"), F.array_join("terms", "|").alias("terms"))
+
+
+# pieces of two words and of the insides of words, which the automaton finds where a split into words doesn't
+_INSIDE = r"""bw AS (SELECT item_id, string_split(text, ' ') AS ws FROM benchmark), ph AS (SELECT item_id, unnest(range(1, len(ws))) AS i, ws FROM bw),
+insides AS (SELECT row_number() OVER (ORDER BY term) - 1 AS ord, term FROM (SELECT DISTINCT CASE (item_id + i) % 2 WHEN 0 THEN substring(ws[i], 2, 3) ELSE substring(ws[i], 3) || ' ' || substring(ws[i + 1], 1, 2) END AS term FROM ph WHERE (item_id * 3 + i) % 4 = 0))"""
+
+
+@query("glossary_match_inside", rf"""WITH {_INSIDE}, d AS (SELECT doc_id, lower(coalesce(source, '')) AS s, lower(text) AS c FROM documents), h AS (SELECT d.doc_id, p.ord, p.term, CASE WHEN contains(s, lower(p.term)) THEN 0 WHEN contains(c, lower(p.term)) THEN 1 END AS tier FROM d, insides p),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tier, ord) AS n FROM h WHERE tier IS NOT NULL) SELECT doc_id, count(*)::BIGINT AS n_terms, string_agg(term, '|' ORDER BY n) AS terms FROM r WHERE n <= 53 GROUP BY doc_id""")
+def glossary_match_inside(spark, sf):
+    words = t(spark, sf, "benchmark").select("item_id", F.split("text", " ").alias("ws"))
+    at = words.select("item_id", "ws", F.explode(F.expr("case when size(ws) > 1 then sequence(1, size(ws) - 1) end")).alias("i"))
+    w = lambda k: F.get("ws", F.col("i") - 1 + k)
+    term = F.when((F.col("item_id") + F.col("i")) % 2 == 0, F.substring(w(0), 2, 3)).otherwise(F.concat(F.expr("substring(ws[i - 1], 3)"), F.lit(" "), F.substring(w(1), 1, 2)))
+    terms = at.where((F.col("item_id") * 3 + F.col("i")) % 4 == 0).select(term.alias("term")).distinct()
+    none = F.lit(None).cast("string")
+    glossary = terms.select(F.lit(0).cast("bigint").alias("library_id"), long(F.row_number().over(Window.orderBy("term")) - 1).alias("ord"), "term", none.alias("translation"), none.alias("field"), none.alias("note"))
+    texts = t(spark, sf, "documents").select("doc_id", F.lit(0).cast("bigint").alias("library_id"), F.col("source").alias("selected"), F.col("text").alias("context"))
+    found = lexicon.match_tiered(texts, glossary, keys=("doc_id",)).where(F.size("terms") > 0)
+    return found.select("doc_id", long(F.size("terms")).alias("n_terms"), F.array_join(F.transform("terms", lambda e: e["term"]), "|").alias("terms"))
+
+
+
 _ENTRIES = "SELECT p_size % 4 AS library_id, p_partkey AS ord, CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS term, p_type AS translation, p_brand AS note FROM part"
 
 

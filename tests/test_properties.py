@@ -2,13 +2,15 @@
 
 import random
 import re
+import time
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import text as fx
-from quire.operators import batching, context, lexicon, protocol, structure
+from quire.operators import automaton, batching, context, lexicon, protocol, structure
 
 
 def test_batches_keep_order_and_limits(spark):
@@ -104,13 +106,83 @@ def test_tiered_terms_equal_the_rule(spark):
     glossary = spark.createDataFrame([(d, 2 * i, w, w, None, None) for d in (1, 2) for i, w in enumerate(terms) if d == 1 or i % 3], "library_id bigint, ord bigint, term string, translation string, field string, note string")
     rows = [(i, 1 + i % 3, word(5) if i % 9 else None, word(12) if i % 7 else None) for i in range(120)]
     frame = spark.createDataFrame(rows, "i bigint, library_id bigint, selected string, context string")
-    for keys in (("i",), ("library_id", "selected", "context")):
-        for r in lexicon.match_tiered(frame, glossary, 20, keys).collect():
+    for keys, limit in ((("i",), 1 << 18), (("library_id", "selected", "context"), 1 << 18), (("i",), 16), (("library_id", "selected", "context"), 1)):
+        found = lexicon.match_tiered(frame.repartition(3), glossary, 20, keys, limit).collect()
+        assert len(found) == len(rows)
+        for r in found:
             own = [w for i, w in enumerate(terms) if r.library_id == 1 or r.library_id == 2 and i % 3]
             s, c = (r.selected or "").lower(), (r.context or "").lower()
             assert [e.term for e in r.terms] == ([w for w in own if w.lower() in s] + [w for w in own if w.lower() not in s and w.lower() in c])[:20]
 
 
+def test_automaton_finds_every_substring():
+    rng = random.Random(8)
+    for letters, longest in (("ab", 9), ("abcé语🤖", 5), ("a", 30)):
+        word = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: B023, E731
+        terms = list({word(rng.randint(1, longest)) for _ in range(60)})
+        texts = [word(rng.randint(0, 80)) for _ in range(200)] + ["", word(20_000)]
+        raw = [t.encode() for t in texts]
+        rows, hits = automaton.Automaton(terms).hits(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        got = set(zip(rows.tolist(), hits.tolist()))
+        assert got == {(i, j) for i, t in enumerate(texts) for j, w in enumerate(terms) if w in t} and len(got) == len(rows)
+
+
+def test_automaton_reads_a_million_characters_without_a_space_at_once():
+    rng = random.Random(9)
+    terms = list({"".join(rng.choices("abcdefghij日本語", k=rng.randint(2, 12))) for _ in range(3000)})
+    text = "".join(rng.choices("abcdefghij日本語", k=1_000_000))
+    machine, began = automaton.Automaton(terms), time.process_time()
+    _, hits = machine.hits(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+    assert time.process_time() - began < 2 and set(hits.tolist()) == {i for i, w in enumerate(terms) if w in text}
+
+
+def test_phrases_stand_where_the_pattern_finds_them(spark):
+    """Terms of up to four runs over few letters: overlaps, repeats, gaps at either end of a text and of a term."""
+    rng = random.Random(14)
+    word = lambda n, parts: "".join(rng.choice(parts) for _ in range(rng.randint(1, n)))
+    parts = ["a", "b", "aa", " ", " ", "-", "É", "(", ", "]
+    terms = sorted({w for _ in range(300) if len(re.findall("[a-z]+", w := word(8, parts))) > 1})
+    texts = [word(60, [*parts, "é", "A"]) for _ in range(150)] + ["", None, terms[0], f"({terms[1]})", "a " * 3000]
+    glossary = spark.createDataFrame([(1, i, w) for i, w in enumerate(terms)], "library_id bigint, ord bigint, term string")
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], "i bigint, library_id bigint, text string")
+    for r in lexicon.match_bounded(rows, glossary, 1000, keys=("i",)).collect():
+        assert r.terms == [w for w in terms if re.search(rf"(?:^|[^A-Za-z0-9]){re.escape(w)}(?:\Z|[^A-Za-z0-9])", texts[r.i] or "", re.I)], r.i
+
+
+def test_spans_of_ten_thousand_tokens_come_back_in_linear_time(spark):
+    took = []
+    for n in (1000, 10_000):
+        source = " ".join(f"a (see https://x.y/{i} in 2020) `c{i}`" for i in range(n // 3))
+        rows = protocol.protect_texts(spark.createDataFrame([(source,)], "source string")).cache()
+        began = time.time()
+        back = rows.select("source", protocol.restore(F.col("protected"), F.col("spans"), nested=True).alias("r")).first()
+        took.append(time.time() - began)
+        assert back.r.text == source and back.r.lost is None
+    assert took[1] < 10 * took[0] + 5
+
+
+def test_spans_inside_spans_equal_replacing_from_the_last(spark):
+    """Random forests, tokens missing and foreign, tokens that are no older than their span."""
+    rng, rows, want = random.Random(12), [], {}
+    token = lambda i: f"⟦{'CODE URL CIT'.split()[i % 3]}_{i}⟧"
+    for k in range(200):
+        n = rng.randint(0, 9)
+        level = sorted(rng.randint(0, 3) for _ in range(n))
+        spans = [(token(i), "".join(["v", *(token(j) for j in range(i) if level[j] < level[i] and rng.random() < 0.4), *([token(i), token(n + 3)] if rng.random() < 0.1 else [])])) for i in range(n)]
+        text = " ".join(token(i) for i in range(n + 1) if rng.random() < 0.9)
+        rows.append((k, text, spans))
+        lost = None
+        for name, value in reversed(spans):
+            if name not in text:
+                lost = name
+                break
+            text = text.replace(name, value)
+        want[k] = (None if lost else text.strip(), lost)
+    frame = spark.createDataFrame(rows, "k int, text string, spans array<struct<token:string,value:string>>")
+    got = frame.select("k", protocol.restore(F.col("text"), F.col("spans"), nested=True).alias("r")).collect()
+    assert {r.k: (r.r.text, r.r.lost) for r in got} == want
+
+
 def test_sanitizing_and_stitching(spark):
     rng = random.Random(2)
     parts = ["[TYPE=title] ", "TYPE: quote\n", "text ", "**", "\n", "TYPE"]
