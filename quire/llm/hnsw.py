@@ -3,7 +3,7 @@
 Largest inner product becomes least distance by one more coordinate, sqrt(M**2 - |x|**2) with M the shard's longest
 norm, so the graphs are metric for vectors of any length. Equal vectors are one node that keeps the smallest ids, as
 many as a result can use. Shard results are scored again in double precision on the original vectors and merged. Query
-rows are a stated set (ids divisible by ``every``) and go out in blocks.
+rows are a stated set (ids divisible by ``every``) and go to the shards.
 
 Shards grow with the table, so that a query visits ``EVERYWHERE`` of them at most: its work then grows like a graph's
 depth. Where shards reach ``BYTES`` of vectors and there would be more of them, rows are dealt to cells by their nearest
@@ -29,10 +29,10 @@ from quire.llm._common import materialize, table
 
 #: Nodes of a shard at least; links of a node (twice as many on the ground layer); beam widths of building and searching.
 SHARD, LINKS, BUILD, SEARCH = 4096, 16, 80, 160
-#: Queries of a block.
-BLOCK = 4096
+#: Queries that one copy of a shard answers.
+BLOCK = 1 << 16
 #: Shards that a query visits at most without routing; bytes of the vectors of a shard at most (one node at least).
-EVERYWHERE, BYTES = 8, 1 << 26
+EVERYWHERE, BYTES = 3, 1 << 26
 #: Routing: rows of the sample that centres are fitted on (about, twice as many at most), centres at most, rounds of fitting,
 #: sample rows that measure the reach of cells, and the share of their neighbours that the visited cells hold.
 SAMPLE, CENTRES, ROUNDS, PROBES, REACH = 32_768, 1024, 12, 256, 0.97
@@ -321,51 +321,63 @@ def build_index(vectors: DataFrame, keep: int = 21, shard: int = SHARD) -> DataF
 
 
 def query_blocks(queries: DataFrame, block: int = BLOCK, routers: dict[int, Router] | None = None) -> DataFrame:
-    """Queries packed: dim, cell, block, ids and vectors as bytes; a block of about ``block`` queries of one cell."""
+    """dim, cell, block, id, v (bytes) of each query for each cell it visits; a block has about ``block`` queries of one cell."""
     routers = routers or {}
     dealt = queries.select("id", F.size("v").alias("dim"), "v")
-    if routers:
 
-        def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for rows in batches:
-                rows["cell"] = [routers[d].visited(np.array(v, float)[None])[0] if d in routers else np.zeros(1, np.int32) for d, v in zip(rows["dim"], rows["v"])]
-                yield rows
-
-        dealt = dealt.mapInPandas(visit, "id bigint, dim int, v array<double>, cell array<int>").withColumn("cell", F.explode("cell"))
-    else:
-        dealt = dealt.withColumn("cell", F.lit(0))
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cells, packed = [], [], []
+            for i, (dim, v) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                vector = v.values.to_numpy()
+                to = routers[dim].visited(vector[None])[0].tolist() if dim in routers else [0]
+                rows += [i] * len(to)
+                cells += to
+                packed += [vector.tobytes()] * len(to)
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cells, pa.int32()), pa.array(packed, pa.binary())], ["id", "dim", "cell", "v"])
+
+    dealt = dealt.mapInArrow(visit, "id bigint, dim int, cell int, v binary")
     counts = dealt.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = dealt.join(counts, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        return pd.DataFrame([{"dim": int(key[0]), "cell": int(key[1]), "block": int(key[2]), "qids": rows["id"].to_numpy(np.int64).tobytes(), "qs": np.array(list(rows["v"]), float).tobytes()}])
-
-    return dealt.groupBy("dim", "cell", "block").applyInPandas(run, "dim int, cell int, block int, qids binary, qs binary")
+    return dealt.join(F.broadcast(counts) if not routers else counts, ["dim", "cell"]).select("dim", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "id", "v")
 
 
 def search_index(index: DataFrame, blocks: DataFrame, k: int, width: int = SEARCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each query over the shards of its cells."""
+    """query_id, rank, vec_id, score: the k nearest of each query over the shards of its cells.
+
+    Queries go to the shards: a shard is sent once for each block of its cell, and comes before the block's queries in the order of
+    their task, which holds one shard and one batch of queries at a time. What is broadcast is the numbers of the shards, one row for
+    64 MB of vectors.
+    """
     blocks = materialize(blocks, "hnsw-blocks")
-    units = blocks.select("dim", "cell").join(index.select("dim", "cell"), ["dim", "cell"]).count()
-    pairs = blocks.join(index, ["dim", "cell"]).select("block", "cell", "shard", "dim", "qids", "qs", "ends", "ids", "vectors", "neighbours", "shape").repartition(_tasks(units), "block", "cell", "shard")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
-                points = np.frombuffer(r.vectors).reshape(-1, r.dim)
-                graph = Graph.from_arrays(_lifted(points), r.neighbours, r.shape)
-                ends, ids = np.frombuffer(r.ends, np.int64), np.frombuffer(r.ids, np.int64)
-                out: list[tuple] = []
-                for own, q in zip(np.frombuffer(r.qids, np.int64).tolist(), np.frombuffer(r.qs).reshape(-1, r.dim)):
-                    nodes = graph.search(np.append(q, 0.0).astype(np.float32), width, width)
-                    scores = np.array([float(np.dot(points[i], q)) for i in nodes])
-                    flat = [(s, int(j)) for i, s in zip(nodes, scores) for j in ids[ends[i] : ends[i + 1]] if j != own]
-                    flat.sort(key=lambda x: (-x[0], x[1]))
-                    out += [(own, j, s) for s, j in flat[:k]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = pairs.mapInPandas(run, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    copies = blocks.groupBy("dim", "cell").agg((F.max("block") + 1).alias("copies"))
+    held = index.select("dim", "cell", "shard").join(copies, ["dim", "cell"])
+    units = held.agg(F.sum("copies")).first()[0]
+    unit, data = ["dim", "cell", "shard", "block"], ["ends", "ids", "vectors", "neighbours", "shape"]
+    shards = index.join(copies, ["dim", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select(*unit, F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("binary").alias("v"), *data)
+    asked = blocks.join(F.broadcast(held.select("dim", "cell", "shard")), ["dim", "cell"]).select(*unit, "id", "v", *[F.lit(None).cast("binary").alias(c) for c in data])
+    meeting = shards.unionByName(asked).repartition(_tasks(units), *unit).sortWithinPartitions(*unit, F.asc_nulls_first("id")).select("dim", "id", "v", *data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = graph = ends = ids = None
+        for batch in batches:
+            out: list[tuple] = []
+            for i, (dim, own, v) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))):
+                if own is None:
+                    ends, ids, points, neighbours, shape = (batch.column(c)[i].as_buffer() for c in range(3, 8))
+                    points = np.frombuffer(points).reshape(-1, dim)
+                    graph = Graph.from_arrays(_lifted(points), neighbours, shape)
+                    ends, ids = np.frombuffer(ends, np.int64), np.frombuffer(ids, np.int64)
+                    continue
+                q = np.frombuffer(v.as_buffer())
+                nodes = graph.search(np.append(q, 0.0).astype(np.float32), width, width)
+                scores = np.array([float(np.dot(points[n], q)) for n in nodes])
+                flat = [(s, int(j)) for n, s in zip(nodes, scores) for j in ids[ends[n] : ends[n + 1]] if j != own]
+                flat.sort(key=lambda x: (-x[0], x[1]))
+                out += [(own, j, s) for s, j in flat[:k]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    found = meeting.mapInArrow(run, "query_id bigint, vec_id bigint, score double").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

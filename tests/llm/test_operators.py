@@ -329,6 +329,20 @@ def test_search_with_a_hot_vector_and_many_shards(spark):
     assert got == sorted(x, key=lambda i: (-x[i], i))[:5]
 
 
+@pytest.mark.parametrize("most", [1 << 26, 100 * 64 * 8])
+def test_recall_over_the_larger_table(spark, most):
+    """2,000 vectors of sf0.1, in one shard, and dealt to routed cells of about 100."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, list(map(float, r.embedding))) for r in vectors.collect()]
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = defaultdict(set)
+    for r in hnsw.nearest(vectors, 20, 20, 100, 3, most).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = sum(len(got[q] & {i for _, i in sorted((-s, i) for s, i in zip(x @ x[ids == q][0], ids) if i != q)[:20]}) for q in got)
+    print("recall", most, hits / (20 * len(got)))
+    assert len(got) == 100 and hits >= 0.9 * 20 * len(got)
+
+
 @pytest.mark.parametrize(("everywhere", "most", "shards"), [(12, 1 << 26, 12), (8, 64 * 64, 40)])
 def test_search_over_many_shards_and_routed_cells(spark, everywhere, most, shards):
     rng = np.random.default_rng(3)
