@@ -9,14 +9,57 @@ from quire.functions.text import blank_to_null, fingerprint, first_filled, js_tr
 
 # Records kept for a library; milliseconds an output may be older than its job.
 MOST, SLACK_MS = 1000, 60_000
+#: Milliseconds of a span of :func:`output_candidates`.
+SPAN_MS = 86_400_000
 SEARCHED = ("selected", "context", "result", "item_title", "library_name", "operation", "phonetic", "translation")
 
 
+def _searched(fields: tuple[str, ...]) -> Column:
+    return F.lower(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), "\n"))
+
+
 def search(history: DataFrame, query: str, fields: tuple[str, ...] = SEARCHED) -> DataFrame:
     """Rows whose joined fields hold the query (trimmed, either case); a blank query keeps all. Nulls count as empty fields."""
     q = query.strip().lower()
-    joined = F.lower(F.array_join(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]), "\n"))
-    return history.where(F.instr(joined, q) > 0) if q else history
+    return history.where(F.instr(_searched(fields), q) > 0) if q else history
+
+
+#: Characters of a gram; grams of a search, its rarest ones, that a row must have before its text is looked at.
+GRAM, RAREST = 3, 4
+
+
+def _grams(text: Column) -> Column:
+    """Distinct grams of a text, from each of its characters on (the last ones are shorter); the text is cut to characters once."""
+    three = lambda cs, i: F.concat(*[F.coalesce(F.get(cs, i + k), F.lit("")) for k in range(GRAM)])
+    cut = F.transform(F.array(F.split(text, "")), lambda cs: F.array_distinct(F.transform(cs, lambda _, i: three(cs, i))))
+    return F.get(cut, F.lit(0))
+
+
+def gram_index(history: DataFrame, fields: tuple[str, ...] = SEARCHED, key: str = "id") -> DataFrame:
+    """(gram, key): posting lists of all rows. Write it bucketed or sorted by gram and hand it to any number of searches."""
+    return history.select(F.explode(_grams(_searched(fields))).alias("gram"), F.col(key).alias("_key"))
+
+
+def search_many(searches: DataFrame, history: DataFrame, index: DataFrame | None = None, fields: tuple[str, ...] = SEARCHED, key: str = "id") -> DataFrame:
+    """(query_id, key) of every row of history that a search (query_id, query) finds, for many searches in one job, as :func:`search` defines it.
+
+    A row must have the search's ``RAREST`` rarest grams (an equi-join on the index, counted), then the text decides. A search of one
+    or two characters is the beginning of a gram wherever it stands; a blank one finds every row. ``key`` tells the rows apart.
+    """
+    index = gram_index(history, fields, key) if index is None else index
+    asked = searches.select("query_id", F.lower(F.btrim(F.coalesce("query", F.lit("")), F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"))).alias("_q")).distinct()
+    whole = asked.where(F.length("_q") >= GRAM).select("query_id", "_q", F.explode(F.filter(_grams(F.col("_q")), lambda g: F.length(g) == GRAM)).alias("gram"))
+    often = index.join(whole.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    rated = whole.join(often, "gram", "left").withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_q").orderBy(F.coalesce("_n", F.lit(0)), "gram"))).where(F.col("_r") <= RAREST)
+    need = Window.partitionBy("query_id", "_q")
+    rare = rated.withColumn("_need", F.count(F.lit(1)).over(need)).select("query_id", "_q", "gram", "_need")
+    long = index.join(rare, "gram").groupBy("query_id", "_q", "_key", "_need").agg(F.count_distinct("gram").alias("_met")).where("_met = _need").select("query_id", "_q", "_key")
+    short = [index.join(asked.where(F.length("_q") == n).withColumn("_begin", F.col("_q")), F.substring("gram", 1, n) == F.col("_begin")).select("query_id", "_q", "_key") for n in range(1, GRAM)]
+    every = history.select(F.col(key).alias("_key"), F.lit("").alias("_begin")).join(asked.where("_q = ''"), F.col("_begin") == F.col("_q")).select("query_id", "_q", "_key")
+    sure = short[0].unionByName(short[1]).unionByName(every).select("query_id", "_key")
+    texts = history.select(F.col(key).alias("_key"), _searched(fields).alias("_text"))
+    held = long.join(texts, "_key").where(F.contains("_text", F.col("_q"))).select("query_id", "_key")
+    return held.unionByName(sure).distinct().select("query_id", F.col("_key").alias(key))
 
 
 def by_item(history: DataFrame, item_id) -> DataFrame:
@@ -46,9 +89,9 @@ def delete(history: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def union_libraries(histories: DataFrame, libraries: DataFrame) -> DataFrame:
-    """Rows of all libraries that aren't feeds, with the library's name, newest first."""
+    """Rows of all libraries that aren't feeds, with the library's name, newest first (equal times: by library, then by ord, if there is one)."""
     named = libraries.where(~F.coalesce("is_feed", F.lit(False))).select("library_id", "library_name")
-    return histories.join(named, "library_id").orderBy(F.col("ts_ms").desc())
+    return histories.join(named, "library_id").orderBy(F.col("ts_ms").desc(), "library_id", *[c for c in ("ord", "id") if c in histories.columns])
 
 
 def item_titles(history: DataFrame, items: DataFrame, fallback: str = "?") -> DataFrame:
@@ -86,10 +129,23 @@ def probe(requests: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def output_candidates(jobs: DataFrame, attachments: DataFrame) -> DataFrame:
-    """job_id, attachment_id: the first HTML attachment of the job's parent and title that is no older than a minute before the job and whose file exists."""
-    fit = jobs.join(attachments, ["parent_id", "title"]).where((F.col("content_type") == "text/html") & F.col("file_exists") & (F.col("added_ms") >= F.col("created_ms") - SLACK_MS))
-    r = F.row_number().over(Window.partitionBy("job_id").orderBy("ord"))
-    return fit.withColumn("_r", r).where("_r = 1").select("job_id", "attachment_id")
+    """job_id, attachment_id: the first HTML attachment of the job's parent and title that is no older than a minute before the job and whose file exists.
+
+    An as-of join: jobs and attachments of a parent and title are one run in order of time, and jobs read the least (ord, id) from their
+    time on. Spans of a day are tasks of their own, so one parent and title with any number of jobs is split.
+    """
+    key = ["parent_id", "title"]
+    fit = attachments.where((F.col("content_type") == "text/html") & F.col("file_exists"))
+    fit = fit.select(*key, F.col("added_ms").alias("_at"), F.struct("ord", "attachment_id").alias("_a"), F.lit(None).cast(jobs.schema["job_id"].dataType).alias("job_id"), F.lit(False).alias("_job"))
+    asked = jobs.select(*key, (F.col("created_ms") - SLACK_MS).alias("_at"), F.lit(None).cast(fit.schema["_a"].dataType).alias("_a"), "job_id", F.lit(True).alias("_job"))
+    run = fit.unionByName(asked).where("parent_id is not null and title is not null and _at is not null").withColumn("_span", F.floor(F.col("_at") / SPAN_MS))
+    # the best attachment from a job's time on: inside its span of time by a running minimum, in later spans by one over the spans' minima
+    inside = Window.partitionBy(*key, "_span").orderBy(F.desc("_at"), "_job").rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*key).orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = run.groupBy(*key, "_span").agg(F.min("_a").alias("_best")).withColumn("_later", F.min("_best").over(later)).drop("_best")
+    found = run.withColumn("_here", F.min("_a").over(inside)).where("_job").join(spans, [*key, "_span"])
+    best = found.groupBy("job_id").agg(F.min(F.least("_here", "_later")).alias("_b"))
+    return best.where("_b is not null").select("job_id", "_b.attachment_id")
 
 
 def output_targets(jobs: DataFrame, attachments: DataFrame) -> DataFrame:

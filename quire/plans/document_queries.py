@@ -494,6 +494,16 @@ def history_search(spark, sf):
     return history.search(_history(spark, sf), " US ").select("id")
 
 
+_SEARCH = "CASE item_id % 6 WHEN 0 THEN substring(text, 3, 2) WHEN 1 THEN ' ' || upper(substring(text, 1, 3)) || ' ' WHEN 2 THEN substring(text, 5, 5) WHEN 3 THEN 'lib' || (item_id % 9) WHEN 4 THEN substring(text, 2, 1) ELSE substring(text, 1, 30) END AS query"
+
+
+@query("history_search_many", rf"""WITH q AS (SELECT query_id, lower({TRIM.format('query')}) AS q FROM (SELECT item_id AS query_id, {_SEARCH} FROM benchmark)), h AS (SELECT conv_id * 100 + turn AS id, lower(substring(text, 1, 30) || chr(10) || text || chr(10) || chr(10) || chr(10) || 'lib' || (conv_id % 7) || chr(10) || coalesce(role, '') || chr(10) || chr(10)) AS x FROM conversations)
+SELECT q.query_id, h.id FROM q JOIN h ON contains(h.x, q.q)""")
+def history_search_many(spark, sf):
+    searches = t(spark, sf, "benchmark").selectExpr("item_id AS query_id", _SEARCH)
+    return history.search_many(searches, _history(spark, sf))
+
+
 @query("history_by_item", "SELECT conv_id * 100 + turn AS id FROM conversations WHERE conv_id % 5 = 3")
 def history_by_item(spark, sf):
     return history.by_item(_history(spark, sf), 3).select("id")
@@ -595,6 +605,19 @@ def cache_latest(spark, sf):
     return history.cache_latest(w, ["item_id", "page", "action"]).select("item_id", "page", "action", "ts_ms", "llm_result")
 
 
+# one parent and title has every job and every other attachment: an equi-join would make all pairs
+@query("output_candidates_hot", """WITH j AS (SELECT o_orderkey AS job_id, epoch_ms(o_orderdate) AS created_ms FROM orders), a AS (SELECT l_orderkey * 10 + l_linenumber AS attachment_id, (l_orderkey * 7919 + l_linenumber) % 100003 AS ord, epoch_ms(l_shipdate) AS added_ms FROM lineitem WHERE l_linenumber % 2 = 1),
+r AS (SELECT *, min(k) OVER (ORDER BY tm DESC, job ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM (SELECT NULL AS job_id, added_ms AS tm, ord::HUGEINT * 1000000000000 + attachment_id AS k, 0 AS job FROM a UNION ALL SELECT job_id, created_ms - 60000, NULL, 1 FROM j))
+SELECT job_id, (best % 1000000000000)::BIGINT AS attachment_id FROM r WHERE job = 1 AND best IS NOT NULL""")
+def output_candidates_hot(spark, sf):
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    one = [F.lit(1).cast("bigint").alias("parent_id"), F.lit("t").alias("title")]
+    j = t(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), *one, ms("o_orderdate").alias("created_ms"))
+    a = t(spark, sf, "lineitem").where(F.col("l_linenumber") % 2 == 1)
+    a = a.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attachment_id"), ((F.col("l_orderkey") * 7919 + F.col("l_linenumber")) % 100003).alias("ord"), *one, ms("l_shipdate").alias("added_ms"), F.lit("text/html").alias("content_type"), F.lit(True).alias("file_exists"))
+    return history.output_candidates(j, a)
+
+
 @query("output_candidates", """WITH j AS (SELECT o_orderkey AS job_id, o_custkey AS parent_id, o_orderpriority AS title, epoch_ms(o_orderdate) AS created_ms FROM orders), a AS (SELECT o_orderkey AS attachment_id, o_custkey AS parent_id, o_orderpriority AS title, epoch_ms(o_orderdate) AS added_ms, o_orderkey % 5 <> 0 AS html, o_orderkey % 7 <> 0 AS there FROM orders)
 SELECT j.job_id, a.attachment_id FROM j JOIN a ON a.parent_id = j.parent_id AND a.title = j.title AND a.html AND a.there AND a.added_ms >= j.created_ms - 60000 QUALIFY row_number() OVER (PARTITION BY j.job_id ORDER BY a.attachment_id) = 1""")
 def output_candidates(spark, sf):

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import threading
 import time
 import zipfile
@@ -498,3 +499,31 @@ def test_stream_equals_its_batch_twin(spark, tmp_path):
         if len(r.text) >= len(got.get(r.request_id, ("", False))[0]):
             got[r.request_id] = (r.text, r.done or got.get(r.request_id, ("", False))[1])
     assert got == batch
+
+
+def test_many_searches_equal_the_scan(spark):
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("aAbé \n") for _ in range(rng.randint(0, n)))
+    rows = [(i, word(12), word(30) if i % 5 else None, word(3)) for i in range(80)]
+    h = spark.createDataFrame([(*r, *[None] * 5) for r in rows], "id bigint, selected string, context string, result string, item_title string, library_name string, operation string, phonetic string, translation string")
+    queries = [(i, word(5)) for i in range(60)] + [(100, None), (101, "  "), (102, "zzz"), (103, " é ")]
+    got = sorted(tuple(r) for r in history.search_many(spark.createDataFrame(queries, "query_id int, query string"), h).collect())
+    assert got == sorted((q, r.id) for q, text in queries for r in history.search(h, text or "").select("id").collect())
+    kept = history.gram_index(h).cache()
+    again = history.search_many(spark.createDataFrame(queries, "query_id int, query string"), h, kept)
+    assert sorted(tuple(r) for r in again.collect()) == got
+
+
+def test_first_output_as_of_a_time_equals_the_join(spark):
+    rng = random.Random(22)
+    day = 86_400_000
+    jobs = [(i, rng.choice([1, 1, 2, None]), rng.choice(["t", "t", None]), rng.choice([rng.randint(0, 5 * day), 60_000 + 2 * day, None])) for i in range(150)]
+    files = [(i, rng.choice([5, 5, i]), rng.choice([1, 1, 2, None]), "t", rng.choice([rng.randint(0, 4 * day), 2 * day]), rng.choice(["text/html", "x"]), rng.random() < 0.8) for i in range(150)]
+    j = spark.createDataFrame(jobs, "job_id bigint, parent_id bigint, title string, created_ms bigint")
+    a = spark.createDataFrame(files, "attachment_id bigint, ord bigint, parent_id bigint, title string, added_ms bigint, content_type string, file_exists boolean")
+    want = {}
+    for i, parent, title, created in jobs:
+        fit = [(f[1], f[0]) for f in files if parent is not None and title and created is not None and f[2] == parent and f[3] == title and f[5] == "text/html" and f[6] and f[4] >= created - 60_000]
+        if fit:
+            want[i] = min(fit)[1]
+    assert {r.job_id: r.attachment_id for r in history.output_candidates(j, a).collect()} == want
