@@ -1,15 +1,13 @@
 """Markdown to typed blocks, and sentences broken across pages or floats joined again.
 
-Segmentation, classification and the fixpoint merge depend on everything before them in their document, so they run as
-one Arrow function over whole documents; continuation finding, adjacency chains and ids also exist as windows.
+Segmentation and classification are running windows over lines and segments. The fixpoint merge depends on all merges before
+it in its document, so it runs as an Arrow function over a document's blocks; continuation finding, adjacency chains and ids also exist as windows.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,130 +15,94 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fx
 
-BLOCK = "struct<id:string,type:string,source:string,asset_path:string,source_asset_path:string,status:string>"
 # Status of blocks that need no translation; reach and short paragraphs of a float gap; blocks before an author line; longest fallback title.
 SETTLED, REACH, SHORT, AUTHOR_WITHIN, TITLE_BELOW = "validated", 5, 260, 3, 300
 
 
-@dataclass
-class Segment:
-    text: str
-    open_fence: bool = False
-
-
-def segments(markdown: str) -> Iterator[Segment]:
-    """Blank lines part segments; fences and HTML tables stay whole. A closed fence counts as plain text; only one
-    that never closes is marked (see the tests)."""
-    held: list[str] = []
-    inside = ""  # "", "fence" or "table"
-
-    def take(marked: bool) -> Iterator[Segment]:
-        text = "\n".join(held).strip()
-        held.clear()
-        if text:
-            yield Segment(text, marked)
-
-    for line in re.split(r"\r\n|\r|\n", markdown):
-        if line.lstrip().startswith("```"):
-            if inside != "fence":
-                if held:
-                    yield from take(False)
-                held.append(line)
-                inside = "fence"
-            else:
-                held.append(line)
-                inside = ""
-                yield from take(False)
-        elif inside == "fence":
-            held.append(line)
-        elif inside == "table" or re.search(r"<table[\s>]", line, re.I):
-            held.append(line)
-            inside = "table"
-            if re.search(r"</table>", line, re.I):
-                inside = ""
-                yield from take(False)
-        elif not line.strip():
-            yield from take(False)
-        else:
-            held.append(line)
-    yield from take(inside == "fence")
-
-
-def _is_table(text: str) -> bool:
-    rows = [x for x in text.split("\n") if x]
-    return bool(re.match(r"<table[\s>]", text, re.I)) or len(rows) > 1 and "|" in rows[0] and "|" in rows[1] and bool(re.match(r"\s*\|?\s*:?-{3,}", rows[1]))
-
-
-def _is_formula(text: str) -> bool:
-    return len(text) > 4 and bool(re.fullmatch(r"\$\$.*\$\$|\\\[.*\\\]", text, re.S))
-
-
-def _is_author(text: str) -> bool:
-    if len(text) > 240 or re.search(r"[.!?]\s*\Z", text):
-        return False
-    words = re.split(r"\s+", text)
-    capital = sum(bool(re.fullmatch(r"[A-Z][A-Za-z'’-]+,?", w)) for w in words)
-    return bool(re.search(rf"\b(?:{'|'.join(fx.INSTITUTIONS)})\b", text, re.I | re.A)) or 2 <= len(words) <= 20 and capital >= math.ceil(len(words) / 2)
-
-
-# What headings, images, captions and openings of lines without content look like.
-_HEADING = re.compile(r"(#{1,6})\s+(.+)", re.S)
-_IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)]+)\)\s*(.*)", re.S)
-_DROPPED = re.compile("|".join(map(re.escape, fx.DROP_STARTS)), re.I)
-_CAPTION = re.compile(r"(?:fig(?:ure)?\.?|table)\s+\d+[.:\s]", re.I | re.A)
-
-
-def find_asset(src: str, assets: list[dict]) -> str | None:
-    """Relative path of the first asset whose original path is the source or ends with its file name."""
-    wanted = src.replace("\\", "/")
-    tail = "/" + wanted.rsplit("/", 1)[-1]
-    return next((a["relative_path"] for a in assets if (p := a["original_path"].replace("\\", "/")) == wanted or p.endswith(tail)), None)
-
-
-def classify(parts: Iterator[Segment], assets: list[dict] = ()) -> list[dict]:
-    """Typed blocks of a document's segments, in order."""
-    out: list[dict] = []
-    titled = listing = False
-
-    def add(kind: str, text: str, status: str = "pending", **more) -> None:
-        source = re.sub(r"\\([_~`*\[\]#\\])", r"\1", text).strip()
-        out.append({"id": f"b{len(out) + 1:04d}", "type": kind, "source": source, "asset_path": None, "source_asset_path": None, "status": status} | more)
-
-    for part in parts:
-        text = part.text
-        if m := _HEADING.fullmatch(text):
-            depth, name = len(m[1]), m[2].strip()
-            listing = bool(re.fullmatch(r"references?", name, re.I))
-            first = not titled and depth == 1
-            titled |= first
-            add("title" if first else "subheading" if depth > 2 else "heading", name)
-        elif m := _IMAGE.fullmatch(text):
-            src = re.sub(r"^<|>\Z", "", m[2].strip())
-            add("image", m[1].strip(), SETTLED, asset_path=find_asset(src, list(assets)), source_asset_path=src)
-            if m[3].strip():
-                add("caption", m[3].strip())
-        elif _DROPPED.match(text):
-            add("drop", text, SETTLED)
-        elif listing:
-            # fixed value: a reference begins with a name and a comma
-            for one in re.split(r"\n(?=[A-Z][\w'’.-]+,)", text, flags=re.A):
-                add("reference", one.strip(), SETTLED)
-        elif part.open_fence or _is_formula(text):
-            add("formula", text, SETTLED)
-        elif _is_table(text):
-            add("table", text)
-        elif text.startswith(">"):
-            add("quote", re.sub(r"^>\s?", "", text, flags=re.M))
-        elif _CAPTION.match(text):
-            add("caption", text)
-        elif titled and len(out) <= AUTHOR_WITHIN and _is_author(text):
-            add("author", text, SETTLED)
-        elif not titled and len(text) < TITLE_BELOW:
-            titled = True
-            add("title", text)
-        else:
-            add("paragraph", text)
-    return out
+def _lines(parsed: DataFrame) -> DataFrame:
+    """doc_id, pos, line and what a line does: state after it (fence: n is odd) and where segments are cut.
+
+    A line is a map on the states plain, fence and table. Only fences move between fence and the rest, so their running count is the
+    composition of all maps before as far as the fence goes; between two fences the last line that opens or closes a table is.
+    """
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    region = Window.partitionBy("doc_id", "_n").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parsed.select("doc_id", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), r"\r\n|\r|\n")).alias("pos", "line"))
+    fence, opens, closes = F.col("line").rlike(rf"^[{fx.WS}]*```"), F.col("line").rlike(rf"(?i)<table[{fx.WS}>]"), F.col("line").rlike("(?i)</table>")
+    marked = rows.withColumns({"_f": fence, "_o": opens, "_c": closes}).withColumn("n", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(order)).withColumn("_n", F.col("n") - F.when(F.col("_f"), 1).otherwise(0))
+    event = F.when(F.col("_f"), F.lit(None)).when(F.col("_c"), False).when(F.col("_o"), True)
+    stated = marked.withColumn("_table", F.coalesce(F.last(event, ignorenulls=True).over(region), F.lit(False))).withColumn("_in", F.col("_n") % 2 == 1)
+    whole = ~F.col("_f") & ~F.col("_in") & (F.col("_table") | F.col("_o"))
+    blank = ~F.col("_f") & ~F.col("_in") & ~whole & (fx.js_trim(F.col("line")) == "")
+    before = F.col("_f") & ~F.col("_in") | blank
+    after = F.col("_f") & F.col("_in") | whole & F.col("_c") | blank
+    cut = stated.withColumns({"_before": before.cast("int"), "_after": after.cast("int")})
+    return cut.withColumn("seg", F.sum(F.col("_before") + F.coalesce(F.lag("_after").over(order), F.lit(0))).over(order)).select("doc_id", "pos", "line", "n", "seg")
+
+
+def segment_documents(parsed: DataFrame) -> DataFrame:
+    """doc_id, seg, text, open_fence of (doc_id, markdown): blank lines part segments, fences and HTML tables stay whole. A closed
+    fence counts as plain text; only one that never closes is marked."""
+    text = fx.js_trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n"))
+    grouped = _lines(parsed).groupBy("doc_id", "seg").agg(text.alias("text"), (F.max_by("n", "pos") % 2 == 1).alias("open_fence"))
+    return grouped.where("text <> ''")
+
+
+# What headings, images and quotes look like; how a reference begins (a name and a comma); escaped characters.
+_HEADING, _IMAGE, _QUOTED = rf"(?s)^(#{{1,6}})[{fx.WS}]+(.+)\z", rf"(?s)^!\[([^\]]*)\]\(([^)]+)\)[{fx.WS}]*(.*)\z", rf"(?m)^>[{fx.WS}]?"
+_REFERENCE, _ESCAPED = r"\n(?=[A-Z][A-Za-z0-9_'’.-]+,)", r"\\([_~`*\[\]#\\])"
+_MADE = "array<struct<type:string,source:string,status:string,src:string>>"
+
+
+def typed_blocks(segments: DataFrame) -> DataFrame:
+    """doc_id, pos, id, type, source, status, src (of images) from (doc_id, seg, text, open_fence), in order of seg.
+
+    What a segment is depends on those before it in three ways, each a running window: whether a title was found, whether the
+    last heading opened the references, how many blocks there are.
+    """
+    x = F.col("text")
+    order = Window.partitionBy("doc_id").orderBy("seg")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    part = lambda pattern, i: F.regexp_extract(x, pattern, i)
+    named = segments.withColumns({"_h": x.rlike(_HEADING), "_i": x.rlike(_IMAGE), "_d": fx.is_dropped_line(x)}).withColumn("_name", fx.js_trim(part(_HEADING, 2))).withColumn("_depth", F.length(part(_HEADING, 1)))
+    listed = F.last(F.when(F.col("_h"), F.col("_name").rlike(r"(?i)^references?\z")), ignorenulls=True).over(before)
+    named = named.withColumn("_listing", F.coalesce(listed, F.lit(False)))
+    kind = (
+        F.when(F.col("_h"), "heading").when(F.col("_i"), "image").when(F.col("_d"), "drop").when(F.col("_listing"), "reference").when(F.col("open_fence") | fx.is_formula(x), "formula")
+        .when(x.rlike(rf"(?i)^<table[{fx.WS}>]") | fx.is_markdown_table(x), "table").when(F.startswith(x, F.lit(">")), "quote").when(fx.is_caption_line(x), "caption").otherwise("paragraph")
+    )
+    kinds = named.withColumn("_kind", kind).withColumn("_short", fx.js_length(x) < TITLE_BELOW)
+    titles = (F.col("_kind") == "heading") & (F.col("_depth") == 1) | (F.col("_kind") == "paragraph") & F.col("_short")
+    kinds = kinds.withColumn("_titled", F.coalesce(F.max(titles).over(before), F.lit(False)))
+    one = lambda type_, source=x, status="pending", src=F.lit(None).cast("string"): F.struct(type_.alias("type"), source.alias("source"), F.lit(status).alias("status"), src.alias("src"))
+    image = F.array(one(F.lit("image"), part(_IMAGE, 1), SETTLED, F.regexp_replace(fx.js_trim(part(_IMAGE, 2)), r"^<|>\z", "")), one(F.lit("caption"), part(_IMAGE, 3)))
+    depth = F.when(~F.col("_titled") & (F.col("_depth") == 1), "title").when(F.col("_depth") > 2, "subheading").otherwise("heading")
+    made = (
+        F.when(F.col("_kind") == "heading", F.array(one(depth, F.col("_name")))).when(F.col("_kind") == "image", F.filter(image, lambda b: (b["type"] == "image") | (fx.js_trim(b["source"]) != "")))
+        .when(F.col("_kind") == "reference", F.transform(F.split(x, _REFERENCE), lambda r: one(F.lit("reference"), r, SETTLED))).when(F.col("_kind").isin("drop", "formula"), F.array(one(F.col("_kind"), x, SETTLED)))
+        .when(F.col("_kind") == "quote", F.array(one(F.col("_kind"), F.regexp_replace(x, _QUOTED, "")))).otherwise(F.array(one(F.col("_kind"))))
+    )
+    counted = kinds.withColumn("_made", made.cast(_MADE)).withColumn("_first", F.coalesce(F.sum(F.size("_made")).over(before), F.lit(0)))
+    plain = F.col("_kind") == "paragraph"
+    author = plain & F.col("_titled") & (F.col("_first") <= AUTHOR_WITHIN) & fx.is_author_line(x)
+    title = plain & ~author & ~F.col("_titled") & F.col("_short")
+    settled = F.when(author, F.array(one(F.lit("author"), x, SETTLED)).cast(_MADE)).when(title, F.array(one(F.lit("title"))).cast(_MADE)).otherwise(F.col("_made"))
+    each = counted.select("doc_id", "_first", F.posexplode(settled).alias("_k", "_b"))
+    pos = (F.col("_first") + F.col("_k")).cast("int")
+    clean = fx.js_trim(F.regexp_replace("_b.source", _ESCAPED, "$1"))
+    return each.select("doc_id", pos.alias("pos"), F.format_string("b%04d", pos + 1).alias("id"), F.col("_b.type").alias("type"), clean.alias("source"), F.col("_b.status").alias("status"), F.col("_b.src").alias("src"))
+
+
+def _with_assets(blocks: DataFrame, parsed: DataFrame) -> DataFrame:
+    """Images get the path of the first asset whose original path is the source or ends with its file name."""
+    wanted = F.translate("src", "\\", "/")
+    tail = F.concat(F.lit("/"), F.element_at(F.split(wanted, "/"), -1))
+    path = lambda a: F.translate(a["original_path"], "\\", "/")
+    fit = F.filter("assets", lambda a: (path(a) == F.col("_wanted")) | F.endswith(path(a), F.col("_tail")))
+    images = blocks.where("src is not null").select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), wanted.alias("_wanted"), tail.alias("_tail"))
+    found = images.join(parsed.select("doc_id", "assets"), F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_doc", "_pos", F.get(fit, F.lit(0))["relative_path"].alias("asset_path"))
+    joined = blocks.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("pos") == F.col("_pos")), "left")
+    return joined.select("doc_id", "pos", "id", "type", "source", "asset_path", F.col("src").alias("source_asset_path"), "status")
 
 
 # How a continuation begins, a sentence ends, a float is labelled.
@@ -158,35 +120,52 @@ def _between(b: dict) -> bool:
     return b["type"] in ("table", "image", "caption") or bool(label) or b["type"] == "paragraph" and len(b["source"]) <= SHORT
 
 
-def continuation_of(blocks: list[dict], at: int) -> int | None:
-    """Index of the block that continues block ``at``: the next one, or one past a float with nothing but float matter before it."""
-    own = blocks[at]
-    if own["type"] != "paragraph" or not own["source"].strip() or _ENDED.search(own["source"].strip()):
+def _following(blocks: list[dict], after: list[int], at: int) -> Iterator[int]:
+    """The next blocks that are still there, as far as a continuation may reach."""
+    i = after[at]
+    for _ in range(REACH):
+        if i >= len(blocks):
+            return
+        yield i
+        i = after[i]
+
+
+def _continuation(blocks: list[dict], after: list[int], at: int) -> int | None:
+    own = blocks[at]["source"].strip()
+    if blocks[at]["type"] != "paragraph" or not own or _ENDED.search(own):
         return None
     floats = False
-    for i, b in enumerate(blocks[at + 1 : at + 1 + REACH], at + 1):
-        if _continues(b):
-            return i if floats or i == at + 1 else None
-        if not _between(b):
+    for n, i in enumerate(_following(blocks, after, at)):
+        if _continues(blocks[i]):
+            return i if floats or n == 0 else None
+        if not _between(blocks[i]):
             return None
-        floats |= b["type"] in ("table", "image")
+        floats |= blocks[i]["type"] in ("table", "image")
     return None
 
 
+def continuation_of(blocks: list[dict], at: int) -> int | None:
+    """Index of the block that continues block ``at``: the next one, or one past a float with nothing but float matter before it."""
+    return _continuation(blocks, range(1, len(blocks) + 1), at)
+
+
 def joined(a: str, b: str) -> str:
     return (a + ("" if re.search(r"\s\Z", a) or re.match(r"\s", b) else " ") + b).strip()
 
 
 def repair(blocks: list[dict], reset: bool = False, reindex: bool = True) -> tuple[list[dict], list[str], list[str]]:
-    """Blocks with continuations joined until none is left, the ids joined into, the ids removed."""
+    """Blocks with continuations joined until none is left, the ids joined into, the ids removed. Blocks are linked to the next one
+    left, so a block that is joined is unlinked and nothing is moved."""
     rest, into, gone = [dict(b) for b in blocks], [], []
+    after, ahead, left = list(range(1, len(rest) + 1)), list(range(-1, len(rest))), [True] * len(rest)
     at = 0
     while at < len(rest):
-        to = continuation_of(rest, at)
+        to = _continuation(rest, after, at)
         if to is None:
-            at += 1
+            at = after[at]
             continue
-        own, more = rest[at], rest.pop(to)
+        own, more = rest[at], rest[to]
+        after[ahead[to]], ahead[after[to]], left[to] = after[to], ahead[to], False
         own["source"] = joined(own["source"], more["source"])
         if reset:
             own.update(translation=None, error=None, status="pending")
@@ -194,6 +173,7 @@ def repair(blocks: list[dict], reset: bool = False, reindex: bool = True) -> tup
             own["translation"] = joined(own["translation"], more["translation"])
         into.append(own["id"])
         gone.append(more["id"])
+    rest = [b for b, there in zip(rest, left) if there]
     if reindex:
         for i, b in enumerate(rest, 1):
             b["id"] = f"b{i:04d}"
@@ -201,36 +181,28 @@ def repair(blocks: list[dict], reset: bool = False, reindex: bool = True) -> tup
 
 
 def structure_documents(parsed: DataFrame, repaired: bool = True) -> DataFrame:
-    """doc_id, pos and block columns from (doc_id, markdown, assets array<struct<original_path,relative_path>>); ``repaired``
-    joins broken sentences."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([(n, pa.string()) for n in ("id", "type", "source", "asset_path", "source_asset_path", "status")]))
-        for batch in batches:
-            texts, assets = batch.column(1), batch.column(2)
-            made = [classify(segments(t.as_py() or ""), a.as_py() or []) for t, a in zip(texts, assets)]
-            if repaired:
-                made = [repair(m)[0] for m in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["doc_id", "blocks"])
-
-    done = parsed.select("doc_id", "markdown", "assets").mapInArrow(run, f"doc_id bigint, blocks array<{BLOCK}>")
-    return done.select("doc_id", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "pos", "b.*")
+    """doc_id, pos and block columns from (doc_id, markdown, assets array<struct<original_path,relative_path>>), one row a document;
+    ``repaired`` joins broken sentences."""
+    blocks = _with_assets(typed_blocks(segment_documents(parsed)), parsed)
+    return _repaired(blocks, ("id", "type", "source", "asset_path", "source_asset_path", "status")) if repaired else blocks
 
 
 def repair_documents(blocks: DataFrame, reset: bool = False) -> DataFrame:
     """The same columns (doc_id, pos, id, type, source, translation, status) after repair, grouped by document."""
-    cols = "id string, type string, source string, translation string, status string"
-    lists = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "type", "source", "translation", "status"))).alias("b"))
+    return _repaired(blocks, ("id", "type", "source", "translation", "status"), reset)
+
+
+def _repaired(blocks: DataFrame, names: tuple[str, ...], reset: bool = False) -> DataFrame:
+    lists = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", *names))).alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("id", "type", "source", "translation", "status")
         kind = pa.list_(pa.struct([(n, pa.string()) for n in names]))
         for batch in batches:
             made = [[{n: b.get(n) for n in names} for b in repair(bs.as_py(), reset)[0]] for bs in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, kind)], ["doc_id", "blocks"])
 
-    spec = cols.replace(" string", ":string").replace(", ", ",")
-    done = lists.mapInArrow(run, f"doc_id bigint, blocks array<struct<{spec}>>")
+    doc = blocks.schema["doc_id"].dataType.simpleString()
+    done = lists.mapInArrow(run, f"doc_id {doc}, blocks array<struct<{','.join(f'{n}:string' for n in names)}>>")
     return done.select("doc_id", F.posexplode("blocks").alias("pos", "x")).select("doc_id", "pos", "x.*")
 
 

@@ -323,6 +323,30 @@ def structure_segments(spark, sf):
     return structure.structure_documents(parsed, repaired=False).select("doc_id", long("pos").alias("pos"), "id", "type", "source", "asset_path", "status")
 
 
+_FENCED = "CASE WHEN pos % 13 = 2 THEN '```py' WHEN pos % 13 = 6 THEN '  ```' WHEN pos % 17 = 9 THEN 'x <table><tr>' WHEN pos % 17 = 12 THEN '</tr></TABLE>' WHEN pos % 5 = 4 THEN '' WHEN pos % 19 = 7 THEN '### Part ' || pos ELSE line END"
+
+
+# the sequential rule, line by line
+@query("structure_fences", rf"""WITH RECURSIVE {LINES}, m AS (SELECT doc_id, pos, {_FENCED} AS line FROM lines), l AS (SELECT *, regexp_matches(line, '^\s*```') AS f, regexp_matches(line, '(?i)<table[\s>]') AS o, regexp_matches(line, '(?i)</table>') AS c, {TRIM.format('line')} = '' AS e FROM m),
+r AS (SELECT doc_id, -1 AS pos, 'plain' AS st, 0 AS seg, 0 AS cut, '' AS line FROM documents UNION ALL SELECT l.doc_id, l.pos,
+  CASE WHEN l.f THEN CASE WHEN r.st = 'fence' THEN 'plain' ELSE 'fence' END WHEN r.st = 'fence' THEN 'fence' WHEN r.st = 'table' OR l.o THEN CASE WHEN l.c THEN 'plain' ELSE 'table' END ELSE 'plain' END,
+  r.seg + r.cut + CASE WHEN l.f AND r.st <> 'fence' OR NOT l.f AND r.st = 'plain' AND NOT l.o AND l.e THEN 1 ELSE 0 END, CASE WHEN l.f THEN (r.st = 'fence')::INTEGER WHEN r.st = 'fence' THEN 0 WHEN r.st = 'table' OR l.o THEN l.c::INTEGER ELSE l.e::INTEGER END, l.line
+  FROM r JOIN l ON l.doc_id = r.doc_id AND l.pos = r.pos + 1),
+x AS (SELECT * FROM (SELECT doc_id, seg, {TRIM.format("string_agg(line, chr(10) ORDER BY pos)")} AS s, arg_max(st, pos) = 'fence' AS open FROM r WHERE pos >= 0 GROUP BY doc_id, seg) WHERE s <> ''),
+k AS (SELECT *, list_filter(string_split(s, chr(10)), lambda y: y <> '') AS ls, length(regexp_extract(s, '^(#{{1,6}})\s', 1)) AS depth FROM x),
+g AS (SELECT *, CASE WHEN depth > 0 AND regexp_matches(s, '(?s)^#+\s+.') THEN 'heading' WHEN regexp_matches(s, '(?i)^({"|".join(fx.DROP_STARTS)})') THEN 'drop' WHEN open OR length(s) > 4 AND regexp_matches(s, '(?s)^(\$\$.*\$\$|\\\[.*\\\])$') THEN 'formula'
+ WHEN regexp_matches(s, '(?i)^<table[\s>]') OR len(ls) > 1 AND contains(ls[1], '|') AND contains(ls[2], '|') AND regexp_matches(ls[2], '^\s*\|?\s*:?-{{3,}}') THEN 'table' WHEN starts_with(s, '>') THEN 'quote' WHEN regexp_matches(s, '(?i)^(fig(ure)?\.?|table)\s+[0-9]+[.:\s]') THEN 'caption' ELSE 'paragraph' END AS kind FROM k),
+n AS (SELECT *, row_number() OVER w AS no, coalesce(max(CASE WHEN kind = 'heading' AND depth = 1 OR kind = 'paragraph' AND length(s) < 300 THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS titled, regexp_split_to_array(s, '\s+') AS w FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY seg)),
+t AS (SELECT *, CASE WHEN kind = 'heading' THEN CASE WHEN depth > 2 THEN 'subheading' WHEN depth = 1 AND titled = 0 THEN 'title' ELSE 'heading' END WHEN kind <> 'paragraph' THEN kind
+ WHEN titled = 1 AND no <= 4 AND length(s) <= 240 AND NOT regexp_matches(s, '[.!?]\s*$') AND (regexp_matches(s, '(?i)\b({"|".join(fx.INSTITUTIONS)})\b') OR (len(w) BETWEEN 2 AND 20 AND len(list_filter(w, lambda y: regexp_matches(y, '^[A-Z][A-Za-z''’-]+,?$'))) >= ceil(len(w) / 2))) THEN 'author' WHEN titled = 0 AND length(s) < 300 THEN 'title' ELSE 'paragraph' END AS type FROM n)
+SELECT doc_id, (no - 1)::BIGINT AS pos, type, {TRIM.format(r"regexp_replace(CASE kind WHEN 'heading' THEN regexp_replace(s, '^#+\s+', '') WHEN 'quote' THEN regexp_replace(s, '(?m)^>\s?', '', 'g') ELSE s END, '\\([_~`*\[\]#\\])', '\1', 'g')")} AS source, CASE WHEN type IN ('author', 'formula', 'drop') THEN 'validated' ELSE 'pending' END AS status FROM t""")
+def structure_fences(spark, sf):
+    """Fences that close or never do, tables that blank lines don't part, tables inside fences and fences inside tables."""
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda line, pos: F.when(pos % 13 == 2, "```py").when(pos % 13 == 6, "  ```").when(pos % 17 == 9, "x <table><tr>").when(pos % 17 == 12, "</tr></TABLE>").when(pos % 5 == 4, "").when(pos % 19 == 7, F.concat(F.lit("### Part "), pos.cast("string"))).otherwise(line)), "\n")
+    parsed = t(spark, sf, "documents").select("doc_id", body.alias("markdown"), F.array().cast("array<struct<original_path:string,relative_path:string>>").alias("assets"))
+    return structure.structure_documents(parsed, repaired=False).select("doc_id", long("pos").alias("pos"), "type", "source", "status")
+
+
 _RUNS = "CASE pos % 5 WHEN 1 THEN regexp_replace(line, '[.!?]+$', '') || ',' WHEN 2 THEN '| t |' WHEN 3 THEN 'and ' || regexp_replace(line, '[.!?]+$', '') || CASE WHEN pos % 2 = 0 THEN ',' ELSE '.' END WHEN 4 THEN 'so it ends.' ELSE 'Whole ' || regexp_replace(line, '[.!?]+$', '') || '.' END"
 
 

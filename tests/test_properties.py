@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fx
 from quire.operators import automaton, batching, context, lexicon, protocol, structure
+from tests import structure_by_hand
 
 
 def test_batches_keep_order_and_limits(spark):
@@ -193,3 +194,35 @@ def test_sanitizing_and_stitching(spark):
     frame = spark.createDataFrame(pages, "doc_id bigint, page int, paragraphs array<string>")
     got = {(r.doc_id, r.page): len(r.paragraphs) for r in context.stitch_pages(frame).collect()}
     assert got == {(d, p): len(ps) for d, p, ps in pages}
+
+
+def test_windows_over_lines_equal_the_sequential_rule(spark):
+    """Random lines of fences, tables, headings, images, references and text, against the machine that reads them one by one."""
+    rng = random.Random(31)
+    lines = ["```", "  ```py", "<table>", "</table>", "x <TABLE a><tr></table> y", "", "  ", "plain words here", "# Top", "## References", "### sub", "References", "Ann Lee, Bo Ray", "University of X", "![a](b/p.png) cap", "![a](<p.png>)", "> q", ">  r", "$$ x+y $$", "| a |", "|---|", "Table 1. c", "Smith, A. One.", "Downloaded from y", "long " * 70 + ".", "a\\*b\\_", "﻿", "Ends."]
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [None, "", "```", "\r\na\rb\r\n\r\nc"]
+    assets = [("x/b/p.png", "assets/1.png"), ("p.png", "assets/2.png")]
+    rows = spark.createDataFrame([(i, t, assets if i % 3 else None) for i, t in enumerate(texts)], "doc_id bigint, markdown string, assets array<struct<original_path:string,relative_path:string>>").repartition(5)
+    got: dict = {}
+    for r in structure.structure_documents(rows, repaired=False).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.pos, r.id, r.type, r.source, r.asset_path, r.source_asset_path, r.status))
+    for i, t in enumerate(texts):
+        own = [{"original_path": a, "relative_path": b} for a, b in assets] if i % 3 else []
+        want = [(n, b["id"], b["type"], b["source"], b["asset_path"], b["source_asset_path"], b["status"]) for n, b in enumerate(structure_by_hand.classify(structure_by_hand.segments((t or "").replace("﻿", " ")), own))]
+        assert [(*x[:3], x[3].replace("﻿", " ").strip(), *x[4:]) for x in got.get(i, [])] == want, (i, t)
+
+
+def test_linked_repair_equals_popping(spark):
+    rng = random.Random(32)
+    draw = lambda i: {"id": f"b{i}", "type": rng.choice(["paragraph"] * 5 + ["table", "image", "caption", "heading"]), "source": rng.choice(["Opens here,", "goes on", "then ends.", "Whole.", "", "Table 1", "x" * 300, "and so,"])}
+    for _ in range(500):
+        blocks = [draw(i) for i in range(rng.randint(0, 14))]
+        rest, into, at = [dict(b) for b in blocks], [], 0
+        while at < len(rest):
+            to = structure.continuation_of(rest, at)
+            if to is None:
+                at += 1
+            else:
+                rest[at]["source"] = structure.joined(rest[at]["source"], rest.pop(to)["source"])
+                into.append(rest[at]["id"])
+        assert structure.repair(blocks, reindex=False)[:2] == (rest, into)
