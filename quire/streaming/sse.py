@@ -14,6 +14,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 END = "[DONE]"
 # Seconds of quiet before a refresh, milliseconds before a selection is acted on.
 QUIET, DEFER_MS = 0.12, 50
+#: Milliseconds without a chunk after which a request is given up.
+EXPIRY_MS = 120_000
 PATH = "$.choices[0].delta.content"
 
 
@@ -84,6 +86,123 @@ def reassemble_stream(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("request_id").transformWithStateInPandas(Reassembler(), "request_id string, increment string, text string, done boolean", "Append", "None")
 
 
+class Increments(StatefulProcessor):
+    """Per request: the unfinished line and the number of the next chunk as a value, chunks that came early as a map. Text that went
+    out is no state, only its length is; a request that has been quiet for ``expiry_ms`` is closed and forgotten."""
+
+    def __init__(self, expiry_ms: int):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.line = handle.getValueState("line", "held string, next bigint, sent bigint, done boolean, timer bigint")
+        self.early = handle.getMapState("early", "seq bigint", "chunk string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, nxt, sent, done, timer = self.line.get() if self.line.exists() else ("", 0, 0, False, None)
+        for batch in rows:
+            for seq, chunk in zip(batch["seq"], batch["chunk"]):
+                if not done and int(seq) >= nxt:
+                    self.early.updateValue((int(seq),), (chunk or "",))
+        more = ""
+        while not done and self.early.containsKey((nxt,)):
+            held += self.early.getValue((nxt,))[0]
+            self.early.removeKey((nxt,))
+            nxt += 1
+            *lines, held = held.split("\n")
+            for line in lines:
+                if not done:
+                    part, done = parse_event(line.strip())
+                    more += part
+        if done:
+            held = ""
+            self.early.clear()
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = timerValues.getCurrentProcessingTimeInMs() + self.expiry_ms
+        self.handle.registerTimer(timer)
+        self.line.update((held, nxt, sent + len(more), done, timer))
+        if more or done:
+            yield pd.DataFrame({"request_id": [key[0]], "at": [sent], "increment": [more], "done": [done], "expired": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _, sent, done, _ = self.line.get()
+        part, last = ("", True) if done else parse_event(held.strip())
+        self.line.clear()
+        self.early.clear()
+        yield pd.DataFrame({"request_id": [key[0]], "at": [sent], "increment": [part], "done": [last], "expired": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def increments_stream(chunks: DataFrame, expiry_ms: int = EXPIRY_MS) -> DataFrame:
+    """request_id, at (characters before), increment, done, expired over (request_id, seq, chunk): what each micro-batch adds to an answer.
+
+    Increments in order of ``at`` are the text of :func:`reassemble`. Chunks after the end mark or of a number already read are ignored;
+    a request without new chunks for ``expiry_ms`` of processing time gives its unfinished line as a last increment, marked
+    expired, and its state goes. Not done and expired says that the answer broke off. The state store must be RocksDB.
+    """
+    return chunks.groupBy("request_id").transformWithStateInPandas(Increments(expiry_ms), "request_id string, at bigint, increment string, done boolean, expired boolean", "Append", "ProcessingTime")
+
+
+class Settle(StatefulProcessor):
+    """Per key: rows that a later one may still replace, by time, and one timer for the oldest of them."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at_ms bigint", "payload string")
+        self.timer = handle.getValueState("timer", "at_ms bigint")
+
+    def _arm(self, oldest: int | None) -> None:
+        if self.timer.exists():
+            self.handle.deleteTimer(self.timer.get()[0])
+            self.timer.clear()
+        if oldest is not None:
+            self.handle.registerTimer(oldest + self.quiet_ms + 1)
+            self.timer.update((oldest + self.quiet_ms + 1,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for at, payload in zip(batch["at_ms"], batch["payload"]):
+                held = self.waiting.getValue((int(at),)) if self.waiting.containsKey((int(at),)) else None
+                self.waiting.updateValue((int(at),), (payload if held is None else max(held[0], payload),))
+        self._arm(min((k[0] for k in self.waiting.keys()), default=None))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        times = sorted(k[0] for k in self.waiting.keys())
+        settled = [t for t in times if t + self.quiet_ms < passed]
+        kept = [(t, self.waiting.getValue((t,))[0]) for t, n in zip(times, [*times[1:], None]) if t + self.quiet_ms < passed and (n is None or n - t > self.quiet_ms)]
+        for t in settled:
+            self.waiting.removeKey((t,))
+        self.timer.clear()
+        self._arm(min((t for t in times if t + self.quiet_ms >= passed), default=None))
+        if kept:
+            yield pd.DataFrame({"key": [key[0]] * len(kept), "at_ms": [t for t, _ in kept], "payload": [p for _, p in kept]})
+
+    def close(self) -> None:
+        pass
+
+
+def settled_stream(rows: DataFrame, key: str, at: str, quiet_ms: int = DEFER_MS, late_ms: int = 0) -> DataFrame:
+    """The rows of a stream that no row of the same key follows within ``quiet_ms``: the last of each burst.
+
+    ``at`` is a timestamp. A row goes out once the watermark has passed its quiet time, so rows up to ``late_ms`` late count as if
+    they had come in order; later ones are dropped. Of rows of one key and millisecond one stays (that of the largest JSON).
+    With :data:`DEFER_MS` it is the streaming form of :func:`last_selection`; with ``QUIET`` seconds a burst of progress
+    events refreshes once. The state store must be RocksDB.
+    """
+    marked = rows.withWatermark(at, f"{late_ms} milliseconds")
+    given = marked.select(F.col(key).cast("string").alias("key"), F.unix_millis(F.col(at)).alias("at_ms"), F.to_json(F.struct(*rows.columns)).alias("payload"), F.col(at).alias("_at"))
+    kept = given.groupBy("key").transformWithStateInPandas(Settle(quiet_ms), "key string, at_ms bigint, payload string", "Append", "EventTime")
+    return kept.select(F.from_json("payload", rows.schema).alias("r")).select("r.*")
+
+
 def latest_progress(events: DataFrame) -> DataFrame:
     """The last event of each job so far (for update-mode sinks)."""
     return events.groupBy("job_id").agg(F.max_by(F.struct("stage", "message", "at_ms"), F.struct("at_ms", "ord")).alias("e")).select("job_id", "e.*")
@@ -129,7 +248,10 @@ class Throttle(StatefulProcessor):
 
 
 def throttle_stream(events: DataFrame, gap: int = 1000) -> DataFrame:
-    """Streaming form of :func:`quire.operators.jobs.throttled` over (job_id bigint, ord, at_ms); the state store must be RocksDB."""
+    """Streaming form of :func:`quire.operators.jobs.throttled` over (job_id bigint, ord, at_ms); the state store must be RocksDB.
+
+    Rows are put in order inside a micro-batch; one that comes in a later batch than a newer row that passed doesn't pass.
+    """
     return events.groupBy("job_id").transformWithStateInPandas(Throttle(gap), "job_id bigint, ord bigint, at_ms bigint", "Append", "None")
 
 

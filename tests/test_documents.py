@@ -1,5 +1,6 @@
 """Document operators on small rows written for the rules they must show."""
 
+import datetime
 import io
 import json
 import random
@@ -528,3 +529,106 @@ def test_first_output_as_of_a_time_equals_the_join(spark):
         if fit:
             want[i] = min(fit)[1]
     assert {r.job_id: r.attachment_id for r in history.output_candidates(j, a).collect()} == want
+
+
+def micro_batches(spark, tmp_path, schema, parts):
+    """A stream that reads one part at a time."""
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken by age
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def run_stream(rows, tmp_path, name):
+    spark = rows.sparkSession
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        q = rows.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(300)
+        assert q.exception() is None and not q.isActive
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    return rows.sparkSession.read.parquet(str(tmp_path / name)).collect()
+
+
+def test_increments_are_the_answer_and_state_stays_small(spark, tmp_path):
+    event = lambda s: "data: " + json.dumps({"choices": [{"delta": {"content": s}}]}) + "\n\n"
+    whole = ": note\n" + "".join(event(f"part {i} ") for i in range(40)) + "data: [DONE]\n" + event("late")
+    cut = [("a", i, whole[at : at + 37]) for i, at in enumerate(range(0, len(whole), 37))]
+    chunks = cut + [("b", 0, event("no end")), ("b", 1, "data: " + json.dumps({"choices": [{"delta": {"content": "tail"}}]}))]
+    schema = "request_id string, seq bigint, chunk string"
+    batch = {r.request_id: (r.text, r.done) for r in sse.reassemble(spark.createDataFrame(chunks, schema)).collect()}
+    order = [c for c in chunks if c[1] % 3] + [c for c in chunks if not c[1] % 3]  # two thirds come early
+    stream = micro_batches(spark, tmp_path, schema, (order[:20], order[20:40]))
+    assert {r.request_id for r in run_stream(sse.increments_stream(stream, 1), tmp_path, "out")} <= {"a", "b"}
+    # the same query, started again from its checkpoint with what came meanwhile
+    micro_batches(spark, tmp_path, schema, (order[40:], [("z", 0, "x")]))
+    got = run_stream(sse.increments_stream(stream, 3_600_000), tmp_path, "out")
+    text = {k: "".join(r.increment for r in sorted((r for r in got if r.request_id == k), key=lambda r: r.at)) for k in batch}
+    for r in got:
+        assert r.expired or text[r.request_id][r.at : r.at + len(r.increment)] == r.increment
+    assert all(sum(len(r.increment) for r in got if r.request_id == k) == len(t) for k, t in text.items())
+
+
+def test_increments_without_expiry_equal_the_batch_twin(spark):
+    class Value:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__  # noqa: N815
+
+    class Handle:
+        timers: set = set()
+        getValueState = lambda self, *a: Value()  # noqa: N815, E731
+        getMapState = lambda self, *a: Map()  # noqa: N815, E731
+        registerTimer = lambda self, t: self.timers.add(t)  # noqa: N815, E731
+        deleteTimer = lambda self, t: self.timers.discard(t)  # noqa: N815, E731
+
+    class Now:
+        at = 0
+        getCurrentProcessingTimeInMs = lambda self: self.at  # noqa: N815, E731
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    event = lambda s: "data: " + json.dumps({"choices": [{"delta": {"content": s}}]}) + "\n"
+    for ends in (True, False):
+        whole = "".join(event("x" * rng.randint(0, 9) + "é") for _ in range(300)) + ("data: [DONE]\n" + event("late") if ends else event("tail").strip())
+        chunks = [(i, whole[at : at + 50]) for i, at in enumerate(range(0, len(whole), 50))]
+        want = sse.reassemble(spark.createDataFrame([("r", *c) for c in chunks], "request_id string, seq int, chunk string")).first()
+        chunks = [c for k in range(0, len(chunks), 8) for c in rng.sample(chunks[k : k + 8], len(chunks[k : k + 8]))] + [chunks[0]]
+        machine, now, rows, largest = sse.Increments(1000), Now(), [], 0
+        machine.init(Handle())
+        for k in range(0, len(chunks), 5):
+            now.at += 10
+            rows += [r for f in machine.handleInputRows(("r",), iter([pd.DataFrame(chunks[k : k + 5], columns=["seq", "chunk"])]), now) for r in f.itertuples()]
+            largest = max(largest, len(machine.line.get()[0]) + sum(len(v[0]) for v in machine.early.values()))
+            assert len(Handle.timers) == 1
+        rows += [r for f in machine.handleExpiredTimer(("r",), now, None) for r in f.itertuples()]
+        assert "".join(r.increment for r in rows) == want.text and rows[-1].done == want.done and rows[-1].expired
+        assert largest < 9 * 50 + 100 and machine.line.get() is None and not machine.early  # an unfinished line and the chunks of one window
+        Handle.timers.clear()
+
+
+def test_settled_stream_equals_the_last_selections(spark, tmp_path):
+    rng = random.Random(6)
+    rows = sorted({(f"r{rng.randint(0, 3)}", rng.randint(0, 3000)) for _ in range(150)}, key=lambda r: (r[1], r[0]))
+    stamp = lambda ms: f"2024-01-01 00:00:{ms // 1000:02d}.{ms % 1000:03d}"
+    batch = sse.last_selection(spark.createDataFrame(rows, "reader string, at_ms bigint"))
+    want = {(r.reader, r.at_ms) for r in batch.collect()}
+    late = [rows[i] for i in range(len(rows)) if i % 10 == 3]
+    order = [r for r in rows if r not in late]
+    parts = [order[:60] , late[:6] + order[60:], late[6:], [("end", 20_000)], [("end", 40_000)]]
+    make = lambda part: [(k, datetime.datetime.fromisoformat(stamp(ms)), ms) for k, ms in part]
+    stream = micro_batches(spark, tmp_path, "reader string, at timestamp, ms bigint", [make(p) for p in parts])
+    got = run_stream(sse.settled_stream(stream, "reader", "at", late_ms=5000), tmp_path, "out")
+    assert {(r.reader, r.ms) for r in got if r.reader != "end"} == want and len(got) == len({(r.reader, r.ms) for r in got})
