@@ -88,8 +88,8 @@ def throttled(rows: DataFrame, gap: int = THROTTLE_MS) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str = "id", by: str = "updated_ms") -> DataFrame:
-    """Live over stored: the row of a job updated last."""
-    r = F.row_number().over(Window.partitionBy(key).orderBy(F.col(by).desc()))
+    """Live over stored: the row of a job updated last (of several at one time the one that is largest as JSON)."""
+    r = F.row_number().over(Window.partitionBy(key).orderBy(F.col(by).desc(), F.to_json(F.struct(*rows.columns)).desc()))
     return rows.withColumn("_r", r).where("_r = 1").drop("_r")
 
 

@@ -171,15 +171,17 @@ def planned_blocks(plan: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def accept(blocks: DataFrame, answers: DataFrame, language: Column | None = None) -> DataFrame:
-    """Blocks with the answer of their id: sanitized and restored, or failed with a reason (missing, marker, lost token, connector)."""
+    """Blocks with the answer of their id: sanitized and restored, or failed with a reason (the answer's own error, missing, marker,
+    lost token, connector)."""
     language = F.lit("en") if language is None else language
-    joined = blocks.drop("translation", "status", "error").join(answers.select("doc_id", "id", F.col("translation").alias("answer")), ["doc_id", "id"], "left")
+    refused = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
+    joined = blocks.drop("translation", "status", "error").join(answers.select("doc_id", "id", F.col("translation").alias("answer"), refused.alias("refused")), ["doc_id", "id"], "left")
     back = joined.withColumn("clean", fx.sanitize(F.col("answer"))).withColumn("r", restore(F.col("clean"), F.col("spans")))
     text = F.col("r.text")
     error = (
-        F.when(fx.blank_to_null(F.col("answer")).isNull(), "missing").when((F.col("clean") == "") | fx.leaks_protocol(F.col("clean")), "protocol marker")
+        F.when(fx.blank_to_null(F.col("answer")).isNull(), F.coalesce("refused", F.lit("missing"))).when((F.col("clean") == "") | fx.leaks_protocol(F.col("clean")), "protocol marker")
         .when(F.col("r.lost").isNotNull(), F.concat(F.lit("lost "), F.col("r.lost"))).when(fx.leaks_protocol(text), "protocol marker")
         .when(fx.has_untranslated_connector(text, language), "untranslated connector")
     )
     judged = back.withColumn("error", error).withColumn("translation", F.when(F.col("error").isNull(), text))
-    return judged.withColumn("status", F.when(F.col("error").isNull(), "translated").otherwise("failed")).drop("r", "answer", "clean")
+    return judged.withColumn("status", F.when(F.col("error").isNull(), "translated").otherwise("failed")).drop("r", "answer", "clean", "refused")

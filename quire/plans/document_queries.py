@@ -520,6 +520,22 @@ def history_delete(spark, sf):
     return history.delete(h, h.where("ord % 100 % 2 = 1 and operation = 'user'")).select("library_id", "id")
 
 
+@query("history_titles_missed", "SELECT c.c_custkey AS id, CASE WHEN c.c_custkey % 3 = 0 THEN 'unknown' ELSE n.n_name END AS item_title FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey")
+def history_titles_missed(spark, sf):
+    """A third of the records name an item that is gone, another third one whose parent is."""
+    gone = F.when(F.col("n_nationkey") % 2 == 0, F.lit(-1))
+    items = t(spark, sf, "nation").select(F.col("n_nationkey").alias("item_id"), gone.cast("int").alias("parent_id"), F.col("n_name").alias("title"))
+    rows = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey") + 500).otherwise(F.col("c_nationkey")).alias("item_id"))
+    return history.item_titles(rows, items, "unknown").select("id", "item_title")
+
+
+@query("history_cap", "SELECT event_id AS id, (user_id % 3)::BIGINT AS library_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id DESC)::BIGINT AS place FROM events QUALIFY place <= 1000")
+def history_cap(spark, sf):
+    """Three libraries of thousands of records, each cut to the last thousand."""
+    rows = t(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("ord"), long(F.col("user_id") % 3).alias("library_id"))
+    return history.newest(rows).select("id", "library_id", long("rank").alias("place"))
+
+
 @query("history_titles", "SELECT c.c_custkey AS id, CASE WHEN n.n_nationkey % 4 = 1 THEN (CASE WHEN n.n_nationkey % 3 = 0 THEN '?' ELSE n.n_name END) ELSE r.r_name END AS item_title FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey")
 def history_titles(spark, sf):
     n, r = t(spark, sf, "nation"), t(spark, sf, "region")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fx
 from quire.operators import batching, protocol, render, structure, validate
-from quire.operators.jobs import with_retry
+from quire.operators.jobs import masked, with_retry
 from quire.sources.readers import first_existing
 from quire.sources.scratch import keep
 
@@ -35,8 +35,9 @@ def read_answers(output: str, as_json: bool) -> dict[str, str]:
 
 
 def ask(batches: DataFrame, client: Callable[[list[dict], bool], str], language: str, parallel: int = 2) -> DataFrame:
-    """doc_id, id, translation, requests of (doc_id, batch_no, blocks array<struct<id,type,protected>>): one task of at most
-    ``parallel`` holds a client each; a batch that fails by JSON is asked for again as text."""
+    """doc_id, id, translation, requests, error of (doc_id, batch_no, blocks array<struct<id,type,protected>>): one task of at most
+    ``parallel`` holds a client each; a batch that fails by JSON is asked for again as text, and one that fails so too is rows with
+    the error (secrets masked), not a failed job."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
@@ -52,14 +53,18 @@ def ask(batches: DataFrame, client: Callable[[list[dict], bool], str], language:
                     task = (JSON_TASK if as_json else TEXT_TASK).format(language)
                     return read_answers(client([{"role": "system", "content": task}, {"role": "user", "content": payload}], as_json), as_json)
 
+                got, error = {}, None
                 try:
                     got = with_retry(lambda: once(True))
                 except Exception:  # noqa: BLE001
-                    got = with_retry(lambda: once(False))
-                out += [(r.doc_id, b["id"], got.get(b["id"]), asked) for b in blocks]
-            yield pd.DataFrame(out, columns=["doc_id", "id", "translation", "requests"])
-
-    return batches.repartition(parallel, "doc_id", "batch_no").mapInPandas(run, "doc_id bigint, id string, translation string, requests bigint")
+                    try:
+                        got = with_retry(lambda: once(False))
+                    except Exception as e:  # noqa: BLE001
+                        error = masked(f"request failed: {e}")
+                out += [(r.doc_id, b["id"], got.get(b["id"]), asked, error) for b in blocks]
+            yield pd.DataFrame(out, columns=["doc_id", "id", "translation", "requests", "error"])
+
+    return batches.repartition(parallel, "doc_id", "batch_no").mapInPandas(run, "doc_id bigint, id string, translation string, requests bigint, error string")
 
 
 def _round(blocks: DataFrame, client, language: str, max_chars: int, max_blocks: int, parallel: int) -> DataFrame:
