@@ -74,6 +74,14 @@ def batch_plan_docs(spark, sf):
     return plan.groupBy("doc_id").agg(F.count(F.lit(1)).alias("batches"), F.sum(long(F.size("block_ids"))).alias("blocks"), F.max("char_count").alias("largest"))
 
 
+# all lines of all documents as the blocks of one document, in pieces of 512
+@query("batch_plan_long", _batch_sql(24000, 20, "SELECT batch_no, id, n_blocks, first_block, last_block, char_count FROM b").replace(LINES, "raw AS (SELECT doc_id AS d, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS p FROM documents), lines AS (SELECT 0 AS doc_id, line, d * 1000000 + p AS pos FROM raw)").replace("printf('b%04d', min(pos) + 1)", "printf('b%d', min(pos))").replace("printf('b%04d', max(pos) + 1)", "printf('b%d', max(pos))"))
+def batch_plan_long(spark, sf):
+    rows = doc_lines(spark, sf).where(fx.js_trim(F.col("line")) != "").select(F.lit(0).cast("bigint").alias("doc_id"), (F.col("doc_id") * 1000000 + F.col("pos")).alias("pos"), F.format_string("b%d", F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), fx.js_length(F.col("line")).alias("size"))
+    plan = batching.plan_batches(rows, split=512)
+    return plan.select(long("batch_no").alias("batch_no"), "id", long(F.size("block_ids")).alias("n_blocks"), F.get("block_ids", F.lit(0)).alias("first_block"), F.element_at("block_ids", -1).alias("last_block"), "char_count")
+
+
 @query("context_level", rf"""WITH s AS (SELECT conv_id, turn, {TRIM.format('text')} AS t FROM conversations), c AS (SELECT *, len(regexp_split_to_array(t, '\s+')) AS words, len(regexp_extract_all(t, '[.?!]\s')) + CASE WHEN regexp_matches(t, '[.?!]$') THEN 1 ELSE 0 END AS ends FROM s)
 SELECT conv_id, turn, CASE WHEN t = '' OR words <= 3 THEN 1 WHEN ends >= 2 THEN 3 ELSE 2 END AS level FROM c""")
 def context_level(spark, sf):

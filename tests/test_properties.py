@@ -196,6 +196,16 @@ def test_sanitizing_and_stitching(spark):
     assert got == {(d, p): len(ps) for d, p, ps in pages}
 
 
+def test_pieces_of_long_documents_equal_the_fold(spark):
+    rng = random.Random(41)
+    sizes = {d: [rng.choice([0, 1, 5, 40, 99, 100, 101, 400]) for _ in range(n)] for d, n in ((1, 3000), (2, 1), (3, 64), (4, 65), (5, 700))}
+    rows = spark.createDataFrame([(d, 7 * i, f"b{i}", n) for d, ns in sizes.items() for i, n in enumerate(ns)], "doc_id bigint, pos bigint, id string, size int").repartition(4)
+    for blocks, split in ((6, 64), (20, 20), (1, 50)):
+        want = {(r.doc_id, r.batch_no, r.id, tuple(r.block_ids), r.char_count) for r in batching.plan_batches(rows, 100, blocks).collect()}
+        got = [(r.doc_id, r.batch_no, r.id, tuple(r.block_ids), r.char_count) for r in batching.plan_batches(rows, 100, blocks, split).collect()]
+        assert len(got) == len(want) and set(got) == want, (blocks, split)
+
+
 def test_windows_over_lines_equal_the_sequential_rule(spark):
     """Random lines of fences, tables, headings, images, references and text, against the machine that reads them one by one."""
     rng = random.Random(31)
