@@ -31,3 +31,9 @@ def keep(df: DataFrame, name: str = "rows") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release_tables(spark: SparkSession) -> None:
+    """Deletes this application's kept tables; call it once the results that read them are written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/quire-tables-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
