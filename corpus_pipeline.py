@@ -26,8 +26,8 @@ SHINGLE_WORDS, ALIKE_PERCENT = 5, 80
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled documents at hand, finds toxic are dropped.
 
-    Null and empty texts score by the bias; repeated rows fall together; without labels none is dropped; an empty table
-    stays empty; all columns pass, whatever their names.
+    Null and empty texts score by the bias; repeated rows fall together; without labels none is dropped; very long texts
+    are scored whole; an empty table stays empty; all columns pass, whatever their names.
     """
     return without_toxic(docs, train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels")))
 
@@ -35,7 +35,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (the least doc_id) stays; five-word shingles, similarity of 0.8 or more.
 
-    Texts without words are near nothing and stay. Rows without a doc_id can't be told apart and stay; of rows that
+    Texts without words are near nothing and stay; very long texts are compared whole. Rows without a doc_id can't be told apart and stay; of rows that
     repeat a doc_id and its text one stays. An empty table stays empty; all columns pass, whatever their names.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), k=SHINGLE_WORDS, percent=ALIKE_PERCENT).where("kept and doc_id is not null").select("doc_id").distinct()
@@ -47,8 +47,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Maximal runs of bytes covered by 200-byte strings that occur elsewhere too leave the texts, if over 50 words begin in them.
 
     Every occurrence goes, in ties as well; a character cut in part goes whole; n_chars follows the text. Null texts
-    become empty, rows whose text goes whole stay with an empty one, repeated rows count as repeats of each other. An
-    empty table stays empty; all columns pass, whatever their names.
+    become empty, rows whose text goes whole stay with an empty one, repeated rows count as repeats of each other; very
+    long texts are cut whole. An empty table stays empty; all columns pass, whatever their names.
     """
     kept = without_repeats(docs, REPEAT_BYTES, REPEAT_GRAM, REPEAT_WORDS)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
@@ -58,13 +58,14 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it; ties and repeats by the content of the rows, so reruns agree.
 
     Texts without words have size 0 and come out once or not at all, as their source's rate says; a null source is a
-    source of its own; an empty table stays empty; all columns pass, whatever their names.
+    source of its own; very long texts weigh what they have; an empty table stays empty; all columns pass, whatever their names.
     """
     return mixed_documents(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix; null texts count as empty, other columns end here."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of the mix; null texts count as empty, other columns end here;
+    repeated rows are encoded each, very long texts piece by piece, an empty table gives an empty result."""
     return encode_documents(docs)
 
 
