@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.sources.scratch import release_tables, shared_folder
+
 
 #: Bytes of an Arrow batch at most (one row at least): whole texts go to Python in these, however long they are.
 BATCH_BYTES = 8 << 20
@@ -33,20 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; where it is unset and all runs on one machine, a fresh one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else None
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="quire-scratch-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 _scope: ContextVar[str] = ContextVar("scope", default="")
 
 
@@ -71,7 +58,7 @@ def scratch_scope(spark: SparkSession, name: str):
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/quire-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark)}/quire-{spark.sparkContext.applicationId}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -82,6 +69,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def release_scratch(spark: SparkSession) -> None:
     """Deletes this application's scratch tables; call it once the results that read them are written."""
     _delete(spark, _scratch(spark))
+    release_tables(spark)
 
 
 def text_array(column: pa.Array) -> pa.Array:

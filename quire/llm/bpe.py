@@ -6,7 +6,8 @@ least that far before the window's end, and goes on from there, so memory stays
 is the reverse machine: token bytes in, text out as soon as a UTF-8 sequence is complete.
 
 Defined results: null and empty texts have no tokens, the id list of no tokens is the empty string and decodes to the
-empty string; repeated rows give repeated rows; columns of the input besides the named ones are ignored.
+empty string; repeated rows give repeated rows; very long texts, and words in them, are encoded piece by piece; an empty table
+gives an empty result; columns of the input besides the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -47,10 +48,6 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-#: The folder on this machine.
-TOKENIZER_DIR = os.path.dirname(tokenizer_path(TOKENIZER))
-
-
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable bytes stand for themselves, others follow from U+0100."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]

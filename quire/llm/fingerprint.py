@@ -7,7 +7,8 @@ shingles and a digest of their set, then the kept hashes, 8 hex digits each, in
 Defined results: a null text is empty and has the fingerprint of an empty set; texts of fewer than k words have one
 shingle, the whole sequence; where neither sketch keeps a hash, likeness is 1 for equal sets and 0 otherwise; equal texts have
 equal fingerprints. Rows of a repeated doc_id follow each other by text; a null doc_id comes last; a single row is its
-own next document; other columns are ignored.
+own next document; very long texts are sketched whole, their fingerprints grow in proportion; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -93,12 +93,27 @@ def _solve(state: DataFrame, links: DataFrame, rated: DataFrame) -> DataFrame:
     return vector.select("key", "step")
 
 
+def _alone(x: DataFrame, links: DataFrame, cap: float, steps: int, tolerance: float) -> DataFrame:
+    """key and x of a single margin: its Hessian is diagonal, so every value's steps are a fold over its own row and nothing is written between."""
+    words = links.groupBy("key").agg(F.sum("n").alias("n"))
+
+    def step(at: Column, _: Column) -> Column:
+        tilt = F.exp(at)
+        mass, free = F.col("n") * F.least(tilt, F.lit(cap)), F.when(tilt < cap, F.col("n") * tilt).otherwise(0.0)
+        miss = F.col("goal") - mass
+        move = miss / F.greatest(F.when(free > 0, free).otherwise(mass), F.lit(1e-12))
+        near = F.abs(miss) / F.greatest(F.col("goal"), F.lit(1.0)) < tolerance
+        return F.when(near | (at == float("-inf")), at).otherwise(at + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), move)))
+
+    return x.join(words, "key").select("key", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("x"), step).alias("x"))
+
+
 def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = CAP, steps: int = STEPS, tolerance: float = 1e-9) -> DataFrame:
     """Rates of the cells: ``cells`` has one row for each combination of margin values with its words ``n``.
 
     ``margins`` gives for each margin column a table (column, target); a value without a target is taken 0 words. Each
     Newton step sums words (gradient) and movable words (diagonal of the Hessian) by margin value over all cells. With
-    one margin the Hessian is diagonal and the step is their ratio; with several, its products are summed the same
+    one margin the Hessian is diagonal and the step is their ratio (:func:`_alone`); with several, its products are summed the same
     way. Steps are scaled to 1 at most, until the largest relative miss is below the tolerance.
     """
     names = list(margins)
@@ -110,22 +125,20 @@ def balance(cells: DataFrame, margins: dict[str, DataFrame], cap: float = CAP, s
         goal = goal.unionByName(more)
     x = links.select("key").distinct().join(goal, "key", "left").select("key", F.coalesce("goal", F.lit(0.0)).alias("goal"))
     x = x.withColumn("x", F.when(F.col("goal") > 0, 0.0).otherwise(float("-inf")))
-    x = materialize(x, "mix-multipliers")
+    x = materialize(x if len(names) > 1 else _alone(x, links, cap, steps, tolerance), "mix-multipliers")
     mass, free = _clipped(cap)
-    for _ in range(steps):
+    for _ in range(steps if len(names) > 1 else 0):
         rated = links.join(x.select("key", "x"), "key").groupBy("_cell").agg(F.max("n").alias("n"), F.sum("x").alias("eta")).select("_cell", mass.alias("mass"), free.alias("free"))
-        if len(names) > 1:
-            rated = materialize(rated, "mix-rated")
+        rated = materialize(rated, "mix-rated")
         sums = links.select("_cell", "key").join(rated, "_cell").groupBy("key").agg(F.sum("mass").alias("mass"), F.sum("free").alias("free"))
         state = x.join(sums, "key").withColumn("miss", F.when(F.col("x") > float("-inf"), F.col("goal") - F.col("mass")).otherwise(0.0))
         state = state.withColumn("diag", F.greatest(F.when(F.col("free") > 0, F.col("free")).otherwise(F.col("mass")), F.lit(1e-12)))
         state = materialize(state, "mix-state")
         if (state.agg(F.max(F.abs("miss") / F.greatest("goal", F.lit(1.0)))).first()[0] or 0.0) < tolerance:
             break
-        step = state.select("key", (F.col("miss") / F.col("diag")).alias("step")) if len(names) == 1 else _solve(state, links, rated)
-        if len(names) > 1:  # one scale for the whole direction
-            scale = 1.0 / max(1.0, step.agg(F.max(F.abs("step"))).first()[0] or 0.0)
-            step = step.withColumn("step", F.col("step") * F.lit(scale))
+        step = _solve(state, links, rated)
+        scale = 1.0 / max(1.0, step.agg(F.max(F.abs("step"))).first()[0] or 0.0)  # one scale for the whole direction
+        step = step.withColumn("step", F.col("step") * F.lit(scale))
         x = state.join(step, "key").select("key", "goal", (F.col("x") + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("step")))).alias("x"))
     eta = links.join(x.select("key", "x"), "key").groupBy("_cell").agg(F.sum("x").alias("eta"))
     return held.join(eta, "_cell").withColumn("rate", F.least(F.exp("eta"), F.lit(cap))).drop("_cell", "eta")

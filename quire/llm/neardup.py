@@ -8,11 +8,12 @@ candidates, and a candidate pair becomes a link only when the full sets say so.
 
 Texts with the same set are one class; only class representatives (least doc_id) are banded. Inside a bucket every
 member is first checked against one leading member, and what is then still in different components is checked pair by
-pair between components, so no bucket is expanded into all its pairs, yet no link between components is lost. Before
+pair between components (quadratic in those that exact bounds leave, a join that can be split), so no link between components is lost. Before
 that, members leave the bucket whose shingles that any other text has are too few for a link with any of its sizes.
 
 Defined results: null, empty and wordless texts have an empty set and link with nothing; ties go to the smaller doc_id;
-rows of a repeated doc_id share its component; a null doc_id has a null component and is kept; other columns are ignored.
+rows of a repeated doc_id share its component; a null doc_id has a null component and is kept; very long texts are
+one set each, however many shingles it has; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,13 +24,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.llm._common import materialize, table
+from quire.operators.ordered import running
 
 #: Fixed by op13's contract: conversations of a family, and one more than a family's first turns at most.
 FAMILY, TURNS = 5, 9
@@ -39,45 +38,6 @@ FAN_IN = 64
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def running(rows: DataFrame, key: str, order: list[str], sums: list[str], name: str) -> DataFrame:
-    """``rows`` with nth, their place in their key, and ``sums`` as running totals (64 bits; key isn't null), by ranges of (key, order).
-
-    The column part numbers the ranges in order. What the ranges hand on is one row each, which alone is broadcast.
-    """
-    values = ["nth", *sums]
-    names = [c for c in rows.columns if c not in sums] + sums
-    schema = T.StructType([rows.schema[c] for c in names] + [T.StructField("nth", T.LongType()), T.StructField("part", T.IntegerType())])
-    key_at, sums_at = names.index(key), len(names) - len(sums)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, last, held = TaskContext.get().partitionId(), None, np.zeros(1 + len(sums), np.int64)
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            keys = batch.column(key_at).to_numpy(zero_copy_only=False)
-            total = np.stack([np.ones(n, np.int64), *(batch.column(sums_at + i).to_numpy(zero_copy_only=False) for i in range(len(sums)))]).cumsum(axis=1)
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            before = np.concatenate([np.zeros((len(total), 1), np.int64), total[:, first[1:] - 1]], axis=1)
-            if last == keys[0]:
-                before[:, 0] -= held
-            total -= np.repeat(before, np.diff([*first, n]), axis=1)
-            last, held = keys[-1], total[:, -1].copy()
-            yield pa.RecordBatch.from_arrays([*batch.columns[:sums_at], *(pa.array(v) for v in total[1:]), pa.array(total[0]), pa.array(np.full(n, part, np.int32))], schema.names)
-
-    dealt = rows.select(*names).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
-    local = materialize(dealt.mapInArrow(run, schema), name)
-    ends = local.groupBy("part").agg(F.min(key).alias("first"), F.max(F.struct(F.col(key).alias("last"), *values)).alias("e")).select("part", "first", "e.*")
-    through = Window.partitionBy("last").orderBy("part")
-    handed = ends.select("part", "first", F.struct("last", *[F.sum(v).over(through).alias(v) for v in values]).alias("e"))
-    handed = handed.withColumn("e", F.lag("e").over(Window.orderBy("part"))).where(F.col("e.last") == F.col("first"))
-    carry = handed.select("part", F.col("first").alias(key), *[F.col(f"e.{v}").alias(f"_{v}") for v in values])
-    met = local.join(F.broadcast(carry), ["part", key], "left")
-    return met.select("part", *names[:sums_at], *[(F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values])
-
-
 def digested(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, digest of the turn, bytes of its text."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
@@ -89,7 +49,7 @@ def rebuilt(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns (conv_id, depth, digest, bytes) of the conversations with their family's first turns, and conversations (conv_id, length)."""
     # equal turns of one number can be told apart by nothing that counts; the last column only lets ranges part them
     turns = digested(conversations).withColumn("_tie", F.monotonically_increasing_id())
-    placed = materialize(running(turns, "conv_id", ["turn", "digest", "_tie"], [], "trie-turns").select("conv_id", "digest", "bytes", "nth"), "trie-places")
+    placed = materialize(running(turns, "conv_id", ["turn", "digest", "_tie"], [], lambda df: materialize(df, "trie-turns")).select("conv_id", "digest", "bytes", "nth"), "trie-places")
     sizes = placed.groupBy("conv_id").agg(F.max("nth").alias("n"))
     convs = sizes.withColumn("family", F.col("conv_id") - F.col("conv_id") % FAMILY).withColumn("h", F.crc32(F.col("conv_id").cast("string")) % TURNS)
     known = sizes.select(F.col("conv_id").alias("family"), F.col("n").alias("_n"))
@@ -115,7 +75,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     """conv_id, depth, p1 and p2 (the prefix), q1 and q2 (the one before), bytes and part of every prefix but the empty one, whose digest is 0."""
     laned = turns.select("conv_id", "depth", "bytes", *[lane.alias(f"g{i}") for i, lane in enumerate(_lanes())], *[lane.alias(f"s{i}") for i, lane in enumerate(_lanes())])
     sums = [f"s{i}" for i in range(4)]
-    summed = running(laned, "conv_id", ["depth"], sums, "trie-prefixes")
+    summed = running(laned, "conv_id", ["depth"], sums, lambda df: materialize(df, "trie-prefixes"))
     now = [F.col(s) for s in sums]
     before = [F.col(f"s{i}") - F.col(f"g{i}") for i in range(4)]
     path = [f(*x[i : i + 2]) for x in (now, before) for i in (0, 2) for f in (_joined,)]

@@ -213,7 +213,7 @@ def test_running_sums_over_keys_that_span_ranges(spark):
     rows = [(k, i, (k * 31 + i) % 17) for k, n in ((1, 3), (2, 5000), (3, 1), (4, 4000), (5, 2)) for i in range(n)]
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = prefixtrie.running(spark.createDataFrame(rows, "k long, i long, v long").repartition(5), "k", ["i"], ["v"], "running").collect()
+        got = prefixtrie.running(spark.createDataFrame(rows, "k long, i long, v long").repartition(5), "k", ["i"], ["v"]).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want, total = set(), {}

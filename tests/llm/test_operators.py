@@ -15,7 +15,7 @@ from quire.llm import bpe, fingerprint, hnsw, licences, mixing, neardup, quality
 from quire.llm.hashing import shingles, text_words
 
 SF = "/root/testdata/sf0.001"
-TOKENIZER = f"{bpe.TOKENIZER_DIR}/byte_bpe_50k.json"
+TOKENIZER = bpe.tokenizer_path("byte_bpe_50k.json")
 
 
 def table(spark, name):
