@@ -12,7 +12,7 @@ from quire.functions import text as fx
 from quire.operators import context, history, jobs, lexicon, prompt, protocol, render, structure, validate
 from quire.plans import translate
 from quire.plans.document_queries import _ESC, LINES, SENTENCES, TRIM, doc_lines, long, query, t
-from quire.sources import readers, scratch, writers
+from quire.sources import readers, scratch, versions, writers
 from quire.streaming import sse
 
 def _when(column: str, names: dict, other: str = "NULL") -> str:
@@ -577,6 +577,18 @@ def document_files(spark, sf):
     return readers.read_documents(spark, path, lines=True).select(long("job_id").alias("doc_id"), "pos", "id", "source")
 
 
+@query("job_versions", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 1 THEN 'completed' ELSE 'queued' END AS stage, CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice * 2 ELSE o_totalprice END AS cost FROM orders WHERE o_orderkey % 4 <> 2")
+def job_versions(spark, sf):
+    """Every order a job, saved, a quarter changed, the log folded, a quarter deleted: what is left, from the log alone."""
+    path, schema = scratch.fresh_path(spark, "versions"), "id bigint, stage string, cost double"
+    jobs = t(spark, sf, "orders").select(long("o_orderkey").alias("id"), F.lit("queued").alias("stage"), F.col("o_totalprice").cast("double").alias("cost"))
+    versions.append(jobs, path)
+    versions.append(jobs.where("id % 4 = 1").select("id", F.lit("completed").alias("stage"), (F.col("cost") * 2).alias("cost")), path)
+    versions.compact(spark, path, schema, ["id"], 0.1)
+    versions.append(jobs.where("id % 4 = 2").withColumn("gone", F.lit(True)), path)
+    return versions.latest(spark, path, schema, ["id"])
+
+
 @query("dictionary_files", "SELECT word, arg_max(phonetic, n) AS phonetic, arg_max(translation, n) AS translation FROM (SELECT lower(split_part(p_name, ' ', 1)) AS word, p_brand AS phonetic, p_type AS translation, p_partkey AS n FROM part) GROUP BY word")
 def dictionary_files(spark, sf):
     path = scratch.fresh_path(spark, "dictionary")

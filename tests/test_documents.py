@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as fx
 from quire.operators import batching, context, history, jobs, layout, lexicon, prompt, protocol, render, structure, validate
-from quire.sources import readers, writers
+from quire.sources import readers, versions, writers
 from quire.streaming import sse
 from tests import structure_by_hand
 
@@ -632,3 +632,27 @@ def test_settled_stream_equals_the_last_selections(spark, tmp_path):
     stream = micro_batches(spark, tmp_path, "reader string, at timestamp, ms bigint", [make(p) for p in parts])
     got = run_stream(sse.settled_stream(stream, "reader", "at", late_ms=5000), tmp_path, "out")
     assert {(r.reader, r.ms) for r in got if r.reader != "end"} == want and len(got) == len({(r.reader, r.ms) for r in got})
+
+
+def test_writers_at_once_lose_nothing_and_cut_off_saves_are_invisible(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/log", "id bigint, v string"
+    make = lambda rows: spark.createDataFrame(rows, schema).coalesce(1)
+    state = lambda: {r.id: r.v for r in versions.latest(spark, path, schema, ["id"]).collect()}
+    assert state() == {}
+    numbers = []
+    threads = [threading.Thread(target=lambda k=k: numbers.append(versions.append(make([(k, f"a{k}"), (99, f"x{k}")]), path))) for k in range(6)]
+    for th in threads:
+        th.start()
+    for th in threads:
+        th.join()
+    assert sorted(numbers) == [1, 2, 3, 4, 5, 6]
+    got = state()
+    assert {k: got[k] for k in range(6)} == {k: f"a{k}" for k in range(6)} and got[99].startswith("x")
+    make([(0, "never committed")]).withColumn("gone", F.lit(False)).write.parquet(f"{path}/data/batch=cut")
+    (tmp_path / "log/commits/00000000000000000007").write_text("")  # a commit that was cut off
+    assert state() == got
+    assert versions.append(make([(0, "b0")]), path) == 8 and state() == got | {0: "b0"}
+    assert versions.compact(spark, path, schema, ["id"], 0.9) is None and versions.compact(spark, path, schema, ["id"], 0.1) == 9
+    assert state() == got | {0: "b0"} and versions.versions(spark, path, schema).count() == 7
+    versions.append(make([(5, "")]).withColumn("gone", F.lit(True)), path)
+    assert 5 not in state() and versions.vacuum(spark, path) == 8 and 5 not in state() and len(state()) == 6
