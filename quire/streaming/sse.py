@@ -141,7 +141,8 @@ def increments_stream(chunks: DataFrame, expiry_ms: int = EXPIRY_MS) -> DataFram
 
     Increments in order of ``at`` are the text of :func:`reassemble`. Chunks after the end mark or of a number already read are ignored;
     a request without new chunks for ``expiry_ms`` of processing time gives its unfinished line as a last increment, marked
-    expired, and its state goes. Not done and expired says that the answer broke off. The state store must be RocksDB.
+    expired, and its state goes. Not done and expired says that the answer broke off. Timers of processing time keep a
+    query going until it is stopped. The state store must be RocksDB.
     """
     return chunks.groupBy("request_id").transformWithStateInPandas(Increments(expiry_ms), "request_id string, at bigint, increment string, done boolean, expired boolean", "Append", "ProcessingTime")
 
