@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as fx
 from quire.operators.jobs import Truncated, with_retry
 from quire.operators.lexicon import from_csv, from_tsv, ingest_dictionary
-from quire.sources.writers import restore
+from quire.sources.writers import bucket_of, restore
 
 GLOSSARY = "library_id bigint, entries array<struct<term:string,translation:string,field:string,note:string>>"
 RECORD = "id:string,selected:string,context:string,level:int,result:string,item_id:string,page:int,ts_ms:bigint,operation:string,dictionary:struct<phonetic:string,translation:string,pos:string>,dictionary_only:boolean"
@@ -58,13 +58,19 @@ BLOCKS = "pos int, id string, type string, source string, translation string, st
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """The blocks all jobs have saved (:func:`quire.sources.writers.put_json` partitioned by job_id), with their job_id."""
-    return _json(spark, path, f"{BLOCKS}, job_id string", lines=lines)
+    """The blocks all jobs have saved (:func:`quire.sources.writers.save_documents`, or a JSON table with a folder a job), with their job_id."""
+    return _json(spark, path, f"{BLOCKS}, job_id string", lines=lines).drop("bucket")
 
 
 def read_document(spark: SparkSession, path: str, job_id: str, lines: bool = False) -> DataFrame:
-    """The blocks of one job; none if there are none."""
-    return _json(spark, f"{path}/job_id={job_id}", BLOCKS, lines=lines)
+    """The blocks of one job, of whose folder alone files are read; none if there are none."""
+    restore(spark, path)
+    own = f"{path}/job_id={job_id}"
+    if first_existing(spark, [own]):
+        return _json(spark, own, BLOCKS, lines=lines)
+    bucket = spark.range(1).select(bucket_of(F.lit(str(job_id)))).first()[0]
+    blocks = _json(spark, f"{path}/bucket={bucket}", f"{BLOCKS}, job_id string", lines=lines)
+    return blocks.where(F.col("job_id") == str(job_id)).drop("job_id")
 
 
 def read_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:

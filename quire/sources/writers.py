@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders that the blocks of jobs are dealt to, so that there are as many files as tasks and folders, however many jobs.
+BUCKETS = 64
 #: Writes of one path wait for each other.
 _QUEUES: dict[str, threading.Lock] = defaultdict(threading.Lock)
 
@@ -36,6 +38,16 @@ def put_json(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> No
         store.delete(old, True)
 
 
+def bucket_of(job_id):
+    """The folder of a job's blocks."""
+    return F.pmod(F.xxhash64(job_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def save_documents(blocks: DataFrame, path: str) -> None:
+    """(job_id, ...): the blocks of all jobs as one JSON table, replaced whole; a job's blocks are in one of ``BUCKETS`` folders."""
+    put_json(blocks.withColumn("bucket", bucket_of(F.col("job_id"))), path, ("bucket",))
+
+
 def restore(spark: SparkSession, path: str) -> None:
     """Undoes a replacement that was cut off between its two renames."""
     (here, store), (old, _) = (_files(spark, path + end) for end in ("", ".old"))
