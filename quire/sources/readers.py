@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as fx
 from quire.operators.jobs import Truncated, with_retry
 from quire.operators.lexicon import from_csv, from_tsv, ingest_dictionary
+from quire.sources import versions
 from quire.sources.writers import bucket_of, restore
 
 GLOSSARY = "library_id bigint, entries array<struct<term:string,translation:string,field:string,note:string>>"
@@ -73,6 +74,11 @@ def read_document(spark: SparkSession, path: str, job_id: str, lines: bool = Fal
     return blocks.where(F.col("job_id") == str(job_id)).drop("job_id")
 
 
+def read_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, value: the text of each document as its file would hold it, with a last line break (:func:`quire.sources.writers.save_markdown`)."""
+    return versions.newest(spark, path, "doc_id string, value string", ["doc_id"])
+
+
 def read_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return _json(spark, path, JOB).where(F.col("id") == job_id)
 

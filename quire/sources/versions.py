@@ -113,6 +113,19 @@ def latest(spark: SparkSession, path: str, schema: str, keys: list[str], version
     return newest.select(*names, *(["version"] if version else []))
 
 
+def newest(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """All rows of the newest save of each key that aren't gone. Keys alone are grouped, and nothing is where there was one save."""
+    rows = versions(spark, path, schema)
+    names = [c for c in rows.columns if c not in ("gone", "version")]
+    if len(_live(spark, path)[0]) > 1:
+        last = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.max("version").alias("_version"))
+        same = F.col("version") == F.col("_version")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        rows = rows.join(last, same, "left_semi")
+    return rows.where("not gone").select(*names)
+
+
 def compact(spark: SparkSession, path: str, schema: str, keys: list[str], stale: float = STALE) -> int | None:
     """Folds the log to its newest rows if the share of others reaches ``stale``; saves committed meanwhile stay as they are."""
     live, last = _live(spark, path)

@@ -8,6 +8,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources import versions
+
 #: Folders that the blocks of jobs are dealt to, so that there are as many files as tasks and folders, however many jobs.
 BUCKETS = 64
 #: Writes of one path wait for each other.
@@ -86,8 +88,9 @@ def save_html(bodies: DataFrame, path: str) -> None:
 
 
 def save_markdown(parsed: DataFrame, path: str) -> None:
-    """(doc_id, markdown): the raw text of each document beside its blocks."""
-    parsed.select("doc_id", F.col("markdown").alias("value")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id").text(path)
+    """(doc_id, markdown): the raw text of each document beside its blocks, a row of an append log for each; texts saved before of the
+    same documents are replaced, others stay (see :func:`quire.sources.readers.read_markdown`)."""
+    versions.append(parsed.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat("markdown", F.lit("\n")).alias("value")), path)
 
 
 def save_assets(assets: DataFrame, root: str) -> None:

@@ -17,3 +17,16 @@ def test_blocks_of_many_jobs_are_few_files(spark, tmp_path):
     assert readers.read_document(spark, path, "none", lines=True).count() == 0
     writers.put_json(rows.where("job_id = '5'"), str(tmp_path / "old"), ("job_id",))  # a folder a job is still read
     assert readers.read_document(spark, str(tmp_path / "old"), "5", lines=True).count() == 3
+
+
+def test_markdown_of_many_documents_is_few_files(spark, tmp_path):
+    path = str(tmp_path / "markdown")
+    save = lambda rows: writers.save_markdown(spark.createDataFrame(rows, "doc_id bigint, markdown string"), path)
+    save([(i, f"# {i}\n\r\nx") for i in range(500)] + [(7, "again"), (None, "no id"), (501, None)])
+    files = len(list((tmp_path / "markdown").rglob("*.parquet")))
+    assert files <= 8
+    first = {(r.doc_id, r.value) for r in readers.read_markdown(spark, path).collect()}
+    assert len(first) == 503 and {("7", "# 7\n\r\nx\n"), ("7", "again\n"), (None, "no id\n"), ("501", None)} <= first
+    save([(7, "new"), (None, "new"), (600, "")])  # these are replaced, the others stay
+    second = {(r.doc_id, r.value) for r in readers.read_markdown(spark, path).collect()}
+    assert second == {x for x in first if x[0] not in ("7", None)} | {("7", "new\n"), (None, "new\n"), ("600", "\n")}
