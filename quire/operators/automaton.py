@@ -17,6 +17,10 @@ import pyarrow.compute as pc
 
 #: Bytes of a stream that are read at once; states are kept for these only.
 SEGMENT = 1 << 22
+#: Bytes that end a run of lower-case ASCII letters and digits.
+BORDER = np.array([not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
+#: Texts whose hits are held at a time.
+ROWS = 1000
 
 
 class Automaton:
@@ -28,6 +32,7 @@ class Automaton:
         at = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         self.longest = int(sizes.max()) if len(raw) else 1
+        self.sizes = sizes
         self.classes = np.zeros(256, np.uint8)
         used = np.unique(data)
         self.classes[used] = np.arange(1, len(used) + 1)
@@ -56,14 +61,11 @@ class Automaton:
 
     def hits(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, term) of the texts ``data[offsets[i]:offsets[i + 1]]``, ordered."""
-        n = len(offsets) - 1
-        starts = offsets[:-1] + np.arange(n)  # with one byte of class 0 behind each text
-        stream = np.zeros(int(offsets[-1]) + n, np.uint8)
-        stream[np.arange(offsets[-1]) + np.repeat(np.arange(n), np.diff(offsets))] = self.classes[data[: offsets[-1]]]
         found = [np.zeros(0, np.int64)]
-        for a in range(0, len(stream), SEGMENT):
-            place, state = self._read(stream, a, min(len(stream), a + SEGMENT))
-            found.append(np.unique((np.searchsorted(starts, place, side="right") - 1) * len(self.own) + state))
+        for first, starts, stream, _ in self._streams(data, offsets):
+            for a in range(0, len(stream), SEGMENT):
+                place, state = self._read(stream, a, min(len(stream), a + SEGMENT))
+                found.append(np.unique((first + np.searchsorted(starts, place, side="right") - 1) * len(self.own) + state))
         pairs = np.unique(np.concatenate(found))
         text, state = pairs // len(self.own), pairs % len(self.own)
         out = [np.zeros(0, np.int64)]
@@ -74,6 +76,40 @@ class Automaton:
         pairs = np.unique(np.concatenate(out))
         return pairs // len(self.own), pairs % len(self.own)
 
+    def bounded(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`hits` of the terms that stand between bytes that are no lower-case ASCII letters or digits, or at an end of a text."""
+        found = [np.zeros(0, np.int64)]
+        for first, starts, stream, border in self._streams(data, offsets):
+            for a in range(0, len(stream), SEGMENT):
+                place, state = self._read(stream, a, min(len(stream), a + SEGMENT))
+                free = border[place + 1]  # a text has a byte behind it
+                place, state = place[free], state[free]
+                while len(state):
+                    term = self.own[state]
+                    before = place - self.sizes[term]
+                    met = (term >= 0) & ((before < 0) | border[before])
+                    found.append(np.unique((first + np.searchsorted(starts, place[met], side="right") - 1) * len(self.own) + term[met]))
+                    more = self.next[state] > 0
+                    place, state = place[more], self.next[state][more]
+        pairs = np.unique(np.concatenate(found))
+        return pairs // len(self.own), pairs % len(self.own)
+
+    def _streams(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """As many texts at a time as have ``SEGMENT`` bytes (or one that has more), one byte of class 0 behind each: number of the first,
+        where they start, the classes of their bytes, and which bytes are borders."""
+        a, n = 0, len(offsets) - 1
+        while a < n:
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SEGMENT, side="right")) - 1)
+            at = offsets[a : b + 1] - offsets[a]
+            behind = at[1:] + np.arange(b - a)
+            inside = np.ones(int(at[-1]) + b - a, bool)
+            inside[behind] = False
+            raw = data[offsets[a] : offsets[b]]
+            stream, border = np.zeros(len(inside), np.uint8), np.ones(len(inside), bool)
+            stream[inside], border[inside] = self.classes[raw], BORDER[raw]
+            yield a, at[:-1] + np.arange(b - a), stream, border
+            a = b
+
     def _read(self, stream: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``stream[a:b]`` where a term ends, and the states there."""
         back = self.longest - 1
@@ -140,6 +176,12 @@ def first_hits(row: np.ndarray, tier: np.ndarray, entry: np.ndarray, rows: int,
     return entry[keep], np.searchsorted(row[keep], np.arange(rows + 1))
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``ROWS`` rows."""
+    for a in range(0, batch.num_rows, ROWS):
+        yield batch.slice(a, ROWS)
+
+
 def by_value(column: pa.Array) -> Iterator[tuple[object, np.ndarray]]:
     """Each value of a column with its rows, nulls left out."""
     codes = column.dictionary_encode()

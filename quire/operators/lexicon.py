@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.functions.text import is_lookup_candidate, js_trim
-from quire.operators.automaton import Tiers, by_value, first_hits
+from quire.operators.automaton import Automaton, Tiers, by_value, first_hits, slices, text_bytes
 from quire.sources.scratch import keep
 
 # Terms in a prompt, terms of a paper, terms taken from a model, from how many entries a dictionary is the full one.
@@ -96,7 +96,7 @@ def _tiered_everywhere(texts: DataFrame, entries: DataFrame, most: int) -> DataF
         low = table["_low"].to_pylist()
         places = dict(by_value(table["library_id"].combine_chunks())) if table.num_rows else {}
         tiers: dict = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [(np.zeros(0, np.int64),) * 3]
             for library, rows in by_value(batch.column(n)):
                 if library in places:
@@ -144,10 +144,10 @@ def _tiered_dealt(texts: DataFrame, entries: DataFrame, most: int, keys: tuple[s
                     terms, tiers, of = batch.column(3)[first].as_py(), None, group[first]
                 elif group[first] == of:  # else no term was dealt to the group
                     tiers = tiers or Tiers(terms)
-                    part = batch.slice(first, len(rows))
-                    row, tier, entry = tiers.hits(part.column(6), part.column(7))
-                    own = [part.column(c).take(pa.array(row)) for c in (0, 4, 5)]
-                    yield pa.RecordBatch.from_arrays([*own, pa.array(tier.astype(np.int32)), pa.array([terms[e] for e in entry], pa.string())], ["library_id", "_h1", "_h2", "tier", "_low"])
+                    for part in slices(batch.slice(first, len(rows))):
+                        row, tier, entry = tiers.hits(part.column(6), part.column(7))
+                        own = [part.column(c).take(pa.array(row)) for c in (0, 4, 5)]
+                        yield pa.RecordBatch.from_arrays([*own, pa.array(tier.astype(np.int32)), pa.array([terms[e] for e in entry], pa.string())], ["library_id", "_h1", "_h2", "tier", "_low"])
 
     library = texts.schema["library_id"].dataType.simpleString()
     hits = meeting.mapInArrow(run, f"library_id {library}, _h1 bigint, _h2 bigint, tier int, _low string").distinct()
@@ -185,9 +185,52 @@ def _postings(texts: DataFrame) -> DataFrame:
     return texts.select("_by", "library_id", F.explode(F.get(bound, F.lit(0))).alias("p")).select("_by", "library_id", "p.*")
 
 
-def _phrases(texts: DataFrame, entries: DataFrame) -> DataFrame:
+def _folded(c: Column) -> Column:
+    """Lower-cased so that no other character becomes an ASCII letter, except the two that equal one in the other case, and that a sigma's
+    form doesn't depend on its place."""
+    return F.lower(F.translate(c, "\u017f\u212a\u0130\u03a3\u03c2", "sk\ufdd0\u03c3\u03c3"))
+
+
+def _phrases(texts: DataFrame, entries: DataFrame, term_bytes: int = TERM_BYTES) -> DataFrame:
     """_by, library_id, ord, term of the terms (of several runs, or with other characters around one) that stand in a text.
 
+    Terms of up to ``term_bytes`` bytes in all go to every task as automata that look at the borders of a match, so texts are read where
+    they are; more of them are found by postings (:func:`_placed`)."""
+    low = entries.select("library_id", "ord", "term", _folded(F.col("term")).alias("_low"))
+    if (low.agg(F.sum(F.octet_length("_low"))).first()[0] or 0) > term_bytes:
+        return _placed(texts, entries)
+    held = low.toArrow().combine_chunks()
+    shared = texts.sparkSession.sparkContext.broadcast(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        places = dict(by_value(table["library_id"].combine_chunks())) if table.num_rows else {}
+        automata: dict = {}
+        for batch in (part for whole in batches for part in slices(whole)):
+            for library, rows in by_value(batch.column(1)):
+                if library in places:
+                    if library not in automata:
+                        own = table.take(pa.array(places[library])).combine_chunks()
+                        spelt = own["_low"].to_pylist()
+                        distinct = sorted(set(spelt))
+                        number = {t: i for i, t in enumerate(distinct)}
+                        of = np.array([number[t] for t in spelt], np.int64)
+                        automata[library] = own, np.argsort(of, kind="stable"), np.sort(of), Automaton(distinct)
+                    own, order, of, automaton = automata[library]
+                    chosen = batch.take(pa.array(rows))
+                    row, term = automaton.bounded(*text_bytes(chosen.column(2)))
+                    first, n = np.searchsorted(of, term), np.searchsorted(of, term, side="right") - np.searchsorted(of, term)
+                    entry = order[np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    row = pa.array(np.repeat(row, n))
+                    yield pa.RecordBatch.from_arrays([chosen.column(0).take(row), chosen.column(1).take(row), *(own[c].combine_chunks().take(pa.array(entry)) for c in ("ord", "term"))], ["_by", "library_id", "ord", "term"])
+
+    schema = T.StructType([texts.schema["_by"], texts.schema["library_id"], entries.schema["ord"], T.StructField("term", T.StringType())])
+    return texts.where("text is not null").select("_by", "library_id", _folded(F.col("text")).alias("_c")).mapInArrow(run, schema)
+
+
+def _placed(texts: DataFrame, entries: DataFrame) -> DataFrame:
+    """:func:`_phrases` by postings, for any number of terms.
+
     A term's rarest run in its library finds the places where the term may stand; there each of its runs must be in its place with
     the term's own gaps around it, which is an equi-join on (text, place). Nothing but postings of the terms' runs is shuffled.
     """
