@@ -35,8 +35,8 @@ def read_answers(output: str, as_json: bool) -> dict[str, str]:
 
 
 def ask(batches: DataFrame, client: Callable[[list[dict], bool], str], language: str, parallel: int = 2) -> DataFrame:
-    """doc_id, id, translation, requests, error of (doc_id, batch_no, blocks array<struct<id,type,protected>>): one task of at most
-    ``parallel`` holds a client each; a batch that fails by JSON is asked for again as text, and one that fails so too is rows with
+    """doc_id, id, translation, requests, error of (doc_id, batch_no, blocks array<struct<id,type,protected>>): the batches of a document
+    are asked for in at most ``parallel`` rows at once, documents in as many tasks as there are; a batch that fails by JSON is asked for again as text, and one that fails so too is rows with
     the error (secrets masked), not a failed job."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,7 +64,8 @@ def ask(batches: DataFrame, client: Callable[[list[dict], bool], str], language:
                 out += [(r.doc_id, b["id"], got.get(b["id"]), asked, error) for b in blocks]
             yield pd.DataFrame(out, columns=["doc_id", "id", "translation", "requests", "error"])
 
-    return batches.repartition(parallel, "doc_id", "batch_no").mapInPandas(run, "doc_id bigint, id string, translation string, requests bigint, error string")
+    tasks = max(parallel, int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return batches.repartition(tasks, "doc_id", F.col("batch_no") % parallel).mapInPandas(run, "doc_id bigint, id string, translation string, requests bigint, error string")
 
 
 def _round(blocks: DataFrame, client, language: str, max_chars: int, max_blocks: int, parallel: int) -> DataFrame:

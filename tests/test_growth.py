@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quire.operators import automaton, lexicon
+from quire.plans import translate
 
 
 def test_terms_with_borders_equal_the_rule():
@@ -41,3 +42,10 @@ def test_an_automaton_holds_a_part_of_a_batch():
     assert tracemalloc.get_traced_memory()[1] < 300 << 20
     tracemalloc.stop()
     assert len(rows) == 2 * (len(texts) // 6000)
+
+
+def test_requests_are_dealt_to_more_tasks_than_a_document_has_at_once(spark):
+    rows = spark.range(40).selectExpr("id % 20 as doc_id", "id div 20 as batch_no", "array(named_struct('id', 'b1', 'type', 'paragraph', 'protected', 'x')) as blocks")
+    asked = translate.ask(rows, lambda messages, as_json: '{"translations": {"b1": "y"}}', "zh-CN", 2)
+    assert asked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 2
+    assert [(r.translation, r.requests, r.error) for r in asked.distinct().collect()] and asked.count() == 40
