@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import blank_to_null, fingerprint, first_filled, js_trim
+from quire.sources.scratch import keep
 
 # Records kept for a library; milliseconds an output may be older than its job.
 MOST, SLACK_MS = 1000, 60_000
@@ -26,6 +27,8 @@ def search(history: DataFrame, query: str, fields: tuple[str, ...] = SEARCHED) -
 
 #: Characters of a gram; grams of a search, its rarest ones, that a row must have before its text is looked at.
 GRAM, RAREST = 3, 4
+#: Tasks that the rows of a gram are dealt to.
+SPREAD = 16
 
 
 def _grams(text: Column) -> Column:
@@ -45,21 +48,26 @@ def search_many(searches: DataFrame, history: DataFrame, index: DataFrame | None
 
     A row must have the search's ``RAREST`` rarest grams (an equi-join on the index, counted), then the text decides. A search of one
     or two characters is the beginning of a gram wherever it stands; a blank one finds every row. ``key`` tells the rows apart.
+    Equal searches are one until the end. The rows of a gram are dealt to ``SPREAD`` tasks by their key, as some grams are in every row.
     """
-    index = gram_index(history, fields, key) if index is None else index
-    asked = searches.select("query_id", F.lower(F.btrim(F.coalesce("query", F.lit("")), F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"))).alias("_q")).distinct()
-    whole = asked.where(F.length("_q") >= GRAM).select("query_id", "_q", F.explode(F.filter(_grams(F.col("_q")), lambda g: F.length(g) == GRAM)).alias("gram"))
+    index = keep(gram_index(history, fields, key), "grams") if index is None else index
+    ids = searches.select("query_id", F.lower(F.btrim(F.coalesce("query", F.lit("")), F.lit(" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0"))).alias("_q")).distinct()
+    asked = ids.select("_q").distinct()
+    whole = asked.where(F.length("_q") >= GRAM).select("_q", F.explode(F.filter(_grams(F.col("_q")), lambda g: F.length(g) == GRAM)).alias("gram"))
     often = index.join(whole.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
-    rated = whole.join(often, "gram", "left").withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_q").orderBy(F.coalesce("_n", F.lit(0)), "gram"))).where(F.col("_r") <= RAREST)
-    need = Window.partitionBy("query_id", "_q")
-    rare = rated.withColumn("_need", F.count(F.lit(1)).over(need)).select("query_id", "_q", "gram", "_need")
-    long = index.join(rare, "gram").groupBy("query_id", "_q", "_key", "_need").agg(F.count_distinct("gram").alias("_met")).where("_met = _need").select("query_id", "_q", "_key")
-    short = [index.join(asked.where(F.length("_q") == n).withColumn("_begin", F.col("_q")), F.substring("gram", 1, n) == F.col("_begin")).select("query_id", "_q", "_key") for n in range(1, GRAM)]
-    every = history.select(F.col(key).alias("_key"), F.lit("").alias("_begin")).join(asked.where("_q = ''"), F.col("_begin") == F.col("_q")).select("query_id", "_q", "_key")
-    sure = short[0].unionByName(short[1]).unionByName(every).select("query_id", "_key")
+    need = Window.partitionBy("_q")
+    rated = whole.join(often, "gram", "left").withColumn("_r", F.row_number().over(need.orderBy(F.coalesce("_n", F.lit(0)), "gram"))).where(F.col("_r") <= RAREST)
+    rare = rated.select("_q", "gram", F.col("_r"), F.count(F.lit(1)).over(need).alias("_need")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = index.withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(SPREAD)).cast("int"))
+    met = F.bit_count(F.bit_or(F.expr("shiftleft(1, _r - 1)")))
+    long = dealt.join(rare, ["gram", "_part"]).groupBy("_q", "_key", "_need").agg(met.alias("_met")).where("_met = _need").select("_q", "_key")
+    short = [index.join(asked.where(F.length("_q") == n).withColumn("_begin", F.col("_q")), F.substring("gram", 1, n) == F.col("_begin")).select("_q", "_key") for n in range(1, GRAM)]
+    every = history.select(F.col(key).alias("_key"), F.lit("").alias("_begin")).join(asked.where("_q = ''"), F.col("_begin") == F.col("_q")).select("_q", "_key")
+    sure = short[0].unionByName(short[1]).unionByName(every)
     texts = history.select(F.col(key).alias("_key"), _searched(fields).alias("_text"))
-    held = long.join(texts, "_key").where(F.contains("_text", F.col("_q"))).select("query_id", "_key")
-    return held.unionByName(sure).distinct().select("query_id", F.col("_key").alias(key))
+    held = long.join(texts, "_key").where(F.contains("_text", F.col("_q"))).select("_q", "_key")
+    found = held.unionByName(sure).distinct()
+    return found.join(ids, "_q").select("query_id", F.col("_key").alias(key)).distinct()
 
 
 def by_item(history: DataFrame, item_id) -> DataFrame:
@@ -179,13 +187,16 @@ def project_sources(items: DataFrame, attachments: DataFrame, libraries: DataFra
 def match_assets(images: DataFrame, assets: DataFrame) -> DataFrame:
     """images (doc_id, src) with relative_path of the first asset that equals the source or ends with its file name.
 
-    Both ways of matching are equi-joins (on the path, on the file name), so no pair outside a document and name is made.
+    The first asset of each path and of each file name is found before images meet assets, so an image meets one row of each,
+    however many assets share its name.
     """
     plain = lambda c: F.replace(F.col(c), F.lit("\\"), F.lit("/"))
     tail = lambda c: F.element_at(F.split(c, "/"), -1)
-    i = images.withColumn("_src", plain("src")).withColumn("_base", tail(F.col("_src")))
-    a = assets.select("doc_id", "ord", "relative_path", plain("original_path").alias("_orig")).withColumn("_name", tail(F.col("_orig")))
-    same = (i["doc_id"] == a["doc_id"]) & (i["_base"] == a["_name"])
-    hits = i.join(a, same).where((F.col("_orig") == F.col("_src")) | F.col("_orig").contains("/")).select(i["doc_id"], "src", "ord", "relative_path")
-    best = hits.groupBy("doc_id", "src").agg(F.min_by("relative_path", "ord").alias("relative_path"))
-    return images.join(best, ["doc_id", "src"], "left")
+    a = assets.select("doc_id", plain("original_path").alias("_src"), F.struct("ord", "relative_path").alias("_a"))
+    first = lambda rows, key, name: rows.groupBy("doc_id", key).agg(F.min_by("_a", "_a.ord").alias(name))
+    whole = first(a, "_src", "_whole")
+    named = first(a.where(F.col("_src").contains("/")).withColumn("_base", tail(F.col("_src"))), "_base", "_named")
+    wanted = images.select("doc_id", "src").distinct().withColumn("_src", plain("src")).withColumn("_base", tail(F.col("_src")))
+    met = wanted.join(whole, ["doc_id", "_src"], "left").join(named, ["doc_id", "_base"], "left")
+    earlier = F.when(F.col("_named.ord") < F.col("_whole.ord"), F.col("_named")).otherwise(F.coalesce("_whole", "_named"))
+    return images.join(met.select("doc_id", "src", earlier["relative_path"].alias("relative_path")), ["doc_id", "src"], "left")
