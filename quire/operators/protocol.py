@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,20 +31,26 @@ def _spelt(pattern: str, either_case: bool) -> str:
 
 
 _PASSES = tuple((kind, _spelt(p, either)) for kind, p, either in SPANS)
+# What every match of a pass holds (one of these); a text without them isn't searched by the pattern.
+_HELD = (("`",), ("<",), ("$", "\\["), ("://",), ("10.",), ("(",), ("(",))
 
 
 def protect_texts(rows: DataFrame, text: str = "source") -> DataFrame:
     """Adds protected and spans (array of token, value in order of creation; null texts are empty).
 
-    Each pass takes out its matches and numbers their tokens on from the passes before, all by array functions.
+    Each pass takes out its matches and numbers their tokens on from the passes before, all by array functions. A pass runs its
+    pattern over texts that hold one of its literals only, and cuts those only that have a match.
     """
-    done = rows.withColumn("protected", F.coalesce(F.col(text), F.lit(""))).withColumn("spans", F.array().cast("array<struct<token:string,value:string>>"))
-    for kind, pattern in _PASSES:
+    done = rows.withColumns({"protected": F.coalesce(F.col(text), F.lit("")), "spans": F.array().cast("array<struct<token:string,value:string>>")})
+    names = done.columns
+    for (kind, pattern), held in zip(_PASSES, _HELD):
         token = lambda i, k=kind: F.concat(F.lit(f"⟦{k}_"), (F.size("spans") + i).cast("string"), F.lit("⟧"))
-        found = done.withColumn("_m", F.regexp_extract_all("protected", F.lit(pattern), F.lit(0))).withColumn("_p", F.split("protected", pattern))
-        text_ = F.array_join(F.transform("_p", lambda x, i: F.when(i < F.size("_m"), F.concat(x, token(i))).otherwise(x)), "")
+        may = reduce(or_, [F.contains("protected", F.lit(x)) for x in held])
+        found = done.withColumn("_m", F.when(may, F.regexp_extract_all("protected", F.lit(pattern), F.lit(0))))
+        text_ = F.array_join(F.transform(F.split("protected", pattern), lambda x, i: F.when(i < F.size("_m"), F.concat(x, token(i))).otherwise(x)), "")
         spans = F.concat("spans", F.transform("_m", lambda v, i: F.struct(token(i).alias("token"), v.alias("value"))))
-        done = found.withColumn("protected", F.when(F.size("_m") > 0, text_).otherwise(F.col("protected"))).withColumn("spans", spans).drop("_m", "_p")
+        hit = F.coalesce(F.size("_m"), F.lit(0)) > 0
+        done = found.withColumns({"protected": F.when(hit, text_).otherwise(F.col("protected")), "spans": F.when(hit, spans).otherwise(F.col("spans"))}).select(*names)
     return done
 
 

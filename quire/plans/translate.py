@@ -68,8 +68,9 @@ def ask(batches: DataFrame, client: Callable[[list[dict], bool], str], language:
     return batches.repartition(tasks, "doc_id", F.col("batch_no") % parallel).mapInPandas(run, "doc_id bigint, id string, translation string, requests bigint, error string")
 
 
-def _round(blocks: DataFrame, client, language: str, max_chars: int, max_blocks: int, parallel: int) -> DataFrame:
-    safe = protocol.protect_texts(blocks.select("doc_id", "pos", "id", "type", "source"))
+def _round(blocks: DataFrame, client, language: str, max_chars: int, max_blocks: int, parallel: int, store) -> DataFrame:
+    # plan, requests and acceptance read the protected texts, so they are kept
+    safe = store(protocol.protect_texts(blocks.select("doc_id", "pos", "id", "type", "source")))
     plan = batching.plan_batches(safe.select("doc_id", "pos", "id", fx.js_length(F.col("source")).alias("size")), max_chars, max_blocks)
     places = plan.select("doc_id", "batch_no", F.explode("block_ids").alias("id"))
     filled = safe.join(places, ["doc_id", "id"]).groupBy("doc_id", "batch_no").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "type", "protected"))).alias("blocks"))
@@ -85,8 +86,8 @@ def translate_blocks(blocks: DataFrame, client, language: str = "zh-CN", max_cha
     """
     store = store or keep
     pending = fx.is_pending(F.col("type"), F.col("translation"), F.col("status"))
-    first = store(_round(blocks.where(pending), client, language, max_chars, max_blocks, parallel))
-    second = store(_round(first.where("status = 'failed'"), client, language, 1, 1, min(2, parallel)))
+    first = store(_round(blocks.where(pending), client, language, max_chars, max_blocks, parallel, store))
+    second = store(_round(first.where("status = 'failed'"), client, language, 1, 1, min(2, parallel), store))
     done = first.where("status <> 'failed'").unionByName(second)
     kept = blocks.where(~F.coalesce(pending, F.lit(False)))
     return kept.select(*[F.col(c) if c in blocks.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]).unionByName(done)
@@ -137,4 +138,4 @@ def repair_run(blocks: DataFrame, client, language: str = "zh-CN", **limits) ->
     cleared = protocol.clear_connectors(fixed, F.lit(language)).drop("cleared")
     clean = protocol.repair_translations(cleared).drop("changed")
     renumbered = clean.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
-    return translate_blocks(renumbered, client, language, **limits)
+    return translate_blocks((limits.get("store") or keep)(renumbered), client, language, **limits)
