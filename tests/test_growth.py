@@ -1,12 +1,13 @@
 """What a task holds and shuffles doesn't grow with the table."""
 
+import json
 import random
 import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quire.operators import automaton, lexicon
+from quire.operators import automaton, history, lexicon, structure
 from quire.plans import translate
 
 
@@ -49,3 +50,55 @@ def test_requests_are_dealt_to_more_tasks_than_a_document_has_at_once(spark):
     asked = translate.ask(rows, lambda messages, as_json: '{"translations": {"b1": "y"}}', "zh-CN", 2)
     assert asked.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 2
     assert [(r.translation, r.requests, r.error) for r in asked.distinct().collect()] and asked.count() == 40
+
+
+def joined_rows(df):
+    """Rows that the largest join of a finished query made."""
+    df.collect()
+
+    def walk(node):
+        name = node.nodeName()
+        below = [node.executedPlan()] if "AdaptiveSparkPlan" in name else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.metrics().get("numOutputRows").get().value()] if "Join" in name else []
+        return max([*own, *map(walk, below), 0])
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_images_of_one_name_meet_one_asset(spark):
+    images = spark.range(200).selectExpr("1 as doc_id", "id", "concat('d', id % 3, '/a.png') as src").unionByName(spark.createDataFrame([(1, 900, "b.png"), (1, 901, None), (2, 902, "a.png")], "doc_id int, id bigint, src string"))
+    rows = [(1, 7, "r7", "a.png"), (1, 5, "r5", "x\\a.png"), (1, 3, "r3", "d1\\a.png"), (1, 4, "r4", "d1/a.png"), (1, 1, "r1", "a.png"), (1, 9, "r9", "b.png"), (2, 1, "s1", "y/b.png"), (2, 2, None, "y/a.png")] + [(1, i, f"n{i}", "x/a.png") for i in range(10, 210)]
+    assets = spark.createDataFrame(rows, "doc_id int, ord int, relative_path string, original_path string")
+    found = history.match_assets(images, assets)
+    assert joined_rows(found) <= images.count()
+    plain = lambda x: x.replace("\\", "/")
+    fit = lambda d, src: next((r for _, o, r, p in sorted(rows, key=lambda r: r[1]) if _ == d and (plain(p) == src or plain(p).endswith("/" + src.split("/")[-1]))), None)
+    assert {(r.id, r.relative_path) for r in found.collect()} == {(r.id, fit(r.doc_id, r.src) if r.src else None) for r in images.collect()}
+
+
+def test_equal_searches_are_looked_for_once(spark):
+    empty = {c: F.lit(None).cast("string") for c in history.SEARCHED}
+    h = spark.range(200).withColumns(empty | {"context": F.concat(F.lit("lib"), (F.col("id") % 2).cast("string"))})
+    found = history.search_many(spark.range(50).selectExpr("id as query_id", "'LIB1 ' as query"), h)
+    assert joined_rows(found) <= 50 * 100
+    assert found.count() == 50 * 100 and found.where("id % 2 = 0").count() == 0
+
+
+def test_blocks_to_translate_are_computed_twice_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    blocks = spark.range(30).select((F.col("id") % 3).alias("doc_id"), F.col("id").cast("int").alias("pos"), F.format_string("b%04d", "id").alias("id"), F.lit("paragraph").alias("type"), F.udf(read, "string")(F.format_string("see `c` %d", "id")).alias("source"), F.lit(None).cast("string").alias("translation"), F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
+    client = lambda messages, as_json: json.dumps({"translations": {b["id"]: "Z" + b["source"] for b in json.loads(messages[1]["content"])}})
+    done = translate.translate_blocks(blocks, client)
+    assert sorted(r.translation for r in done.collect()) == sorted(f"Zsee `c` {i}" for i in range(30)) and seen.value <= 60
+
+
+def test_a_document_is_cut_once(spark):
+    parsed = spark.createDataFrame([(1, "# T\n\n![f](img/a.png)", [("x/img/a.png", "a1")]), (None, "![f](b.png)\n\np", [("c.png", "c1"), ("y\\b.png", "b1")])], "doc_id int, markdown string, assets array<struct<original_path:string,relative_path:string>>")
+    blocks = structure.structure_documents(parsed, repaired=False)
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode") == 2
+    assert sorted(r.asset_path for r in blocks.where("type = 'image'").collect()) == ["a1", "b1"]
