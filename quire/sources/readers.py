@@ -79,6 +79,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return versions.newest(spark, path, "doc_id string, value string", ["doc_id"])
 
 
+def read_html(spark: SparkSession, path: str) -> DataFrame:
+    """name, value: the texts that :func:`quire.sources.writers.save_html` wrote, with their last line break."""
+    file = F.url_decode(F.replace(F.element_at(F.split("_metadata.file_path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    spelt = F.transform(F.split(file, "%"), lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.char(F.conv(F.substring(p, 1, 2), 16, 10).cast("bigint")), F.substring(p, 3, 1 << 30))))
+    return spark.read.text(path, wholetext=True).select(F.when(file != "%", F.array_join(spelt, "")).alias("name"), "value")
+
+
 def read_job(spark: SparkSession, path: str, job_id: str) -> DataFrame:
     return _json(spark, path, JOB).where(F.col("id") == job_id)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import threading
+import uuid
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,10 +83,30 @@ def save_history(records: DataFrame, path: str) -> None:
     put_json(records.groupBy("library_id").agg(lists.alias("records")), path)
 
 
+def html_file(name: str | None) -> str:
+    """The file of a name: what a file name can't hold, and a beginning that hides a file, as its code; no name is a lone %."""
+    spelt = re.sub(r'[\x00-\x1f%/\\\\:*?"<>|#]|^[._]', lambda m: f"%{ord(m[0]):02X}", name or "")
+    return spelt or "%"
+
+
 def save_html(bodies: DataFrame, path: str) -> None:
-    """(name, html): a folder for each name with one text file, older ones of the same names replaced."""
-    out = bodies.select("name", F.col("html").alias("value"))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").text(path)
+    """(name, html): a text file for each name in one folder, older ones of the same names replaced (see
+    :func:`quire.sources.readers.read_html`). Tasks write the files beside and rename them, so no commit walks through all names;
+    the folder is one that every executor can reach (any pyarrow file system)."""
+    root = path if "://" in path else f"file://{path}"
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(root)
+        store.create_dir(at, recursive=True)
+        for r in rows:
+            beside = f"{at}/.{uuid.uuid4().hex}"
+            with store.open_output_stream(beside) as f:
+                f.write(((r.html or "") + "\n").encode())
+            store.move(beside, f"{at}/{html_file(r.name)}")
+
+    bodies.select("name", "html").foreachPartition(write)
 
 
 def save_markdown(parsed: DataFrame, path: str) -> None:

@@ -30,3 +30,12 @@ def test_markdown_of_many_documents_is_few_files(spark, tmp_path):
     save([(7, "new"), (None, "new"), (600, "")])  # these are replaced, the others stay
     second = {(r.doc_id, r.value) for r in readers.read_markdown(spark, path).collect()}
     assert second == {x for x in first if x[0] not in ("7", None)} | {("7", "new\n"), (None, "new\n"), ("600", "\n")}
+
+
+def test_html_is_a_file_a_name_in_one_folder(spark, tmp_path):
+    names = ["a b.html", "50%/x.html", "._h", "（双语）+&.html", "%41", "c#d?.html"]
+    save = lambda rows: writers.save_html(spark.createDataFrame(rows, "name string, html string"), str(tmp_path / "html"))
+    save([(n, f"<p>\n{n}") for n in names] + [(None, "x")])
+    save([(names[1], "new")])
+    assert {(r.name, r.value) for r in readers.read_html(spark, str(tmp_path / "html")).collect()} == {(n, "new\n" if n == names[1] else f"<p>\n{n}\n") for n in names} | {(None, "x\n")}
+    assert not any(f.is_dir() for f in (tmp_path / "html").iterdir()) and len([f for f in (tmp_path / "html").iterdir() if f.name[0] != "."]) == len(names) + 1
