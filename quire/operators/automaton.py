@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of a stream that are read at once; states are kept for these only.
-SEGMENT = 1 << 22
+#: Bytes of a stream that are read at once, and for terms of over 64 bytes (lanes start with as many bytes before); states are kept for these only.
+SEGMENT, LONGEST_SEGMENT = 1 << 18, 1 << 22
 #: Bytes that end a run of lower-case ASCII letters and digits.
 BORDER = np.array([not (48 <= b <= 57 or 97 <= b <= 122) for b in range(256)])
-#: Texts whose hits are held at a time.
-ROWS = 1000
+#: Texts whose hits are held at a time, and their bytes (or one text).
+ROWS, PART = 1000, 1 << 20
 
 
 class Automaton:
@@ -32,6 +32,7 @@ class Automaton:
         at = np.concatenate([[0], np.cumsum(sizes)])
         data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         self.longest = int(sizes.max()) if len(raw) else 1
+        self.segment = min(LONGEST_SEGMENT, max(SEGMENT, self.longest << 12))
         self.sizes = sizes
         self.classes = np.zeros(256, np.uint8)
         used = np.unique(data)
@@ -63,8 +64,8 @@ class Automaton:
         """Distinct (text, term) of the texts ``data[offsets[i]:offsets[i + 1]]``, ordered."""
         found = [np.zeros(0, np.int64)]
         for first, starts, stream, _ in self._streams(data, offsets):
-            for a in range(0, len(stream), SEGMENT):
-                place, state = self._read(stream, a, min(len(stream), a + SEGMENT))
+            for a in range(0, len(stream), self.segment):
+                place, state = self._read(stream, a, min(len(stream), a + self.segment))
                 found.append(np.unique((first + np.searchsorted(starts, place, side="right") - 1) * len(self.own) + state))
         pairs = np.unique(np.concatenate(found))
         text, state = pairs // len(self.own), pairs % len(self.own)
@@ -80,8 +81,8 @@ class Automaton:
         """:meth:`hits` of the terms that stand between bytes that are no lower-case ASCII letters or digits, or at an end of a text."""
         found = [np.zeros(0, np.int64)]
         for first, starts, stream, border in self._streams(data, offsets):
-            for a in range(0, len(stream), SEGMENT):
-                place, state = self._read(stream, a, min(len(stream), a + SEGMENT))
+            for a in range(0, len(stream), self.segment):
+                place, state = self._read(stream, a, min(len(stream), a + self.segment))
                 free = border[place + 1]  # a text has a byte behind it
                 place, state = place[free], state[free]
                 while len(state):
@@ -95,18 +96,19 @@ class Automaton:
         return pairs // len(self.own), pairs % len(self.own)
 
     def _streams(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """As many texts at a time as have ``SEGMENT`` bytes (or one that has more), one byte of class 0 behind each: number of the first,
+        """As many texts at a time as have a segment's bytes (or one that has more), one byte of class 0 behind each: number of the first,
         where they start, the classes of their bytes, and which bytes are borders."""
         a, n = 0, len(offsets) - 1
         while a < n:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + SEGMENT, side="right")) - 1)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + self.segment, side="right")) - 1)
             at = offsets[a : b + 1] - offsets[a]
             behind = at[1:] + np.arange(b - a)
             inside = np.ones(int(at[-1]) + b - a, bool)
             inside[behind] = False
-            raw = data[offsets[a] : offsets[b]]
+            raw = data[offsets[a] : offsets[b]].tobytes()  # an index of bytes would become one of 8 bytes each
             stream, border = np.zeros(len(inside), np.uint8), np.ones(len(inside), bool)
-            stream[inside], border[inside] = self.classes[raw], BORDER[raw]
+            stream[inside] = np.frombuffer(raw.translate(self.classes.tobytes()), np.uint8)
+            border[inside] = np.frombuffer(raw.translate(BORDER.tobytes()), bool)
             yield a, at[:-1] + np.arange(b - a), stream, border
             a = b
 
@@ -176,10 +178,15 @@ def first_hits(row: np.ndarray, tier: np.ndarray, entry: np.ndarray, rows: int,
     return entry[keep], np.searchsorted(row[keep], np.arange(rows + 1))
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """A batch in parts of at most ``ROWS`` rows."""
-    for a in range(0, batch.num_rows, ROWS):
-        yield batch.slice(a, ROWS)
+def slices(batch: pa.RecordBatch, texts: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``ROWS`` rows and ``PART`` bytes of its columns ``texts``, or of one row that has more."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+    a = 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART, side="right"))
+        b = max(a + 1, min(a + ROWS, b))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def by_value(column: pa.Array) -> Iterator[tuple[object, np.ndarray]]:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from quire.functions.text import is_lookup_candidate, js_trim
 from quire.operators.automaton import Automaton, Tiers, by_value, first_hits, slices, text_bytes
+from quire.sources.batches import bound_batches
 from quire.sources.scratch import keep
 
 # Terms in a prompt, terms of a paper, terms taken from a model, from how many entries a dictionary is the full one.
@@ -75,6 +76,7 @@ def match_tiered(texts: DataFrame, glossary: DataFrame, most: int = PROMPT_TERMS
     bytes in all goes to every task, and texts are never shuffled; a larger one is dealt to automata of that size, and texts meet
     each of their library's. The empty term stands in every text. ``keys`` name columns that tell texts apart (with library_id).
     """
+    bound_batches(texts.sparkSession)
     entries = glossary.select("library_id", F.col("ord").cast("bigint").alias("ord"), "term", "translation", "field", "note", F.lower("term").alias("_low"))
     size = F.octet_length("_low") + sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in ("translation", "field", "note"))
     terms, whole = entries.agg(F.coalesce(F.sum(F.octet_length("_low")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
@@ -96,7 +98,7 @@ def _tiered_everywhere(texts: DataFrame, entries: DataFrame, most: int) -> DataF
         low = table["_low"].to_pylist()
         places = dict(by_value(table["library_id"].combine_chunks())) if table.num_rows else {}
         tiers: dict = {}
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, (n + 1, n + 2))):
             found = [(np.zeros(0, np.int64),) * 3]
             for library, rows in by_value(batch.column(n)):
                 if library in places:
@@ -144,7 +146,7 @@ def _tiered_dealt(texts: DataFrame, entries: DataFrame, most: int, keys: tuple[s
                     terms, tiers, of = batch.column(3)[first].as_py(), None, group[first]
                 elif group[first] == of:  # else no term was dealt to the group
                     tiers = tiers or Tiers(terms)
-                    for part in slices(batch.slice(first, len(rows))):
+                    for part in slices(batch.slice(first, len(rows)), (6, 7)):
                         row, tier, entry = tiers.hits(part.column(6), part.column(7))
                         own = [part.column(c).take(pa.array(row)) for c in (0, 4, 5)]
                         yield pa.RecordBatch.from_arrays([*own, pa.array(tier.astype(np.int32)), pa.array([terms[e] for e in entry], pa.string())], ["library_id", "_h1", "_h2", "tier", "_low"])
@@ -196,6 +198,7 @@ def _phrases(texts: DataFrame, entries: DataFrame, term_bytes: int = TERM_BYTES)
 
     Terms of up to ``term_bytes`` bytes in all go to every task as automata that look at the borders of a match, so texts are read where
     they are; more of them are found by postings (:func:`_placed`)."""
+    bound_batches(texts.sparkSession)
     low = entries.select("library_id", "ord", "term", _folded(F.col("term")).alias("_low"))
     if (low.agg(F.sum(F.octet_length("_low"))).first()[0] or 0) > term_bytes:
         return _placed(texts, entries)
@@ -206,7 +209,7 @@ def _phrases(texts: DataFrame, entries: DataFrame, term_bytes: int = TERM_BYTES)
         table = shared.value
         places = dict(by_value(table["library_id"].combine_chunks())) if table.num_rows else {}
         automata: dict = {}
-        for batch in (part for whole in batches for part in slices(whole)):
+        for batch in (part for whole in batches for part in slices(whole, (2,))):
             for library, rows in by_value(batch.column(1)):
                 if library in places:
                     if library not in automata:

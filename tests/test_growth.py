@@ -5,6 +5,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.operators import automaton, history, lexicon, structure
@@ -45,6 +46,32 @@ def test_an_automaton_holds_a_part_of_a_batch():
     assert len(rows) == 2 * (len(texts) // 6000)
 
 
+def test_hits_at_every_byte_are_held_for_a_part_of_a_text():
+    machine = automaton.Automaton(["a", "ab", "b", "ba"])
+    text = np.frombuffer(b"ab" * 2_000_000, np.uint8)
+    tracemalloc.start()
+    rows, hits = machine.hits(text, np.array([0, 1, len(text) - 1, len(text)]))
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+    assert list(zip(rows.tolist(), hits.tolist())) == [(0, 0), (1, 0), (1, 1), (1, 2), (1, 3), (2, 2)]
+
+
+def test_a_part_of_a_batch_has_so_many_bytes():
+    sizes = [0, 5, automaton.PART - 5, 1, automaton.PART + 1, 0, 0, None, *[600_000] * 3, *[1] * 2500]
+    texts = pa.array([None if n is None else "x" * n for n in sizes], pa.string())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), texts], ["i", "t"]).slice(1)
+    parts = [p.column(0).to_pylist() for p in automaton.slices(batch, (1,))]
+    assert [len(p) for p in parts[:6]] == [2, 1, 1, 4, 1, 1 + 999] and sum(parts, []) == list(range(1, len(sizes)))
+    assert all(len(p) == 1 or len(p) <= automaton.ROWS and sum(sizes[i] or 0 for i in p) <= automaton.PART for p in parts)
+
+
+def test_texts_meet_terms_in_small_batches(spark):
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(3).selectExpr("id", "0L as library_id", "'a' as selected", "'b' as context")
+    spark.conf.unset(key)
+    lexicon.match_tiered(texts, spark.createDataFrame([(0, 0, "a", None, None, None)], "library_id bigint, ord bigint, term string, translation string, field string, note string"))
+    assert int(spark.conf.get(key).removesuffix("b")) <= 8 << 20
+
+
 def test_requests_are_dealt_to_more_tasks_than_a_document_has_at_once(spark):
     rows = spark.range(40).selectExpr("id % 20 as doc_id", "id div 20 as batch_no", "array(named_struct('id', 'b1', 'type', 'paragraph', 'protected', 'x')) as blocks")
     asked = translate.ask(rows, lambda messages, as_json: '{"translations": {"b1": "y"}}', "zh-CN", 2)
