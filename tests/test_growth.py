@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quire.functions import text as fx
 from quire.operators import automaton, history, lexicon, structure
 from quire.plans import translate
 
@@ -72,6 +73,27 @@ def test_texts_meet_terms_in_small_batches(spark):
     assert int(spark.conf.get(key).removesuffix("b")) <= 8 << 20
 
 
+def test_chains_look_at_a_text_once_before_it_is_shuffled(spark):
+    sources = ["It goes", " on,", "\u00a0(and on", "", "then", None, "so", "it ends.”", "here", "‘ends.’\u3000", "x", "\ty", "A", "z"]
+    kinds = {10: "table", 13: None}
+    blocks = spark.createDataFrame([(d, i, kinds.get(i, "paragraph"), s) for d in (1, 2, None) for i, s in enumerate(sources)], "doc_id int, pos int, type string, source string")
+    chains = structure.merge_chains(blocks)
+    plan = chains._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan[: plan.rindex("Window")] and "RLIKE" in plan and "trim(" not in plan[plan.rindex("Window") :]
+    own = [(0, 3, "It goes on, (and on"), (3, 1, ""), (4, 1, "then"), (5, 1, ""), (6, 2, "so it ends.”"), (8, 2, "here ‘ends.’"), (10, 1, "x"), (11, 1, "y"), (12, 1, "A"), (13, 1, "z")]
+    assert sorted((r.doc_id or 0, r.first_pos, r.n, r.source) for r in chains.collect()) == [(d, *x) for d in (0, 1, 2) for x in own]
+
+
+def test_ends_of_a_text_are_told_without_a_trimmed_copy(spark):
+    rng = random.Random(4)
+    made = {"".join(rng.choices([*fx.BLANKS, "a", "É", "é", ".", "!", "”", "(", "'", "\u200b", "\x1c", "\x85"], k=rng.randint(0, 6))) for _ in range(3000)}
+    c, trimmed = F.col("t"), fx.js_trim(F.col("t"))
+    start, end = trimmed.rlike("^[\"“‘'(\\[]*[a-zà-öø-ÿ]"), trimmed.rlike(rf"[.!?]{fx.CLOSERS}\z")
+    rows = spark.createDataFrame([(t,) for t in [*made, None]], "t string")
+    same = fx.starts_lowercase(c).eqNullSafe(start) & fx.ends_sentence(c).eqNullSafe(end) & fx.is_incomplete(c).eqNullSafe((trimmed != "") & ~end)
+    assert rows.where(~same).count() == 0
+
+
 def test_requests_are_dealt_to_more_tasks_than_a_document_has_at_once(spark):
     rows = spark.range(40).selectExpr("id % 20 as doc_id", "id div 20 as batch_no", "array(named_struct('id', 'b1', 'type', 'paragraph', 'protected', 'x')) as blocks")
     asked = translate.ask(rows, lambda messages, as_json: '{"translations": {"b1": "y"}}', "zh-CN", 2)
