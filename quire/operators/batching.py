@@ -28,6 +28,19 @@ def batch_starts(sizes: Column, max_chars: int, max_blocks: int) -> Column:
     return F.aggregate(sizes, zero, step)["starts"]
 
 
+def row_starts(keys: list, ids: list[str], sizes: list[int], max_chars: int, max_blocks: int) -> list[int]:
+    """The same starts over rows of many documents, in order of key and place: a batch ends with its document too, and before an id that
+    it holds, as answers name ids."""
+    starts, chars, held = [], 0, set()
+    for i, (key, block, size) in enumerate(zip(keys, ids, sizes)):
+        if not starts or key != keys[starts[-1]] or chars + size > max_chars or len(held) >= max_blocks or block in held:
+            starts.append(i)
+            chars, held = 0, set()
+        chars += size
+        held.add(block)
+    return starts
+
+
 def plan_batches(blocks: DataFrame, max_chars: int = MAX_CHARS, max_blocks: int = MAX_BLOCKS, split: int | None = None) -> DataFrame:
     """doc_id, batch_no, id, block_ids, char_count from (doc_id, pos, id, size), in order of pos; a block over the limit is alone.
 

@@ -180,12 +180,17 @@ def planned_blocks(plan: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def accept(blocks: DataFrame, answers: DataFrame, language: Column | None = None) -> DataFrame:
-    """Blocks with the answer of their id: sanitized and restored, or failed with a reason (the answer's own error, missing, marker,
-    lost token, connector)."""
-    language = F.lit("en") if language is None else language
+    """Blocks with the answer of their id, judged (see :func:`judge`)."""
     refused = F.col("error") if "error" in answers.columns else F.lit(None).cast("string")
     joined = blocks.drop("translation", "status", "error").join(answers.select("doc_id", "id", F.col("translation").alias("answer"), refused.alias("refused")), ["doc_id", "id"], "left")
-    back = joined.withColumn("clean", fx.sanitize(F.col("answer"))).withColumn("r", restore(F.col("clean"), F.col("spans")))
+    return judge(joined, language)
+
+
+def judge(rows: DataFrame, language: Column | None = None) -> DataFrame:
+    """translation, status and error of (answer, refused, spans): sanitized and restored, or failed with a reason (the answer's own
+    error, missing, marker, lost token, connector)."""
+    language = F.lit("en") if language is None else language
+    back = rows.withColumn("clean", fx.sanitize(F.col("answer"))).withColumn("r", restore(F.col("clean"), F.col("spans")))
     text = F.col("r.text")
     error = (
         F.when(fx.blank_to_null(F.col("answer")).isNull(), F.coalesce("refused", F.lit("missing"))).when((F.col("clean") == "") | fx.leaks_protocol(F.col("clean")), "protocol marker")

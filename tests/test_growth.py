@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quire.functions import text as fx
-from quire.operators import automaton, history, lexicon, structure
+from quire.operators import automaton, batching, history, lexicon, structure
 from quire.plans import translate
 
 
@@ -146,6 +147,43 @@ def test_blocks_to_translate_are_computed_twice_at_most(spark):
     assert sorted(r.translation for r in done.collect()) == sorted(f"Zsee `c` {i}" for i in range(30)) and seen.value <= 60
 
 
+def test_texts_to_translate_move_once_and_are_kept_once(spark):
+    rows = [(d, i, f"b{i:04d}", "paragraph", f"text {i}", None, "pending", None) for d in (1, 2, None) for i in range(9)]
+    blocks = spark.createDataFrame(rows, "doc_id bigint, pos int, id string, type string, source string, translation string, status string, error string")
+    kept = []
+    client = lambda messages, as_json: json.dumps({"translations": {b["id"]: "Z" + b["source"] for b in json.loads(messages[1]["content"]) if not b["id"].endswith("3")}})
+    done = translate.translate_blocks(blocks, client, store=lambda df: kept.append(df) or df)
+    assert len(kept) == 1 and kept[0]._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    got = {(r.doc_id, r.id): (r.translation, r.status, r.error) for r in done.collect()}
+    assert got == {(r[0], r[2]): (None, "failed", "missing") if r[1] == 3 else ("Z" + r[4], "translated", None) for r in rows}
+
+
+def test_rows_are_packed_into_the_planned_batches(spark):
+    rng = random.Random(4)
+    rows = [(d, i, f"b{i:04d}", "paragraph", "x" * rng.choice([0, 1, 20, 39, 40, 41, 90]), None, "pending", None) for d in (*range(5), None) for i in rng.sample(range(99), rng.choice([1, 7, 40]))]
+    blocks = spark.createDataFrame(rows, "doc_id bigint, pos int, id string, type string, source string, translation string, status string, error string")
+    running = []
+
+    def client(messages, as_json):
+        running.append(1)
+        time.sleep(0.02)
+        seen, ids = len(running), [b["id"] for b in json.loads(messages[1]["content"])]
+        running.pop()
+        return json.dumps({"translations": {i: f"{' '.join(ids)} of {seen}" for i in ids}})
+
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(key, 7)
+    try:
+        done = translate.translate_blocks(blocks, client, max_chars=80, max_blocks=5, parallel=3).collect()
+    finally:
+        spark.conf.set(key, before)
+    plan = batching.plan_batches(blocks.where("doc_id is not null").select("doc_id", "pos", "id", F.length("source").alias("size")), 80, 5).collect()
+    own = lambda known: {(r.doc_id, tuple(r.translation.split(" of ")[0].split())) for r in done if (r.doc_id is not None) == known}
+    assert own(True) == {(r.doc_id, tuple(r.block_ids)) for r in plan} and len(done) == len(rows)
+    assert sum(len(ids) for _, ids in own(False)) == sum(r[0] is None for r in rows)
+    assert 1 < max(int(r.translation.split(" of ")[1]) for r in done) <= 3
+
+
 def test_a_document_is_cut_once(spark):
     parsed = spark.createDataFrame([(1, "# T\n\n![f](img/a.png)", [("x/img/a.png", "a1")]), (None, "![f](b.png)\n\np", [("c.png", "c1"), ("y\\b.png", "b1")])], "doc_id int, markdown string, assets array<struct<original_path:string,relative_path:string>>")
     blocks = structure.structure_documents(parsed, repaired=False)
